@@ -7,8 +7,45 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annolith.llm.common import table
+from annolith.llm import langid, quality, toxicity
+from annolith.llm.common import crc_fold, table
+from annolith.llm.decontam import contamination
+from annolith.llm.linededup import dedup_lines
 from annolith.llm.neardup import near_duplicates
+from annolith.llm.packing import pack
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_cut")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, quality.trusted_ids(table(spark, sf_dir, "labels")))
+    return quality.judge(docs, model)
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    profiles = langid.fit(docs, crc_fold(F.col("doc_id"), 5) != 0)
+    return langid.identify(docs, profiles).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.filter(crc_fold(F.col("doc_id"), 3) != 1))
+    scored = toxicity.score(docs, model)
+    predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int")
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"), F.size("sentences").cast("long").alias("n_sentences"))
 
 
 def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +53,12 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_packing": op2_packing,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_quality": op5_quality,
+    "op6_langid": op6_langid,
+    "op7_decontamination": op7_decontamination,
+    "op9_toxicity": op9_toxicity,
     "op10_minhash_neardup": op10_minhash_neardup,
 }
 
