@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annolith.llm import langid, quality, toxicity
+from annolith.llm import htmlextract, langid, pii, quality, toxicity, urlfilter
 from annolith.llm.common import crc_fold, table
 from annolith.llm.decontam import contamination
 from annolith.llm.linededup import dedup_lines
@@ -15,11 +15,19 @@ from annolith.llm.neardup import near_duplicates
 from annolith.llm.packing import pack
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.extract(table(spark, sf_dir, "documents")).drop("found")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "template")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_cut")
 
@@ -40,6 +48,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlextract.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.filter(crc_fold(F.col("doc_id"), 3) != 1))
@@ -53,11 +65,14 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_packing": op2_packing,
+    "op3_urlfilter": op3_urlfilter,
     "op4_line_dedup": op4_line_dedup,
     "op5_quality": op5_quality,
     "op6_langid": op6_langid,
     "op7_decontamination": op7_decontamination,
+    "op8_html": op8_html,
     "op9_toxicity": op9_toxicity,
     "op10_minhash_neardup": op10_minhash_neardup,
 }

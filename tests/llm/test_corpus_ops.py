@@ -300,3 +300,152 @@ def test_crc_fold(spark):
 
     got = spark.range(20).select("id", crc_fold(F.col("id"), 5).alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 5 for r in got)
+
+
+# ---- personal data
+
+BASE = {
+    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+}
+
+
+def luhn(digits):
+    total = 0
+    for k, c in enumerate(reversed(digits)):
+        d = int(c) * (2 if k % 2 else 1)
+        total += d - 9 * (d > 9)
+    return total % 10 == 0
+
+
+def brute_spans(text):
+    out = []
+    for kind, pattern in BASE.items():
+        for m in pattern.finditer(text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            ok = {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")), "card": 16 <= len(digits) <= 19 and luhn(digits), "phone": 8 <= len(digits) <= 15}[kind]
+            if ok:
+                out.append(f"{kind}:{m.start()}:{m.end()}")
+    return out
+
+
+PII_TEXTS = [
+    "𝒳 a.b+c@mail-x.example.com, b@c.d_e@f.g and x@y x@.z @a.b a@b..c",
+    "1.2.3.4.5.6.7.8 256.1.1.1 0255.0.0.1 1.1.1 999.1.2.3.4 01.02.03.04.",
+    "4111 1111 1111 1111 and 4111-1111-1111-1111-0 4111111111111112 5500  0000 0000 0004 4-111111111111111",
+    "+1 (017) 555-7713 +12 +1 2345678 ++49 (0)30.123-456 - +999999999999999999 +1()().2",
+    "x" * 3000 + "1" * 3000 + "@" + "a.b" * 500 + " " + "1.2." * 500 + "9",
+]
+
+
+def test_pii_base(spark, small, nothing):
+    from annolith.llm import pii
+
+    docs = small.select("doc_id", "text").union(spark.createDataFrame([(60 + k, t) for k, t in enumerate(PII_TEXTS)], "doc_id long, text string"))
+    got = pii.extract(docs).collect()
+    assert len(got) == docs.count()
+    want = {r.doc_id: brute_spans(r.text) for r in docs.collect()}
+    for r in got:
+        assert r.base_sha256 == hashlib.sha256(",".join(want[r.doc_id]).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s.startswith(k + ":") for s in want[r.doc_id]) for k in BASE]
+        assert set(want[r.doc_id]) <= set(filter(None, r.spans.split(",")))
+    assert pii.extract(nothing).count() == 0
+
+
+def test_pii_bootstrap(spark):
+    from annolith.llm import pii
+
+    good = [f"{prose(k, 5)} card number: 4111 1111 1111 1111 thanks {prose(k + 50, 3)}" if k % 2 else f"{prose(k, 5)} please write to user{k}@example.com soon {prose(k + 50, 3)}" for k in range(24)]
+    unseen = [f"{prose(70, 4)} please write to odd@localhost soon", f"{prose(71, 4)} version 4.0.17 of it", f"{prose(72, 4)} model number x12345678"]
+    rows = list(enumerate(good + unseen))
+    got = {r.doc_id: r.spans for r in pii.extract(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    at = unseen[0].index("odd@")
+    assert got[24] == f"email:{at}:{at + 13}" and got[25] == "" and got[26] == ""
+
+
+# ---- url filter
+
+
+def brute_rule(url):
+    if url is None or "://" not in url:
+        return "", "", None, None
+    rest = url.split("://", 1)[1]
+    host = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(host) :])[0]
+    host, best = host.translate(AZ), None
+    for verdict, rule in (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")):
+        name, _, sub = rule.partition("/")
+        if (host == name or host.endswith("." + name)) and path.startswith("/" + sub) and (best is None or len(rule) > len(best[0])):
+            best = (rule, verdict)
+    return host, path, *(best or (None, None))
+
+
+def test_url_rules(spark):
+    from annolith.llm import urlfilter
+
+    urls = [None, "", "no scheme", "http://", "HTTP://WWW.Example.NET/en/1?x#y", "https://example.net/en", "https://a.net", "https://a.net/", "x://É.Example.com/de/", "http://bexample.com/de/a", "http://x.org/fr/://net/", "http://h.com?q=/de/", "http://h.com#/a", "http://u@a.example.com:80/de/x"]
+    pages = spark.createDataFrame([(k, u, "clash") for k, u in enumerate(urls)] + [(0, None, None), (None, "http://q.net/a", None)], "page_id long, url string, rule string")
+    got = urlfilter.judge(pages).collect()
+    assert len(got) == len(urls) + 2
+    for r in got:
+        host, path, rule, verdict = brute_rule(urls[r.page_id] if r.page_id is not None else "http://q.net/a")
+        assert (r.host, r.path, r.rule) == (host, path, rule)
+        assert r.verdict == verdict if verdict else r.verdict in ("allow", "block")
+    assert urlfilter.judge(pages.limit(0)).count() == 0
+
+
+def test_url_templates(spark):
+    from annolith.llm import urlfilter
+
+    bad = [f"http://bad.example.com/de/{k}.html" for k in range(60)] + [f"http://bad.example.com/xx/{k}.html" for k in range(5)]
+    good = [f"http://good.example.com/en/{prose(k, 1)}-{k}" for k in range(60)] + [f"http://good.example.com/de/{k}" for k in range(3)]
+    pages = spark.createDataFrame(list(enumerate(bad + good)), "page_id long, url string")
+    got = {r.page_id: r for r in urlfilter.judge(pages).collect()}
+    assert all(got[k].verdict == "block" for k in range(65))
+    assert all(got[k].verdict == "allow" and got[k].template == "/en/*" for k in range(65, 125))
+    assert got[60].template == "/xx/*.html" and got[0].template is None
+
+
+# ---- main text
+
+
+def test_main_text():
+    from annolith.llm.htmlextract import main_text
+
+    page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header>
+    <nav><ul><li><a href=/a>Menu</a></ul></nav><div class="cookie-notice">We use cookies &amp; more</div>
+    <article><h1>Head &lt;1&gt;</h1><p>One <b>two</b>\n  three<br>four<p>Five &amp;six &#233;<div class=ad>Buy</div><script>var t="</p>";</script>
+    <p>A short one.</p></article><aside>Side</aside><section id="comments"><p>I read this whole article and liked it a lot, friends.</p></section>
+    <form>Name <input></form><footer>&copy; me</footer></body></html>"""
+    assert main_text(page) == "Head <1>\nOne two three\nfour\nFive &six é\nA short one."
+    for odd in (None, "", "<", "<p", "plain text only", "<!-- open", "<script>x", "</div></p>", "<p>" * 3000, "<a '" * 500, "<div>" * 3000 + "x"):
+        assert isinstance(main_text(odd), str)
+
+
+def test_min_cut_is_minimal():
+    import itertools
+    import random
+
+    from annolith.llm.htmlextract import min_cut
+
+    rng = random.Random(5)
+    for _ in range(60):
+        n = rng.randint(1, 7)
+        source, sink = [rng.choice([0, rng.random() * 3]) for _ in range(n)], [rng.choice([0, rng.random() * 3]) for _ in range(n)]
+        edges = [(a, b, rng.random()) for a in range(n) for b in range(a + 1, n) if rng.random() < 0.5]
+
+        def cost(side, source=source, sink=sink, edges=edges):
+            return sum(sink[k] if x else source[k] for k, x in enumerate(side)) + sum(c for a, b, c in edges if side[a] != side[b])
+
+        best = min(cost(side) for side in itertools.product([False, True], repeat=n))
+        assert abs(cost(min_cut(source, sink, edges)) - best) < 1e-6
+
+
+def test_extract_rows(spark):
+    from annolith.llm.htmlextract import extract
+
+    pages = spark.createDataFrame([(1, "u", "<article><p>Hello there, world.</p></article>", 3), (1, None, None, 3), (None, "u", "", 3)], "page_id long, url string, html string, text int")
+    assert sorted((r.text for r in extract(pages).collect())) == ["", "", "Hello there, world."]
+    assert extract(pages.limit(0)).count() == 0
