@@ -27,9 +27,14 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialise(df: DataFrame, tag: str, few: bool = False) -> DataFrame:
+    """Write df once to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    few: a narrow table of an iteration; its last stage runs as at most four tasks a core of the cluster.
+    """
     spark = df.sparkSession
+    if few:
+        df = df.coalesce(4 * spark.sparkContext.defaultParallelism)
     path = f"{scratch_root(spark)}/annolith/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))

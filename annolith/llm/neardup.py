@@ -10,7 +10,8 @@ the threshold, and the rest is confirmed on the full shingle sets.
 No pair list of a group is ever made: in each bucket every member is compared with one
 centre, the links found merge components, and further centres are tried among what is
 left.  What then remains in a bucket (pairs of different components) is compared in
-bounded blocks of signatures, of which only pairs near the threshold leave the task.
+bounded blocks: signatures tell the members that still matter, and these are compared on
+their full sets inside the task, which only links leave.
 """
 
 from __future__ import annotations
@@ -26,11 +27,11 @@ from annolith.llm.common import byte_class, lowered, materialise, mix, ngram_has
 
 BANDS, ROWS, BITS, SHINGLE = 40, 4, 4, 5
 #: Members of a bucket in one block of the last, pairwise step.
-BLOCK = 512
+BLOCK = 256
 #: Estimates this far under the threshold are dropped unconfirmed: over 5 standard errors of BANDS * ROWS minima.
-SLACK = 0.19
-#: Rounds of centres before the pairwise step.
-ROUNDS = 4
+SLACK = 0.18
+#: Rounds of centres at most before the pairwise step, and the pairs a bucket member that it may have to compare.
+ROUNDS, PAIRS = 4, 200
 SIGNATURE = BANDS * ROWS * BITS // 8
 
 
@@ -105,7 +106,7 @@ def _unequal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def near(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """(a, b, sig_a, sig_b) to the pairs (a, b) whose estimate is near the threshold or above."""
+    """(a, b, sig_a, sig_b), of sizes that allow a link, to the pairs (a, b) whose estimate is near the threshold or above."""
     for batch in batches:
         if batch.num_rows:
             x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SIGNATURE) for k in (2, 3))
@@ -113,24 +114,68 @@ def near(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.Rec
             yield batch.select([0, 1]).filter(kept)
 
 
-def blocks(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Two blocks of a bucket (ids, components, signatures each) to pairs of different components near the threshold."""
+def _members(own: list[dict]) -> tuple[np.ndarray, ...]:
+    return (*(np.array([x[name] for x in own], np.int64) for name in ("rep", "comp", "n_shingles")), np.frombuffer(b"".join(x["sig"] for x in own), np.uint8).reshape(-1, SIGNATURE))
+
+
+def _likely(row: dict, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Of two blocks of a bucket: each left member with the right members of other components that may be linked with it."""
+    (ids, comps, sizes, sigs), (ids2, comps2, sizes2, sigs2) = _members(row["left"]), _members(row["right"])
+    for k in range(len(ids)):
+        fits = np.minimum(sizes2, sizes[k]) >= threshold * np.maximum(sizes2, sizes[k])
+        other = np.flatnonzero(fits & (comps2 != comps[k]) & (ids2 > ids[k] if row["same"] else True))
+        if len(other):
+            other = other[estimate(_unequal(sigs[k], sigs2[other])) >= threshold - SLACK]
+            if len(other):
+                yield k, other
+
+
+def flagged(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Two blocks of a bucket to its key and the members that may be linked with a member of another component."""
+    for batch in batches:
+        keys, reps = [], []
+        for number in range(batch.num_rows):
+            row = batch.slice(number, 1).to_pylist()[0]
+            near_ = {row[side][k]["rep"] for i, other in _likely(row, threshold) for side, ks in (("left", [i]), ("right", other)) for k in ks}
+            keys += [row["key"]] * len(near_)
+            reps += sorted(near_)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(reps, pa.int64())], names=["key", "rep"])
+
+
+def linked(batches: Iterator[pa.RecordBatch], percent: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Two blocks of a bucket, with texts, to links on full sets; of those that join the same components, one."""
     for batch in batches:
-        for row in batch.to_pylist():
-            sides = []
+        a, b = [], []
+        for number in range(batch.num_rows):
+            row = batch.slice(number, 1).to_pylist()[0]
+            sets = []
             for side in ("left", "right"):
-                own = row[side]
-                sides.append((np.array([x["rep"] for x in own], np.int64), np.array([x["comp"] for x in own], np.int64), np.frombuffer(b"".join(x["sig"] for x in own), np.uint8).reshape(-1, SIGNATURE)))
-            (ids, comps, sigs), (ids2, comps2, sigs2) = sides
-            got: list[tuple[np.ndarray, np.ndarray]] = []
-            for k in range(len(ids)):
-                other = (comps2 != comps[k]) & (ids2 > ids[k] if row["same"] else True)
-                if other.any():
-                    close = np.flatnonzero(other)[estimate(_unequal(sigs[k], sigs2[other])) >= threshold - SLACK]
-                    got.append((np.full(len(close), ids[k]), ids2[close]))
-            if got:
-                a, b = np.concatenate([x for x, _ in got]), np.concatenate([x for _, x in got])
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                raw = [(x["text"] or "").encode() for x in row[side]]
+                grams, first, _ = shingle_hashes(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), size)
+                sets.append([np.unique(grams[i:j]) for i, j in zip(first[:-1], first[1:], strict=True)])
+            cells, root = np.unique(np.concatenate(sets[1])), {x["comp"]: x["comp"] for side in ("left", "right") for x in row[side]}
+
+            def find(x: int, root: dict[int, int] = root) -> int:
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            places = [np.searchsorted(cells, x) for x in sets[1]]
+            for k, other in _likely(row, percent / 100):
+                own = sets[0][k]
+                at = np.minimum(np.searchsorted(cells, own), len(cells) - 1)
+                flags = np.zeros(len(cells), np.int64)
+                flags[at[cells[at] == own]] = 1
+                for j in other:
+                    one, two = find(row["left"][k]["comp"]), find(row["right"][j]["comp"])
+                    if one != two:
+                        both = int(flags[places[j]].sum())
+                        if 100 * both >= percent * (len(own) + len(sets[1][j]) - both):
+                            root[max(one, two)] = min(one, two)
+                            a.append(min(row["left"][k]["rep"], row["right"][j]["rep"]))
+                            b.append(max(row["left"][k]["rep"], row["right"][j]["rep"]))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def confirmed(batches: Iterator[pa.RecordBatch], percent: int, size: int) -> Iterator[pa.RecordBatch]:
@@ -155,30 +200,31 @@ def confirmed(batches: Iterator[pa.RecordBatch], percent: int, size: int) -> Ite
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label): the smallest node reachable.  Min-label hooking with pointer jumping; every round is written."""
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(F.col(b), F.col(a)))
-    labels = materialise(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label")), "labels")
+    labels = materialise(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label")), "labels", few=True)
     while True:
         heard = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("label").alias("heard"))
         hooked = labels.join(heard, labels.node == heard.u, "left").select("node", F.col("label").alias("was"), F.least("label", "heard").alias("label"))
         ends = labels.select(F.col("node").alias("end"), F.col("label").alias("further"))
         jumped = hooked.join(ends, hooked.label == ends.end, "left").select("node", "was", F.least("label", "further").alias("label"))
-        labels = materialise(jumped, "labels")
+        labels = materialise(jumped, "labels", few=True)
         moved = labels.filter("label <> was").limit(1).count()
         labels = labels.drop("was")
         if not moved:
             return labels
 
 
-def _confirm(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
-    """Links among candidate pairs (a < b): bit counts first, then the full sets."""
-    left, right = (sigs.select(F.col("rep").alias(k), F.col("sig").alias(f"sig_{k}")) for k in ("a", "b"))
-    likely = materialise(pairs.join(right, "b").join(left, "a").select("a", "b", "sig_a", "sig_b").mapInArrow(lambda it: near(it, percent / 100), "a long, b long"), "likely")
-    return _exact(likely, texts, percent, size)
-
-
-def _exact(likely: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
+def _confirm(likely: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
+    """Links among candidate pairs, by the full sets."""
     own, other = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     rows = likely.join(other, "b").join(own, "a").select("a", "b", "text_a", "text_b")
-    return materialise(rows.mapInArrow(lambda it: confirmed(it, percent, size), "a long, b long").distinct(), "links")
+    return materialise(rows.mapInArrow(lambda it: confirmed(it, percent, size), "a long, b long"), "links")
+
+
+def _starred(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a < b) whose sizes and bit counts allow a link."""
+    left, right = (sigs.select(F.col("rep").alias(k), F.col("sig").alias(f"sig_{k}"), F.col("n_shingles").alias(f"n_{k}")) for k in ("a", "b"))
+    rows = pairs.join(right, "b").join(left, "a").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    return rows.select("a", "b", "sig_a", "sig_b").mapInArrow(lambda it: near(it, percent / 100), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE) -> DataFrame:
@@ -193,48 +239,64 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE)
     marks = materialise(texts.mapInArrow(lambda it: signatures(it, shingle), "doc_id long, n_shingles long, fp binary, sig binary, bands array<long>"), "marks")
     alive = marks.filter(F.col("doc_id").isNotNull() & F.col("fp").isNotNull())
     classes = alive.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    sigs = materialise(alive.join(classes, "fp").filter("doc_id = rep").select("rep", "sig", "bands").dropDuplicates(["rep"]), "classes")
+    sigs = materialise(alive.join(classes, "fp").filter("doc_id = rep").select("rep", "n_shingles", "sig", "bands").dropDuplicates(["rep"]), "classes")
     buckets = sigs.select("rep", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("top")).filter("a < top").select("key", "a")
     members = materialise(buckets.join(shared, "key").select("key", "rep", "a"), "members")
-    pairs = members.filter("a < rep").select("a", F.col("rep").alias("b")).distinct()
-    links = _confirm(pairs, sigs, texts, percent, shingle)
-    labels = connected_components(links)
-    done = [pairs]
+    tried = materialise(_starred(members.filter("a < rep").select("a", F.col("rep").alias("b")).distinct(), sigs, percent), "likely", few=True)
+    nodes = _merged(members.select("rep").distinct().select("rep", F.col("rep").alias("comp")), _confirm(tried, texts, percent, shingle))
     for turn in range(ROUNDS + 1):
-        mixed = members.select("key", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("label", "rep").alias("comp"))
-        split = mixed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).filter("low < high")
-        left = materialise(mixed.join(split, "key").select("key", "rep", "comp", "low", "n"), "left")
-        work = left.select("key", "n").distinct().agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n").cast("double") * F.col("n")), F.lit(0.0))).first()
-        if not work[0]:
+        mixed = members.select("key", "rep").join(nodes, "rep").select("key", "rep", "comp")
+        parts = mixed.groupBy("key", "comp").agg(F.count("*").cast("double").alias("n"))
+        split = parts.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within")).filter("low < high")
+        split = materialise(split.select("key", "low", "n", "within"), "split", few=True)
+        rows, cross = split.agg(F.coalesce(F.sum("n"), F.lit(0.0)), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("within")) / 2), F.lit(0.0))).first()
+        if not rows:
             break
-        if turn == ROUNDS or work[1] <= 64.0 * max(work[0], 100_000):
-            likely = materialise(_blocked(left, sigs, percent).distinct(), "likely")
-            links = materialise(links.union(_exact(likely, texts, percent, shingle)), "links")
-            labels = connected_components(links)
+        left = mixed.join(split, "key")
+        if turn == ROUNDS or cross <= PAIRS * max(rows, 50_000):
+            nodes = _merged(nodes, _pairwise(left.select("key", "rep", "comp"), sigs, texts, percent, shingle))
             break
         # The next centre of a bucket is a member outside its smallest component; it meets every member of another one.
+        left = materialise(left, "left")
         centre = left.filter("comp > low").groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("by"), F.col("rep").alias("c"), F.col("comp").alias("own"))).alias("x")).select("key", "x.c", "x.own")
         pairs = left.join(centre, "key").filter("comp <> own").select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
-        for old in done:
-            pairs = pairs.join(old, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        done.append(pairs)
-        links = materialise(links.union(_confirm(pairs, sigs, texts, percent, shingle)), "links")
-        labels = connected_components(links)
-    found = marks.select("doc_id", "n_shingles", "fp").join(classes, "fp", "left").join(labels, F.col("rep") == F.col("node"), "left")
-    return found.select("doc_id", "n_shingles", F.coalesce("label", "rep", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-
-
-def _blocked(left: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in each bucket whose estimate is near the threshold, by blocks of BLOCK members."""
-    part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK)).cast("int")
-    member = F.struct("rep", "comp", "sig").alias("x")
-    packed = left.join(sigs.select("rep", "sig"), "rep").withColumn("part", part).groupBy("key", "part").agg(F.collect_list(member).alias("own"), F.first(F.ceil(F.col("n") / BLOCK)).cast("int").alias("parts"))
+        likely = materialise(_starred(pairs, sigs, percent).join(tried, ["a", "b"], "left_anti"), "likely", few=True)
+        tried = materialise(tried.union(likely), "tried", few=True)
+        nodes = _merged(nodes, _confirm(likely, texts, percent, shingle))
+    found = marks.select("doc_id", "n_shingles", "fp").join(classes, "fp", "left").join(nodes.withColumnRenamed("rep", "node"), F.col("rep") == F.col("node"), "left")
+    return found.select("doc_id", "n_shingles", F.coalesce("comp", "rep", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _merged(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """nodes (rep, comp) with the components that links join made one, named by the smallest."""
+    a, b = (nodes.select(F.col("rep").alias(k), F.col("comp").alias(f"c_{k}")) for k in ("a", "b"))
+    edges = materialise(links.join(a, "a").join(b, "b").filter("c_a <> c_b").select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b")).distinct(), "edges", few=True)
+    if not edges.limit(1).count():
+        return nodes
+    labels = connected_components(edges)
+    return materialise(nodes.join(labels, F.col("comp") == F.col("node"), "left").select("rep", F.coalesce("label", "comp").alias("comp")), "nodes", few=True)
+
+
+def _blocked(rows: DataFrame, *columns: str) -> DataFrame:
+    """(key, left, right, same): every two blocks of each bucket's members; a block has about BLOCK of them."""
+    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    cut = rows.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    packed = cut.groupBy("key", "part").agg(F.collect_list(F.struct(*columns)).alias("own"), F.first("parts").alias("parts"))
     one = packed.select("key", "part", F.col("own").alias("left"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("with"))
     two = packed.select("key", F.col("part").alias("with"), F.col("own").alias("right"))
-    sides = one.join(two, ["key", "with"]).select("left", "right", (F.col("part") == F.col("with")).alias("same"))
-    return sides.mapInArrow(lambda it: blocks(it, percent / 100), "a long, b long")
+    return one.join(two, ["key", "with"]).select("key", "left", "right", (F.col("part") == F.col("with")).alias("same"))
+
+
+def _pairwise(left: DataFrame, sigs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
+    """Links between different components of each bucket (key, rep, comp).  Signatures tell which members still
+    matter (a row a member, not a pair); only those meet again with their texts, and only links leave the task."""
+    rows = left.join(sigs.select("rep", "n_shingles", "sig"), "rep")
+    columns = ["rep", "comp", "n_shingles", "sig"]
+    matter = _blocked(rows, *columns).mapInArrow(lambda it: flagged(it, percent / 100), "key long, rep long").distinct()
+    matter = materialise(rows.join(matter, ["key", "rep"]), "matter")
+    rows = matter.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    return materialise(_blocked(rows, *columns, "text").mapInArrow(lambda it: linked(it, percent, size), "a long, b long"), "links")
 
 
 def deduplicate(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE) -> DataFrame:
