@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from annolith.llm.common import byte_class, crc_fold, lowered, mix, prefix_sums, span_hash, steps, utf8, word_spans
 
-LABELLED, FEATURES, SPACE = 12_000, 2048, 1 << 20
+LABELLED, FEATURES, SPACE = 12_000, 1024, 1 << 20
 #: Lengths in bytes of the word beginnings that are features beside the whole word.
 PREFIXES = (5, 6, 7, 8, 9)
 THRESHOLD = 0.7
@@ -92,7 +92,7 @@ def _instances(batches: Iterator[pa.RecordBatch], chosen: np.ndarray) -> Iterato
 Model = tuple[np.ndarray, np.ndarray, float]
 
 
-def train(labels: np.ndarray, plain: np.ndarray, doc: np.ndarray, sentence: np.ndarray, feature: np.ndarray, n: int, rounds: int = 400, decay: float = 1e-3) -> tuple[np.ndarray, float]:
+def train(labels: np.ndarray, plain: np.ndarray, doc: np.ndarray, sentence: np.ndarray, feature: np.ndarray, n: int, rounds: int = 400, decay: float = 2e-4) -> tuple[np.ndarray, float]:
     """Weights and bias by full-batch Adam on the noisy-or likelihood.
 
     doc: the document of each sentence with features; sentence and feature: which features it holds.
