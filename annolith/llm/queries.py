@@ -77,5 +77,65 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minhash_neardup": op10_minhash_neardup,
 }
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_TOKENS = f"regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+')"
+
+
+
+def _url_sql() -> str:
+    """SQL of op3_urlfilter: the same tree, level by level."""
+    u = urlfilter
+    rules = sorted(u.RULES, key=lambda r: -len(r[1]))
+    fits = {p: f"(host = '{p.partition('/')[0]}' OR ends_with(host, '.{p.partition('/')[0]}')) AND starts_with(path, '/{p.partition('/')[2]}')" for _, p in rules}
+    case = lambda which: "CASE " + " ".join(f"WHEN {fits[r[1]]} THEN '{r[which]}'" for r in rules) + " END"
+    number = "regexp_replace(x, '^[0-9]+(?:[-_.:][0-9]+)*($|\\.[A-Za-z]{1,5}$)', '*\\1')"
+    shape = f"CASE WHEN regexp_matches({number}, '^[0-9a-fA-F-]{{8,}}(\\.[A-Za-z]{{1,5}})?$') AND regexp_matches({number}, '^[0-9a-fA-F-]*[0-9]') THEN regexp_replace({number}, '^[0-9a-fA-F-]{{8,}}', '*') ELSE {number} END"
+    levels = ""
+    for k in range(u.DEPTH):
+        levels += f""",
+        p{k} AS (SELECT host, template, shape[{k + 1}] AS seg, sum(n) AS n FROM t{k} WHERE len(shape) > {k} GROUP BY 1, 2, 3),
+        w{k} AS (SELECT host, template FROM p{k} GROUP BY 1, 2 HAVING count(*) >= {u.MANY} AND sum(n) < {u.REPEATS} * count(*)),
+        t{k + 1} AS (SELECT t.host, shape, n, labelled, blocked, CASE WHEN len(shape) > {k} THEN list_append(t.template, CASE WHEN w.host IS NOT NULL THEN '*' ELSE shape[{k + 1}] END) ELSE t.template END AS template
+               FROM t{k} t LEFT JOIN w{k} w ON t.host = w.host AND t.template = w.template)"""
+    sums = "sum(n)::DOUBLE AS n, sum(labelled)::DOUBLE AS labelled, sum(blocked)::DOUBLE AS blocked"
+    mean = "p.blocked / nullif(p.labelled, 0)"
+    similar = f"n.labelled = 0 OR abs(n.blocked / nullif(n.labelled, 0) - {mean}) <= {u.SIMILAR} * sqrt(greatest({mean} * (1 - {mean}), 1e-4) / nullif(n.labelled, 0))"
+    return f"""WITH a AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        h AS (SELECT page_id, {_LOWER.replace("coalesce(text, '')", "regexp_extract(rest, '^[^/?#]*', 0)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+        r AS (SELECT *, {case(1)} AS rule, {case(0)} AS by_rule, list_filter(string_split(path, '/'), lambda x: x <> '') AS pieces FROM h),
+        g AS (SELECT *, list_concat(list_transform(pieces[1:{u.DEPTH}], lambda x: {shape}), CASE WHEN len(pieces) > {u.DEPTH} THEN ['**'] ELSE [] END) AS shape FROM r),
+        c AS (SELECT host, shape, count(*) AS n, count(by_rule) AS labelled, count(*) FILTER (WHERE by_rule = 'block') AS blocked FROM g GROUP BY 1, 2),
+        t0 AS (SELECT *, CAST([] AS VARCHAR[]) AS template FROM c){levels},
+        f AS (SELECT host, shape, n, labelled, blocked, CASE WHEN len(shape) > {u.DEPTH} THEN list_append(template, '**') ELSE template END AS template FROM t{u.DEPTH}),
+        nodes AS (SELECT host, template, template[2:] AS below, {sums} FROM f GROUP BY 1, 2, 3),
+        pool AS (SELECT host, below, {sums} FROM nodes GROUP BY 1, 2),
+        k AS (SELECT n.host, n.template, CASE WHEN {similar} THEN p.n ELSE n.n END AS n, CASE WHEN {similar} THEN p.labelled ELSE n.labelled END AS labelled, CASE WHEN {similar} THEN p.blocked ELSE n.blocked END AS blocked
+              FROM nodes n JOIN pool p ON n.host = p.host AND n.below = p.below),
+        v AS (SELECT host, template, (blocked + ({u.WEIGHT} + {u.UNLABELLED} * (n - labelled)) * {u.PRIOR}) / (labelled + {u.WEIGHT} + {u.UNLABELLED} * (n - labelled)) AS pure FROM k)
+        SELECT page_id, g.host, path, rule, CASE WHEN by_rule IS NOT NULL THEN by_rule WHEN pure >= {u.PURE} THEN 'block' ELSE 'allow' END AS verdict,
+               CASE WHEN by_rule IS NULL THEN '/' || array_to_string(f.template, '/') END AS template
+        FROM g JOIN f ON g.host = f.host AND g.shape = f.shape JOIN v ON f.host = v.host AND f.template = v.template"""
+
+
 #: DuckDB SQL for the queries that SQL can express on whole tables.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_urlfilter": _url_sql(),
+    "op7_decontamination": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+        win AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+        sizes AS (SELECT DISTINCT n FROM win),
+        pos AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+        hit AS (SELECT doc_id, i, pos.n, item_id FROM pos JOIN win ON pos.s = win.s AND pos.n = win.n),
+        cov AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM (SELECT DISTINCT doc_id, i, n FROM hit)) GROUP BY 1),
+        its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS l FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY 1)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN cov ON d.doc_id = cov.doc_id LEFT JOIN its ON d.doc_id = its.doc_id""",
+    "op10_minhash_neardup": f"""WITH RECURSIVE d AS (SELECT doc_id, {_TOKENS} AS w FROM documents),
+        sh AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0))),
+        n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        e AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 75 * (x.n + y.n - c)),
+        both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+        r(doc_id, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, t.b FROM r JOIN both_ways t ON r.c = t.a)
+        SELECT r.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(c) AS component_id, r.doc_id = min(c) AS kept FROM r LEFT JOIN n ON r.doc_id = n.doc_id GROUP BY r.doc_id""",
+}
