@@ -201,6 +201,13 @@ def test_line_dedup(small):
     assert out.count() == small.count()
 
 
+def test_lines_repeated_often(spark):
+    base = "\n".join(["Of it."] * 30 + [prose(3, 25)] + ["Of it."] * 30)
+    docs = spark.createDataFrame([(1, base), (2, base), (3, "\n".join(["Of it."] * 40)), (4, prose(3, 25) + "\nOf it.")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in dedup_lines(docs).collect()}
+    assert got == {1: base, 2: "", 3: "\n".join(["Of it."] * 40), 4: ""}
+
+
 def test_line_dedup_of_nothing(nothing):
     assert dedup_lines(nothing).count() == 0
 
