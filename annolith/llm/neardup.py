@@ -238,7 +238,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marks = materialise(texts.mapInArrow(lambda it: signatures(it, shingle), "doc_id long, n_shingles long, fp binary, sig binary, bands array<long>"), "marks")
     alive = marks.filter(F.col("doc_id").isNotNull() & F.col("fp").isNotNull())
-    classes = alive.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    # Written, so that the joins by it can be split where one class holds very many rows.
+    classes = materialise(alive.groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
     sigs = materialise(alive.join(classes, "fp").filter("doc_id = rep").select("rep", "n_shingles", "sig", "bands").dropDuplicates(["rep"]), "classes")
     buckets = sigs.select("rep", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("top")).filter("a < top").select("key", "a")
