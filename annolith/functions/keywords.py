@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annolith.functions.text import UNKNOWN, product_type, space_lower
+from annolith.functions.text import UNKNOWN, once, product_type, space_lower
 
 # Synonyms of each material, in order.
 MATERIALS = {
@@ -56,11 +56,13 @@ def material_pattern(synonyms: list[str]) -> str:
 def detect_materials(text: Column) -> Column:
     """Materials found, in the table's order."""
     padded = F.concat(F.lit(" "), space_lower(text), F.lit(" "))
-    return F.array_compact(F.array(*(F.when(padded.rlike(material_pattern(s)), m) for m, s in MATERIALS.items())))
+    hits = lambda low: F.array_compact(F.array(*(F.when(low.rlike(material_pattern(s)), m) for m, s in MATERIALS.items())))
+    return F.transform(F.array(padded), hits)[0]
 
 
-def has_any(text: Column, hints: list[str]) -> Column:
-    return space_lower(text).rlike("|".join(map(re.escape, hints)))
+def has_any(low: Column, hints: list[str]) -> Column:
+    """low: a text normalised by space_lower, once for all rules."""
+    return low.rlike("|".join(map(re.escape, hints)))
 
 
 def _blob(*texts: Column) -> Column:
@@ -79,40 +81,46 @@ def _of(table: dict[str, str], material: Column) -> Column:
     return F.coalesce(F.create_map(*(F.lit(x) for pair in table.items() for x in pair))[material], F.lit(UNKNOWN))
 
 
-def infer_rigidity(material: Column, text: Column) -> Column:
-    return F.when(material == "plastic", F.when(has_any(text, SOFT), "flexible").otherwise("rigid")).otherwise(_of(RIGIDITY_OF, material))
+def infer_rigidity(material: Column, low: Column) -> Column:
+    return F.when(material == "plastic", F.when(has_any(low, SOFT), "flexible").otherwise("rigid")).otherwise(_of(RIGIDITY_OF, material))
 
 
-def infer_transparency(material: Column, text: Column, color: Column) -> Column:
-    hay = F.concat(text, F.lit(" "), F.coalesce(color, F.lit("")))
-    return F.when(has_any(hay, TRANSLUCENT), "translucent").when(has_any(hay, TRANSPARENT), "transparent").when(has_any(hay, OPAQUE), "opaque").otherwise(_of(TRANSPARENCY_OF, material))
+def infer_transparency(material: Column, low: Column) -> Column:
+    """low: the context and the colour."""
+    return F.when(has_any(low, TRANSLUCENT), "translucent").when(has_any(low, TRANSPARENT), "transparent").when(has_any(low, OPAQUE), "opaque").otherwise(_of(TRANSPARENCY_OF, material))
 
 
-def infer_surface(material: Column, text: Column, kind: Column) -> Column:
-    hay = F.concat(text, F.lit(" "), kind)
+def infer_surface(material: Column, low: Column, kind: Column) -> Column:
+    """low: the context and the product type."""
     soft = (material == "fabric") & kind.rlike("|".join(FUZZY_TYPES))
-    return F.when(has_any(hay, FUZZY), "fuzzy").when(has_any(hay, POROUS), "porous").when(has_any(hay, ROUGH), "rough").when(has_any(hay, SMOOTH), "smooth").when(soft, "fuzzy").otherwise(_of(SURFACE_OF, material))
+    return F.when(has_any(low, FUZZY), "fuzzy").when(has_any(low, POROUS), "porous").when(has_any(low, ROUGH), "rough").when(has_any(low, SMOOTH), "smooth").when(soft, "fuzzy").otherwise(_of(SURFACE_OF, material))
 
 
-def infer_fragility(material: Column, text: Column) -> Column:
-    return F.when(has_any(text, FRAGILE), "fragile").when(has_any(text, DURABLE), "durable").otherwise(_of(FRAGILITY_OF, material))
+def infer_fragility(material: Column, low: Column) -> Column:
+    return F.when(has_any(low, FRAGILE), "fragile").when(has_any(low, DURABLE), "durable").otherwise(_of(FRAGILITY_OF, material))
 
 
-def infer_properties(fields: dict[str, Column]) -> dict[str, Column]:
-    """The five properties and material_source from texts: product_type, item_name, bullet_point,
-    product_description, color, material, fabric_type, finish_type (absent: NULL)."""
+TEXTS = ["product_type", "item_name", "bullet_point", "product_description", "color", "material", "fabric_type", "finish_type"]
+
+
+def with_properties(df: DataFrame, fields: dict[str, Column]) -> DataFrame:
+    """df with product_kind, the five properties and material_source from text Columns by name (TEXTS; absent: NULL).
+
+    One projection a step, so that each text is read and normalised once.
+    """
     get = lambda name: fields.get(name, F.lit(None).cast("string"))
-    kind = product_type(get("product_type"))
-    context = _blob(get("item_name"), get("bullet_point"), get("product_description"), get("color"), kind)
-    material, source = infer_material(get("material"), get("fabric_type"), get("finish_type"), get("item_name"), get("product_type"))
-    return {
-        "material": material,
-        "rigidity": infer_rigidity(material, context),
-        "transparency": infer_transparency(material, context, get("color")),
-        "surface": infer_surface(material, context, kind),
-        "fragility": infer_fragility(material, context),
-        "material_source": source,
-    }
+    out = df.withColumns({f"_{c}": once(get(c)) for c in TEXTS})
+    out = out.withColumn("product_kind", once(product_type(F.col("_product_type"))))
+    context = _blob(*(F.col(f"_{c}") for c in ("item_name", "bullet_point", "product_description", "color")), F.col("product_kind"))
+    blob = _blob(*(F.col(f"_{c}") for c in ("material", "fabric_type", "finish_type", "item_name", "product_type")))
+    out = out.withColumns({"_low": once(space_lower(context)), "_direct": once(detect_materials(F.coalesce("_material", F.lit("")))), "_every": once(detect_materials(blob))})
+    one, many = lambda c: F.get(F.col(c), F.lit(0)), lambda c: F.size(c) > 1
+    value = F.when(F.size("_direct") == 1, one("_direct")).when(many("_direct"), "mixed").when(F.size("_every") == 1, one("_every")).when(many("_every"), "mixed").otherwise(UNKNOWN)
+    source = F.when(F.size("_direct") == 1, "material_field").when(many("_direct"), "material_field_multi").when(F.size("_every") == 1, "metadata_text").when(many("_every"), "metadata_text_multi").otherwise("none")
+    out = out.withColumns({"material": once(value), "material_source": source})
+    m, low = F.col("material"), F.col("_low")
+    out = out.withColumns({"rigidity": once(infer_rigidity(m, low)), "transparency": once(infer_transparency(m, low)), "surface": once(infer_surface(m, low, F.col("product_kind"))), "fragility": once(infer_fragility(m, low))})
+    return out.drop(*(f"_{c}" for c in TEXTS), "_low", "_direct", "_every")
 
 
 def known_count(values: list[Column]) -> Column:

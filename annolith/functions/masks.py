@@ -258,3 +258,81 @@ def box_text(box: Column) -> Column:
 
 def score_text(value: Column) -> Column:
     return F.bround(value, 6)
+
+
+IMAGE_VARIANTS = ("raw", "mask_overlay", "masked")
+
+
+def variant_image(image: Array, mask: Array | None, variant: str) -> Array:
+    """An image as a model sees it: as it is, with its mask tinted, or with the background black."""
+    if variant not in IMAGE_VARIANTS:
+        raise ValueError(f"unknown variant {variant!r}")
+    if variant == "raw":
+        return image
+    if mask is None:
+        raise ValueError(f"{variant} needs a mask")
+    return overlay(image, mask) if variant == "mask_overlay" else apply_mask(image, mask)
+
+
+def mask_as_rgb(mask: Array) -> Array:
+    return np.repeat((mask[..., None] * np.uint8(255)), 3, axis=2)
+
+
+def nearest(array: Array, height: int, width: int) -> Array:
+    """Resized by the nearest pixel."""
+    ys = (np.arange(height) * array.shape[0] // height).clip(0, array.shape[0] - 1)
+    xs = (np.arange(width) * array.shape[1] // width).clip(0, array.shape[1] - 1)
+    return array[ys][:, xs]
+
+
+def fit_canvas(image: Array, height: int, width: int, background: int = 0) -> Array:
+    """Shrunk to fit (never enlarged) and centred on a canvas."""
+    scale = min(1.0, height / image.shape[0], width / image.shape[1])
+    small = nearest(image, max(1, int(image.shape[0] * scale)), max(1, int(image.shape[1] * scale)))
+    canvas = np.full((height, width, 3), background, np.uint8)
+    y, x = (height - small.shape[0]) // 2, (width - small.shape[1]) // 2
+    canvas[y : y + small.shape[0], x : x + small.shape[1]] = small
+    return canvas
+
+
+def squeeze_candidates(masks_: Array) -> Array:
+    """Candidate masks as n x height x width, whatever leading axes of one they came with."""
+    out = np.asarray(masks_)
+    while out.ndim > 3:
+        out = out[0]
+    return (out if out.ndim == 3 else out[None]) > 0
+
+
+def variant_column(variant: str) -> Callable[..., Column]:
+    """A column function of (image bytes, mask bytes or NULL, width, height) to image bytes."""
+
+    @F.pandas_udf("binary")
+    def run(image: pd.Series, mask: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
+        rows = []
+        for data, cut, w, h in zip(image, mask, width, height, strict=True):
+            pixels = np.frombuffer(data, np.uint8, count=w * h * 3).reshape(h, w, 3)
+            rows.append(variant_image(pixels, None if cut is None else mask_of(cut, w, h), variant).tobytes())
+        return pd.Series(rows)
+
+    return run
+
+
+def foreground_masks(column_image: Column, width: Column, height: Column, backend: Callable[[Array], Array] | None = None) -> Column:
+    """(mask, backend, area_ratio) of each image; a backend that fails or finds nothing falls back to the simple mask."""
+
+    @F.pandas_udf("mask binary, backend string, area_ratio double")
+    def run(image: pd.Series, w: pd.Series, h: pd.Series) -> pd.DataFrame:
+        rows = []
+        for data, wide, high in zip(image, w, h, strict=True):
+            pixels, found, name = np.frombuffer(data, np.uint8, count=wide * high * 3).reshape(high, wide, 3), None, "backend"
+            if backend is not None:
+                try:
+                    found = np.asarray(backend(pixels), bool)
+                except Exception:  # noqa: BLE001 - the simple mask is the fallback
+                    found = None
+            if found is None or not found.any():
+                found, name = simple_mask(pixels), "simple"
+            rows.append((found.astype(np.uint8).tobytes(), name, float(found.mean())))
+        return pd.DataFrame(rows, columns=["mask", "backend", "area_ratio"])
+
+    return run(column_image, width, height)

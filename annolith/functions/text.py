@@ -14,6 +14,12 @@ NULL_TOKENS = ["", "none", "null", "nan"]
 TRUE_TOKENS, FALSE_TOKENS = ["true", "1", "yes", "y"], ["false", "0", "no", "n"]
 
 
+def once(value: Column) -> Column:
+    """The same value, nondeterministic to the optimiser: it is computed in its own projection and not copied into every
+    filter and expression above, which for rules upon rules upon texts would grow beyond bounds."""
+    return F.when(F.rand(0) >= 0.0, value)
+
+
 def strip(value: Column) -> Column:
     """Trim all Unicode white space."""
     return F.regexp_replace(value, r"(?U)^\s+|\s+$", "")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from annolith.functions.keywords import infer_properties, known_count
-from annolith.functions.text import UNKNOWN, column_prefix, is_known, primary_object, product_type, safe_strip, values_equal
+from annolith.functions.keywords import known_count, with_properties
+from annolith.functions.text import UNKNOWN, column_prefix, is_known, once, primary_object, safe_strip, values_equal
 from annolith.operators.metrics import funnel
 
 FIVE = ["material", "rigidity", "transparency", "surface", "fragility"]
@@ -36,21 +36,22 @@ def candidates(listings: DataFrame, index: DataFrame, texts: dict[str, Column],
     if local is not None:
         rows = rows.join(local.select(F.col("path").alias("image_rel"), F.lit(True).alias("_here")).distinct(), "image_rel", "left")
         present = F.coalesce("_here", F.lit(False))
-    kind = product_type(texts.get("product_type", F.lit(None).cast("string")))
-    inferred = infer_properties(texts)
-    rows = rows.withColumns({**inferred, "_kind": kind, "_present": present, "title": texts.get("item_name", F.lit(None).cast("string"))})
+    own = [c for c in rows.columns if c in (*FIVE, "product_kind", "material_source")]
+    rows = rows.withColumns({f"_text_{k}": once(c) for k, c in texts.items()}).withColumn("_present", present).drop(*own)
+    rows = with_properties(rows, {k: F.col(f"_text_{k}") for k in texts})
+    rows = rows.withColumn("title", F.col("_text_item_name") if "item_name" in texts else F.lit(None).cast("string"))
     rows = rows.withColumn("known_count", known_count([F.col(c) for c in FIVE]))
     stages = [
         ("records_with_ids", F.col("item_id").isNotNull() & F.col("main_image_id").isNotNull()),
         ("records_with_image_rel", F.coalesce(F.col("image_rel"), F.lit("")) != ""),
         ("records_with_local_image", F.col("_present")),
         ("records_with_min_known", F.col("known_count") >= min_known),
-        ("candidates", ~F.col("_kind").isin(excluded or [""])),
+        ("candidates", ~F.col("product_kind").isin(excluded or [""])),
     ]
     passed = F.lit(True)
     for _, condition in stages:
         passed = passed & condition
-    out = rows.filter(passed).select("item_id", "main_image_id", "image_rel", F.col("_kind").alias("product_type"), primary_object(F.col("_kind")).alias("primary_object"), *FIVE, "known_count", "title")
+    out = rows.filter(passed).select("item_id", "main_image_id", "image_rel", F.col("product_kind").alias("product_type"), primary_object(F.col("product_kind")).alias("primary_object"), *FIVE, "known_count", "title")
     counters = funnel(rows, stages).withColumn("records_excluded_by_product_type", F.col("records_with_min_known") - F.col("candidates"))
     return out, counters
 

@@ -229,7 +229,7 @@ def keyword_material(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "part").select("p_partkey", _part_text().alias("txt"))
     none = F.lit(None).cast("string")
     value, source = keywords.infer_material(none, none, none, F.col("txt"), none)
-    return rows.select("p_partkey", F.array_join(keywords.detect_materials(F.col("txt")), ",").alias("hits"), value.alias("material"), source.alias("source"), keywords.has_any(F.col("txt"), keywords.POROUS).alias("porous"))
+    return rows.select("p_partkey", F.array_join(keywords.detect_materials(F.col("txt")), ",").alias("hits"), value.alias("material"), source.alias("source"), keywords.has_any(text.space_lower(F.col("txt")), keywords.POROUS).alias("porous"))
 
 
 def _any(column: str, hints: list[str]) -> str:
@@ -243,9 +243,9 @@ def _any(column: str, hints: list[str]) -> str:
     CASE WHEN {_any("txt", keywords.FRAGILE)} THEN 'fragile' WHEN {_any("txt", keywords.DURABLE)} THEN 'durable' ELSE {_cases("m", keywords.FRAGILITY_OF, "unknown")} END AS fragility FROM t""")
 def keyword_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     material = F.array(*map(F.lit, ("glass", "plastic", "fabric", "mixed", "paper")))[(F.col("p_size") % 5).cast("int")]
-    rows = _read(spark, sf_dir, "part").select("p_partkey", F.concat(_part_text(), F.lit(" | "), F.col("p_type")).alias("txt"), material.alias("m"), F.lit("").alias("kind"))
+    rows = _read(spark, sf_dir, "part").select("p_partkey", text.space_lower(F.concat(_part_text(), F.lit(" | "), F.col("p_type"))).alias("txt"), material.alias("m"), F.lit("").alias("kind"))
     m, txt = F.col("m"), F.col("txt")
-    return rows.select("p_partkey", keywords.infer_rigidity(m, txt).alias("rigidity"), keywords.infer_transparency(m, txt, F.lit(None).cast("string")).alias("transparency"), keywords.infer_surface(m, txt, F.col("kind")).alias("surface"), keywords.infer_fragility(m, txt).alias("fragility"))
+    return rows.select("p_partkey", keywords.infer_rigidity(m, txt).alias("rigidity"), keywords.infer_transparency(m, txt).alias("transparency"), keywords.infer_surface(m, txt, F.col("kind")).alias("surface"), keywords.infer_fragility(m, txt).alias("fragility"))
 
 
 # ------------------------------------------------------------------ parsing, prompts, inference

@@ -88,7 +88,7 @@ def test_fragility_of_records(spark):
 def test_keywords(spark):
     none = F.lit(None).cast("string")
     rows = spark.createDataFrame([("steel and glass", "FURNITURE"), ("", "FURNITURE"), ("дерево металл", "RUG")], "m string, k string")
-    got = rows.select(*(c.alias(k) for k, c in keywords.infer_properties({"material": F.col("m"), "product_type": F.col("k"), "item_name": none}).items())).collect()
+    got = keywords.with_properties(rows, {"material": F.col("m"), "product_type": F.col("k"), "item_name": none}).collect()
     assert (got[0].material, got[0].material_source) == ("mixed", "material_field_multi")
     assert got[1].surface == "fuzzy" and got[1].material == "unknown"
     assert (got[2].material, got[2].material_source) == ("metal", "material_field")
