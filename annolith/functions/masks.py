@@ -41,21 +41,24 @@ def binary_iou(a: Array, b: Array) -> float:
 
 
 def mask_box(mask: Array, share: float = 0.08) -> list[int] | None:
-    """x1, y1, x2, y2 around the mask, padded by a share of its size (2 pixels at least), inside the image."""
+    """x1, y1, x2, y2 around the mask (ends exclusive), padded by a share of its size (2 pixels at least), inside the image."""
     ys, xs = np.nonzero(mask)
     if not len(ys):
         return None
-    x1, x2, y1, y2 = xs.min(), xs.max(), ys.min(), ys.max()
-    px, py = max(2, round((x2 - x1 + 1) * share)), max(2, round((y2 - y1 + 1) * share))
-    height, width = mask.shape
-    return [int(max(0, x1 - px)), int(max(0, y1 - py)), int(min(width - 1, x2 + px)), int(min(height - 1, y2 + py))]
+    box = []
+    for places, limit in ((xs, mask.shape[1]), (ys, mask.shape[0])):
+        low, high = int(places.min()), int(places.max()) + 1
+        pad = max(2, round((high - low) * share))
+        box.append((max(0, low - pad), min(limit, high + pad)))
+    return [box[0][0], box[1][0], box[0][1], box[1][1]]
 
 
-def _shifted(mask: Array, radius: int, outside: bool, combine: Callable) -> Array:
-    """Square window of 2 * radius + 1 pixels, one axis after the other."""
+def _shifted(mask: Array, radius: int, outside: bool | None, combine: Callable) -> Array:
+    """Square window of 2 * radius + 1 pixels, one axis after the other; outside: what lies beyond the image (None: its edge)."""
     out = mask
     for axis in (0, 1):
-        padded = np.pad(out, [(radius, radius) if k == axis else (0, 0) for k in (0, 1)], constant_values=outside)
+        around = [(radius, radius) if k == axis else (0, 0) for k in (0, 1)]
+        padded = np.pad(out, around, mode="edge") if outside is None else np.pad(out, around, constant_values=outside)
         n = mask.shape[axis]
         parts = [np.take(padded, range(k, k + n), axis) for k in range(2 * radius + 1)]
         out = combine.reduce(parts)
@@ -131,51 +134,56 @@ def overlay(image: Array, mask: Array, alpha: float = 0.22, tint: tuple[int, int
 
 
 def border_mask(height: int, width: int, share: float = 0.08) -> Array:
-    edge = max(1, int(round(min(height, width) * share)))
+    edge = max(1, int(min(height, width) * share))
     out = np.ones((height, width), bool)
     out[edge : height - edge, edge : width - edge] = False
     return out
 
 
+def _colour_codes(pixels: Array, step: int) -> Array:
+    bins = -(-256 // step)
+    q = np.minimum(pixels.astype(np.int64) // step, bins - 1)
+    return (q[..., 0] * bins + q[..., 1]) * bins + q[..., 2]
+
+
 def colour_distribution(pixels: Array, step: int = 32) -> tuple[float, float]:
-    """(share of the largest quantised colour, entropy over its maximum)."""
+    """(share of the largest quantised colour, entropy over that of equal shares of the colours there)."""
     if not len(pixels):
         return 1.0, 0.0
-    q = pixels.astype(np.int64) // step
-    bins = 256 // step + (256 % step > 0)
-    counts = np.bincount((q[:, 0] * bins + q[:, 1]) * bins + q[:, 2])
+    counts = np.bincount(_colour_codes(pixels, step))
     share = counts[counts > 0] / len(pixels)
-    entropy = float(-(share * np.log(share)).sum())
-    return float(share.max()), entropy / float(np.log(bins**3))
+    return float(share.max()), float(-(share * np.log(share)).sum() / np.log(len(share))) if len(share) > 1 else 0.0
 
 
-def background_region(image: Array, tolerance: int = 24) -> Array:
-    """Pixels that the border reaches through colours near the border's median, four-connected."""
+def background_region(image: Array, tolerance: int = 28, step: int = 32) -> Array:
+    """Pixels that the border reaches, four-connected, through colours near the median of its commonest quantised colour;
+    if no border pixel is near, through that quantised colour itself."""
     edge = border_mask(*image.shape[:2])
-    seed = np.median(image[edge], axis=0)
-    near = np.abs(image.astype(np.int16) - seed).max(-1) <= tolerance
+    codes = _colour_codes(image, step)
+    common = int(np.bincount(codes[edge]).argmax())
+    middle = np.median(image[edge & (codes == common)], axis=0).astype(np.int16)
+    near = np.abs(image.astype(np.int16) - middle).max(-1) <= tolerance
+    if not (edge & near).any():
+        near = codes == common
     labels, _ = components(near)
     return (labels > 0) & np.isin(labels, np.unique(labels[edge & near]))
 
 
 def _tone(pixels: Array, white: int, dark: int, neutral: int) -> dict[str, float]:
-    if not len(pixels):
-        return {"white_ratio": 0.0, "dark_ratio": 0.0, "std": 0.0, "saturation": 0.0, "neutral_ratio": 0.0}
     p = pixels.astype(np.float32)
     top, low = p.max(1), p.min(1)
     gray = 0.299 * p[:, 0] + 0.587 * p[:, 1] + 0.114 * p[:, 2]
     return {"white_ratio": float((low >= white).mean()), "dark_ratio": float((top <= dark).mean()), "std": float(gray.std() / 255), "saturation": float(np.where(top > 0, (top - low) / np.maximum(top, 1), 0).mean()), "neutral_ratio": float((top - low <= neutral).mean())}
 
 
-def context_metrics(image: Array, white: int = 240, dark: int = 20, neutral: int = 18, step: int = 32) -> dict[str, float]:
-    """The 16 measures of border and background, and context_score."""
-    edge, region = image[border_mask(*image.shape[:2])], background_region(image)
-    behind, out = image[region], {}
-    tone = _tone(edge, white, dark, neutral)
-    dominant, entropy = colour_distribution(edge, step)
-    out.update({f"border_{k}": v for k, v in tone.items()}, border_dominant_bin_ratio=dominant, border_color_entropy=entropy, global_white_ratio=_tone(image.reshape(-1, 3), white, dark, neutral)["white_ratio"])
-    dominant, entropy = colour_distribution(behind, step)
-    out.update({f"background_{k}": v for k, v in _tone(behind, white, dark, neutral).items()}, background_dominant_bin_ratio=dominant, background_color_entropy=entropy, background_area_ratio=float(region.mean()))
+def context_metrics(image: Array, white: int = 245, dark: int = 16, neutral: int = 12, step: int = 32, tolerance: int = 28) -> dict[str, float]:
+    """The 16 measures of border and background, and context_score; without a background the border stands for it."""
+    edge, region = image[border_mask(*image.shape[:2])], background_region(image, tolerance, step)
+    behind = image[region] if region.any() else edge
+    out = {"global_white_ratio": float((image.min(-1) >= white).mean()), "background_area_ratio": float(region.mean())}
+    for name, pixels in (("border", edge), ("background", behind)):
+        dominant, entropy = colour_distribution(pixels, step)
+        out.update({f"{name}_{k}": v for k, v in _tone(pixels, white, dark, neutral).items()}, **{f"{name}_dominant_bin_ratio": dominant, f"{name}_color_entropy": entropy})
     b = {k.removeprefix("background_"): v for k, v in out.items() if k.startswith("background_")}
     score = 0.25 * (1 - b["dominant_bin_ratio"]) + 0.20 * b["color_entropy"] + 0.15 * b["std"] + 0.10 * b["saturation"] + 0.10 * (1 - b["white_ratio"]) + 0.10 * (1 - b["dark_ratio"]) + 0.10 * (1 - out["border_dominant_bin_ratio"])
     return {**out, "context_score": float(np.clip(score, 0, 1))}
@@ -202,25 +210,23 @@ def context_kept(c: dict[str, Column], score: float, border_white: float, border
 
 
 def simple_mask(image: Array, threshold: int = 245, again: int = 235, least: float = 0.005) -> Array:
-    """Pixels that are not near white, opened and closed; a lower threshold if hardly any."""
-    for limit in (threshold, again):
-        mask = image.min(-1) < limit
-        mask = erode(dilate(mask, 2), 2)
-        if mask.mean() >= least:
-            break
-    return mask
+    """Pixels that are not near white (by a lower threshold if those are hardly any), closed with a 5 x 5 window."""
+    mask = image.min(-1) < threshold
+    if mask.mean() < least:
+        mask = image.min(-1) < again
+    return _shifted(_shifted(mask, 2, None, np.logical_or), 2, None, np.logical_and)
 
 
 def centroid(mask: Array) -> tuple[float, float]:
     ys, xs = np.nonzero(mask)
-    return (float(ys.mean()), float(xs.mean())) if len(ys) else ((mask.shape[0] - 1) / 2, (mask.shape[1] - 1) / 2)
+    return (float(ys.mean()), float(xs.mean())) if len(ys) else (mask.shape[0] / 2, mask.shape[1] / 2)
 
 
 def border_touch(mask: Array, width: int = 4) -> float:
-    """Share of a frame's pixels that the mask covers."""
+    """Share of the mask's pixels that lie on the image's frame."""
     frame = np.ones(mask.shape, bool)
     frame[width:-width, width:-width] = False
-    return float(mask[frame].mean()) if frame.any() else 0.0
+    return float((mask & frame).sum() / mask.sum()) if mask.any() else 0.0
 
 
 def center_score(mask: Array) -> float:

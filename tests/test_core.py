@@ -256,7 +256,7 @@ def test_masks(spark):
     hole[15:20, 15:20] = False
     hole[0, 0] = True
     assert (masks.clean_mask(hole, least=50) == a).all()
-    assert masks.mask_box(a) == [8, 8, 41, 31] and masks.mask_box(b) is None
+    assert masks.mask_box(a) == [8, 8, 42, 32] and masks.mask_box(b) is None
     assert masks.components(hole)[1] == 2 and masks.boundary(a).sum() == 2 * 30 + 2 * 18
     assert masks.border_touch(a) == 0.0 and 0 < masks.center_score(a) <= 1
     image = np.full((40, 60, 3), 255, np.uint8)
