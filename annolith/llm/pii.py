@@ -37,19 +37,46 @@ ROUNDS, SUPPORT, CERTAIN, LEAST = 3, 3, 0.8, 6
 SHAPES = {"email": "@", "ip": r"[0-9][.:][0-9]+[.:][0-9]", "card": r"(?:[0-9][^0-9]?){12}", "phone": r"(?:[0-9][^0-9]?){7}"}
 
 
+#: Matches of one block of the prefix sums that place them.
+STRIDE = 256
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def matches(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches: array of start, end (code points), value, left and right (the text between matches)."""
-    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    both = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, f: F.struct(p.alias("p"), f.alias("f")))
-    kind = "struct<at: int, out: array<struct<start: int, end: int, value: string, left: string>>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, end: int, value: string, left: string>>").alias("out")).cast(kind)
+    """Leftmost non-overlapping matches: array of start, end (code points), value, left and right (up to 96 characters around).
+
+    Positions are sums of lengths, by blocks of STRIDE matches: a text of n matches takes n * STRIDE steps at most.
+    """
+
+    def total(part: Column) -> Column:
+        return F.aggregate(part, F.lit(0), lambda acc, x: acc + x.gap + x.size)
+
+    def placed(cells: Column) -> Column:
+        def blocks(sums: Column) -> Column:
+            def at(x: Column, i: Column) -> Column:
+                block = F.floor(i / STRIDE).cast("int")
+                begin = F.get(sums, block) + total(F.slice(cells, block * STRIDE + 1, i % STRIDE)) + x.gap
+                return F.struct(begin.alias("start"), (begin + x.size).alias("end"), x.value.alias("value"), x.left.alias("left"), x.right.alias("right"))
+
+            return F.transform(cells, at)
+
+        last = F.floor((F.size(cells) - 1) / STRIDE).cast("int")
+        own = F.transform(F.sequence(F.lit(0), last), lambda b: total(F.slice(cells, b * STRIDE + 1, F.lit(STRIDE))))
+        before = lambda sums: F.transform(sums, lambda _, b: F.aggregate(F.slice(sums, F.lit(1), b), F.lit(0), lambda acc, x: acc + x))
+        return let(let(own, before), blocks)
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc.at + F.length(x.p)
-        end = begin + F.length(x.f)
-        return F.struct(end.alias("at"), F.concat(acc.out, F.array(F.struct(begin.alias("start"), end.alias("end"), x.f.alias("value"), x.p.alias("left")))).alias("out")).cast(kind)
+    def cells(both: Column) -> Column:
+        n = F.size(both.found)
+        lefts = F.zip_with(F.slice(both.pieces, F.lit(1), n), both.found, lambda p, f: F.struct(F.length(p).alias("gap"), F.length(f).alias("size"), f.alias("value"), F.right(p, F.lit(96)).alias("left")))
+        return F.zip_with(lefts, F.slice(both.pieces, F.lit(2), n), lambda x, p: F.struct(x.gap.alias("gap"), x.size.alias("size"), x.value.alias("value"), x.left.alias("left"), F.left(p, F.lit(96)).alias("right")))
 
-    return F.aggregate(both, start, step, lambda acc: acc.out)
+    none = F.array().cast("array<struct<start: int, end: int, value: string, left: string, right: string>>")
+    found = F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+    return let(found, lambda both: F.when(F.size(both.found) > 0, let(cells(both), placed)).otherwise(none))
 
 
 def _luhn(digits: Column) -> Column:
@@ -101,21 +128,22 @@ def _named(spans: Column, kind: str) -> Column:
 
 def _instances(rows: DataFrame) -> DataFrame:
     """(key, start, end, value, kind or null, pattern): the tokens of rows (key, text, base) and each one's contexts."""
-    tokens = rows.filter(F.col("text").rlike("[0-9@]")).select("key", "base", F.col("text"), matches(F.col("text"), TOKEN).alias("tokens"))
-    own = tokens.select("key", "base", "text", F.explode("tokens").alias("x")).filter(F.length("x.value") >= LEAST)
-    plain = lambda c: F.lower(F.regexp_replace(c, "[0-9]+", "9"))
-    before = F.split(F.trim(F.regexp_replace(plain(F.right(F.col("x.left"), F.lit(96))), r"\s+", " ")), " ")
-    after = F.substring(F.col("text"), F.col("x.end") + 1, F.lit(48))
-    after = F.split(F.trim(F.regexp_replace(plain(after), r"\s+", " ")), " ")[0]
-    kind = F.filter("base", lambda b: (b.start < F.col("x.end")) & (b.end > F.col("x.start")))
-    own = own.select("key", F.col("x.start").alias("start"), F.col("x.end").alias("end"), F.col("x.value").alias("value"), before.alias("before"), after.alias("after"), F.get(kind, F.lit(0)).kind.alias("kind"))
+    rows = rows.filter(F.col("text").rlike("[0-9@]"))
+    own = rows.select("key", F.explode_outer(matches(F.col("text"), TOKEN)).alias("x")).filter(F.length("x.value") >= LEAST)
+    words = lambda c: F.split(F.trim(F.regexp_replace(F.lower(F.regexp_replace(c, "[0-9]+", "9")), r"\s+", " ")), " ")
+    own = own.select("key", F.col("x.start").alias("start"), F.col("x.end").alias("end"), F.col("x.value").alias("value"), words(F.col("x.left")).alias("before"), words(F.col("x.right"))[0].alias("after"))
     last = lambda n: F.array_join(F.slice("before", -n, n), " ")
     contexts = F.array(
         F.when(F.size("before") >= 2, F.concat(F.lit("2:"), last(2))),
         F.when(F.size("before") >= 3, F.concat(F.lit("3:"), last(3))),
         F.concat(F.lit("r:"), last(1), F.lit("|"), F.col("after")),
     )
-    return own.select("key", "start", "end", "value", "kind", F.explode(F.filter(contexts, lambda c: c.rlike(r"\p{L}{3}"))).alias("pattern"))
+    own = own.select("key", "start", "end", "value", F.filter(contexts, lambda c: c.rlike(r"\p{L}{3}")).alias("patterns"))
+    # Which tokens touch a base span: both meet in the stretches of 64 characters that they cover.
+    cover = lambda a, b: F.explode(F.sequence(F.floor(a / 64), F.floor((b - 1) / 64))).alias("stretch")
+    spans = rows.select("key", F.explode_outer("base").alias("b")).filter("b is not null").select("key", "b.kind", F.col("b.start").alias("s"), F.col("b.end").alias("e")).select("*", cover(F.col("s"), F.col("e")))
+    touched = own.select("key", "start", "end", cover(F.col("start"), F.col("end"))).join(spans, ["key", "stretch"]).filter("s < end and e > start").groupBy("key", "start").agg(F.min("kind").alias("kind"))
+    return own.join(touched, ["key", "start"], "left").select("key", "start", "end", "value", "kind", F.explode("patterns").alias("pattern"))
 
 
 def discovered(rows: DataFrame) -> DataFrame:
