@@ -106,11 +106,12 @@ def pick_value(value: Column) -> Column:
     def of(path: str) -> Column:
         return safe_strip(F.try_variant_get(value, path, "string"))
 
-    one = F.coalesce(of("$.standardized_values[0]"), of("$.value"))
+    listed = F.coalesce(F.size(F.try_variant_get(value, "$.standardized_values", "array<variant>")) > 0, F.lit(False))
+    one = F.when(listed, of("$.standardized_values[0]")).otherwise(of("$.value"))
     items = F.try_variant_get(value, "$", "array<variant>")
     std = F.filter(F.transform(items, lambda x: F.try_variant_get(x, "$.standardized_values[0]", "string")), lambda x: safe_strip(x).isNotNull())
     val = F.filter(F.transform(items, lambda x: F.coalesce(F.try_variant_get(x, "$.value", "string"), F.when(~F.schema_of_variant(x).startswith("OBJECT"), F.try_variant_get(x, "$", "string")))), lambda x: safe_strip(x).isNotNull())
-    scalar = F.when(F.schema_of_variant(value).isin("STRING", "BIGINT", "DOUBLE", "BOOLEAN") | F.schema_of_variant(value).startswith("DECIMAL"), of("$"))
+    scalar = F.when(F.schema_of_variant(value) == "STRING", of("$"))
     return F.coalesce(scalar, one, safe_strip(F.get(std, F.lit(0))), safe_strip(F.get(val, F.lit(0))))
 
 
@@ -169,7 +170,12 @@ def meta_key(value: Column) -> Column:
 
 
 def slugify(value: Column) -> Column:
-    return F.regexp_replace(strip(F.regexp_replace(F.lower(value), r"[^a-z0-9]+", "_")), r"^_+|_+$", "")
+    return F.replace(F.lower(strip(value)), F.lit(" "), F.lit("_"))
+
+
+def model_name(detector: Column, kind: Column) -> Column:
+    """The detector's last path part and the mask model's kind."""
+    return F.concat(F.replace(F.element_at(F.split(detector, "/"), -1), F.lit(" "), F.lit("_")), F.lit("+sam_"), kind)
 
 
 def metric_key(value: Column) -> Column:
@@ -196,9 +202,10 @@ def file_name(path: Column) -> Column:
     return F.element_at(F.split(F.translate(path, "\\", "/"), "/"), -1)
 
 
-def panel_path(root: str, path: Column) -> Column:
-    """A panel's path rebuilt under another root from its file name."""
-    return F.concat(F.lit(root.rstrip("/") + "/"), file_name(path))
+def panel_path(root: str, path: Column, image_id: Column) -> Column:
+    """A panel's path under another root: by its file name, else by the id; NULL if there is neither."""
+    name = F.coalesce(F.nullif(file_name(strip(path)), F.lit("")), F.concat(F.nullif(strip(image_id), F.lit("")), F.lit(".png")))
+    return F.concat(F.lit(root.rstrip("/") + "/"), name)
 
 
 def fix_path_columns(df):  # noqa: ANN001, ANN201
@@ -208,14 +215,38 @@ def fix_path_columns(df):  # noqa: ANN001, ANN201
 
 
 # Names by which mask and preview columns may be asked for.
-MASK_FIELDS = {"mask": "mask_path", "mask_path": "mask_path", "hint": "mask_path_hint", "mask_path_hint": "mask_path_hint", "hint_title": "mask_path_hint_title", "mask_path_hint_title": "mask_path_hint_title"}
-PREVIEW_FIELDS = {"preview": "seg_preview_path", "seg_preview_path": "seg_preview_path", "seg_preview_path_hint": "seg_preview_path_hint", "seg_preview_path_hint_title": "seg_preview_path_hint_title", "hint": "seg_preview_path_hint", "hint_title": "seg_preview_path_hint_title", "sam": "sam_preview_path", "sam_preview_path": "sam_preview_path", "mask": "seg_preview_path"}
+MASK_FIELDS = {
+    "mask_path": "mask_path",
+    "masks": "mask_path",
+    "masks_hint": "mask_path_hint",
+    "mask_path_hint": "mask_path_hint",
+    "masks_hint_title": "mask_path_hint_title",
+    "mask_path_hint_title": "mask_path_hint_title",
+}
+PREVIEW_FIELDS = {
+    "sam_preview_path": "sam_preview_path",
+    "seg_preview_path": "seg_preview_path",
+    "masks_preview": "seg_preview_path",
+    "mask_preview_hint": "seg_preview_path_hint",
+    "masks_preview_hint": "seg_preview_path_hint",
+    "seg_preview_path_hint": "seg_preview_path_hint",
+    "mask_preview_hint_title": "seg_preview_path_hint_title",
+    "masks_preview_hint_title": "seg_preview_path_hint_title",
+    "seg_preview_path_hint_title": "seg_preview_path_hint_title",
+}
 
 
-def field_choice(name: str, fields: dict[str, str]) -> str:
-    if name not in fields:
+def field_choice(name: str | None, fields: dict[str, str]) -> str | None:
+    """The column meant by a name; None for none."""
+    asked = (name or "").strip()
+    if asked and asked not in fields:
         raise ValueError(f"unknown field {name!r}; known: {sorted(fields)}")
-    return fields[name]
+    return fields[asked] if asked else None
+
+
+def preview_field(mask_field: str) -> str | None:
+    """The preview column that goes with a mask column."""
+    return mask_field.replace("mask_path", "seg_preview_path") if mask_field in MASK_FIELDS.values() else None
 
 
 def parse_int_list(text: str) -> list[int]:
@@ -223,10 +254,19 @@ def parse_int_list(text: str) -> list[int]:
 
 
 def parse_str_set(text: str) -> set[str]:
-    return {x.strip() for x in text.split(",") if x.strip()}
+    """Product types of a comma-separated list, as UPPER_SNAKE."""
+    return {"_".join(x.upper().split()) for x in text.split(",") if x.strip()}
 
 
 def field_suffix(name: str | None) -> str:
-    """Suffix of result columns; empty for none."""
-    cleaned = (name or "").strip().strip("_")
-    return f"_{cleaned}" if cleaned else ""
+    """Suffix of result columns, with one underscore first; empty for none."""
+    cleaned = (name or "").strip().replace("-", "_").replace(" ", "_")
+    return cleaned if not cleaned or cleaned.startswith("_") else f"_{cleaned}"
+
+
+def hint_suffix(hint_field: str, base: str = "_hint") -> str:
+    return base if hint_field == "primary_object" else f"{base}_{hint_field}"
+
+
+def folder_name(base: str, suffix: str | None) -> str:
+    return base + field_suffix(suffix)

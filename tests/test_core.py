@@ -47,6 +47,7 @@ def one(spark, value, f, kind="string"):
         (text.meta_key, " A\\B ", "a/b"),
         (text.detector_prompt, " A rug ", "a rug."),
         (text.metric_key, "a b/c", "a_b_c"),
+        (text.slugify, " Area Rug ", "area_rug"),
         (taxonomy.natural_material, "food", "unknown"),
         (taxonomy.pdf_material, "food", "other"),
         (taxonomy.natural_rigidity, "semi rigid", "flexible"),
@@ -70,7 +71,7 @@ def test_categorical_and_lists(spark):
     assert one(spark, ["a", 'b"'], text.serialize_list, "array<string>") == '["a", "b\\""]'
 
 
-@pytest.mark.parametrize(("raw", "want"), [('"x y"', "x y"), ('{"standardized_values": ["s"], "value": "v"}', "s"), ('{"value": " v "}', "v"), ('[{"value": "v"}, {"standardized_values": ["s"]}]', "s"), ('["p", "q"]', "p"), ("null", None), ("7", "7"), ("{}", None)])
+@pytest.mark.parametrize(("raw", "want"), [('"x y"', "x y"), ('{"standardized_values": ["s"], "value": "v"}', "s"), ('{"value": " v "}', "v"), ('[{"value": "v"}, {"standardized_values": ["s"]}]', "s"), ('["p", "q"]', "p"), ("null", None), ("7", None), ("{}", None), ('{"standardized_values": [], "value": "v"}', "v")])
 def test_pick_value(spark, raw, want):
     assert one(spark, raw, lambda c: text.pick_value(F.try_parse_json(c))) == want
 
@@ -285,3 +286,12 @@ def test_streamed_confusion(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(map(tuple, spark.table("confusion").collect())) == [("m", "a", "a", 1), ("m", "a", "b", 1), ("n", "b", "b", 1)]
+
+
+def test_names():
+    assert text.field_choice("masks_hint", text.MASK_FIELDS) == "mask_path_hint" and text.field_choice(" ", text.MASK_FIELDS) is None
+    with pytest.raises(ValueError, match="unknown field"):
+        text.field_choice("nope", text.PREVIEW_FIELDS)
+    assert text.preview_field("mask_path_hint_title") == "seg_preview_path_hint_title" and text.preview_field("x") is None
+    assert text.field_suffix("hint-a b") == "_hint_a_b" and text.folder_name("masks", "_x") == "masks_x" and text.hint_suffix("title") == "_hint_title"
+    assert text.parse_str_set("light fixture, rug,") == {"LIGHT_FIXTURE", "RUG"} and text.parse_int_list("1, 2,") == [1, 2]
