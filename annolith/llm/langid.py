@@ -48,9 +48,11 @@ def ranked(data: np.ndarray, offsets: np.ndarray, top: int) -> tuple[np.ndarray,
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     lead = np.zeros(len(data) + 1, np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=lead[1:])
-    if lead[-1] != len(points):
-        raise ValueError("text is not valid UTF-8")
     ends = lead[offsets]
+    if lead[-1] != len(points):  # not valid UTF-8: document by document, with U+FFFD for what is wrong
+        texts = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        ends = np.cumsum([0, *map(len, texts)])
     # Astral letters are kept apart from all others by one shared code.
     letters = _table[0][np.minimum(points, 0xFFFF)]
     letters[(points > 0xFFFF)] = 0
@@ -117,7 +119,13 @@ def fit(docs: DataFrame, train: Column, sample: int = SAMPLE, profile: int = PRO
     numbers for each language.
     """
     usable = docs.filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
-    first = usable.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).filter(F.col("at") <= sample).select("doc_id", F.col("lang").alias("of"))
+    # Of a language with n rows, those whose hash is in the lowest 4 * sample / n of its range hold the first `sample`:
+    # few rows of a language meet in one task, however many it has.
+    # The thousand languages with most rows are thinned like that; others have few enough.
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(1000)
+    low = (F.xxhash64("doc_id").cast("double") / F.lit(2.0**64) + 0.5) * F.col("n") <= F.lit(4.0 * sample) + 64
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    first = usable.join(F.broadcast(sizes), "lang", "left").filter(F.col("n").isNull() | low).withColumn("at", place).filter(F.col("at") <= sample).select("doc_id", F.col("lang").alias("of"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     chosen = texts.join(F.broadcast(first), "doc_id").filter(F.col("lang") == F.col("of")).select("lang", "text")  # at most sample ids a language
     counts = chosen.mapInArrow(_counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
