@@ -7,7 +7,7 @@ from annolith.operators.metrics import delta_table, observed_metrics, property_m
 from annolith.operators.ranking import holdout_split, main_vs_best, prompt_winners, quota_select
 from annolith.operators.segmentation import refine, segment
 from annolith.plans.pipelines import build_subset, evaluate_model, kg_posthoc, review_export, segmentation_tables, training_examples, training_split
-from annolith.sources.specs import PropertySpec, dataset_context, knowledge_priors, protocol_specs, specs_frame
+from annolith.sources.specs import PropertySpec, dataset_context, knowledge_priors, protocol_specs, register_dataset, specs_frame
 from annolith.sources.tables import annotations, listings, meta, predictions, samples
 
 __all__ = [n for n in dir() if not n.startswith("_")]

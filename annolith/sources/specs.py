@@ -122,16 +122,22 @@ class DatasetContext:
     schema: str | None = None
 
 
-#: Dataset names: kind, folder and annotations file.
-DATASETS = {"abo_150": ("abo150_annotations", "abo_150_expanded", "selected_150_annotations.jsonl"), "abo_natural_bg_v2": ("meta_json", "abo_physics_natural_bg_v2", "meta.json")}
+#: Dataset names: kind (annotations or meta_json), folder, samples file and schema file; filled by register_dataset().
+DATASETS: dict[str, tuple[str, str, str, str | None]] = {}
+
+
+def register_dataset(name: str, kind: str, folder: str, samples: str, schema: str | None = None) -> None:
+    if kind not in ("annotations", "meta_json"):
+        raise ValueError(f"unknown kind {kind!r}")
+    DATASETS[name] = (kind, folder, samples, schema)
 
 
 def dataset_context(name: str, root: str) -> DatasetContext:
     if name not in DATASETS:
         raise ValueError(f"unknown dataset {name!r}; known: {sorted(DATASETS)}")
-    kind, folder, file = DATASETS[name]
+    kind, folder, samples, schema = DATASETS[name]
     base = f"{root.rstrip('/')}/{folder}"
-    return DatasetContext(name, base, kind, f"{base}/{file}", f"{base}/physics_properties.yaml" if kind == "abo150_annotations" else None)
+    return DatasetContext(name, base, kind, f"{base}/{samples}", f"{base}/{schema}" if schema else None)
 
 
 @dataclass

@@ -295,3 +295,13 @@ def test_names():
     assert text.preview_field("mask_path_hint_title") == "seg_preview_path_hint_title" and text.preview_field("x") is None
     assert text.field_suffix("hint-a b") == "_hint_a_b" and text.folder_name("masks", "_x") == "masks_x" and text.hint_suffix("title") == "_hint_title"
     assert text.parse_str_set("light fixture, rug,") == {"LIGHT_FIXTURE", "RUG"} and text.parse_int_list("1, 2,") == [1, 2]
+
+
+def test_datasets(spark, tmp_path):
+    specs_.register_dataset("tiny", "meta_json", "t", "m.json", "s.yaml")
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "m.json").write_text('[{"image_id": "i", "path": "p"}]')
+    context = specs_.dataset_context("tiny", str(tmp_path))
+    assert context.schema.endswith("/t/s.yaml") and tables.samples(spark, context).first()["image_id"] == "i"
+    with pytest.raises(ValueError, match="unknown dataset"):
+        specs_.dataset_context("nope", "/")
