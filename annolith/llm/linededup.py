@@ -22,8 +22,6 @@ from annolith.llm.common import materialise
 
 #: A block of aligned lines is deleted if it has so many words.
 MIN_BLOCK_WORDS = 20
-#: A line of fewer words that stands more often than this in its owner is not rare: it makes no pair by itself.
-OFTEN = 16
 
 
 def rising(places: list[int]) -> list[int]:
@@ -51,10 +49,11 @@ def align(lines: list[tuple[int, list[int]]]) -> dict[int, int]:
 
     lines: the later document's common lines in order; equal lines have equal lists of places.
     """
-    times: dict[tuple[int, ...], int] = {}
+    times: dict[int, int] = {}
     for _, places in lines:
-        times[tuple(places)] = times.get(tuple(places), 0) + 1
-    once = [k for k, (_, places) in enumerate(lines) if len(places) == 1 and times[tuple(places)] == 1]
+        if len(places) == 1:
+            times[places[0]] = times.get(places[0], 0) + 1
+    once = [k for k, (_, places) in enumerate(lines) if len(places) == 1 and times[places[0]] == 1]
     anchors = [once[k] for k in rising([lines[k][1][0] for k in once])]
     found: dict[int, int] = {}
     edges = [(-1, -1), *((k, lines[k][1][0]) for k in anchors), (len(lines), 1 << 60)]
@@ -93,17 +92,19 @@ def blocks(found: dict[int, int], words: dict[int, int], least: int) -> list[tup
 
 
 def _aligned(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """(key, lines: owner, line, words, places) to (key, cut: first and last line of each range, lines cut)."""
+    """(key, lines: owner, lines (equal ones), words, places) to (key, cut: first and last line of each range, lines cut)."""
     for batch in batches:
         keys, cuts, numbers = [], [], []
         for k, rows in enumerate(batch.column(1).to_pylist()):
             owners: dict[object, dict[int, tuple[int, list[int]]]] = {}
             for x in rows:
-                owners.setdefault(x["owner"], {})[x["line"]] = (x["words"], x["places"])
+                own = owners.setdefault(x["owner"], {})
+                for line in x["lines"]:
+                    own[line] = (x["words"], x["places"])
             gone: list[tuple[int, int]] = []
             for own in owners.values():
                 if sum(w for w, _ in own.values()) >= least:
-                    found = align([(line, sorted(set(own[line][1]))) for line in sorted(own)])
+                    found = align([(line, own[line][1]) for line in sorted(own)])
                     gone += blocks(found, {line: w for line, (w, _) in own.items()}, least)
             if gone:
                 keys.append(k)
@@ -124,21 +125,16 @@ def line_cuts(docs: DataFrame, least: int = MIN_BLOCK_WORDS) -> DataFrame:
     own = own.select("key", "line", F.trim("raw").alias("raw")).filter("raw <> ''")
     words = F.length("raw") - F.length(F.replace("raw", F.lit(" "), F.lit(""))) + 1
     own = own.select("key", "line", words.alias("words"), F.struct(F.xxhash64("raw").alias("a"), F.hash("raw").alias("b")).alias("h"))
-    # min and max of the id tell a shared line.  The owner's places are found by line and id, so that a line that
-    # very many documents hold is no hot key there; the join of the later documents can be split by the engine.
+    # min and max of the id tell a shared line.  The join of the occurrences can be split by the engine, so that a
+    # line that very many documents hold is no hot key; all that follows reads the narrow table of shared lines.
     first = own.groupBy("h").agg(F.min("key.id").alias("owner"), F.max("key.id").alias("top")).filter("owner < top").select("h", "owner")
-    mine = own.select(F.col("h").alias("own_h"), F.col("key.id").alias("id"), F.col("line").alias("place")).join(first, (F.col("own_h") == F.col("h")) & (F.col("id") == F.col("owner")))
-    places = materialise(mine.groupBy("h", "owner").agg(F.array_sort(F.collect_set("place")).alias("places")), "places")
-    # A short line that its owner repeats often is evidence only beside a line that is not: its places are fetched
-    # for such pairs alone, or they would travel with every document that has the line.
-    strong = (F.size("places") <= OFTEN) | (F.col("words") >= least)
-    later = own.join(places, "h").filter((F.col("key.id") > F.col("owner")) & strong)
-    often = places.filter(F.size("places") > OFTEN)
-    weak = own.join(often.select("h", "owner"), "h").filter((F.col("key.id") > F.col("owner")) & (F.col("words") < least))
-    weak = weak.join(later.select("key", "owner").distinct(), ["key", "owner"], "left_semi").join(often.drop("owner"), "h")
-    columns = ["key", "owner", "line", "words", "places"]
-    later = later.select(*columns).union(weak.select(*columns))
-    rows = later.groupBy("key").agg(F.collect_list(F.struct("owner", "line", "words", "places")).alias("lines"))
+    shared = materialise(own.join(first, "h").select("key", "line", "words", "h", "owner"), "shared")
+    places = shared.filter("key.id = owner").groupBy("h", "owner").agg(F.array_sort(F.collect_set("line")).alias("places"))
+    # No block can have more words than the pair shares.  Places are fetched once for each line of a pair, not for each copy of it.
+    met = shared.filter("key.id > owner").groupBy("key", "owner", "h", "words").agg(F.collect_list("line").alias("lines"))
+    enough = met.groupBy("key", "owner").agg(F.sum(F.col("words") * F.size("lines")).alias("all")).filter(F.col("all") >= least).select("key", "owner")
+    later = met.join(enough, ["key", "owner"], "left_semi").join(places, ["h", "owner"])
+    rows = later.groupBy("key").agg(F.collect_list(F.struct("owner", "lines", "words", "places")).alias("lines"))
     return rows.select("key", "lines").mapInArrow(lambda it: _aligned(it, least), "key struct<id: long, of: long>, cut array<struct<first: int, last: int>>, n_cut long")
 
 
@@ -147,7 +143,7 @@ def dedup_lines(docs: DataFrame, least: int = MIN_BLOCK_WORDS) -> DataFrame:
 
     Lines are split at \\n and compared without spaces around them; blank lines match nothing.  The document
     with the smallest doc_id keeps a shared line.  A block of aligned lines goes if it has at least `least`
-    words.  Documents that share nothing but short lines which the earlier one repeats over OFTEN times are no pair.  Null text and null doc_id: the row is untouched.  Rows that share doc_id and text get the same
+    words.  Null text and null doc_id: the row is untouched.  Rows that share doc_id and text get the same
     result; repeats inside one document stay.  A text that loses all its lines becomes empty.  Extra columns,
     whatever their names, are kept.
     """

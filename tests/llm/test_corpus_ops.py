@@ -208,6 +208,14 @@ def test_lines_repeated_often(spark):
     assert got == {1: base, 2: "", 3: "\n".join(["Of it."] * 40), 4: ""}
 
 
+def test_stanza_repeated_often(spark):
+    stanza = "\n".join(prose(100 + k, 15) for k in range(4))
+    owner = "\n".join([stanza] * 17)
+    docs = spark.createDataFrame([(1, owner), (2, prose(8, 12) + "\n" + stanza), (3, "Of it.\n" + prose(9, 12))], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in dedup_lines(docs).collect()}
+    assert got == {1: owner, 2: prose(8, 12), 3: "Of it.\n" + prose(9, 12)}
+
+
 def test_line_dedup_of_nothing(nothing):
     assert dedup_lines(nothing).count() == 0
 
