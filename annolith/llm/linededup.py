@@ -6,7 +6,8 @@ only: one link for each of its lines, however many copies a line has, so no grou
 copies is ever paired with itself.  Each pair is aligned with patience diff: lines that
 stand once in either document and keep their order are anchors, and lines beside an
 anchor, or between two in order, join them.  Aligned common blocks are deleted from the
-later document if they are long enough to be a passage.
+later document if they are long enough to be a passage; what is left is aligned again
+until no such block is found, so passages in another order and further copies go too.
 """
 
 from __future__ import annotations
@@ -91,6 +92,29 @@ def blocks(found: dict[int, int], words: dict[int, int], least: int) -> list[tup
     return out
 
 
+def passages(lines: list[tuple[int, list[int]]], words: dict[int, int], least: int) -> set[int]:
+    """Lines of the later document to delete: what a pass leaves is aligned again, with all places, until no block is found."""
+    gone: set[int] = set()
+    while sum(words[line] for line, _ in lines) >= least:
+        cut = {x for a, b in blocks(align(lines), words, least) for x in range(a, b + 1)}
+        if not cut:
+            break
+        gone |= cut
+        lines = [x for x in lines if x[0] not in cut]
+    return gone
+
+
+def ranges(lines: set[int]) -> list[tuple[int, int]]:
+    """First and last line of each run of neighbours."""
+    out: list[tuple[int, int]] = []
+    for x in sorted(lines):
+        if out and out[-1][1] == x - 1:
+            out[-1] = (out[-1][0], x)
+        else:
+            out.append((x, x))
+    return out
+
+
 def _aligned(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """(key, lines: owner, lines (equal ones), words, places) to (key, cut: first and last line of each range, lines cut)."""
     for batch in batches:
@@ -101,15 +125,13 @@ def _aligned(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Recor
                 own = owners.setdefault(x["owner"], {})
                 for line in x["lines"]:
                     own[line] = (x["words"], x["places"])
-            gone: list[tuple[int, int]] = []
+            gone: set[int] = set()
             for own in owners.values():
-                if sum(w for w, _ in own.values()) >= least:
-                    found = align([(line, own[line][1]) for line in sorted(own)])
-                    gone += blocks(found, {line: w for line, (w, _) in own.items()}, least)
+                gone |= passages([(line, own[line][1]) for line in sorted(own)], {line: w for line, (w, _) in own.items()}, least)
             if gone:
                 keys.append(k)
-                cuts.append([{"first": a, "last": b} for a, b in sorted(gone)])
-                numbers.append(sum(b - a + 1 for a, b in gone))
+                cuts.append([{"first": a, "last": b} for a, b in ranges(gone)])
+                numbers.append(len(gone))
         kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys, pa.int64())), pa.array(cuts, kind), pa.array(numbers, pa.int64())], names=["key", "cut", "n_cut"])
 
@@ -128,6 +150,8 @@ def line_cuts(docs: DataFrame, least: int = MIN_BLOCK_WORDS) -> DataFrame:
     # min and max of the id tell a shared line.  The join of the occurrences can be split by the engine, so that a
     # line that very many documents hold is no hot key; all that follows reads the narrow table of shared lines.
     first = own.groupBy("h").agg(F.min("key.id").alias("owner"), F.max("key.id").alias("top")).filter("owner < top").select("h", "owner")
+    # Written first: a join in one stage with the aggregate could not be split.
+    first = materialise(first, "owners")
     shared = materialise(own.join(first, "h").select("key", "line", "words", "h", "owner"), "shared")
     places = shared.filter("key.id = owner").groupBy("h", "owner").agg(F.array_sort(F.collect_set("line")).alias("places"))
     # No block can have more words than the pair shares.  Places are fetched once for each line of a pair, not for each copy of it.

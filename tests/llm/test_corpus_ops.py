@@ -216,6 +216,14 @@ def test_stanza_repeated_often(spark):
     assert got == {1: owner, 2: prose(8, 12), 3: "Of it.\n" + prose(9, 12)}
 
 
+def test_passages_in_other_order_and_repeated(spark):
+    one, two = ("\n".join(prose(k, 15) for k in range(a, a + 4)) for a in (110, 120))
+    texts = [two + "\n" + one, one + "\n" + two, f"Here.\n{one}\nThere.\n{one}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_cut) for r in dedup_lines(docs).collect()}
+    assert got == {0: (texts[0], 0), 1: ("", 8), 2: ("Here.\nThere.", 8)}
+
+
 def test_line_dedup_of_nothing(nothing):
     assert dedup_lines(nothing).count() == 0
 
