@@ -1,9 +1,12 @@
 """Line deduplication by pairwise alignment.
 
 A line's owner is the first document (smallest doc_id) that holds it.  Every later
-document is linked, through the lines that others hold as well, to those lines' owners
-only: one link for each of its lines, however many copies a line has, so no group of
-copies is ever paired with itself.  Each pair is aligned with patience diff: lines that
+document is linked, through the lines that others hold as well, to those lines' owners:
+one link for each of its lines, however many copies a line has, so no group of copies is
+ever paired with itself.  Runs of such lines that add up to a passage have owners too,
+the first document with the run: a passage whose lines have several owners is found by
+one link for each run (a passage that a run cannot follow, because other shared lines
+stand inside it, is found through its lines' owners only).  Each pair is aligned with patience diff: lines that
 stand once in either document and keep their order are anchors, and lines beside an
 anchor, or between two in order, join them.  Aligned common blocks are deleted from the
 later document if they are long enough to be a passage; what is left is aligned again
@@ -14,6 +17,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -115,18 +119,77 @@ def ranges(lines: set[int]) -> list[tuple[int, int]]:
     return out
 
 
+def runs(lines: list[tuple[int, int, bytes]], least: int) -> list[tuple[int, int]]:
+    """First and last position of the shortest runs of `least` words from each line on, and up to each line.
+
+    lines: a document's shared lines in order as line, words, hash.  A run has two lines at least, and at most two
+    other lines between neighbours, as blocks have.  Every line of a longer common run stands in one of these.
+    """
+    out: set[tuple[int, int]] = set()
+    begin = 0
+    for end in range(len(lines) + 1):
+        if 0 < end < len(lines) and lines[end][0] - lines[end - 1][0] <= 3 or end == 0:
+            continue
+        # One stretch: positions begin to end - 1; two pointers from either side.
+        last, total = begin - 1, 0
+        for k in range(begin, end):
+            while total < least and last + 1 < end:
+                last += 1
+                total += lines[last][1]
+            if total < least:
+                break
+            out.add((k, last))
+            total -= lines[k][1]
+        at, total = end, 0
+        for k in range(end - 1, begin - 1, -1):
+            while total < least and at > begin:
+                at -= 1
+                total += lines[at][1]
+            if total < least:
+                break
+            out.add((at, k))
+            total -= lines[k][1]
+        begin = end
+    return sorted(x for x in out if x[0] < x[1])
+
+
+def _runs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """(key, lines: line, words, owner, a, b) to (key, run: hash, owner: that of all its lines or null)."""
+    for batch in batches:
+        keys, hashes, owners = [], [], []
+        for k, rows in enumerate(batch.column(1).to_pylist()):
+            lines = [(x["line"], x["words"], x["a"].to_bytes(8, "big", signed=True) + x["b"].to_bytes(4, "big", signed=True)) for x in rows]
+            for a, b in runs(lines, least):
+                steps = (((lines[x][0] - lines[x - 1][0]) if x > a else 0).to_bytes(1, "big") + lines[x][2] for x in range(a, b + 1))
+                keys.append(k)
+                hashes.append(blake2b(b"".join(steps), digest_size=16).digest())
+                one = {rows[x]["owner"] for x in range(a, b + 1)}
+                owners.append(one.pop() if len(one) == 1 else None)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys, pa.int64())), pa.array(hashes, pa.binary()), pa.array(owners, pa.int64())], names=["key", "run", "one"])
+
+
+def _run_pairs(shared: DataFrame, least: int) -> DataFrame:
+    """(key, owner): later documents and the first documents that hold one of their runs, where the lines' own owners do not give the pair."""
+    # Lines of `least` words need no run; a document whose lines all have one owner that is itself first still holds its runs.
+    rows = shared.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("line", "words", "owner", "h.a", "h.b"))).alias("lines")).filter(F.size("lines") > 1)
+    found = materialise(rows.mapInArrow(lambda it: _runs(it, least), "key struct<id: long, of: long>, run binary, one long"), "runs")
+    first = found.groupBy("run").agg(F.min("key.id").alias("owner"), F.max("key.id").alias("top")).filter("owner < top").select("run", "owner")
+    met = found.join(materialise(first, "run-owners"), "run").filter("key.id > owner")
+    return met.filter("one is null or one <> owner").select("key", "owner").distinct()
+
+
 def _aligned(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """(key, lines: owner, lines (equal ones), words, places) to (key, cut: first and last line of each range, lines cut)."""
+    """(key, lines: owner, by_run, lines (equal ones), words, places) to (key, cut: first and last line of each range, lines cut)."""
     for batch in batches:
         keys, cuts, numbers = [], [], []
         for k, rows in enumerate(batch.column(1).to_pylist()):
-            owners: dict[object, dict[int, tuple[int, list[int]]]] = {}
+            pairs: dict[tuple[int, bool], dict[int, tuple[int, list[int]]]] = {}
             for x in rows:
-                own = owners.setdefault(x["owner"], {})
+                own = pairs.setdefault((x["owner"], x["by_run"]), {})
                 for line in x["lines"]:
                     own[line] = (x["words"], x["places"])
             gone: set[int] = set()
-            for own in owners.values():
+            for own in pairs.values():
                 gone |= passages([(line, own[line][1]) for line in sorted(own)], {line: w for line, (w, _) in own.items()}, least)
             if gone:
                 keys.append(k)
@@ -153,12 +216,20 @@ def line_cuts(docs: DataFrame, least: int = MIN_BLOCK_WORDS) -> DataFrame:
     # Written first: a join in one stage with the aggregate could not be split.
     first = materialise(first, "owners")
     shared = materialise(own.join(first, "h").select("key", "line", "words", "h", "owner"), "shared")
-    places = shared.filter("key.id = owner").groupBy("h", "owner").agg(F.array_sort(F.collect_set("line")).alias("places"))
+    places = materialise(shared.filter("key.id = owner").groupBy("h", "owner").agg(F.array_sort(F.collect_set("line")).alias("places")), "places")
     # No block can have more words than the pair shares.  Places are fetched once for each line of a pair, not for each copy of it.
     met = shared.filter("key.id > owner").groupBy("key", "owner", "h", "words").agg(F.collect_list("line").alias("lines"))
     enough = met.groupBy("key", "owner").agg(F.sum(F.col("words") * F.size("lines")).alias("all")).filter(F.col("all") >= least).select("key", "owner")
     later = met.join(enough, ["key", "owner"], "left_semi").join(places, ["h", "owner"])
-    rows = later.groupBy("key").agg(F.collect_list(F.struct("owner", "lines", "words", "places")).alias("lines"))
+    # Pairs by runs are aligned on all lines that they share, whoever owns them.
+    pairs = materialise(_run_pairs(shared, least), "run-pairs")
+    held = shared.withColumnRenamed("owner", "line_owner").groupBy(F.col("key.id").alias("owner"), "h")
+    held = held.agg(F.array_sort(F.collect_set("line")).alias("places")).join(pairs.select("owner").distinct(), "owner", "left_semi")
+    held = materialise(held, "held")
+    more = shared.drop("owner").join(pairs, "key").groupBy("key", "owner", "h", "words").agg(F.collect_list("line").alias("lines")).join(held, ["h", "owner"])
+    columns = ["key", "owner", "lines", "words", "places"]
+    later = later.select(*columns, F.lit(False).alias("by_run")).union(more.select(*columns, F.lit(True).alias("by_run")))
+    rows = later.groupBy("key").agg(F.collect_list(F.struct("owner", "by_run", "lines", "words", "places")).alias("lines"))
     return rows.select("key", "lines").mapInArrow(lambda it: _aligned(it, least), "key struct<id: long, of: long>, cut array<struct<first: int, last: int>>, n_cut long")
 
 

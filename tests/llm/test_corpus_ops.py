@@ -224,6 +224,19 @@ def test_passages_in_other_order_and_repeated(spark):
     assert got == {0: (texts[0], 0), 1: ("", 8), 2: ("Here.\nThere.", 8)}
 
 
+def test_passage_with_several_owners(spark):
+    lines = [prose(k, 15) for k in range(130, 134)]
+    texts = [*lines, "\n".join(lines), "Here.\n" + "\n".join(lines)]
+    docs = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in dedup_lines(docs).collect()}
+    assert got == dict(enumerate(texts, 1)) | {6: "Here."}
+
+
+def test_runs():
+    lines = [(k, w, b"") for k, w in ((0, 30), (1, 1), (2, 15), (9, 15), (10, 4), (11, 1), (20, 50))]
+    assert linededup.runs(lines, 20) == [(0, 1), (0, 2), (3, 5)]
+
+
 def test_line_dedup_of_nothing(nothing):
     assert dedup_lines(nothing).count() == 0
 
