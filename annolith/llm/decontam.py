@@ -70,17 +70,25 @@ def occurrences(docs: DataFrame, items: DataFrame, size: int = ITEM_WORDS) -> tu
     return reduce(DataFrame.union, parts), owned.select("window_id", "item_id").distinct()
 
 
+def _key(doc_id: Column, text: Column) -> Column:
+    """Rows of equal id and text are one document."""
+    return F.struct(doc_id.cast("long").alias("doc_id"), F.xxhash64(text.cast("string")).alias("of"))
+
+
 def contamination(docs: DataFrame, items: DataFrame, size: int = ITEM_WORDS) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated and the item ids found.
 
     Text is lower-cased in A-Z only; null text has no words and no hits.  A null doc_id is judged with its
-    own text like any other row of that id.  Rows that share a doc_id share their hits (identical rows get
-    identical results).  Null or wordless items match nothing; items with equal windows are all reported.
+    own text like any other row of that id.  Rows that share doc_id and text share their hits (identical rows
+    get identical results).  Null or wordless items match nothing; items with equal windows are all reported.
     Extra columns of either table are ignored.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # Rows of equal id and text are one document; their hits are told apart by the text's hash.
-    keyed = own.select(F.struct(F.col("doc_id"), F.xxhash64("text").alias("of")).alias("doc_id"), "text")
+    return _judged(docs, items, size).drop("key")
+
+
+def _judged(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
+    """contamination with the key of the row it judges."""
+    keyed = docs.select(_key(F.col("doc_id"), F.col("text")).alias("doc_id"), F.col("text").cast("string").alias("text"))
     found, owners = occurrences(keyed, items.select(F.col("item_id"), F.col("text").cast("string").alias("text")), size)
     found = materialise(found.distinct(), "hits")
     spans = F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end"))))
@@ -93,9 +101,9 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = ITEM_WORDS) ->
     hits = found.groupBy("doc_id").agg(spans.alias("spans")).select("doc_id", covered.alias("n_hit"))
     named = found.select("doc_id", "window_id").distinct().join(owners, "window_id").select("doc_id", F.col("item_id").cast("string").alias("item"), "item_id").distinct()
     named = named.groupBy("doc_id").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    both = hits.join(named, "doc_id", "left").withColumnRenamed("doc_id", "key")
+    both = hits.join(named, "doc_id", "left").withColumnRenamed("doc_id", "hit_key")
     every = keyed.select("doc_id", F.size(word_array(F.coalesce("text", F.lit("")))).cast("long").alias("n_words"))
-    out = every.join(both, every.doc_id.eqNullSafe(both.key), "left")
+    out = every.join(both, every.doc_id.eqNullSafe(both.hit_key), "left")
     items_found = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
         F.col("doc_id.doc_id").alias("doc_id"),
@@ -105,10 +113,11 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = ITEM_WORDS) ->
         F.sha2(F.array_join(items_found, ","), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
         items_found.alias("items"),
+        every.doc_id.alias("key"),
     )
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = ITEM_WORDS) -> DataFrame:
-    """docs without the rows that hold any window of an item; all columns stay."""
-    hit = contamination(docs, items, size).filter("contaminated").select(F.col("doc_id").alias("hit_id")).distinct()
-    return docs.join(hit, docs.doc_id.cast("long").eqNullSafe(hit.hit_id), "left_anti")
+    """docs without the rows that hold any window of an item, each judged by its own text; all columns stay."""
+    hit = _judged(docs, items, size).filter("contaminated").select(F.col("key").alias("hit_key")).distinct()
+    return docs.join(hit, _key(docs.doc_id, docs.text).eqNullSafe(hit.hit_key), "left_anti")

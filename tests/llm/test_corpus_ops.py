@@ -115,6 +115,16 @@ def test_contamination_in_blocks(spark, small, monkeypatch):
     assert Counter(rows_of(contamination(small, items).drop("items"))) == whole
 
 
+def test_decontaminate_judges_rows(spark):
+    from annolith.llm.decontam import decontaminate
+
+    bad, clean = prose(140, 30), prose(141, 30)
+    rows = [(None, bad), (None, clean), (1, bad), (1, clean), (2, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, bad)], "item_id long, text string")
+    assert sorted(decontaminate(docs, items).collect(), key=str) == sorted([(None, clean), (1, clean), (2, None), (None, None)], key=str)
+
+
 def test_contamination_of_nothing(spark, small, nothing):
     items = spark.createDataFrame([], "item_id long, text string")
     assert contamination(small, items).filter("contaminated").count() == 0
