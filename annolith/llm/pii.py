@@ -1,7 +1,7 @@
 """Personal data: validated base matches, and identifiers discovered by bootstrapped contextual extraction.
 
 Base matches (e-mail, IP, card, phone) are the seeds.  Every identifier-like token (one with a
-digit or an @) is an instance; the words around it are its patterns.  On the graph of patterns
+digit or an @) and every spaced run of digit groups is an instance; the words around it are its patterns.  On the graph of patterns
 and instances, confidence is passed in rounds: a pattern is as good as the share of its
 instances that are known to be of a kind, an instance as good as the noisy-or of its patterns.
 Tokens that only good patterns surround, and whose shape the kind allows, are added.
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annolith.llm.common import materialise
@@ -32,6 +32,9 @@ PATTERNS = {
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _ID = rf"{_ALNUM}._%+/:#\-"
 TOKEN = rf"(?<![{_ID}@])(?=[{_ID}&&[^0-9]]*+[0-9@])[{_ID}@]++"
+#: Digit groups joined by single spaces, dots, dashes or parentheses, such as "(171) 555-2028"; groups that go on as words end it.
+_GROUP = rf"[0-9]++(?![{_ALNUM}_@%/:#])"
+RUN = rf"(?<![{_ALNUM}._%+@\-])(?<![0-9][/:#])\+?\(?{_GROUP}(?:(?:[.-]|\x20?[()]\x20?|\x20){_GROUP})*+"
 ROUNDS, SUPPORT, CERTAIN, LEAST = 3, 3, 0.8, 6
 #: What a discovered token of each kind must look like.
 SHAPES = {"email": "@", "ip": r"[0-9][.:][0-9]+[.:][0-9]", "card": r"(?:[0-9][^0-9]?){12}", "phone": r"(?:[0-9][^0-9]?){7}"}
@@ -127,9 +130,11 @@ def _named(spans: Column, kind: str) -> Column:
 
 
 def _instances(rows: DataFrame) -> DataFrame:
-    """(key, start, end, value, kind or null, pattern): the tokens of rows (key, text, base) and each one's contexts."""
+    """(key, start, end, value, kind or null, pattern): the tokens and spaced runs of rows (key, text, base) and each one's contexts."""
     rows = rows.filter(F.col("text").rlike("[0-9@]"))
-    own = rows.select("key", F.explode_outer(matches(F.col("text"), TOKEN)).alias("x")).filter(F.length("x.value") >= LEAST)
+    # Runs that are one token already are left out.
+    spaced = F.filter(matches(F.col("text"), RUN), lambda x: x.value.rlike(r"[0-9][\x20()]+[0-9]"))
+    own = rows.select("key", F.explode_outer(F.concat(matches(F.col("text"), TOKEN), spaced)).alias("x")).filter(F.length("x.value") >= LEAST)
     words = lambda c: F.split(F.trim(F.regexp_replace(F.lower(F.regexp_replace(c, "[0-9]+", "9")), r"\s+", " ")), " ")
     own = own.select("key", F.col("x.start").alias("start"), F.col("x.end").alias("end"), F.col("x.value").alias("value"), words(F.col("x.left")).alias("before"), words(F.col("x.right"))[0].alias("after"))
     last = lambda n: F.array_join(F.slice("before", -n, n), " ")
@@ -142,8 +147,8 @@ def _instances(rows: DataFrame) -> DataFrame:
     # Which tokens touch a base span: both meet in the stretches of 64 characters that they cover.
     cover = lambda a, b: F.explode(F.sequence(F.floor(a / 64), F.floor((b - 1) / 64))).alias("stretch")
     spans = rows.select("key", F.explode_outer("base").alias("b")).filter("b is not null").select("key", "b.kind", F.col("b.start").alias("s"), F.col("b.end").alias("e")).select("*", cover(F.col("s"), F.col("e")))
-    touched = own.select("key", "start", "end", cover(F.col("start"), F.col("end"))).join(spans, ["key", "stretch"]).filter("s < end and e > start").groupBy("key", "start").agg(F.min("kind").alias("kind"))
-    return own.join(touched, ["key", "start"], "left").select("key", "start", "end", "value", "kind", F.explode("patterns").alias("pattern"))
+    touched = own.select("key", "start", "end", cover(F.col("start"), F.col("end"))).join(spans, ["key", "stretch"]).filter("s < end and e > start").groupBy("key", "start", "end").agg(F.min("kind").alias("kind"))
+    return own.join(touched, ["key", "start", "end"], "left").select("key", "start", "end", "value", "kind", F.explode("patterns").alias("pattern"))
 
 
 def discovered(rows: DataFrame) -> DataFrame:
@@ -159,11 +164,15 @@ def discovered(rows: DataFrame) -> DataFrame:
         fresh = edges.filter("kind is null").select("pattern", "value").join(good, "pattern")
         fits = F.lit(False)
         for kind, shape in SHAPES.items():
-            fits = fits | ((F.col("kind") == kind) & F.col("value").rlike(shape))
+            fits = fits | ((F.col("kind") == kind) & F.regexp_replace("value", r"[\x20()]+", " ").rlike(shape))
         heard = fresh.filter(fits).groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("trust") * 0.999)))).alias("score"))
         scores = materialise(known.union(heard.join(known, "value", "left_anti").select("value", "kind", "score")), "scores", few=True)
     best = scores.filter((F.col("score") >= CERTAIN)).join(known.select("value"), "value", "left_anti").groupBy("value").agg(F.max_by("kind", F.struct("score", "kind")).alias("found"))
-    return seen.filter("kind is null").select("key", "start", "end", "value").distinct().join(best, "value").select("key", F.col("found").alias("kind"), "start", "end")
+    found = seen.filter("kind is null").select("key", "start", "end", "value").distinct().join(best, "value")
+    # A token inside a run, or a part that overlaps one, is not found twice.
+    earlier = Window.partitionBy("key").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    found = found.withColumn("until", F.max("end").over(earlier)).filter("until is null or start >= until")
+    return found.select("key", F.col("found").alias("kind"), "start", "end")
 
 
 def extract(docs: DataFrame) -> DataFrame:

@@ -411,6 +411,19 @@ def test_pii_bootstrap(spark):
     assert got[24] == f"email:{at}:{at + 13}" and got[25] == "" and got[26] == ""
 
 
+def test_pii_spaced_runs(spark):
+    from annolith.llm import pii
+
+    cards = [f"4111 1111 1111 {n}" for n in range(2000, 2400) if luhn(f"411111111111{n}")]
+    good = [f"{prose(k, 5)} card number: {cards[k // 2]} thanks {prose(k + 50, 3)}" if k % 2 else f"{prose(k, 5)} please call me at +1 (171) 555-20{k + 10} soon {prose(k + 50, 3)}" for k in range(40)]
+    unseen = {"171 555 2028": "phone", "(171) 555-2029": "phone", "4111 1111 1111 1112": "card"}
+    texts = [f"{prose(70, 4)} {'please call me at' if kind == 'phone' else 'card number:'} {x} {'soon' if kind == 'phone' else 'thanks'}" for x, kind in unseen.items()]
+    texts.append(f"{prose(71, 4)} there were 171 555 2027 of them")
+    got = {r.doc_id: r.spans for r in pii.extract(spark.createDataFrame(list(enumerate(good + texts)), "doc_id long, text string")).collect()}
+    want = [f"{kind}:{t.index(x)}:{t.index(x) + len(x)}" for t, (x, kind) in zip(texts, unseen.items(), strict=False)]
+    assert [got[40 + k] for k in range(4)] == [*want, ""]
+
+
 # ---- url filter
 
 
