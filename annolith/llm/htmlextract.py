@@ -1,10 +1,13 @@
 """Main-text extraction by minimum cut.
 
-A page is cut into text blocks.  A linear classifier over tags, class words, links and length
-gives each block a cost for either label; these are the capacities from source and to sink.
-Neighbouring blocks, and consecutive blocks of one container, are tied by edges that weaken
-with their distance in the DOM.  The maximum flow's cut separates content from boilerplate.
-Blocks of one container that the classifier cannot tell apart are one node.
+A page is cut into text blocks.  A linear classifier over a block's tag, length and links gives
+it a bounded cost for either label, its capacities from source and to sink; elements that speak
+for or against content (article, nav, class words) are nodes with capacities of their own, as
+many times as they have blocks, so that only the average of their blocks can outweigh them.
+Smoothness edges tie each block to the nearest such element, that element to the next one
+around it, neighbouring blocks by their distance in the DOM, and blocks to the last one of
+their kind in the same container.  The maximum flow's cut separates content from boilerplate:
+a short paragraph is content in an article or between long ones, whatever its own sign.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from __future__ import annotations
 import re
 from collections import deque
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html import unescape
 
 import pyarrow as pa
@@ -20,76 +24,107 @@ from pyspark.sql import functions as F
 
 MARK = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+)>|<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>?""", re.S)
 NAMED = re.compile(r"""\b(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+PARTS = re.compile(r"[^a-z]+")
 # Elements by their part in a page.
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "object", "svg", "math", "canvas", "select", "option", "button", "audio", "video", "datalist"}
+RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "object", "svg", "canvas", "select", "option", "button", "audio", "video", "datalist"}
+#: Of these a missing end tag hides the rest of the page; the others then hide nothing.
+OPAQUE = {"script", "style", "textarea", "title"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "br", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-# Classifier weights in log odds of content, by tag and by class or id word.
-TAGS = {"article": 4.0, "main": 3.0, "nav": -8.0, "menu": -8.0, "footer": -8.0, "aside": -8.0, "form": -8.0, "dialog": -8.0, "head": -12.0, "h1": 0.5, "p": 0.8, "blockquote": 0.5, "pre": 0.5}
-HEADER_OUTSIDE, HEADER_INSIDE, HIDDEN, BAD_WORD, GOOD_WORD = -8.0, 0.0, -12.0, -8.0, 2.0
-BAD = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup signin login sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar share sharing social related recommended recommendations comment comments reply replies respond discussion disqus widget toolbar pager pagination copyright legal disclaimer search tags".split())
-GOOD = set("article content entry main post story".split())
-BASE, LONG, LINKS, TIE, SAME = -0.5, 1.5, -4.0, 0.4, 0.8
+CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+# Log odds of content that an element has for each of its blocks.  A class or id word counts if all of a name's parts do,
+# neutral ones apart: "cookie-notice" and "site-footer" count, "no-sidebar" and "legal-analysis" do not.
+ELEMENTS = {"article": 3.0, "main": 3.0, "nav": -3.0, "menu": -3.0, "footer": -3.0, "aside": -3.0, "dialog": -3.0, "form": -1.5, "head": -6.0}
+ROLES = {"main": 3.0, "article": 3.0, "navigation": -3.0, "banner": -3.0, "contentinfo": -3.0, "complementary": -3.0, "search": -3.0, "dialog": -3.0, "alertdialog": -3.0, "menu": -3.0, "menubar": -3.0}
+HEADER, HIDDEN, CLEAR, VAGUE, GOOD = -3.0, -6.0, -3.0, -1.0, 2.0
+CLEAR_WORDS = set("ad ads advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr popup newsletter subscribe signup signin login sidebar nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments reply replies disqus pager pagination".split())
+VAGUE_WORDS = set("promo promotion banner notice notices alert alerts modal overlay subscription side menu header topbar share sharing social related recommended recommendations respond discussion widget toolbar copyright legal disclaimer search tags".split())
+GOOD_WORDS = set("article content entry main post story".split())
+NEUTRAL = GOOD_WORDS | set("area bar block body bottom box buttons container form global group holder inner items js left links list page panel posts primary right row secondary section site slot small text top unit widgets wrap wrapper".split())
+# A block's own log odds: base, paragraphs and headings, length from short to long (at FULL characters), all text linked.
+BASE, PARAGRAPH, HEADING, SHORT, LONG, FULL, STEP, LINKS = -0.3, 0.5, 0.6, -1.2, 1.5, 240, 24, -1.0
+# Edges: block to its element, element to the next around it, neighbours of one kind and of two, the last of a kind in a container.
+HOLD, UP, TIE, UNLIKE, SAME = 2.6, 1.5, 1.2, 0.4, 0.6
 
 
-class Node:
-    __slots__ = ("blocks", "container", "depth", "low", "weight")
+@dataclass(slots=True)
+class Block:
+    """Neighbouring texts that nothing tells apart: one node of the graph."""
 
-    def __init__(self, container: int, depth: int, low: int) -> None:
-        self.blocks, self.container, self.depth, self.low, self.weight = [], container, depth, low, 0.0
+    texts: list[str]
+    weight: float
+    element: int  # the nearest element that has evidence, or -1
+    container: int
+    tag: str
+    depth: int
+    low: int  # the lowest depth since the block before
 
 
-def _score(attributes: str) -> tuple[float, bool]:
-    """Weight of an element's class, id and role words; whether it is hidden."""
-    total, hidden = 0.0, False
-    for m in NAMED.finditer(attributes):
+def _named(value: str) -> float:
+    """Evidence of one class or id name."""
+    parts = [x for x in PARTS.split(value) if x]
+    core = [x for x in parts if x not in NEUTRAL]
+    if not core:
+        return GOOD if any(x in GOOD_WORDS for x in parts) and not {"list", "links", "items", "posts"} & set(parts) else 0.0
+    if all(x in CLEAR_WORDS or x in VAGUE_WORDS for x in core):
+        return CLEAR if any(x in CLEAR_WORDS for x in core) else VAGUE
+    return 0.0
+
+
+def evidence(tag: str, attributes: str, inside: bool) -> float:
+    """Log odds of content of an element itself; the most telling of tag, role, class and id counts, boilerplate before content."""
+    found = [ELEMENTS.get(tag, 0.0)]
+    if tag == "header" and not inside:
+        found.append(HEADER)
+    for m in NAMED.finditer(attributes) if attributes else ():
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id", "role"):
-            words = set(re.split(r"[^a-z]+", value)) if value else set()
-            if words & BAD:
-                total += BAD_WORD
-            elif words & GOOD:
-                total += GOOD_WORD
-        elif name == "hidden" and not value or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            hidden = True
-    return total, hidden
-
-
-def parse(html: str) -> list[Node]:
-    """Nodes in page order; each holds its blocks' texts, its container, depth and the lowest depth since the one before."""
-    nodes: list[Node] = []
-    # An open element: tag, weight so far, inside an article, its number.
-    stack: list[tuple[str, float, bool, int]] = [("", 0.0, False, 0)]
+        if name == "role":
+            found.append(ROLES.get(value.strip(), 0.0))
+        elif name in ("class", "id"):
+            # Classes of the whole page say how it looks, not what is in it; ids in an article are anchors, named by its topics.
+            if tag not in ("body", "html"):
+                found += (0.0 if name == "id" and inside and x == VAGUE else x for x in map(_named, value.split()))
+        elif name == "hidden" and value != "until-found" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+            found.append(HIDDEN)
+    return min(found) if min(found) < 0 else max(found)
+
+
+def own_weight(tag: str, chars: int, linked: int) -> float:
+    """A block's own log odds of content, in steps of its length and of its share of linked text."""
+    weight = BASE + LINKS * round(10 * linked / max(chars, 1)) / 10
+    if tag in HEADINGS:
+        return weight + HEADING
+    return weight + (PARAGRAPH if tag in ("p", "blockquote", "pre") else 0.0) + SHORT + (LONG - SHORT) * (min(chars, FULL) // STEP) / (FULL // STEP)
+
+
+def parse(html: str) -> tuple[list[Block], list[tuple[float, int]]]:
+    """Blocks in page order, and the elements with evidence: log odds, and the next such element around it or -1."""
+    blocks: list[Block] = []
+    elements: list[tuple[float, int]] = []
+    # An open element: tag, nearest element with evidence, index of the nearest block element, inside an article, its number.
+    stack: list[tuple[str, int, int, bool, int]] = [("", -1, 0, False, 0)]
     opened: dict[str, int] = {}
+    endless: set[str] = set()
     texts: list[str] = []
-    linked = plain = number = 0
-    low, at = 0, 0
-    place: tuple[str, float, bool, int] = stack[0]
-    depth = 0
+    linked = number = low = at = 0
+    place: tuple[int, str, int, int] = (-1, "", 0, 0)
 
     def flush() -> None:
-        nonlocal linked, plain, low
+        nonlocal linked, low
         if texts:
             text = " ".join("".join(texts).split())
             texts.clear()
             if text:
-                weight = BASE + place[1] + LONG * min(plain, 400) / 200 + LINKS * linked / max(plain, 1)
-                if not nodes or nodes[-1].container != place[3] or (nodes[-1].weight > 0) != (weight > 0):
-                    nodes.append(Node(place[3], depth, low))
-                    low = depth
-                nodes[-1].blocks.append(text)
-                nodes[-1].weight += max(-20.0, min(20.0, weight))
-        linked = plain = 0
-
-    def container() -> None:
-        """Where a text stands: its nearest block's parent, so that paragraphs and list items of one container share it."""
-        nonlocal place, depth
-        k = len(stack) - 1
-        while k > 0 and stack[k][0] not in BLOCK:
-            k -= 1
-        place = (stack[k][0], stack[-1][1], stack[-1][2], stack[k - 1][3] if k > 0 else 0)
-        depth = k
+                element, tag, container, depth = place
+                weight = own_weight(tag, len(text), min(linked, len(text)))
+                last = blocks[-1] if blocks else None
+                if last and (last.element, last.container, last.tag, last.weight, last.depth) == (element, container, tag, weight, depth) and low >= depth - 1:
+                    last.texts.append(text)
+                else:
+                    blocks.append(Block([text], weight, element, container, tag, depth, min(low, depth)))
+                low = depth
+        linked = 0
 
     def leave(k: int) -> None:
         nonlocal low
@@ -102,9 +137,12 @@ def parse(html: str) -> list[Node]:
         text = html[at : m.start()] if m else html[at:]
         if text:
             if not texts:
-                container()
-            texts.append(unescape(text) if "&" in text else text)
-            plain += len(text)
+                top = stack[-1]
+                near = stack[top[2]]
+                place = (top[1], near[0], stack[top[2] - 1][4] if top[2] else 0, top[2])
+            if "&" in text:
+                text = unescape(text)
+            texts.append(text)
             if opened.get("a"):
                 linked += len(text)
         if not m:
@@ -124,34 +162,31 @@ def parse(html: str) -> list[Node]:
                 leave(k)
             continue
         if tag in RAW:
+            if tag not in OPAQUE and (attributes.endswith("/") or tag in endless):
+                continue
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, at)
-            at = end.end() if end else len(html)
+            if end or tag in OPAQUE:
+                at = end.end() if end else len(html)
+            else:
+                endless.add(tag)
             continue
         if tag in VOID:
             continue
-        if tag in BLOCK and opened.get("p"):
-            k = len(stack) - 1
-            while k > 0 and stack[k][0] != "p" and stack[k][0] not in BLOCK:
-                k -= 1
-            if stack[k][0] == "p":
-                leave(k)
-        if tag in CLOSES:
-            k = len(stack) - 1
-            while k > 0 and (stack[k][0] not in BLOCK or stack[k][0] in CLOSES[tag]):
-                if stack[k][0] in CLOSES[tag]:
-                    leave(k)
-                    break
-                k -= 1
-        _, weight, inside, _ = stack[-1]
-        more, hidden = _score(attributes) if attributes else (0.0, False)
-        if tag == "header":
-            weight += HEADER_INSIDE if inside else HEADER_OUTSIDE
-        weight += TAGS.get(tag, 0.0) + more + (HIDDEN if hidden else 0.0)
+        if tag in BLOCK:
+            closed = CLOSES.get(tag, ())
+            while stack[stack[-1][2]][0] == "p" or stack[stack[-1][2]][0] in closed:
+                leave(stack[-1][2])
+        _, element, near, inside, _ = stack[-1]
+        if tag in BLOCK or attributes:
+            odds = evidence(tag, attributes, inside)
+            if odds:
+                elements.append((odds, element))
+                element = len(elements) - 1
         number += 1
-        stack.append((tag, weight, inside or tag in ("article", "main"), number))
+        stack.append((tag, element, len(stack) if tag in BLOCK else near, inside or tag in ("article", "main"), number))
         opened[tag] = opened.get(tag, 0) + 1
     flush()
-    return nodes
+    return blocks, elements
 
 
 def min_cut(source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -221,22 +256,45 @@ def min_cut(source: list[float], sink: list[float], edges: list[tuple[int, int,
                 break
 
 
+def graph(blocks: list[Block], elements: list[tuple[float, int]]) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """Log odds by node (blocks, then elements) and the smoothness edges."""
+    n = len(blocks)
+    size = [0] * len(elements)
+    edges: list[tuple[int, int, float]] = []
+    last: dict[tuple[int, str], tuple[int, int]] = {}  # node and number of the last text of a kind
+    place = 0
+    for k, block in enumerate(blocks):
+        if block.element >= 0:
+            size[block.element] += len(block.texts)
+            edges.append((k, n + block.element, HOLD * len(block.texts)))
+        kind = (block.container, block.tag)
+        if k:
+            other = blocks[k - 1]
+            away = block.depth + other.depth - 2 * min(block.low, block.depth, other.depth)
+            alike = 1.0 if kind == (other.container, other.tag) else UNLIKE
+            edges.append((k - 1, k, TIE * alike / (1 + max(away - 2, 0) / 2)))
+        if kind in last and last[kind][0] < k - 1:
+            edges.append((last[kind][0], k, SAME / (place - last[kind][1])))
+        place += len(block.texts)
+        last[kind] = (k, place - 1)
+    # Elements come after those around them: inner ones pass on that they hold blocks at all.
+    holds = [x > 0 for x in size]
+    for k in range(len(elements) - 1, -1, -1):
+        outer = elements[k][1]
+        if holds[k] and outer >= 0:
+            holds[outer] = True
+            edges.append((n + k, n + outer, UP))
+    return [b.weight * len(b.texts) for b in blocks] + [odds * max(m, 1) for (odds, _), m in zip(elements, size, strict=True)], edges
+
+
 def main_text(html: str | None) -> str:
     """The content blocks of a page, one a line; empty if there are none."""
-    nodes = parse(html or "")
-    if not nodes:
+    blocks, elements = parse(html or "")
+    if not blocks:
         return ""
-    edges: list[tuple[int, int, float]] = []
-    last: dict[int, int] = {}
-    for k, node in enumerate(nodes):
-        if k:
-            away = node.depth + nodes[k - 1].depth - 2 * min(node.low, node.depth, nodes[k - 1].depth)
-            edges.append((k - 1, k, TIE / (1 + away)))
-        if node.container in last and last[node.container] != k - 1:
-            edges.append((last[node.container], k, SAME / (k - last[node.container])))
-        last[node.container] = k
-    content = min_cut([max(x.weight, 0.0) for x in nodes], [max(-x.weight, 0.0) for x in nodes], edges)
-    return "\n".join(text for node, kept in zip(nodes, content, strict=True) if kept for text in node.blocks)
+    odds, edges = graph(blocks, elements)
+    content = min_cut([max(x, 0.0) for x in odds], [max(-x, 0.0) for x in odds], edges)
+    return "\n".join(text for block, kept in zip(blocks, content, strict=False) if kept for text in block.texts)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,6 +306,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url and text of each row; null and empty html give an empty text.
 
+    Very long pages take time and memory in proportion to their length.
     Rows are handled one by one: repeated rows and null ids or urls pass through.  Character references are
     decoded, white space inside a block is one space, blocks are joined by one newline in page order.  Extra
     columns are ignored; an empty table gives no rows.
