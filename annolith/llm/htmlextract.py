@@ -35,9 +35,10 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 # Log odds of content that an element has for each of its blocks.  A class or id word counts if all of a name's parts do,
 # neutral ones apart: "cookie-notice" and "site-footer" count, "no-sidebar" and "legal-analysis" do not.
-ELEMENTS = {"article": 3.0, "main": 3.0, "nav": -3.0, "menu": -3.0, "footer": -3.0, "aside": -3.0, "dialog": -3.0, "form": -1.5, "head": -6.0}
+ELEMENTS = {"article": 3.0, "main": 3.0, "nav": -3.0, "menu": -3.0, "footer": -3.0, "aside": -3.0, "dialog": -3.0, "form": -3.0, "head": -6.0}
 ROLES = {"main": 3.0, "article": 3.0, "navigation": -3.0, "banner": -3.0, "contentinfo": -3.0, "complementary": -3.0, "search": -3.0, "dialog": -3.0, "alertdialog": -3.0, "menu": -3.0, "menubar": -3.0}
-HEADER, HIDDEN, CLEAR, VAGUE, GOOD = -3.0, -6.0, -3.0, -1.0, 2.0
+#: A form right under the body often holds the whole page.
+WHOLE_FORM, HEADER, HIDDEN, CLEAR, VAGUE, GOOD = -0.5, -3.0, -6.0, -3.0, -1.0, 2.0
 CLEAR_WORDS = set("ad ads advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr popup newsletter subscribe signup signin login sidebar nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments reply replies disqus pager pagination".split())
 VAGUE_WORDS = set("promo promotion banner notice notices alert alerts modal overlay subscription side menu header topbar share sharing social related recommended recommendations respond discussion widget toolbar copyright legal disclaimer search tags".split())
 GOOD_WORDS = set("article content entry main post story".split())
@@ -72,9 +73,9 @@ def _named(value: str) -> float:
     return 0.0
 
 
-def evidence(tag: str, attributes: str, inside: bool) -> float:
+def evidence(tag: str, attributes: str, inside: bool, under: str) -> float:
     """Log odds of content of an element itself; the most telling of tag, role, class and id counts, boilerplate before content."""
-    found = [ELEMENTS.get(tag, 0.0)]
+    found = [WHOLE_FORM if tag == "form" and under in ("", "body", "html") else ELEMENTS.get(tag, 0.0)]
     if tag == "header" and not inside:
         found.append(HEADER)
     for m in NAMED.finditer(attributes) if attributes else ():
@@ -178,7 +179,7 @@ def parse(html: str) -> tuple[list[Block], list[tuple[float, int]]]:
                 leave(stack[-1][2])
         _, element, near, inside, _ = stack[-1]
         if tag in BLOCK or attributes:
-            odds = evidence(tag, attributes, inside)
+            odds = evidence(tag, attributes, inside, stack[-1][0])
             if odds:
                 elements.append((odds, element))
                 element = len(elements) - 1

@@ -166,7 +166,8 @@ def test_cut_decides_labels(spark):
         (f'<article><p>{LONG}</p><div class="share-buttons"><a href=x>Tell friends</a></div><p>End.</p></article>', f"{LONG.strip()}\nEnd."),
         (f'<main><p>{LONG}</p></main><div id="comments" class="post-comments"><p>{LONG}</p><p>{LONG}</p></div>', LONG.strip()),
         (f'<div class="cookie-notice">{LONG}</div><div class="entry-content"><p>Of it.</p></div><div class="site-footer">{LONG}</div>', "Of it."),
-        (f"<form id=aspnet><div><p>{LONG}</p><p>Of it.</p></div></form>", f"{LONG.strip()}\nOf it."),
+        (f"<body><form id=aspnet><div><p>{LONG}</p><p>Of it.</p><p>{LONG}</p></div></form></body>", f"{LONG.strip()}\nOf it.\n{LONG.strip()}"),
+        (f"<article><p>{LONG}</p><form><p>Your mail address for our letter of the week: <input></p></form></article>", LONG.strip()),
         ("<form><p>Name <input> <select><option>a</option></select></p></form>", ""),
         (f"<article><button>Open<p>{LONG}</p></article>", f"Open\n{LONG.strip()}"),
     ],
