@@ -1,32 +1,109 @@
 """Line deduplication by pairwise alignment.
 
-A line's owner is the first document (smallest doc_id) that holds it.  Every later
-document is linked, through the lines that others hold as well, to those lines' owners:
-one link for each of its lines, however many copies a line has, so no group of copies is
-ever paired with itself.  Runs of such lines that add up to a passage have owners too,
-the first document with the run: a passage whose lines have several owners is found by
-one link for each run (a passage that a run cannot follow, because other shared lines
-stand inside it, is found through its lines' owners only).  Each pair is aligned with patience diff: lines that
-stand once in either document and keep their order are anchors, and lines beside an
-anchor, or between two in order, join them.  Aligned common blocks are deleted from the
-later document if they are long enough to be a passage; what is left is aligned again
-until no such block is found, so passages in another order and further copies go too.
+A text's lines are cut into pieces where a sentence may begin (after . ! or ?, and before a
+word with a capital), so that a passage inside a longer line is found as well.  Consecutive
+pieces are taken together until they have `least` words: such a run is rare, however common
+its pieces are.  Every run is linked to the first document (smallest doc_id) that holds it,
+one link whatever the number of copies, so no group of copies is ever paired with itself.
+Each pair of documents that runs link is aligned once, over the stretches that the runs
+span and `least` pieces on either side: patience diff on pieces that stand once in either stretch, extended to the equal
+neighbours of each anchor, then the gaps between anchors.  Aligned pieces with the same shift
+and at most GAP others between are one block; blocks of `least` words are deleted from the
+later document, and what is left is aligned again, so passages in another order and further
+copies go too.  Every run that an earlier document holds is deleted in the end.
+
+Pieces are compared by 64-bit hashes; no text is shuffled.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
-from hashlib import blake2b
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annolith.llm.common import materialise
+from annolith.llm.common import byte_class, materialise, prefix_sums, span_hash, steps, utf8, word_spans
 
-#: A block of aligned lines is deleted if it has so many words.
+#: A block of aligned pieces is deleted if it has so many words.
 MIN_BLOCK_WORDS = 20
+#: Bytes that count as one word where there are no spaces.
+WORD_BYTES = 24
+#: Pieces without a match that a block may have between two aligned ones.
+GAP = 2
+#: Rounds of alignment before the runs that are left are looked up directly (which gives the same runs, in linear time).
+PASSES = 8
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte, words and line of each piece (lines count from the first text on), and each text's first piece (n + 1 numbers)."""
+    starts, ends, first = word_spans(data, offsets, byte_class("nonspace"))
+    if not len(starts):
+        return starts, ends, starts, starts, np.zeros(len(offsets), np.int64)
+    lines = np.concatenate([[0], np.cumsum(data == 0x0A)])[starts]
+    lead, second = data[starts], data[np.minimum(starts + 1, len(data) - 1)]
+    capital = (lead >= 0x41) & (lead <= 0x5A) | (lead == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97)
+    new = capital
+    new[0] = True
+    new[1:] |= (lines[1:] != lines[:-1]) | np.isin(data[ends[:-1] - 1], np.frombuffer(b".!?", np.uint8))
+    new[first[:-1][first[:-1] < len(starts)]] = True
+    at = np.flatnonzero(new)
+    weight = np.concatenate([[0], np.cumsum(-(-(ends - starts) // WORD_BYTES))])
+    until = np.concatenate([at[1:], [len(starts)]])
+    return starts[at], ends[until - 1], weight[until] - weight[at], lines[at], np.searchsorted(at, first)
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, of, text) to (id, of, pieces: hashes, words)."""
+    for batch in batches:
+        data, offsets = utf8(batch.column(2))
+        for i, j in steps(offsets):
+            own = data[offsets[i] : offsets[j]]
+            starts, ends, words, _, first = pieces(own, offsets[i : j + 1] - offsets[i])
+            hashes = span_hash(prefix_sums(own), starts, ends).view(np.int64)
+            at = pa.array(first, pa.int32())
+            lists = [pa.ListArray.from_arrays(at, pa.array(x, kind)) for x, kind in ((hashes, pa.int64()), (words, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), *lists], names=["id", "of", "hashes", "words"])
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values and n + 1 offsets of a list column."""
+    offsets = np.concatenate([[0], np.cumsum(np.asarray(column.value_lengths().fill_null(0)))]).astype(np.int64)
+    return np.asarray(column.flatten()), offsets
+
+
+def run_ends(words: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First piece and end of the shortest run of `least` words from each piece on, where its text has one."""
+    total = np.concatenate([[0], np.cumsum(words)])
+    ends = np.searchsorted(total, total[:-1] + least)
+    limit = np.repeat(offsets[1:], np.diff(offsets))
+    kept = np.flatnonzero(ends <= limit)
+    return kept, ends[kept]
+
+
+def _runs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """(id, of, hashes, words) to (run, id, of, first, last): each text's distinct runs, where the first begins and the last ends."""
+    for batch in batches:
+        words, offsets = _flat(batch.column(3))
+        hashes = _flat(batch.column(2))[0].astype(np.int64).view(np.uint64)
+        starts, ends = run_ends(words.astype(np.int64), offsets, least)
+        if not len(starts):
+            continue
+        runs = span_hash(prefix_sums(hashes), starts, ends)
+        owner = np.searchsorted(offsets, starts, "right") - 1
+        order = np.lexsort((starts, runs, owner))
+        runs, owner, starts, ends = runs[order], owner[order], starts[order], ends[order]
+        new = np.flatnonzero(np.concatenate([[True], (runs[1:] != runs[:-1]) | (owner[1:] != owner[:-1])]))
+        last = np.concatenate([new[1:], [len(runs)]]) - 1
+        rows, base = owner[new], offsets[owner[new]]
+        own = pa.array(rows)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(runs[new].view(np.int64)), batch.column(0).take(own), batch.column(1).take(own), pa.array((starts[new] - base).astype(np.int32)), pa.array((ends[last] - base).astype(np.int32))],
+            names=["run", "id", "of", "first", "last"],
+        )
 
 
 def rising(places: list[int]) -> list[int]:
@@ -49,215 +126,213 @@ def rising(places: list[int]) -> list[int]:
     return out[::-1]
 
 
-def align(lines: list[tuple[int, list[int]]]) -> dict[int, int]:
-    """Patience diff of one pair: (line of the later document, its places in the owner) to aligned line -> place.
-
-    lines: the later document's common lines in order; equal lines have equal lists of places.
-    """
-    times: dict[int, int] = {}
-    for _, places in lines:
-        if len(places) == 1:
-            times[places[0]] = times.get(places[0], 0) + 1
-    once = [k for k, (_, places) in enumerate(lines) if len(places) == 1 and times[places[0]] == 1]
-    anchors = [once[k] for k in rising([lines[k][1][0] for k in once])]
-    found: dict[int, int] = {}
-    edges = [(-1, -1), *((k, lines[k][1][0]) for k in anchors), (len(lines), 1 << 60)]
+def align(own: list[int | None], places: dict[int, list[int]], other: list[int]) -> dict[int, int]:
+    """Patience diff: piece of the later text -> piece of the earlier one; own: None where a piece is gone, places: of each hash in other."""
+    count: dict[int, int] = {}
+    for x in own:
+        if x is not None:
+            count[x] = count.get(x, 0) + 1
+    once = [k for k, x in enumerate(own) if x is not None and count[x] == 1 and len(places.get(x, ())) == 1]
+    anchors = [once[k] for k in rising([places[own[k]][0] for k in once])]
+    found = {k: places[own[k]][0] for k in anchors}
+    edges = [(-1, -1), *sorted(found.items()), (len(own), len(other))]
     for (k, low), (end, high) in zip(edges[:-1], edges[1:], strict=True):
-        if k >= 0:
-            found[lines[k][0]] = low
-        # Between two anchors: repeated lines in order, the nearest place after the last one first.
-        last = low
-        for line, places in lines[k + 1 : end]:
-            at = bisect_left(places, last + 1)
-            if at < len(places) and places[at] < high:
-                last = found[line] = places[at]
+        # Equal neighbours of either anchor, then what is left between in order, the nearest place first.
+        while k >= 0 and k + 1 < end and low + 1 < high and own[k + 1] == other[low + 1]:
+            k, low = k + 1, low + 1
+            found[k] = low
+        while end < len(own) and end - 1 > k and high - 1 > low and own[end - 1] == other[high - 1]:
+            end, high = end - 1, high - 1
+            found[end] = high
+        for line in range(k + 1, end):
+            spots = places.get(own[line], ()) if own[line] is not None else ()
+            at = bisect_left(spots, low + 1)
+            if at < len(spots) and spots[at] < high:
+                low = found[line] = spots[at]
     return found
 
 
-def blocks(found: dict[int, int], words: dict[int, int], least: int) -> list[tuple[int, int]]:
-    """Ranges of aligned lines to delete.  Lines with the same shift and at most two lines between them are one block."""
-    out: list[tuple[int, int]] = []
+def blocks(found: dict[int, int], words: list[int], least: int) -> set[int]:
+    """Aligned pieces to delete.  Pieces with the same shift and at most GAP others between them are one block."""
+    out: set[int] = set()
     group: list[int] = []
-
-    def close() -> None:
-        if sum(words[x] for x in group) >= least:
-            for x in group:
-                if out and out[-1][1] == x - 1:
-                    out[-1] = (out[-1][0], x)
-                else:
-                    out.append((x, x))
-
-    for line in sorted(found):
-        if group and (line - group[-1] > 3 or found[line] - line != found[group[-1]] - group[-1]):
-            close()
+    for k in [*sorted(found), None]:
+        if group and (k is None or k - group[-1] > GAP + 1 or found[k] - k != found[group[-1]] - group[-1]):
+            if sum(words[x] for x in group) >= least:
+                out.update(group)
             group = []
-        group.append(line)
-    close()
+        if k is not None:
+            group.append(k)
     return out
 
 
-def passages(lines: list[tuple[int, list[int]]], words: dict[int, int], least: int) -> set[int]:
-    """Lines of the later document to delete: what a pass leaves is aligned again, with all places, until no block is found."""
+def _windows(hashes: list[int], words: list[int], least: int) -> Iterator[tuple[int, int]]:
+    """The shortest runs of `least` words, as first piece and end."""
+    end = total = 0
+    for k in range(len(hashes)):
+        while total < least and end < len(hashes):
+            total += words[end]
+            end += 1
+        if total < least:
+            return
+        yield k, end
+        total -= words[k]
+
+
+def passages(own: list[int], words: list[int], other: list[int], other_words: list[int], least: int) -> set[int]:
+    """Pieces of the later text to delete: blocks of the alignments, round by round, and the runs that no round has met."""
+    mine, left = set(own), list(own)
+    places: dict[int, list[int]] = {}
+    for k, x in enumerate(other):
+        if x in mine:
+            places.setdefault(x, []).append(k)
     gone: set[int] = set()
-    while sum(words[line] for line, _ in lines) >= least:
-        cut = {x for a, b in blocks(align(lines), words, least) for x in range(a, b + 1)}
+    for _ in range(PASSES):
+        cut = blocks(align(left, places, other), words, least)
         if not cut:
             break
         gone |= cut
-        lines = [x for x in lines if x[0] not in cut]
+        for k in cut:
+            left[k] = None
+    # From each piece on, and up to each piece: every piece of a longer common run stands in one of these.
+    n = len(own)
+    for mirrored in (False, True):
+        mine_, theirs = ((own[::-1], words[::-1]), (other[::-1], other_words[::-1])) if mirrored else ((own, words), (other, other_words))
+        common = None
+        for k, end in _windows(*mine_, least):
+            if any((n - 1 - x if mirrored else x) not in gone for x in range(k, end)) and all(x in places for x in mine_[0][k:end]):
+                if common is None:
+                    common = {tuple(theirs[0][a:b]) for a, b in _windows(*theirs, least)}
+                if tuple(mine_[0][k:end]) in common:
+                    gone.update((n - 1 - x if mirrored else x) for x in range(k, end))
     return gone
 
 
-def ranges(lines: set[int]) -> list[tuple[int, int]]:
-    """First and last line of each run of neighbours."""
+def _ranges(places: set[int]) -> list[tuple[int, int]]:
+    """First and end of each run of neighbours."""
     out: list[tuple[int, int]] = []
-    for x in sorted(lines):
-        if out and out[-1][1] == x - 1:
-            out[-1] = (out[-1][0], x)
+    for x in sorted(places):
+        if out and out[-1][1] == x:
+            out[-1] = (out[-1][0], x + 1)
         else:
-            out.append((x, x))
+            out.append((x, x + 1))
     return out
 
 
-def runs(lines: list[tuple[int, int, bytes]], least: int) -> list[tuple[int, int]]:
-    """First and last position of the shortest runs of `least` words from each line on, and up to each line.
-
-    lines: a document's shared lines in order as line, words, hash.  A run has two lines at least, and at most two
-    other lines between neighbours, as blocks have.  Every line of a longer common run stands in one of these.
-    """
-    out: set[tuple[int, int]] = set()
-    begin = 0
-    for end in range(len(lines) + 1):
-        if 0 < end < len(lines) and lines[end][0] - lines[end - 1][0] <= 3 or end == 0:
-            continue
-        # One stretch: positions begin to end - 1; two pointers from either side.
-        last, total = begin - 1, 0
-        for k in range(begin, end):
-            while total < least and last + 1 < end:
-                last += 1
-                total += lines[last][1]
-            if total < least:
-                break
-            out.add((k, last))
-            total -= lines[k][1]
-        at, total = end, 0
-        for k in range(end - 1, begin - 1, -1):
-            while total < least and at > begin:
-                at -= 1
-                total += lines[at][1]
-            if total < least:
-                break
-            out.add((at, k))
-            total -= lines[k][1]
-        begin = end
-    return sorted(x for x in out if x[0] < x[1])
-
-
-def _runs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """(key, lines: line, words, owner, a, b) to (key, run: hash, owner: that of all its lines or null)."""
-    for batch in batches:
-        keys, hashes, owners = [], [], []
-        for k, rows in enumerate(batch.column(1).to_pylist()):
-            lines = [(x["line"], x["words"], x["a"].to_bytes(8, "big", signed=True) + x["b"].to_bytes(4, "big", signed=True)) for x in rows]
-            for a, b in runs(lines, least):
-                steps = (((lines[x][0] - lines[x - 1][0]) if x > a else 0).to_bytes(1, "big") + lines[x][2] for x in range(a, b + 1))
-                keys.append(k)
-                hashes.append(blake2b(b"".join(steps), digest_size=16).digest())
-                one = {rows[x]["owner"] for x in range(a, b + 1)}
-                owners.append(one.pop() if len(one) == 1 else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys, pa.int64())), pa.array(hashes, pa.binary()), pa.array(owners, pa.int64())], names=["key", "run", "one"])
-
-
-def _run_pairs(shared: DataFrame, least: int) -> DataFrame:
-    """(key, owner): later documents and the first documents that hold one of their runs, where the lines' own owners do not give the pair."""
-    # Lines of `least` words need no run; a document whose lines all have one owner that is itself first still holds its runs.
-    rows = shared.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("line", "words", "owner", "h.a", "h.b"))).alias("lines")).filter(F.size("lines") > 1)
-    found = materialise(rows.mapInArrow(lambda it: _runs(it, least), "key struct<id: long, of: long>, run binary, one long"), "runs")
-    first = found.groupBy("run").agg(F.min("key.id").alias("owner"), F.max("key.id").alias("top")).filter("owner < top").select("run", "owner")
-    met = found.join(materialise(first, "run-owners"), "run").filter("key.id > owner")
-    return met.filter("one is null or one <> owner").select("key", "owner").distinct()
-
-
 def _aligned(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """(key, lines: owner, by_run, lines (equal ones), words, places) to (key, cut: first and last line of each range, lines cut)."""
+    """(id, of, first, own, words, other, other_words) to (id, of, cut: pieces from, until)."""
     for batch in batches:
-        keys, cuts, numbers = [], [], []
-        for k, rows in enumerate(batch.column(1).to_pylist()):
-            pairs: dict[tuple[int, bool], dict[int, tuple[int, list[int]]]] = {}
-            for x in rows:
-                own = pairs.setdefault((x["owner"], x["by_run"]), {})
-                for line in x["lines"]:
-                    own[line] = (x["words"], x["places"])
-            gone: set[int] = set()
-            for own in pairs.values():
-                gone |= passages([(line, own[line][1]) for line in sorted(own)], {line: w for line, (w, _) in own.items()}, least)
+        rows, cuts = [], []
+        columns = [batch.column(k) for k in range(2, 7)]
+        for k in range(batch.num_rows):
+            first, *lists = (c[k].as_py() for c in columns)
+            gone = passages(*lists, least)
             if gone:
-                keys.append(k)
-                cuts.append([{"first": a, "last": b} for a, b in ranges(gone)])
-                numbers.append(len(gone))
-        kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys, pa.int64())), pa.array(cuts, kind), pa.array(numbers, pa.int64())], names=["key", "cut", "n_cut"])
+                rows.append(k)
+                cuts.append([{"from": first + a, "until": first + b} for a, b in _ranges(gone)])
+        kind = pa.list_(pa.struct([("from", pa.int32()), ("until", pa.int32())]))
+        taken = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), batch.column(1).take(taken), pa.array(cuts, kind)], names=["id", "of", "cut"])
 
 
-def _lines(text: Column) -> Column:
-    return F.split(text, "\n", -1)
+def _key(docs_id: Column, text: Column) -> tuple[Column, Column]:
+    return docs_id.cast("long"), F.xxhash64(text.cast("string"))
 
 
 def line_cuts(docs: DataFrame, least: int = MIN_BLOCK_WORDS) -> DataFrame:
-    """(key, cut, n_cut) of the rows that lose lines; key: doc_id and the text's hash."""
-    key = F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("of")).alias("key")
-    own = docs.filter(F.col("doc_id").isNotNull()).select(key, F.posexplode(_lines(F.col("text").cast("string"))).alias("line", "raw"))
-    own = own.select("key", "line", F.trim("raw").alias("raw")).filter("raw <> ''")
-    words = F.length("raw") - F.length(F.replace("raw", F.lit(" "), F.lit(""))) + 1
-    own = own.select("key", "line", words.alias("words"), F.struct(F.xxhash64("raw").alias("a"), F.hash("raw").alias("b")).alias("h"))
-    # min and max of the id tell a shared line.  The join of the occurrences can be split by the engine, so that a
-    # line that very many documents hold is no hot key; all that follows reads the narrow table of shared lines.
-    first = own.groupBy("h").agg(F.min("key.id").alias("owner"), F.max("key.id").alias("top")).filter("owner < top").select("h", "owner")
-    # Written first: a join in one stage with the aggregate could not be split.
-    first = materialise(first, "owners")
-    shared = materialise(own.join(first, "h").select("key", "line", "words", "h", "owner"), "shared")
-    places = materialise(shared.filter("key.id = owner").groupBy("h", "owner").agg(F.array_sort(F.collect_set("line")).alias("places")), "places")
-    # No block can have more words than the pair shares.  Places are fetched once for each line of a pair, not for each copy of it.
-    met = shared.filter("key.id > owner").groupBy("key", "owner", "h", "words").agg(F.collect_list("line").alias("lines"))
-    enough = met.groupBy("key", "owner").agg(F.sum(F.col("words") * F.size("lines")).alias("all")).filter(F.col("all") >= least).select("key", "owner")
-    later = met.join(enough, ["key", "owner"], "left_semi").join(places, ["h", "owner"])
-    # Pairs by runs are aligned on all lines that they share, whoever owns them.
-    pairs = materialise(_run_pairs(shared, least), "run-pairs")
-    held = shared.withColumnRenamed("owner", "line_owner").groupBy(F.col("key.id").alias("owner"), "h")
-    held = held.agg(F.array_sort(F.collect_set("line")).alias("places")).join(pairs.select("owner").distinct(), "owner", "left_semi")
+    """(id, of, cut) of the texts that lose pieces; id: doc_id, of: the text's hash, cut: ranges of pieces."""
+    id_, of = _key(F.col("doc_id"), F.col("text"))
+    own = docs.filter("doc_id is not null and text is not null").select(id_.alias("id"), of.alias("of"), F.col("text").cast("string").alias("text"))
+    hashed = materialise(own.mapInArrow(_hashed, "id long, of long, hashes array<long>, words array<int>"), "pieces")
+    runs = hashed.mapInArrow(lambda it: _runs(it, least), "run long, id long, of long, first int, last int")
+    # Partial sums meet first, so a run that very many documents hold is no hot key.  Written, so that the join can be split.
+    first = runs.groupBy("run").agg(F.min("id").alias("owner"), F.max("id").alias("top")).filter("owner < top").select("run", "owner")
+    met = materialise(runs.join(materialise(first, "owners"), "run"), "shared")
+    held = met.filter("id = owner").select("run", F.col("id").alias("e_id"), F.col("of").alias("e_of"), F.col("first").alias("e_first"), F.col("last").alias("e_last")).dropDuplicates(["run", "e_id", "e_of"])
     held = materialise(held, "held")
-    more = shared.drop("owner").join(pairs, "key").groupBy("key", "owner", "h", "words").agg(F.collect_list("line").alias("lines")).join(held, ["h", "owner"])
-    columns = ["key", "owner", "lines", "words", "places"]
-    later = later.select(*columns, F.lit(False).alias("by_run")).union(more.select(*columns, F.lit(True).alias("by_run")))
-    rows = later.groupBy("key").agg(F.collect_list(F.struct("owner", "by_run", "lines", "words", "places")).alias("lines"))
-    return rows.select("key", "lines").mapInArrow(lambda it: _aligned(it, least), "key struct<id: long, of: long>, cut array<struct<first: int, last: int>>, n_cut long")
+    linked = met.filter("id > owner").join(held, "run").groupBy("id", "of", "e_id", "e_of")
+    pairs = materialise(linked.agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min("e_first").alias("e_first"), F.max("e_last").alias("e_last")), "pairs")
+    # The pieces of the documents in pairs, one row a text however often it is repeated.
+    named = pairs.select("id", "of").union(pairs.select("e_id", "e_of")).distinct()
+    texts = materialise(hashed.join(named, ["id", "of"]).groupBy("id", "of").agg(F.first("hashes").alias("hashes"), F.first("words").alias("words")), "texts")
+    # What a common block has beyond its last run has under `least` words, so under `least` pieces.
+    low = lambda a: F.greatest(F.col(a) - least, F.lit(0))
+    span = lambda c, a, b: F.slice(c, low(a) + 1, F.col(b) + least - low(a))
+    earlier = texts.select(F.col("id").alias("e_id"), F.col("of").alias("e_of"), F.col("hashes").alias("e_hashes"), F.col("words").alias("e_words"))
+    rows = pairs.join(earlier, ["e_id", "e_of"]).select("id", "of", "first", "last", span("e_hashes", "e_first", "e_last").alias("other"), span("e_words", "e_first", "e_last").alias("other_words"))
+    rows = rows.join(texts, ["id", "of"]).select("id", "of", low("first").alias("first"), span("hashes", "first", "last").alias("own"), span("words", "first", "last").alias("own_words"), "other", "other_words")
+    found = rows.mapInArrow(lambda it: _aligned(it, least), "id long, of long, cut array<struct<from: int, until: int>>")
+    return found.groupBy("id", "of").agg(F.flatten(F.collect_list("cut")).alias("cut"))
+
+
+def without_pieces(text: str, cut: list[tuple[int, int]]) -> tuple[str, int, int]:
+    """text without the pieces in cut; lines that lost all their pieces, and words cut.
+
+    A line without any piece left goes with its end; in other lines the white space after a piece goes with it
+    (or that before it, at the line's end).
+    """
+    raw = text.encode("utf-8", "surrogatepass")
+    data = np.frombuffer(raw, np.uint8)
+    starts, ends, words, lines, _ = pieces(data, np.array([0, len(raw)]))
+    gone = np.zeros(len(starts) + 1, np.int64)
+    for a, b in cut:
+        gone[a] += 1
+        gone[b] -= 1
+    gone = np.cumsum(gone)[:-1] > 0
+    out, dropped = [], 0
+    begin = np.searchsorted(lines, np.arange(raw.count(b"\n") + 2))
+    at = 0
+    for k, line in enumerate(raw.split(b"\n")):
+        a, b = begin[k], begin[k + 1]
+        lost = np.flatnonzero(gone[a:b]) + a
+        if len(lost) and len(lost) == b - a:
+            dropped += 1
+        elif len(lost):
+            kept, last = [], 0
+            for x in lost:
+                kept.append(line[last : max(last, starts[x] - at)])
+                last = (starts[x + 1] if x + 1 < b else ends[x]) - at
+            whole = b"".join(kept)
+            out.append((whole.rstrip() if lost[-1] == b - 1 else whole) + line[last:])
+        else:
+            out.append(line)
+        at += len(line) + 1
+    return b"\n".join(out).decode("utf-8", "surrogatepass"), dropped, int(words[gone].sum())
 
 
-def dedup_lines(docs: DataFrame, least: int = MIN_BLOCK_WORDS) -> DataFrame:
-    """docs with common blocks deleted from the text of later documents, and n_lines and n_cut (both long).
+def _rebuilt(text: pd.Series, cut: pd.Series) -> pd.DataFrame:
+    rows = [without_pieces(t, [(x["from"], x["until"]) for x in c]) if t is not None and c is not None else (None, 0, 0) for t, c in zip(text, cut, strict=True)]
+    return pd.DataFrame(rows, columns=["text", "n_cut", "words_cut"])
+
 
-    Lines are split at \\n and compared without spaces around them; blank lines match nothing.  The document
-    with the smallest doc_id keeps a shared line.  A block of aligned lines goes if it has at least `least`
-    words.  Null text and null doc_id: the row is untouched.  Rows that share doc_id and text get the same
-    result; repeats inside one document stay.  A text that loses all its lines becomes empty.  Extra columns,
-    whatever their names, are kept.
+def dedup_lines(docs: DataFrame, least: int = MIN_BLOCK_WORDS) -> DataFrame:
+    """docs with common blocks deleted from the text of later documents, and n_lines, n_cut and words_cut (all long).
+
+    Lines are split at \\n, pieces are compared without white space around them; blank lines match nothing.  A
+    word is a run of anything but space and \\x09-\\x0D, and counts once for each WORD_BYTES bytes begun.  The
+    document with the smallest doc_id keeps a shared block.  n_cut counts lines of which nothing is left.  Null
+    text and null doc_id: the row is untouched.  Rows that share doc_id and text get the same result, rows that
+    share the doc_id alone are not compared; repeats inside one document stay.  A text that loses all its
+    pieces becomes empty.  Extra columns, whatever their names, are kept.
     """
     if not docs.columns:
         return docs
     kept = [f"c{k}" for k in range(len(docs.columns))]
     place = {name: kept[k] for k, name in enumerate(docs.columns)}
     cuts = line_cuts(docs.select("doc_id", "text"), least)
-    own = docs.toDF(*kept).withColumn("key", F.struct(F.col(place["doc_id"]).cast("long").alias("id"), F.xxhash64(F.col(place["text"]).cast("string")).alias("of")))
-    out = own.join(cuts.withColumnRenamed("key", "of"), F.col("key") == F.col("of"), "left")
     text = F.col(place["text"]).cast("string")
-    lines = _lines(text)
-    left = F.filter(lines, lambda x, i: ~F.exists("cut", lambda r: (r.first <= i) & (i <= r.last)))
-    rebuilt = F.when(F.col("cut").isNull(), text).otherwise(F.array_join(left, "\n"))
-    columns = [(rebuilt if name == "text" else F.col(place[name])).alias(name) for name in docs.columns if name not in ("n_lines", "n_cut")]
-    return out.select(*columns, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce("n_cut", F.lit(0)).cast("long").alias("n_cut"))
+    id_, of = _key(F.col(place["doc_id"]), F.col(place["text"]))
+    out = docs.toDF(*kept).withColumn("own_id", id_).withColumn("own_of", of).join(cuts, (F.col("own_id") == F.col("id")) & (F.col("own_of") == F.col("of")), "left")
+    # Only texts that lose something reach Python.
+    rebuild = F.pandas_udf(_rebuilt, "text string, n_cut long, words_cut long")
+    out = out.select(*kept, "cut", rebuild(F.when(F.col("cut").isNotNull(), text), F.col("cut")).alias("new"))
+    rebuilt = F.when(F.col("cut").isNull(), text).otherwise(F.col("new.text"))
+    columns = [(rebuilt if name == "text" else F.col(place[name])).alias(name) for name in docs.columns if name not in ("n_lines", "n_cut", "words_cut")]
+    lines = F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
+    return out.select(*columns, lines.alias("n_lines"), F.coalesce("new.n_cut", F.lit(0)).cast("long").alias("n_cut"), F.coalesce("new.words_cut", F.lit(0)).cast("long").alias("words_cut"))
 
 
 def without_copies(docs: DataFrame, least: int = MIN_BLOCK_WORDS) -> DataFrame:
     """dedup_lines with docs' own columns; rows that lost all their words go."""
     out = dedup_lines(docs, least)
-    return out.filter((F.col("n_cut") == 0) | F.col("text").rlike(r"\S")).select(*docs.columns)
+    return out.filter((F.col("words_cut") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)

@@ -29,7 +29,7 @@ def op3_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_cut")
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_cut", "words_cut")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,9 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from annolith.llm import langid, linededup, packing, quality, toxicity
+from annolith.llm import langid, packing, quality, toxicity
 from annolith.llm.decontam import contamination, decontaminate
-from annolith.llm.linededup import dedup_lines
 from annolith.llm.neardup import deduplicate, near_duplicates
 from conftest_prose import prose
 
@@ -189,68 +188,6 @@ def test_packing_nothing(nothing):
     assert packing.pack(nothing).count() == 0
 
 
-# ---- line dedup
-
-
-def test_align_is_ordered():
-    assert linededup.align([(0, [3]), (1, [1]), (2, [2]), (3, [5])]) == {1: 1, 2: 2, 3: 5}
-    assert linededup.align([(0, [0, 4]), (1, [1]), (2, [0, 4])]) == {0: 0, 1: 1, 2: 4}
-
-
-def test_line_dedup(small):
-    out = dedup_lines(small)
-    assert out.columns == [*small.columns, "n_lines", "n_cut"]
-    got = {r.doc_id: r for r in out.collect() if r.doc_id is not None}
-    passage = prose(3, 40)
-    assert passage in got[10].text and passage not in got[11].text
-    assert got[11].text == prose(5, 9) + "\nother tail" and got[11].n_cut == 1
-    assert got[0].text == prose(1, 60) and got[1].text == "" and got[1].n_cut == 1
-    for k in (2, 3, 4, 5, 6, 7, 8, 9, 12, 13):
-        assert got[k].text == {r.doc_id: r.text for r in small.collect()}[k]
-    assert [r.text for r in out.filter("doc_id is null").collect()] == [prose(1, 60)]
-    assert out.count() == small.count()
-
-
-def test_lines_repeated_often(spark):
-    base = "\n".join(["Of it."] * 30 + [prose(3, 25)] + ["Of it."] * 30)
-    docs = spark.createDataFrame([(1, base), (2, base), (3, "\n".join(["Of it."] * 40)), (4, prose(3, 25) + "\nOf it.")], "doc_id long, text string")
-    got = {r.doc_id: r.text for r in dedup_lines(docs).collect()}
-    assert got == {1: base, 2: "", 3: "\n".join(["Of it."] * 40), 4: ""}
-
-
-def test_stanza_repeated_often(spark):
-    stanza = "\n".join(prose(100 + k, 15) for k in range(4))
-    owner = "\n".join([stanza] * 17)
-    docs = spark.createDataFrame([(1, owner), (2, prose(8, 12) + "\n" + stanza), (3, "Of it.\n" + prose(9, 12))], "doc_id long, text string")
-    got = {r.doc_id: r.text for r in dedup_lines(docs).collect()}
-    assert got == {1: owner, 2: prose(8, 12), 3: "Of it.\n" + prose(9, 12)}
-
-
-def test_passages_in_other_order_and_repeated(spark):
-    one, two = ("\n".join(prose(k, 15) for k in range(a, a + 4)) for a in (110, 120))
-    texts = [two + "\n" + one, one + "\n" + two, f"Here.\n{one}\nThere.\n{one}"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: (r.text, r.n_cut) for r in dedup_lines(docs).collect()}
-    assert got == {0: (texts[0], 0), 1: ("", 8), 2: ("Here.\nThere.", 8)}
-
-
-def test_passage_with_several_owners(spark):
-    lines = [prose(k, 15) for k in range(130, 134)]
-    texts = [*lines, "\n".join(lines), "Here.\n" + "\n".join(lines)]
-    docs = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
-    got = {r.doc_id: r.text for r in dedup_lines(docs).collect()}
-    assert got == dict(enumerate(texts, 1)) | {6: "Here."}
-
-
-def test_runs():
-    lines = [(k, w, b"") for k, w in ((0, 30), (1, 1), (2, 15), (9, 15), (10, 4), (11, 1), (20, 50))]
-    assert linededup.runs(lines, 20) == [(0, 1), (0, 2), (3, 5)]
-
-
-def test_line_dedup_of_nothing(nothing):
-    assert dedup_lines(nothing).count() == 0
-
-
 # ---- quality
 
 

@@ -1,6 +1,5 @@
 """The pipeline and the registered queries on the driver's smallest tables, against plain Python and SQL."""
 
-import re
 import sys
 from collections import defaultdict
 from pathlib import Path
@@ -9,11 +8,12 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from annolith.llm import linededup, packing
+from annolith.llm import packing
 from annolith.llm.queries import ORACLE_SQL, QUERIES
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 from test_corpus_ops import brute_components, brute_hits  # noqa: E402
+from test_linededup import brute_line_dedup  # noqa: E402
 from tests_oracle import oracle_rows, spark_rows  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
@@ -32,37 +32,11 @@ def test_whole_table(spark, name):
     assert {r[0] for r in out.select(key).collect()} == {r[0] for r in table.select(key).collect()}
 
 
-def brute_line_dedup(texts):
-    """Every line linked to its first document, plain patience diff of each pair, blocks of 20 words deleted."""
-    places, first, out = defaultdict(lambda: defaultdict(list)), {}, {}
-    for i in sorted(texts):
-        for k, line in enumerate((texts[i] or "").split("\n")):
-            if line.strip(" "):
-                places[i][line.strip(" ")].append(k)
-                first.setdefault(line.strip(" "), i)
-    for i, text in texts.items():
-        lines, gone = (text or "").split("\n"), set()
-        own = defaultdict(list)
-        for k, line in enumerate(lines):
-            owner = first.get(line.strip(" "), i)
-            if owner != i:
-                own[owner].append((k, places[owner][line.strip(" ")]))
-        for pairs in own.values():
-            words = {k: len(re.split(" ", lines[k].strip(" "))) for k, _ in pairs}
-            if sum(words.values()) >= 20:
-                for a, b in linededup.blocks(linededup.align(pairs), words, 20):
-                    gone |= set(range(a, b + 1))
-        kept = "\n".join(x for k, x in enumerate(lines) if k not in gone)
-        if not gone or kept.strip():
-            out[i] = kept if gone else text
-    return out
-
-
 def test_pipeline_against_brute_force(spark):
     rows = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
     texts = {r.doc_id: r.text for r in rows if any(c.isalpha() for c in r.text or "")}
-    texts = brute_line_dedup(texts)
+    texts = {i: t for i, (t, words) in brute_line_dedup(texts).items() if not words or t.split()}
     kept = {i for i, v in brute_components(texts.items()).items() if v[2]}
     clean = {i: t for i, t in texts.items() if i in kept and not brute_hits(t, items)[-1]}
     encode = packing.Encoder(None, None)
