@@ -92,27 +92,25 @@ def _url_sql() -> str:
     number = "regexp_replace(x, '^[0-9]+(?:[-_.:][0-9]+)*($|\\.[A-Za-z]{1,5}$)', '*\\1')"
     shape = f"CASE WHEN regexp_matches({number}, '^[0-9a-fA-F-]{{8,}}(\\.[A-Za-z]{{1,5}})?$') AND regexp_matches({number}, '^[0-9a-fA-F-]*[0-9]') THEN regexp_replace({number}, '^[0-9a-fA-F-]{{8,}}', '*') ELSE {number} END"
     levels = ""
+    side = f"CASE WHEN labelled > 0 THEN CASE WHEN 2 * blocked >= labelled THEN '{u.MERGED['block']}' ELSE '{u.MERGED['allow']}' END END"
+    share = "(s_blocked / s_labelled::DOUBLE)"
+    similar = f"abs(blocked / labelled::DOUBLE - (s_blocked - blocked)::DOUBLE / (s_labelled - labelled)::DOUBLE) <= {u.SIMILAR} * sqrt({share} * (1 - {share}) * (1 / labelled::DOUBLE + 1 / (s_labelled - labelled)::DOUBLE))"
     for k in range(u.DEPTH):
         levels += f""",
-        p{k} AS (SELECT host, template, shape[{k + 1}] AS seg, sum(n) AS n FROM t{k} WHERE len(shape) > {k} GROUP BY 1, 2, 3),
-        w{k} AS (SELECT host, template FROM p{k} GROUP BY 1, 2 HAVING count(*) >= {u.MANY} AND sum(n) < {u.REPEATS} * count(*)),
-        t{k + 1} AS (SELECT t.host, shape, n, labelled, blocked, CASE WHEN len(shape) > {k} THEN list_append(t.template, CASE WHEN w.host IS NOT NULL THEN '*' ELSE shape[{k + 1}] END) ELSE t.template END AS template
-               FROM t{k} t LEFT JOIN w{k} w ON t.host = w.host AND t.template = w.template)"""
-    sums = "sum(n)::DOUBLE AS n, sum(labelled)::DOUBLE AS labelled, sum(blocked)::DOUBLE AS blocked"
-    mean = "p.blocked / nullif(p.labelled, 0)"
-    similar = f"n.labelled = 0 OR abs(n.blocked / nullif(n.labelled, 0) - {mean}) <= {u.SIMILAR} * sqrt(greatest({mean} * (1 - {mean}), 1e-4) / nullif(n.labelled, 0))"
+        p{k} AS (SELECT host, template, shape[{k + 1}] AS seg, sum(n) AS n, sum(labelled) AS labelled, sum(blocked) AS blocked FROM t{k} WHERE len(shape) > {k} GROUP BY 1, 2, 3),
+        q{k} AS (SELECT *, {side} AS side, count(*) OVER point AS many, sum(n) OVER point AS whole FROM p{k} WINDOW point AS (PARTITION BY host, template)),
+        s{k} AS (SELECT *, count(*) OVER own AS peers, sum(labelled) OVER own AS s_labelled, sum(blocked) OVER own AS s_blocked FROM q{k} WINDOW own AS (PARTITION BY host, template, side)),
+        b{k} AS (SELECT host, template, seg, CASE WHEN many >= {u.MANY} AND whole < {u.REPEATS} * many THEN '*' WHEN side IS NOT NULL AND peers > 1 THEN CASE WHEN {similar} THEN side ELSE seg END ELSE seg END AS name FROM s{k}),
+        t{k + 1} AS (SELECT t.host, shape, n, labelled, blocked, CASE WHEN b.host IS NOT NULL THEN list_append(t.template, name) ELSE t.template END AS template
+               FROM t{k} t LEFT JOIN b{k} b ON t.host = b.host AND t.template = b.template AND t.shape[{k + 1}] = b.seg)"""
     return f"""WITH a AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
         h AS (SELECT page_id, {_LOWER.replace("coalesce(text, '')", "regexp_extract(rest, '^[^/?#]*', 0)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
         r AS (SELECT *, {case(1)} AS rule, {case(0)} AS by_rule, list_filter(string_split(path, '/'), lambda x: x <> '') AS pieces FROM h),
-        g AS (SELECT *, list_concat(list_transform(pieces[1:{u.DEPTH}], lambda x: {shape}), CASE WHEN len(pieces) > {u.DEPTH} THEN ['**'] ELSE [] END) AS shape FROM r),
+        g AS (SELECT *, list_transform(pieces, lambda x: {shape}) AS shape FROM r),
         c AS (SELECT host, shape, count(*) AS n, count(by_rule) AS labelled, count(*) FILTER (WHERE by_rule = 'block') AS blocked FROM g GROUP BY 1, 2),
         t0 AS (SELECT *, CAST([] AS VARCHAR[]) AS template FROM c){levels},
-        f AS (SELECT host, shape, n, labelled, blocked, CASE WHEN len(shape) > {u.DEPTH} THEN list_append(template, '**') ELSE template END AS template FROM t{u.DEPTH}),
-        nodes AS (SELECT host, template, template[2:] AS below, {sums} FROM f GROUP BY 1, 2, 3),
-        pool AS (SELECT host, below, {sums} FROM nodes GROUP BY 1, 2),
-        k AS (SELECT n.host, n.template, CASE WHEN {similar} THEN p.n ELSE n.n END AS n, CASE WHEN {similar} THEN p.labelled ELSE n.labelled END AS labelled, CASE WHEN {similar} THEN p.blocked ELSE n.blocked END AS blocked
-              FROM nodes n JOIN pool p ON n.host = p.host AND n.below = p.below),
-        v AS (SELECT host, template, (blocked + ({u.WEIGHT} + {u.UNLABELLED} * (n - labelled)) * {u.PRIOR}) / (labelled + {u.WEIGHT} + {u.UNLABELLED} * (n - labelled)) AS pure FROM k)
+        f AS (SELECT host, shape, labelled, blocked, list_concat(template, shape[{u.DEPTH + 1}:]) AS template FROM t{u.DEPTH}),
+        v AS (SELECT host, template, (sum(blocked)::DOUBLE + {u.WEIGHT * u.PRIOR}) / (sum(labelled)::DOUBLE + {u.WEIGHT}) AS pure FROM f GROUP BY 1, 2)
         SELECT page_id, g.host, path, rule, CASE WHEN by_rule IS NOT NULL THEN by_rule WHEN pure >= {u.PURE} THEN 'block' ELSE 'allow' END AS verdict,
                CASE WHEN by_rule IS NULL THEN '/' || array_to_string(f.template, '/') END AS template
         FROM g JOIN f ON g.host = f.host AND g.shape = f.shape JOIN v ON f.host = v.host AND f.template = v.template"""

@@ -1,11 +1,12 @@
 """URL filter: host and path rules, and a path-template tree for what the rules leave open.
 
 Each host's paths form a tree of segments.  Segments that are variable by their form (numbers,
-hashes, dates) become wildcards at once; at each level, a branch point with many distinct
-segments that hardly repeat becomes one wildcard too.  Sibling branches with the same
-structure below and label rates that do not differ significantly are merged.  A template is
-rejected if the smoothed share of blocked urls among its labelled ones (those that a rule
-decides) is high; unlabelled urls shrink it towards a low prior.
+hashes, dates) become wildcards at once.  Level by level, a branch point with many distinct
+segments that hardly repeat becomes one wildcard too; of the other branches, those whose
+labelled urls (those that a rule decides) lean to the same side are merged if a two-proportion
+test finds no difference between a branch and the others of its side.  Branches without labels
+are merged with nothing.  A template is rejected if the smoothed share of blocked urls among
+its labelled ones is high; without labels it keeps the prior, which allows.
 
 Only DataFrame functions are used.  Pages are first counted by host and shaped path, so that a
 host's share of all rows meets in counts and not in rows.
@@ -20,15 +21,17 @@ from annolith.llm.common import lower_ascii, materialise
 
 #: Verdict and pattern; the longest that fits wins.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: Levels of a template; deeper segments share the last one.
-DEPTH = 4
+#: Levels at which branches are generalised and merged; deeper segments stay as they are shaped, each its own branch.
+DEPTH = 6
 #: A branch point is a wildcard from so many distinct segments on, if they repeat less than this on average.
 MANY, REPEATS = 16, 4.0
 #: Standard errors within which label rates of branches count as similar.
 SIMILAR = 2.0
-#: Prior share of blocked urls, its weight, the weight of an unlabelled url, and the purity that rejects.
-PRIOR, WEIGHT, UNLABELLED, PURE = 0.2, 4.0, 0.5, 0.7
+#: Prior share of blocked urls and its weight in labelled urls, and the purity that rejects.
+PRIOR, WEIGHT, PURE = 0.2, 4.0, 0.7
 WILD = "*"
+#: Names of merged branches.
+MERGED = {"block": "{block}", "allow": "{allow}"}
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -50,45 +53,49 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RUL
 
 
 def shaped(path: Column) -> Column:
-    """Up to DEPTH segments, those variable by form as wildcards (with a file's ending kept)."""
-    pieces = F.filter(F.split(path, "/", -1), lambda x: x != "")
+    """All segments, those variable by form as wildcards (with a file's ending kept)."""
 
     def shape(x: Column) -> Column:
         number = F.regexp_replace(x, r"\A[0-9]+(?:[-_.:][0-9]+)*(?=\z|\.[A-Za-z]{1,5}\z)", WILD)
         return F.regexp_replace(number, r"\A(?=[0-9a-fA-F-]*[0-9])[0-9a-fA-F-]{8,}(?=\z|\.[A-Za-z]{1,5}\z)", WILD)
 
-    head = F.transform(F.slice(pieces, 1, DEPTH), shape)
-    return F.when(F.size(pieces) > DEPTH, F.concat(head, F.array(F.lit("**")))).otherwise(head)
+    return F.transform(F.filter(F.split(path, "/", -1), lambda x: x != ""), shape)
+
+
+def _branches(children: DataFrame) -> DataFrame:
+    """(host, template, segment, name): what each branch of a level is called after generalising and merging."""
+    side = F.when(F.col("labelled") > 0, F.when(2 * F.col("blocked") >= F.col("labelled"), MERGED["block"]).otherwise(MERGED["allow"]))
+    # Written, so that the joins with a branch point's sums can be split where it has very many branches.
+    children = materialise(children.withColumn("side", side), "branches", few=True)
+    points = children.groupBy("host", "template").agg(F.count("*").alias("distinct"), F.sum("n").alias("all"))
+    wild = points.filter((F.col("distinct") >= MANY) & (F.col("all") < REPEATS * F.col("distinct"))).select("host", "template", F.lit(True).alias("wild"))
+    sides = children.filter("side is not null").groupBy("host", "template", "side").agg(F.count("*").alias("peers"), F.sum("labelled").alias("s_labelled"), F.sum("blocked").alias("s_blocked"))
+    sides = sides.filter("peers > 1").drop("peers")
+    size = lambda c: F.nullif(c.cast("double"), F.lit(0.0))
+    own, others, hit = size(F.col("labelled")), size(F.col("s_labelled") - F.col("labelled")), F.col("s_blocked") - F.col("blocked")
+    share = F.col("s_blocked") / size(F.col("s_labelled"))
+    error = F.sqrt(share * (1 - share) * (1 / own + 1 / others))
+    similar = F.abs(F.col("blocked") / own - hit / others) <= SIMILAR * error
+    both = children.join(wild, ["host", "template"], "left").join(sides, ["host", "template", "side"], "left")
+    return both.select("host", "template", "segment", F.when(F.col("wild"), WILD).when(similar, F.col("side")).otherwise(F.col("segment")).alias("name"))
 
 
 def templates(shapes: DataFrame) -> DataFrame:
-    """(host, shape, template) for counted shapes (host, shape, n, labelled, blocked)."""
-    tree = shapes.withColumn("template", F.array().cast("array<string>"))
-    for level in range(DEPTH):
-        segment = F.get("shape", F.lit(level))
-        here = tree.select("host", "template", segment.alias("segment"), "n").filter("segment is not null")
-        points = here.groupBy("host", "template", "segment").agg(F.sum("n").alias("n")).groupBy("host", "template").agg(F.count("*").alias("distinct"), F.sum("n").alias("all"))
-        wild = points.filter((F.col("distinct") >= MANY) & (F.col("all") < REPEATS * F.col("distinct"))).select("host", "template", F.lit(True).alias("wild"))
-        grown = F.when(segment.isNull(), F.col("template")).otherwise(F.concat("template", F.array(F.when(F.col("wild"), WILD).otherwise(segment))))
-        tree = materialise(tree.join(wild, ["host", "template"], "left").withColumn("template", grown).drop("wild"), "tree", few=True)
-    deep = F.when(F.size("shape") > DEPTH, F.concat("template", F.array(F.lit("**")))).otherwise(F.col("template"))
-    return tree.withColumn("template", deep)
+    """(host, shape, n, labelled, blocked, template) for counted shapes (host, shape, n, labelled, blocked)."""
+    tree = materialise(shapes.withColumn("template", F.array().cast("array<string>")), "tree")
+    deepest = tree.agg(F.max(F.size("shape"))).first()[0] or 0
+    for level in range(min(DEPTH, deepest)):
+        here = tree.withColumn("segment", F.get("shape", F.lit(level)))
+        children = here.filter("segment is not null").groupBy("host", "template", "segment").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked")))
+        grown = F.when(F.col("name").isNull(), F.col("template")).otherwise(F.concat("template", F.array("name")))
+        tree = materialise(here.join(_branches(children), ["host", "template", "segment"], "left").withColumn("template", grown).drop("name", "segment"), "tree", few=True)
+    return tree.withColumn("template", F.concat("template", F.slice("shape", DEPTH + 1, F.greatest(F.size("shape") - DEPTH, F.lit(0)))))
 
 
 def purity(tree: DataFrame) -> DataFrame:
-    """(host, template, pure): smoothed labelled purity, siblings of like structure and rate pooled."""
-    nodes = tree.groupBy("host", "template").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked")))
-    nodes = nodes.withColumn("branch", F.coalesce(F.get("template", F.lit(0)), F.lit(""))).withColumn("below", F.slice("template", 2, DEPTH + 1))
-    # Siblings share host, depth and all segments below the first: their rates are compared with the pool's.
-    pool = nodes.groupBy("host", "below").agg(*(F.sum(c).alias(f"p_{c}") for c in ("n", "labelled", "blocked")))
-    both = nodes.join(pool, ["host", "below"])
-    rate, mean = F.col("blocked") / F.col("labelled"), F.col("p_blocked") / F.col("p_labelled")
-    error = F.sqrt(F.greatest(mean * (1 - mean), F.lit(1e-4)) / F.col("labelled"))
-    similar = F.when(F.col("labelled") > 0, F.abs(rate - mean) <= SIMILAR * error).otherwise(True)
-    kept = lambda c: F.when(similar, F.col(f"p_{c}")).otherwise(F.col(c))
-    weight = WEIGHT + UNLABELLED * (kept("n") - kept("labelled"))
-    pure = (kept("blocked") + weight * PRIOR) / (kept("labelled") + weight)
-    return both.select("host", "template", pure.alias("pure"))
+    """(host, template, pure): the smoothed share of blocked urls among the labelled ones."""
+    nodes = tree.groupBy("host", "template").agg(*(F.sum(c).cast("double").alias(c) for c in ("labelled", "blocked")))
+    return nodes.select("host", "template", ((F.col("blocked") + WEIGHT * PRIOR) / (F.col("labelled") + WEIGHT)).alias("pure"))
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
@@ -104,8 +111,8 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataF
     own = own.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("by_rule"), shaped(F.col("path")).alias("shape"))
     counts = [F.count("*").alias("n"), F.count("by_rule").alias("labelled"), F.count_if(F.col("by_rule") == "block").alias("blocked")]
     tree = materialise(templates(own.groupBy("host", "shape").agg(*counts)), "templates", few=True)
-    rated = tree.select("host", "shape", "template").join(purity(tree), ["host", "template"]).select("host", "shape", "template", "pure")
-    out = own.join(rated, ["host", "shape"], "left")
+    rated = tree.select("host", "shape", "template").join(materialise(purity(tree), "purity", few=True), ["host", "template"])
+    out = own.join(materialise(rated.select("host", "shape", "template", "pure"), "rated", few=True), ["host", "shape"], "left")
     chosen = F.when(F.col("by_rule").isNotNull(), F.col("by_rule")).when(F.col("pure") >= PURE, "block").otherwise("allow")
     free = F.col("by_rule").isNull()
     template = F.concat(F.lit("/"), F.array_join("template", "/"))

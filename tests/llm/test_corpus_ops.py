@@ -395,13 +395,54 @@ def test_url_rules(spark):
 def test_url_templates(spark):
     from annolith.llm import urlfilter
 
-    bad = [f"http://bad.example.com/de/{k}.html" for k in range(60)] + [f"http://bad.example.com/xx/{k}.html" for k in range(5)]
+    # Random first segments and some /de/ that a rule blocks: one wildcard, whose labelled urls are pure.
+    bad = [f"http://bad.example.com/{prose(k, 1)}x{k}/{k}.html" for k in range(40)] + [f"http://bad.example.com/de/{k}.html" for k in range(9)]
+    # A host of which one branch is blocked by rule: nothing is known of the others.
+    part = [f"http://part.example.com/{x}/{k}" for x in ("de", "fr", "help") for k in range(30 if x == "de" else 5)]
     good = [f"http://good.example.com/en/{prose(k, 1)}-{k}" for k in range(60)] + [f"http://good.example.com/de/{k}" for k in range(3)]
-    pages = spark.createDataFrame(list(enumerate(bad + good)), "page_id long, url string")
+    deep = ["http://deep.example.com/" + "/".join(f"s{j}" for j in range(9)) + f"/{x}" for x in ("a", "b")]
+    pages = spark.createDataFrame(list(enumerate([*bad, *part, *good, *deep])), "page_id long, url string")
     got = {r.page_id: r for r in urlfilter.judge(pages).collect()}
-    assert all(got[k].verdict == "block" for k in range(65))
-    assert all(got[k].verdict == "allow" and got[k].template == "/en/*" for k in range(65, 125))
-    assert got[60].template == "/xx/*.html" and got[0].template is None
+    assert all(got[k].verdict == "block" and got[k].template == "/*/*.html" for k in range(40)) and got[40].template is None
+    assert all(got[k].verdict == ("block" if k < 79 else "allow") for k in range(49, 89))
+    assert got[80].template == "/fr/*" and got[85].template == "/help/*"
+    assert all(got[k].verdict == "allow" and got[k].template == "/en/*" for k in range(89, 149))
+    assert [got[k].template[-2:] for k in (152, 153)] == ["/a", "/b"]
+
+
+def brute_names(children, z=2.0):
+    """Names of one branch point's branches (segment -> (n, labelled, blocked))."""
+    out = {}
+    for x, (_, n, b) in children.items():
+        peers = [v for y, v in children.items() if y != x and v[1] and n and (2 * v[2] >= v[1]) == (2 * b >= n)]
+        out[x] = x
+        if len(children) >= 16 and sum(v[0] for v in children.values()) < 4 * len(children):
+            out[x] = "*"
+        elif peers:
+            m, c = sum(v[1] for v in peers), sum(v[2] for v in peers)
+            share = (b + c) / (n + m)
+            if abs(b / n - c / m) <= z * (share * (1 - share) * (1 / n + 1 / m)) ** 0.5:
+                out[x] = "{block}" if 2 * b >= n else "{allow}"
+    return out
+
+
+def test_branches_merge_on_evidence(spark):
+    import random
+
+    from annolith.llm.urlfilter import templates
+
+    rng, rows = random.Random(2), []
+    for host in range(30):
+        branches = rng.choice([2, 4, 20])
+        for seg in range(branches):
+            n = rng.choice([1, 2, 3] if branches == 20 and host % 2 else [1, 2, 10, 60])
+            labelled = rng.choice([0, n // 2, n])
+            rows.append((f"h{host}", [f"s{seg}", "x"], n, labelled, rng.choice([0, labelled // 10, labelled])))
+    tree = {(r.host, r.shape[0]): r.template for r in templates(spark.createDataFrame(rows, "host string, shape array<string>, n long, labelled long, blocked long")).collect()}
+    for host in {r[0] for r in rows}:
+        names = brute_names({r[1][0]: r[2:] for r in rows if r[0] == host})
+        assert {x: tree[host, x] for x in names} == {x: [name, "x"] for x, name in names.items()}
+    assert {t[0] for t in tree.values()} >= {"*", "{block}", "{allow}"}
 
 
 # ---- main text
