@@ -7,23 +7,22 @@ the whole prefix that must be joined (containment 1: prefix length 1).  The word
 in the window fixes where the window would start, the document's length bounds it, and
 the words standing there are compared one by one.
 
-Only DataFrame functions are used.  The benchmark's words and prefixes reach the scan of
-the documents as broadcast blocks of at most BLOCK rows; a larger benchmark takes more
-blocks, each a further scan, never a larger broadcast.
+Only DataFrame functions are used.  The documents are scanned twice whatever the benchmark's
+size, once to count words and once to mark where rarest words may stand.  Both scans know the
+words by a bitmap of SLOTS bits alone, which is all that is broadcast; what passes it meets the
+benchmark's words or windows in joins that shuffle.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annolith.llm.common import lower_ascii, materialise
 
 ITEM_WORDS = 10
-#: Rows of the benchmark's vocabulary, or of its windows, that one broadcast holds (some 10 and 30 MB).
-BLOCK = 100_000
+#: Bits of the bitmap that stands for a set of words: at most SLOTS / 64 rows of it are broadcast (some 10 MB).
+SLOTS = 1 << 24
 #: ASCII letters and digits and all non-ASCII characters make words.  The others are listed one by one: the regex
 #: engine looks those up in a table, ranges of a negated class cost twenty times as much.
 WORD = f"[^{''.join(f'\\x{c:02X}' for c in range(128) if not chr(c).isalnum())}]+"
@@ -40,34 +39,58 @@ def item_windows(items: DataFrame, size: int = ITEM_WORDS) -> DataFrame:
     return words.select("item_id", "words", F.explode(starts).alias("at")).select("item_id", F.slice("words", F.col("at"), size).alias("window")).distinct()
 
 
-def _blocks(df: DataFrame, rows: int, by: Column) -> list[DataFrame]:
-    """df in parts that are expected to hold at most half of BLOCK rows each."""
-    parts = -(-2 * rows // BLOCK) if rows > BLOCK else 1
-    return [df] if parts == 1 else [df.filter(F.pmod(F.xxhash64(by), F.lit(parts)) == k) for k in range(parts)]
+def _slot(word: Column) -> Column:
+    return F.xxhash64(word).bitwiseAND(F.lit(SLOTS - 1))
+
+
+def _bitmap(words: DataFrame) -> DataFrame:
+    """(cell, bits): the slots of words (word) by 64."""
+    slots = words.select(_slot(F.col("word")).alias("slot")).select(F.shiftright("slot", 6).alias("cell"), F.col("slot").bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))
+    return slots.groupBy("cell").agg(F.bit_or(bit).alias("bits"))
+
+
+def _known(rows: DataFrame, bitmap: DataFrame) -> DataFrame:
+    """rows (with word) and known: whether the bitmap has the word's slot (null and false: no)."""
+    slot = _slot(F.col("word"))
+    both = rows.withColumn("cell", F.shiftright(slot, 6)).join(F.broadcast(bitmap), "cell", "left")
+    return both.withColumn("known", F.getbit("bits", slot.bitwiseAND(F.lit(63)).cast("int")) == 1).drop("cell", "bits")
+
+
+def _spoken(docs: DataFrame) -> DataFrame:
+    """(doc_id, words, pos, word): every word of every document, lower-cased in full; one row with nulls where there is none.
+
+    Join keys are lower-cased in full, which A-Z lowering implies and which is cheaper by far; comparisons are exact.
+    Outer explodes: the others make the optimiser filter by the array's size, which runs the regex again.
+    """
+    words = docs.select("doc_id", word_array(F.col("text").cast("string")).alias("words"))
+    return words.select("doc_id", "words", F.posexplode_outer("words").alias("pos", "spoken")).withColumn("word", F.lower("spoken")).drop("spoken")
 
 
-def occurrences(docs: DataFrame, items: DataFrame, size: int = ITEM_WORDS) -> tuple[DataFrame, DataFrame]:
-    """Where windows occur: (doc_id, start, length, window_id), and (window_id, item_id)."""
+def occurrences(docs: DataFrame, items: DataFrame, size: int = ITEM_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Where windows occur: (doc_id, start, length, window_id); (window_id, item_id); and (doc_id, n_words) of every row of docs."""
     owned = materialise(item_windows(items, size).withColumn("window_id", F.sha2(F.array_join("window", " "), 256)), "windows")
     windows = owned.select("window_id", "window").distinct()
-    # Join keys are lower-cased in full, which A-Z lowering implies and which is cheaper by far; the comparison below is exact.
     vocabulary = materialise(windows.select(F.explode("window").alias("word")).select(F.lower("word").alias("word")).distinct(), "vocabulary")
-    # Outer explodes: the others make the optimiser filter by the array's size, which runs the regex again.
-    spoken = docs.select(F.explode_outer(word_array(F.col("text").cast("string"))).alias("spoken")).select(F.lower("spoken").alias("word"))
-    counts = [spoken.join(F.broadcast(part), "word").groupBy("word").agg(F.count("*").alias("n")) for part in _blocks(vocabulary, vocabulary.count(), F.col("word"))]
-    rarity = materialise(reduce(DataFrame.union, counts), "rarity")
+    # Counts of words whose slot the benchmark uses, over all documents; few reach the shuffle more than once a task.
+    counted = _known(_spoken(docs).select("word"), _bitmap(vocabulary)).filter("known").groupBy("word").agg(F.count("*").alias("n"))
+    rarity = materialise(vocabulary.join(counted, "word"), "rarity")
     # The rarest word of each window with the words it must stand among; a word that no document holds rules its windows out.
     ranked = windows.select("window_id", "window", F.posexplode("window").alias("at", "word")).withColumn("word", F.lower("word")).join(rarity, "word", "left")
     prefix = ranked.groupBy("window_id", "window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "at")).alias("first"))
     prefix = materialise(prefix.filter("first.n > 0").select("window_id", "window", F.col("first.word").alias("word"), F.col("first.at").alias("at")), "prefixes")
-    own = docs.select(F.col("doc_id"), word_array(F.col("text").cast("string")).alias("words")).select("doc_id", "words", F.posexplode_outer("words").alias("pos", "spoken")).withColumn("word", F.lower("spoken"))
-    parts = []
-    for part in _blocks(prefix, prefix.count(), F.col("window_id")):
-        start, length = F.col("pos") - F.col("at"), F.size("window")
-        met = own.join(F.broadcast(part), "word").filter((start >= 0) & (start + length <= F.size("words")))
-        same = lower_ascii(F.array_join(F.slice("words", start + 1, length), " ")) == F.array_join("window", " ")
-        parts.append(met.filter(same).select("doc_id", start.alias("start"), length.alias("length"), "window_id"))
-    return reduce(DataFrame.union, parts), owned.select("window_id", "item_id").distinct()
+    # One scan marks the places of prefix words, with the words around them, and each document's first word for its length.
+    begin = F.greatest(F.col("pos") - (size - 1), F.lit(0))
+    marked = _known(_spoken(docs), _bitmap(prefix.select("word"))).filter("known or pos is null or pos = 0")
+    known = F.coalesce("known", F.lit(False))
+    around = F.when(known, F.slice("words", begin + 1, 2 * size - 1))
+    marked = materialise(marked.select("doc_id", F.coalesce(F.size("words"), F.lit(0)).alias("n_words"), "pos", "word", known.alias("known"), begin.alias("begin"), around.alias("around")), "places")
+    start, length = F.col("pos") - F.col("at"), F.size("window")
+    met = marked.filter("known").join(prefix, "word").filter((start >= 0) & (start + length <= F.col("n_words")))
+    same = lower_ascii(F.array_join(F.slice("around", start - F.col("begin") + 1, length), " ")) == F.array_join("window", " ")
+    found = met.filter(same).select("doc_id", start.alias("start"), length.alias("length"), "window_id")
+    lengths = marked.filter("pos is null or pos = 0").select("doc_id", F.greatest("n_words", F.lit(0)).cast("long").alias("n_words"))
+    return found, owned.select("window_id", "item_id").distinct(), lengths
 
 
 def _key(doc_id: Column, text: Column) -> Column:
@@ -80,7 +103,8 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = ITEM_WORDS) ->
 
     Text is lower-cased in A-Z only; null text has no words and no hits.  A null doc_id is judged with its
     own text like any other row of that id.  Rows that share doc_id and text share their hits (identical rows
-    get identical results).  Null or wordless items match nothing; items with equal windows are all reported.
+    get identical results).  Null or wordless items match nothing; items with equal windows are all reported;
+    the windows of an item with a null id hit words, but it has no id to be counted or listed by.
     Extra columns of either table are ignored.
     """
     return _judged(docs, items, size).drop("key")
@@ -89,7 +113,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = ITEM_WORDS) ->
 def _judged(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
     """contamination with the key of the row it judges."""
     keyed = docs.select(_key(F.col("doc_id"), F.col("text")).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found, owners = occurrences(keyed, items.select(F.col("item_id"), F.col("text").cast("string").alias("text")), size)
+    found, owners, every = occurrences(keyed, items.select(F.col("item_id"), F.col("text").cast("string").alias("text")), size)
     found = materialise(found.distinct(), "hits")
     spans = F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end"))))
     covered = F.aggregate(
@@ -102,7 +126,6 @@ def _judged(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
     named = found.select("doc_id", "window_id").distinct().join(owners, "window_id").select("doc_id", F.col("item_id").cast("string").alias("item"), "item_id").distinct()
     named = named.groupBy("doc_id").agg(F.array_sort(F.collect_set("item")).alias("items"))
     both = hits.join(named, "doc_id", "left").withColumnRenamed("doc_id", "hit_key")
-    every = keyed.select("doc_id", F.size(word_array(F.coalesce("text", F.lit("")))).cast("long").alias("n_words"))
     out = every.join(both, every.doc_id.eqNullSafe(both.hit_key), "left")
     items_found = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(

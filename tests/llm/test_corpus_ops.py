@@ -105,15 +105,39 @@ def test_contamination(spark, small):
     assert sorted((r.doc_id is None, r.doc_id) for r in clean.collect()) == sorted((w[0] is None, w[0]) for w, n in want.items() if not w[-1] for _ in range(n))
 
 
-def test_contamination_in_blocks(spark, small, monkeypatch):
+@pytest.mark.parametrize("slots", [64, 1 << 10])
+def test_contamination_by_a_small_bitmap(spark, small, monkeypatch, slots):
+    """Words that share a slot pass the bitmap and fall out in the join."""
     from annolith.llm import decontam
 
-    items = spark.createDataFrame([(1, prose(1, 25)), (2, "One TWO!")], "item_id long, text string")
+    items = spark.createDataFrame([(1, prose(1, 25)), (2, "One TWO!"), (3, prose(6, 500))], "item_id long, text string")
     whole = Counter(rows_of(contamination(small, items).drop("items")))
-    monkeypatch.setattr(decontam, "BLOCK", 8)
+    monkeypatch.setattr(decontam, "SLOTS", slots)
     assert Counter(rows_of(contamination(small, items).drop("items"))) == whole
 
 
+def test_contamination_scans(spark, tmp_path):
+    """Two scans of the documents, and nothing but a bitmap broadcast by order, whatever the benchmark's size."""
+    from annolith.llm import decontam
+
+    spark.createDataFrame([(k, prose(k, 30)) for k in range(50)], "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    scans, real = [], decontam._spoken
+
+    def counted(df):
+        scans.append(1)
+        return real(df)
+
+    decontam._spoken = counted
+    try:
+        many = spark.createDataFrame([(k, prose(k % 7000, 40)) for k in range(20_000)], "item_id long, text string")
+        out = contamination(docs, many)
+        assert out.filter("contaminated").count() == 50 and len(scans) == 2
+        assert "docs" not in out._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        decontam._spoken = real
+
+
 def test_decontaminate_judges_rows(spark):
     from annolith.llm.decontam import decontaminate
 
