@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from annolith.llm.common import byte_class, lowered, materialise, mix, ngram_hash, prefix_sums, span_hash, steps, utf8, word_spans
 
 BANDS, ROWS, BITS, SHINGLE = 40, 4, 4, 5
-#: Members of a bucket in one block of the last, pairwise step.
-BLOCK = 256
+#: Members of a bucket in one block of the last, pairwise step, and bytes of text that a block is expected to hold at most.
+BLOCK, BLOCK_BYTES = 256, 8_000_000
 #: Estimates this far under the threshold are dropped unconfirmed: over 5 standard errors of BANDS * ROWS minima.
 SLACK = 0.18
 #: Rounds of centres at most before the pairwise step, and the pairs a bucket member that it may have to compare.
@@ -233,19 +233,29 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE)
     Words are runs of anything but space and \\x09-\\x0D of the text with A-Z lower-cased; a document's set holds
     its distinct shingles of `shingle` words, or its whole word sequence if that is shorter.  Null or empty text:
     n_shingles 0, a component of its own.  Null doc_id: component_id null, kept true, linked with nothing.  Rows
-    that share a doc_id count as one document and get the same component.  Other columns play no part.
+    that share a doc_id count as one document: it is linked with whatever any of its texts is, and all its rows
+    with a text get the same component.  Other columns play no part.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marks = materialise(texts.mapInArrow(lambda it: signatures(it, shingle), "doc_id long, n_shingles long, fp binary, sig binary, bands array<long>"), "marks")
     alive = marks.filter(F.col("doc_id").isNotNull() & F.col("fp").isNotNull())
     # Written, so that the joins by it can be split where one class holds very many rows.
     classes = materialise(alive.groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
-    sigs = materialise(alive.join(classes, "fp").filter("doc_id = rep").select("rep", "n_shingles", "sig", "bands").dropDuplicates(["rep"]), "classes")
+    own = alive.join(classes, "fp")
+    # A class is named by its first document; one that names several classes has a row for each.
+    sigs = materialise(own.filter("doc_id = rep").dropDuplicates(["rep", "fp"]).select("rep", "n_shingles", "sig", "bands"), "classes")
     buckets = sigs.select("rep", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("top")).filter("a < top").select("key", "a")
     members = materialise(buckets.join(shared, "key").select("key", "rep", "a"), "members")
     tried = materialise(_starred(members.filter("a < rep").select("a", F.col("rep").alias("b")).distinct(), sigs, percent), "likely", few=True)
-    nodes = _merged(members.select("rep").distinct().select("rep", F.col("rep").alias("comp")), _confirm(tried, texts, percent, shingle))
+    links = _confirm(tried, texts, percent, shingle)
+    nodes = members.select("rep").distinct()
+    # Classes that share a document by its id are linked by it.
+    owned = materialise(own.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("top")).filter("a < top").select("doc_id", "a"), "repeated", few=True)
+    if owned.limit(1).count():
+        same = materialise(own.join(owned, "doc_id").filter("rep > a").select("a", F.col("rep").alias("b")).distinct(), "same", few=True)
+        links, nodes = links.union(same), nodes.union(same.select("a")).union(same.select("b")).distinct()
+    nodes = _merged(materialise(nodes.select("rep", F.col("rep").alias("comp")), "nodes", few=True), links)
     for turn in range(ROUNDS + 1):
         mixed = members.select("key", "rep").join(nodes, "rep").select("key", "rep", "comp")
         parts = mixed.groupBy("key", "comp").agg(F.count("*").cast("double").alias("n"))
@@ -266,7 +276,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE)
         tried = materialise(tried.union(likely), "tried", few=True)
         nodes = _merged(nodes, _confirm(likely, texts, percent, shingle))
     found = marks.select("doc_id", "n_shingles", "fp").join(classes, "fp", "left").join(nodes.withColumnRenamed("rep", "node"), F.col("rep") == F.col("node"), "left")
-    return found.select("doc_id", "n_shingles", F.coalesce("comp", "rep", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "rep", "doc_id"))
+    return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def _merged(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -280,8 +291,11 @@ def _merged(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _blocked(rows: DataFrame, *columns: str) -> DataFrame:
-    """(key, left, right, same): every two blocks of each bucket's members; a block has about BLOCK of them."""
-    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    """(key, left, right, same): every two blocks of each bucket's members; a block has about BLOCK of them, and BLOCK_BYTES of text or one text."""
+    parts = F.count("*") / F.lit(float(BLOCK))
+    if "text" in columns:
+        parts = F.greatest(parts, F.sum(F.coalesce(F.octet_length("text"), F.lit(0))) / F.lit(float(BLOCK_BYTES)))
+    sizes = rows.groupBy("key").agg(F.ceil(parts).cast("int").alias("parts"))
     cut = rows.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     packed = cut.groupBy("key", "part").agg(F.collect_list(F.struct(*columns)).alias("own"), F.first("parts").alias("parts"))
     one = packed.select("key", "part", F.col("own").alias("left"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("with"))
@@ -301,7 +315,14 @@ def _pairwise(left: DataFrame, sigs: DataFrame, texts: DataFrame, percent: int,
 
 
 def deduplicate(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE) -> DataFrame:
-    """docs without the rows of a component but one (rows that repeat the kept doc_id: the first of them)."""
+    """docs without the rows of a component but one (of rows that share the kept doc_id, one with the smallest hash of its text)."""
     keep = near_duplicates(docs, percent, shingle).filter("kept and doc_id is not null").select("doc_id").distinct()
     kept = docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.filter(F.col("doc_id").isNull()))
+    # Repeated ids are rare: only their rows are compared.
+    repeated = materialise(kept.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min(F.xxhash64(F.col("text").cast("string"))).alias("first")).filter("rows > 1").select("doc_id", "first"), "repeated-ids", few=True)
+    once = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    if not repeated.limit(1).count():
+        return once
+    of = docs.join(repeated.withColumnsRenamed({"doc_id": "id of it", "first": "first of it"}), F.col("doc_id") == F.col("id of it"))
+    chosen = of.filter(F.xxhash64(F.col("text").cast("string")) == F.col("first of it")).select(*docs.columns)
+    return once.unionByName(chosen.dropDuplicates(["doc_id"]))
