@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annolith.functions.text import NULL_TOKENS, UNKNOWN, normalize_value, strip
+from annolith.functions.text import NULL_TOKENS, UNKNOWN, normalize_value, once, strip
 
 
 def strip_code_fences(text: Column) -> Column:
@@ -58,7 +58,7 @@ def parse_object(blob: str) -> tuple[str | None, str | None]:
     def yaml_of(x: str) -> object:
         import yaml
 
-        return yaml.safe_load(x)
+        return yaml.load(x, getattr(yaml, "CSafeLoader", yaml.SafeLoader))  # noqa: S506 - both are safe loaders
 
     for reader in (yaml_of, ast.literal_eval):
         try:
@@ -88,9 +88,12 @@ def parsed(df: DataFrame, column: str, json_name: str = "parsed", error_name: st
         return pd.DataFrame(rows, columns=["json", "error"])
 
     bare = strip_code_fences(F.col(column))
-    whole = F.when(bare.startswith("{"), F.try_parse_json(bare))
+    # A first object without objects inside ends at the next brace, if that makes it strict JSON.
+    flat = F.regexp_extract(bare, r"\A[^{]*+(\{[^{}]*+\})", 1)
+    bare = F.when(bare.startswith("{") & F.try_parse_json(bare).isNotNull(), bare).when(F.try_parse_json(flat).isNotNull(), flat).otherwise(bare)
+    whole = F.when(F.col("_bare").startswith("{"), F.try_parse_json("_bare"))
     empty = F.coalesce(strip(F.col(column)) == "", F.lit(True))
-    step = df.withColumn("_bare", bare).withColumn("_ok", whole.isNotNull())
+    step = df.withColumn("_bare", once(bare)).withColumn("_ok", once(whole.isNotNull()))
     step = step.withColumn("_slow", slow(F.when(~F.col("_ok") & ~empty, F.col("_bare"))))
     return step.withColumn(json_name, F.when(F.col("_ok"), F.col("_bare")).otherwise(F.col("_slow.json"))).withColumn(error_name, F.when(empty, "empty_output").when(~F.col("_ok"), F.col("_slow.error"))).drop("_bare", "_ok", "_slow")
 

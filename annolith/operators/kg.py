@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from annolith.functions.text import UNKNOWN, norm_knowledge
 from annolith.operators.metrics import RUN
+from annolith.session import kept
 from annolith.sources.specs import KnowledgePriors, knowledge_token
 
 MATERIAL = "intrinsic.main_material"
@@ -88,19 +89,25 @@ class Reranker:
 
 
 def rerank(rows: DataFrame, priors: KnowledgePriors, order: str | None = None) -> DataFrame:
-    """rows with pred_value_kg.  Bundles are built by aggregation and re-ranked in Arrow batches, one row each."""
+    """rows with pred_value_kg.
+
+    A bundle's outcome depends on its values alone, and far fewer bundles differ than there are images: each
+    different one is re-ranked once, in Arrow batches, and joined back.  Of values for one property the last by
+    order counts, or the greatest.
+    """
     by = [*RUN, "image_id"]
     last = rows.groupBy(*by, "property_key").agg((F.max_by("pred_value", order) if order else F.max("pred_value")).alias("v"))
-    packed = last.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("property_key", F.coalesce("v", F.lit(UNKNOWN)).alias("v")))).alias("bundle"))
+    # Written, so that the joins with it can be split where one bundle is very common.
+    packed = kept(last.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("property_key", F.coalesce("v", F.lit(UNKNOWN)).alias("v")))).alias("bundle")), "bundles")
 
     def ranked(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         engine = Reranker(priors)
         for part in parts:
-            yield part.assign(bundle=[engine.rerank(dict(b)) for b in part["bundle"]])
+            yield pd.DataFrame({"bundle": part["bundle"], "better": [engine.rerank({x["property_key"]: x["v"] for x in b}) for b in part["bundle"]]})
 
-    kinds = dict(rows.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", bundle map<string,string>"
-    corrected = packed.mapInPandas(ranked, schema).select(*(F.col(c).alias(f"_{c}") for c in by), F.explode("bundle").alias("_key", "pred_value_kg"))
+    kind = "array<struct<property_key: string, v: string>>"
+    best = kept(packed.select("bundle").distinct().mapInPandas(ranked, f"bundle {kind}, better map<string,string>"), "reranked")
+    corrected = packed.join(best, "bundle").select(*(F.col(c).alias(f"_{c}") for c in by), F.explode("better").alias("_key", "pred_value_kg"))
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by] + [F.col("property_key") == F.col("_key")]
     out = rows.join(corrected, same, "left").drop(*(f"_{c}" for c in by), "_key")
     return out.withColumn("pred_value_kg", F.coalesce("pred_value_kg", "pred_value"))

@@ -31,6 +31,8 @@ def evaluate_model(samples: DataFrame, specs: list, backend: str, model: str, va
     if few_shot:
         asked = with_demos(asked, few_shot)
     responses = inference.infer(asked, backend, batch=batch) if backend != "mock" else asked.withColumn("raw_output", inference.mock_output(F.col("image_id"), F.col("property_key"))).withColumn("infer_error", F.lit(None).cast("string"))
+    # Asked once: all that follows reads the written answers.
+    responses = kept(responses, "responses")
     evaluation, runs = inference.evaluate(responses, specs, threshold)
     measured = metrics.property_metrics(evaluation, specs_.specs_frame(spark, specs), ["model", "variant"])
     return {"responses": responses, "evaluation": evaluation, "runs": runs, "metrics": measured, "summary": metrics.run_summary(runs, measured)}
@@ -62,9 +64,14 @@ def build_subset(spark: SparkSession, listings: list[str] | str, index: str, n:
 
 
 def kg_posthoc(predictions: DataFrame, priors: specs_.KnowledgePriors) -> dict[str, DataFrame]:
-    """Re-ranked predictions, metrics before and after, and their differences."""
+    """Re-ranked predictions, metrics before and after, and their differences.
+
+    Of predictions for one property the last counts, by the column ord (file order, as predictions(ordered=True) reads it);
+    without that column the greatest value.
+    """
+    order = "ord" if "ord" in predictions.columns else None
     rows = predictions.withColumns({"gt_value": text.norm_knowledge(F.col("gt_value")), "pred_value": text.norm_knowledge(F.col("pred_value"))})
-    corrected = kg.rerank(rows, priors)
+    corrected = kept(kg.rerank(rows, priors, order), "corrected")
     measure = lambda c: metrics.observed_metrics(corrected.select("model", "variant", "image_id", "property_key", F.col("gt_value").alias("gt"), F.col(c).alias("pred")))
     before, after = measure("pred_value"), measure("pred_value_kg")
     return {"corrected": corrected, "raw": before, "kg": after, "delta": metrics.delta_table(before, after)}
@@ -91,7 +98,8 @@ def training_split(examples: DataFrame, ids: DataFrame, n: int, seed: int = 42)
 
 
 def segmentation_tables(results: DataFrame) -> dict[str, DataFrame]:
-    """Summary by method, winners, win counts, main object against the best class, and its summary."""
+    """Summary by method, winners, win counts, main object against the best class, and its summary; the models run once."""
+    results = kept(results.drop("mask"), "results")
     winners = ranking.prompt_winners(results)
     compared = ranking.main_vs_best(results)
     return {"summary_by_method": metrics.summary_by_method(results), "prompt_winners": winners, "prompt_win_counts": ranking.win_counts(winners), "main_object_vs_best_class": compared, "main_object_vs_best_class_summary": ranking.main_vs_best_summary(compared)}

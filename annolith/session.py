@@ -2,19 +2,64 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_written: list[tuple[SparkSession, str]] = []
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """Write df once and read it back: later steps neither compute it again nor carry its plan."""
-    spark = df.sparkSession
+
+def scratch_root(spark: SparkSession) -> str:
+    """The shared folder named by spark.checkpoint.dir; a local one only where that is unset and the master is local."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="annolith-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/annolith/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path below the scratch folder; what is written there goes with the scratch tables."""
+    path = f"{scratch_root(spark)}/annolith/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Write df once and read it back: later steps neither compute it again nor carry its plan."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(since: int) -> None:
+    while len(_written) > since:
+        spark, path = _written.pop()
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes at its end the scratch tables written inside; frames that read them must have been written or collected by then."""
+    since = len(_written)
+    try:
+        yield
+    finally:
+        _delete(since)
+
+
+@atexit.register
+def _forget() -> None:
+    """Remove what is left at the end of the driver, if its session still lives."""
+    try:
+        _delete(0)
+    except Exception:  # noqa: BLE001 - the session may be gone already
+        return

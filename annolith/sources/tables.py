@@ -30,7 +30,10 @@ def annotations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def meta(spark: SparkSession, path: str, required: bool = True) -> DataFrame:
-    """A JSON array's objects with image_id and path (ord, image_id, path, caption, primary_object, record: variant)."""
+    """A JSON array's objects with image_id and path (ord, image_id, path, caption, primary_object, record: variant).
+
+    The array is one document and read by one task (2 GB at most); JSON lines go through annotations().
+    """
     rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", "array<string>")).alias("ord", "text"))
     rows = rows.select("ord", F.try_parse_json("text").alias("record")).filter(F.schema_of_variant("record").startswith("OBJECT"))
     text = lambda name: F.try_variant_get("record", f"$.{name}", "string")
@@ -67,7 +70,10 @@ def image_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def allowed_ids(spark: SparkSession, path: str) -> DataFrame:
-    """(image_id, ord): lines of a text file, a JSON list, or a JSON object's image_ids, ids or samples (the first that is a list)."""
+    """(image_id, ord): lines of a text file, a JSON list, or a JSON object's image_ids, ids or samples (the first that is a list).
+
+    JSON is read by one task (2 GB at most), lines in parallel.
+    """
     if not path.endswith(".json"):
         return _ordered(spark, path).select(strip(F.col("value")).alias("image_id"), "ord").filter("image_id <> ''")
     whole = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
@@ -78,8 +84,12 @@ def allowed_ids(spark: SparkSession, path: str) -> DataFrame:
 PREDICTION_COLUMNS = ["image_id", "model", "property_key", "gt_value", "pred_value"]
 
 
-def predictions(spark: SparkSession, path: str) -> DataFrame:
-    """Long predictions as strings, from CSV, a JSON list, {"rows": [...]} or JSONL; variant defaults to `default`."""
+def predictions(spark: SparkSession, path: str, ordered: bool = False) -> DataFrame:
+    """Long predictions as strings, from CSV, a JSON list, {"rows": [...]} or JSONL; variant defaults to `default`.
+    ordered: also ord, which rises in file order.
+
+    A JSON list or object is one document and read by one task (2 GB at most); JSON lines are read in parallel.
+    """
     if path.endswith(".csv"):
         rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
         rows = rows.select(*(F.when(~F.col(c).isin(NA_WORDS), F.col(c)).alias(c) for c in rows.columns))
@@ -93,7 +103,7 @@ def predictions(spark: SparkSession, path: str) -> DataFrame:
     if missing:
         raise ValueError(f"missing columns: {missing}")
     kind = F.coalesce("variant", F.lit("default")) if "variant" in rows.columns else F.lit("default")
-    return rows.withColumn("variant", kind).select("image_id", "model", "variant", "property_key", "gt_value", "pred_value")
+    return rows.withColumn("variant", kind).select("image_id", "model", "variant", "property_key", "gt_value", "pred_value", *([F.monotonically_increasing_id().alias("ord")] if ordered else []))
 
 
 def image_files(spark: SparkSession, root: str) -> DataFrame:
@@ -139,7 +149,7 @@ def id_scan(spark: SparkSession, path: str) -> DataFrame:
 
 
 def decisions(spark: SparkSession, path: str) -> DataFrame:
-    """(ord, image_id, decision, ...) of a JSON object keyed by id, in its order."""
+    """(ord, image_id, decision, ...) of a JSON object keyed by id, in its order; read by one task (2 GB at most)."""
     whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,string>").alias("m"))
     rows = whole.select(F.posexplode(F.map_entries("m")).alias("ord", "e")).select("ord", F.col("e.key").alias("key"), F.try_parse_json("e.value").alias("v"))
     names = ["decision", "reviewed_at", "selected_mask_field", "selected_preview_field", "selected_source_field", "selected_mask_path", "selected_preview_path", "selected_mask_source"]

@@ -102,3 +102,53 @@ def test_segmentation(spark):
     shown = rows.filter("gt is not null").select(masks.variant_column("masked")(F.col("data"), F.col("gt"), F.col("width"), F.col("height")).alias("x"), masks.foreground_masks(F.col("data"), F.col("width"), F.col("height")).alias("m")).first()
     assert bytes(shown.x) == image.tobytes() and shown.m.backend == "simple"
     assert masks.fit_canvas(image, 10, 10).shape == (10, 10, 3)
+
+
+class Counting:
+    """Answers and writes one byte a prompt to a file."""
+
+    path = ""
+
+    def answer(self, prompts, paths):
+        with open(Counting.path, "a") as out:
+            out.write("x" * len(prompts))
+        return ['{"material": "wood"}'] * len(prompts)
+
+
+def test_every_prompt_is_asked_once(spark, tmp_path):
+    from annolith.sources import tables
+
+    path = str(tmp_path / "asked")
+
+    def load():
+        Counting.path = path
+        return Counting()
+
+    api.register("counting", load)
+    got = api.evaluate_model(_samples(spark), SPECS, "counting", "counting")
+    tables.write_report(got["evaluation"], got["metrics"], got["summary"], str(tmp_path / "report"))
+    assert got["runs"].count() == 3
+    assert len(open(path).read()) == got["responses"].count()
+
+
+def test_last_prediction_counts(spark, tmp_path):
+    from annolith.plans import pipelines
+    from annolith.sources import tables
+    from annolith.sources.specs import knowledge_priors
+
+    rows = [("i1", "m", "a", "glass", "wood"), ("i1", "m", "a", "glass", "glass"), ("i2", "m", "a", "wood", "wood"), ("i2", "m", "a", "wood", "glass")]
+    (tmp_path / "p.csv").write_text("\n".join(map(",".join, [("image_id", "model", "property_key", "gt_value", "pred_value"), *rows])))
+    got = pipelines.kg_posthoc(tables.predictions(spark, str(tmp_path / "p.csv"), ordered=True), knowledge_priors({"properties": ["a"]}))
+    assert {(r.image_id, r.pred_value_kg) for r in got["corrected"].collect()} == {("i1", "glass"), ("i2", "glass")}
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    from annolith.session import kept, scratch, scratch_root
+
+    root = scratch_root(spark).removeprefix("file://") + "/annolith"
+    with scratch():
+        assert kept(spark.range(3), "numbers").count() == 3
+        assert any(x.startswith("numbers-") for x in os.listdir(root))
+    assert not any(x.startswith("numbers-") for x in os.listdir(root))
