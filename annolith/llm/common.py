@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,44 +9,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from annolith.session import kept
+
 #: Bytes of text that one vectorised step handles (a longer document is one step by itself).
 STEP_BYTES = 2_000_000
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="annolith-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 def materialise(df: DataFrame, tag: str, few: bool = False) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage, survives lost executors.
 
     few: a narrow table of an iteration; its last stage runs as at most four tasks a core of the cluster.
     """
-    spark = df.sparkSession
     if few:
-        df = df.coalesce(4 * spark.sparkContext.defaultParallelism)
-    path = f"{scratch_root(spark)}/annolith/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def _forget() -> None:
-    """Remove scratch tables at the end of the driver, if its session still lives."""
-    for spark, path in _written:
-        try:
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-        except Exception:  # noqa: BLE001 - the session may be gone already
-            return
+        df = df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+    return kept(df, tag)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
