@@ -524,12 +524,6 @@ def kg_bundle_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kg.bundle_scores(rows, materials, rules).withColumn("score", F.bround("score", 4))
 
 
-@query()
-def kg_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Iterative; tests hold it against exhaustive scores."""
-    return kg.rerank(_bundle_rows(spark, sf_dir), PRIORS)
-
-
 @query("SELECT toxic, CAST(greatest(ceil(count(*) / 32.0), 1) AS BIGINT) AS steps_per_epoch, CAST(greatest(ceil(greatest(ceil(count(*) / 32.0), 1) * 2.5), 1) AS BIGINT) AS total_steps, CAST(3 AS BIGINT) AS estimated_epochs FROM labels GROUP BY 1")
 def train_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = _read(spark, sf_dir, "labels").groupBy("toxic").agg(F.count("*").alias("n"))

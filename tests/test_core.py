@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from annolith.functions import keywords, masks, parsing, prompts, taxonomy, text
 from annolith.operators import inference, joins, kg, metrics, ranking
+from annolith.plans import join_queries, source_queries, text_queries  # noqa: F401 - they add to the registry
 from annolith.plans.queries import ORACLE_SQL, PRIORS, QUERIES
 from annolith.sources import specs as specs_
 from annolith.sources import tables
