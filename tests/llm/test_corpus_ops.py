@@ -275,6 +275,40 @@ def test_quality_counts(spark, small):
     assert len(got) == docs.count()
 
 
+def test_quality_scores_against_plain_counts(spark, small):
+    """Multinomials, scores and verdicts from each document's cells, one document at a time."""
+    import math
+
+    rows = [(k, prose(k, 40 if k % 2 else 55) + (" junk junk" * (k % 3))) for k in range(60)] + [(70, None), (71, "too short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    trusted = spark.createDataFrame([(k,) for k in range(0, 60, 2)], "doc_id long")
+    ratio, cut = quality.fit(docs, trusted, quantile=0.25)
+
+    def own_cells(text):
+        raw = (text or "").encode()
+        return quality.cells(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[1].tolist()
+
+    fits = {k for k in range(0, 60, 2) if zlib.crc32(str(k).encode()) % 2 == 0}
+    raw, target = Counter(), Counter()
+    for k, text in rows:
+        raw.update(own_cells(text))
+        target.update(own_cells(text) if k in fits else [])
+    n, all_raw, all_target = quality.BUCKETS, sum(raw.values()), sum(target.values())
+    for cell in [*raw, *range(0, n, 997)]:
+        share = (raw[cell] + 0.5) / (all_raw + 0.5 * n)
+        want = math.log((target[cell] + n / 2 * share + 1e-9) / (all_target + n / 2) / share)
+        assert abs(ratio[cell] - want) < 1e-4
+    score = {k: sum(float(ratio[c]) for c in own_cells(t)) / max(1, len(own_cells(t))) for k, t in rows}
+    tested = sorted(score[k] for k in range(0, 60, 2) if k not in fits)
+    at = 0.25 * (len(tested) - 1)
+    assert abs(cut - (tested[int(at)] + (at - int(at)) * (tested[min(int(at) + 1, len(tested) - 1)] - tested[int(at)]))) < 1e-5
+    got = {r.doc_id: r for r in quality.judge(docs, (ratio, cut)).collect()}
+    for k, _ in rows:
+        assert abs(got[k].score - score[k]) < 1e-5
+        assert got[k].kept == (not got[k].base_failed and got[k].score >= cut)
+    assert {got[k].kept for k in range(60)} == {True, False}
+
+
 def test_quality_of_nothing(spark, nothing):
     model = quality.fit(nothing, nothing.select("doc_id"))
     assert quality.judge(nothing, model).count() == 0
@@ -308,6 +342,41 @@ def test_langid(spark, small, nothing):
     assert {r.lang_pred for r in langid.identify(small, {}).collect()} == {"und"}
 
 
+def test_langid_against_plain_distances(spark):
+    """Ranks and out-of-place distances of each document alone, in plain Python."""
+    rows = [(k, prose(k, 30), "x") for k in range(20)] + [(100 + k, " ".join("zwq vvk wkk xzz".split()[(k + j) % 4] for j in range(20)), "y") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    profiles, top = langid.fit(docs, F.lit(True), profile=60), 60
+    got = {r.doc_id: r for r in langid.identify(docs, profiles, profile=60).collect()}
+    for i, text, _ in rows:
+        raw = text.encode()
+        _, code, n, _ = langid.ranked(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), 10**6)
+        counts = dict(zip(code.tolist(), n.tolist(), strict=True))
+        letters = brute_profile([text])
+        assert all(counts[ord(c)] == letters[c] for c in set(text) if c.isalpha())
+        own = sorted(counts, key=lambda c: (-counts[c], c))[:top]
+        away = {}
+        for lang, listed in profiles.items():
+            place = {int(c): k for k, c in enumerate(listed)}
+            away[lang] = sum(min(abs(place[c] - k), top) if c in place else top for k, c in enumerate(own)) / (len(own) * top)
+        best = sorted(away, key=lambda x: (away[x], x))
+        assert got[i].lang_pred == best[0]
+        assert abs(got[i].score - (away[best[1]] - away[best[0]]) / max(away[best[1]], 1e-9)) < 1e-9
+
+
+def test_held_out_accuracy(spark):
+    """What the models get right on documents that they have not seen, at sf0.01."""
+    from annolith.llm.queries import op6_langid, op9_toxicity
+
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{x}.parquet") for x in ("documents", "labels"))
+    langs = op6_langid(spark, folder).filter("held_out").join(docs.select("doc_id", "lang"), "doc_id").filter("lang_pred <> 'und' and lang is not null").collect()
+    assert len(langs) > 100 and sum(r.lang == r.lang_pred for r in langs) >= 0.98 * len(langs)
+    toxic = op9_toxicity(spark, folder).filter("held_out").join(labels, "doc_id").filter("toxic is not null").collect()
+    bad, good = [r for r in toxic if r.toxic == 1], [r for r in toxic if r.toxic == 0]
+    assert len(bad) > 10 and sum(r.predicted for r in bad) >= 0.75 * len(bad) and sum(r.predicted for r in good) <= 0.03 * len(good)
+
+
 def test_ranked_ngrams():
     raw = "Ab ab! a\U0001d4b3".encode()
     doc, code, n, rank = langid.ranked(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), 100)
