@@ -96,7 +96,7 @@ _BASE, _pow = 0x9E3779B97F4A7C15 | 1, {}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_pow.get("up", ())) < n:
-        size = max(n, STEP_BYTES + 1)
+        size = max(n, 1 << 19)
         for key, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             steps_ = np.full(size, base, np.uint64)
             steps_[0] = 1

@@ -21,7 +21,6 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +33,8 @@ MIN_BLOCK_WORDS = 20
 WORD_BYTES = 24
 #: Pieces without a match that a block may have between two aligned ones.
 GAP = 2
+#: Bytes of text that one step cuts into pieces; some 50 bytes of memory are needed for each.
+STEP = 500_000
 #: Rounds of alignment before the runs that are left are looked up directly (which gives the same runs, in linear time).
 PASSES = 8
 
@@ -60,7 +61,7 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, of, text) to (id, of, pieces: hashes, words)."""
     for batch in batches:
         data, offsets = utf8(batch.column(2))
-        for i, j in steps(offsets):
+        for i, j in steps(offsets, STEP):
             own = data[offsets[i] : offsets[j]]
             starts, ends, words, _, first = pieces(own, offsets[i : j + 1] - offsets[i])
             hashes = span_hash(prefix_sums(own), starts, ends).view(np.int64)
@@ -300,9 +301,17 @@ def without_pieces(text: str, cut: list[tuple[int, int]]) -> tuple[str, int, int
     return b"\n".join(out).decode("utf-8", "surrogatepass"), dropped, int(words[gone].sum())
 
 
-def _rebuilt(text: pd.Series, cut: pd.Series) -> pd.DataFrame:
-    rows = [without_pieces(t, [(x["from"], x["until"]) for x in c]) if t is not None and c is not None else (None, 0, 0) for t, c in zip(text, cut, strict=True)]
-    return pd.DataFrame(rows, columns=["text", "n_cut", "words_cut"])
+def _rebuilt(text: pa.Array, cut: pa.Array) -> pa.Array:
+    """(text, cut) to struct of text, n_cut and words_cut; null where nothing is cut."""
+    rows = []
+    for k in range(len(text)):
+        own = text[k].as_py()
+        if own is None:
+            rows.append((None, 0, 0))
+        else:
+            rows.append(without_pieces(own, [(x["from"], x["until"]) for x in cut[k].as_py()]))
+    kind = pa.struct([("text", pa.string()), ("n_cut", pa.int64()), ("words_cut", pa.int64())])
+    return pa.array([dict(zip(("text", "n_cut", "words_cut"), row, strict=True)) for row in rows], kind)
 
 
 def dedup_lines(docs: DataFrame, least: int = MIN_BLOCK_WORDS) -> DataFrame:
@@ -324,7 +333,7 @@ def dedup_lines(docs: DataFrame, least: int = MIN_BLOCK_WORDS) -> DataFrame:
     id_, of = _key(F.col(place["doc_id"]), F.col(place["text"]))
     out = docs.toDF(*kept).withColumn("own_id", id_).withColumn("own_of", of).join(cuts, (F.col("own_id") == F.col("id")) & (F.col("own_of") == F.col("of")), "left")
     # Only texts that lose something reach Python.
-    rebuild = F.pandas_udf(_rebuilt, "text string, n_cut long, words_cut long")
+    rebuild = F.arrow_udf(_rebuilt, "text string, n_cut long, words_cut long")
     out = out.select(*kept, "cut", rebuild(F.when(F.col("cut").isNotNull(), text), F.col("cut")).alias("new"))
     rebuilt = F.when(F.col("cut").isNull(), text).otherwise(F.col("new.text"))
     columns = [(rebuilt if name == "text" else F.col(place[name])).alias(name) for name in docs.columns if name not in ("n_lines", "n_cut", "words_cut")]
