@@ -23,7 +23,7 @@ from annolith.llm.common import crc_fold, steps, utf8
 
 PROFILE, SAMPLE, LONGEST = 400, 2000, 3
 #: Bytes of text in one vectorised step.
-STEP = 400_000
+STEP = 100_000
 UNKNOWN = "und"
 
 
