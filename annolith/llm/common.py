@@ -2,17 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from annolith.session import kept
 
 #: Bytes of text that one vectorised step handles (a longer document is one step by itself).
 STEP_BYTES = 2_000_000
+#: Bytes of rows that a Python worker gets at a time, unless the session sets BATCH_KEY itself.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4_000_000
+
+
+def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """df.mapInArrow in batches bounded by bytes: 10,000 rows of whole texts have no bound, in the worker as in the JVM beside it.
+
+    The bound is a setting of the session, since a frame is planned only when it is run; one that is set already stays.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_KEY, None) is None:
+        conf.set(BATCH_KEY, BATCH_BYTES)
+    return df.mapInArrow(function, schema)
+
 
 def materialise(df: DataFrame, tag: str, few: bool = False) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage, survives lost executors.

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from annolith.llm.common import crc_fold, steps, utf8
+from annolith.llm.common import crc_fold, map_arrow, steps, utf8
 
 PROFILE, SAMPLE, LONGEST = 400, 2000, 3
 #: Bytes of text in one vectorised step.
@@ -128,7 +128,7 @@ def fit(docs: DataFrame, train: Column, sample: int = SAMPLE, profile: int = PRO
     first = usable.join(F.broadcast(sizes), "lang", "left").filter(F.col("n").isNull() | low).withColumn("at", place).filter(F.col("at") <= sample).select("doc_id", F.col("lang").alias("of"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     chosen = texts.join(F.broadcast(first), "doc_id").filter(F.col("lang") == F.col("of")).select("lang", "text")  # at most sample ids a language
-    counts = chosen.mapInArrow(_counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counts = map_arrow(chosen, _counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     top = counts.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))).filter(F.col("at") <= profile)
     found: dict[str, list[tuple[int, int]]] = {}
     for row in top.select("lang", "code", "at").collect():  # profile rows a language
@@ -173,7 +173,7 @@ def identify(docs: DataFrame, profiles: Profiles, profile: int = PROFILE) -> Dat
     1 (`und`: 0).  Null ids, repeated rows and extra columns are passed by; an empty table gives no rows.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(lambda it: _predicted(it, profiles, profile), "doc_id long, lang_pred string, score double")
+    return map_arrow(own, lambda it: _predicted(it, profiles, profile), "doc_id long, lang_pred string, score double")
 
 
 def rejected_free(docs: DataFrame, profiles: Profiles, profile: int = PROFILE) -> DataFrame:
@@ -192,7 +192,7 @@ def rejected_free(docs: DataFrame, profiles: Profiles, profile: int = PROFILE) -
 
     import pyarrow.compute  # noqa: F401
 
-    return docs.mapInArrow(kept, schema)
+    return map_arrow(docs, kept, schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annolith.llm.common import byte_class, materialise, prefix_sums, span_hash, steps, utf8, word_spans
+from annolith.llm.common import byte_class, map_arrow, materialise, prefix_sums, span_hash, steps, utf8, word_spans
 
 #: A block of aligned pieces is deleted if it has so many words.
 MIN_BLOCK_WORDS = 20
@@ -244,8 +244,8 @@ def line_cuts(docs: DataFrame, least: int = MIN_BLOCK_WORDS) -> DataFrame:
     """(id, of, cut) of the texts that lose pieces; id: doc_id, of: the text's hash, cut: ranges of pieces."""
     id_, of = _key(F.col("doc_id"), F.col("text"))
     own = docs.filter("doc_id is not null and text is not null").select(id_.alias("id"), of.alias("of"), F.col("text").cast("string").alias("text"))
-    hashed = materialise(own.mapInArrow(_hashed, "id long, of long, hashes array<long>, words array<int>"), "pieces")
-    runs = hashed.mapInArrow(lambda it: _runs(it, least), "run long, id long, of long, first int, last int")
+    hashed = materialise(map_arrow(own, _hashed, "id long, of long, hashes array<long>, words array<int>"), "pieces")
+    runs = map_arrow(hashed, lambda it: _runs(it, least), "run long, id long, of long, first int, last int")
     # Partial sums meet first, so a run that very many documents hold is no hot key.  Written, so that the join can be split.
     first = runs.groupBy("run").agg(F.min("id").alias("owner"), F.max("id").alias("top")).filter("owner < top").select("run", "owner")
     met = materialise(runs.join(materialise(first, "owners"), "run"), "shared")
@@ -262,7 +262,7 @@ def line_cuts(docs: DataFrame, least: int = MIN_BLOCK_WORDS) -> DataFrame:
     earlier = texts.select(F.col("id").alias("e_id"), F.col("of").alias("e_of"), F.col("hashes").alias("e_hashes"), F.col("words").alias("e_words"))
     rows = pairs.join(earlier, ["e_id", "e_of"]).select("id", "of", "first", "last", span("e_hashes", "e_first", "e_last").alias("other"), span("e_words", "e_first", "e_last").alias("other_words"))
     rows = rows.join(texts, ["id", "of"]).select("id", "of", low("first").alias("first"), span("hashes", "first", "last").alias("own"), span("words", "first", "last").alias("own_words"), "other", "other_words")
-    found = rows.mapInArrow(lambda it: _aligned(it, least), "id long, of long, cut array<struct<from: int, until: int>>")
+    found = map_arrow(rows, lambda it: _aligned(it, least), "id long, of long, cut array<struct<from: int, until: int>>")
     return found.groupBy("id", "of").agg(F.flatten(F.collect_list("cut")).alias("cut"))
 
 

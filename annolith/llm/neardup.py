@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annolith.llm.common import byte_class, lowered, materialise, mix, ngram_hash, prefix_sums, span_hash, steps, utf8, word_spans
+from annolith.llm.common import byte_class, lowered, map_arrow, materialise, mix, ngram_hash, prefix_sums, span_hash, steps, utf8, word_spans
 
 BANDS, ROWS, BITS, SHINGLE = 40, 4, 4, 5
 #: Members of a bucket in one block of the last, pairwise step, and bytes of text that a block is expected to hold at most.
@@ -217,14 +217,14 @@ def _confirm(likely: DataFrame, texts: DataFrame, percent: int, size: int) -> Da
     """Links among candidate pairs, by the full sets."""
     own, other = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     rows = likely.join(other, "b").join(own, "a").select("a", "b", "text_a", "text_b")
-    return materialise(rows.mapInArrow(lambda it: confirmed(it, percent, size), "a long, b long"), "links")
+    return materialise(map_arrow(rows, lambda it: confirmed(it, percent, size), "a long, b long"), "links")
 
 
 def _starred(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a < b) whose sizes and bit counts allow a link."""
     left, right = (sigs.select(F.col("rep").alias(k), F.col("sig").alias(f"sig_{k}"), F.col("n_shingles").alias(f"n_{k}")) for k in ("a", "b"))
     rows = pairs.join(right, "b").join(left, "a").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    return rows.select("a", "b", "sig_a", "sig_b").mapInArrow(lambda it: near(it, percent / 100), "a long, b long")
+    return map_arrow(rows.select("a", "b", "sig_a", "sig_b"), lambda it: near(it, percent / 100), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE) -> DataFrame:
@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE)
     with a text get the same component.  Other columns play no part.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marks = materialise(texts.mapInArrow(lambda it: signatures(it, shingle), "doc_id long, n_shingles long, fp binary, sig binary, bands array<long>"), "marks")
+    marks = materialise(map_arrow(texts, lambda it: signatures(it, shingle), "doc_id long, n_shingles long, fp binary, sig binary, bands array<long>"), "marks")
     alive = marks.filter(F.col("doc_id").isNotNull() & F.col("fp").isNotNull())
     # Written, so that the joins by it can be split where one class holds very many rows.
     classes = materialise(alive.groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
@@ -308,10 +308,10 @@ def _pairwise(left: DataFrame, sigs: DataFrame, texts: DataFrame, percent: int,
     matter (a row a member, not a pair); only those meet again with their texts, and only links leave the task."""
     rows = left.join(sigs.select("rep", "n_shingles", "sig"), "rep")
     columns = ["rep", "comp", "n_shingles", "sig"]
-    matter = _blocked(rows, *columns).mapInArrow(lambda it: flagged(it, percent / 100), "key long, rep long").distinct()
+    matter = map_arrow(_blocked(rows, *columns), lambda it: flagged(it, percent / 100), "key long, rep long").distinct()
     matter = materialise(rows.join(matter, ["key", "rep"]), "matter")
     rows = matter.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
-    return materialise(_blocked(rows, *columns, "text").mapInArrow(lambda it: linked(it, percent, size), "a long, b long"), "links")
+    return materialise(map_arrow(_blocked(rows, *columns, "text"), lambda it: linked(it, percent, size), "a long, b long"), "links")
 
 
 def deduplicate(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE) -> DataFrame:

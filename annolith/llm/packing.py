@@ -26,6 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from annolith.llm.common import map_arrow
+
 CAPACITY, END_ID = 2048, 1
 #: Remainders that a task holds before it fills bins.
 WINDOW = 8192
@@ -211,4 +213,4 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = Non
     ranks (optional, for speed); by default those of the public tokenisers package.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(lambda it: _packed(it, capacity, vocabulary, ranks, end_id), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return map_arrow(own, lambda it: _packed(it, capacity, vocabulary, ranks, end_id), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

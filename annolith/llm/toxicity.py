@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annolith.llm.common import byte_class, crc_fold, lowered, mix, prefix_sums, span_hash, steps, utf8, word_spans
+from annolith.llm.common import byte_class, crc_fold, lowered, map_arrow, mix, prefix_sums, span_hash, steps, utf8, word_spans
 
 LABELLED, FEATURES, SPACE = 12_000, 1024, 1 << 20
 #: Lengths in bytes of the word beginnings that are features beside the whole word.
@@ -124,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, at_most: int = LABELLED, features: i
     chosen = chosen.groupBy("labelled_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("labelled_id"), "labelled_id").limit(at_most)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     bags = own.join(F.broadcast(chosen), own.doc_id == chosen.labelled_id).select("toxic", "text")  # at_most ids
-    seen = bags.mapInArrow(_counted, "cell long, toxic long, other long").groupBy("cell").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).filter("toxic >= 3")
+    seen = map_arrow(bags, _counted, "cell long, toxic long, other long").groupBy("cell").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).filter("toxic >= 3")
     size = bags.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
     if not size["t"] or size["t"] == size["n"]:
         return np.zeros(0, np.int64), np.zeros(0), -np.inf
@@ -133,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, at_most: int = LABELLED, features: i
     strength = (F.col("toxic") - expected) / F.sqrt(expected)
     top = seen.withColumn("strength", strength).filter("strength > 2").orderBy(F.desc("strength"), "cell").limit(features).collect()  # `features` rows
     cells = np.array(sorted(r["cell"] for r in top), np.int64)
-    rows = bags.mapInArrow(lambda it: _instances(it, cells), "toxic int, plain long, bags array<array<long>>").collect()  # chosen features of at_most documents
+    rows = map_arrow(bags, lambda it: _instances(it, cells), "toxic int, plain long, bags array<array<long>>").collect()  # chosen features of at_most documents
     doc, sentence, feature = [], [], []
     for k, row in enumerate(rows):
         for bag in row["bags"]:
@@ -178,7 +178,7 @@ def score(docs: DataFrame, model: Model, locate: bool = True) -> DataFrame:
     columns; an empty table gives no rows.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(lambda it: _scored(it, model, locate), "doc_id long, score double" + ", sentences array<string>" * locate)
+    return map_arrow(own, lambda it: _scored(it, model, locate), "doc_id long, score double" + ", sentences array<string>" * locate)
 
 
 def held_out(doc_id: Column) -> Column:
