@@ -1,8 +1,10 @@
 """Every registered corpus query on odd rows and on empty tables."""
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
+from annolith.llm.common import BATCH_BYTES, BATCH_KEY, map_arrow
 from annolith.llm.queries import QUERIES
 
 LONG = " ".join(f"w{k % 977} a@b{k}.com" for k in range(4000))
@@ -54,3 +56,24 @@ def test_pipeline_on_odd_and_empty(spark, folders):
     odd, empty = folders
     assert {r.doc_id for r in corpus_pipeline.run(spark, odd).collect()} == {3, 4}
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    """Long texts reach a worker a few at a time; a bound that the session sets itself stays."""
+    docs = spark.range(200, numPartitions=1).selectExpr("id as doc_id", "repeat('word ', 20000) as text")
+    before = spark.conf.get(BATCH_KEY, None)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    try:
+        spark.conf.unset(BATCH_KEY)
+        rows = [row.n for row in map_arrow(docs, sizes, "n long").collect()]
+        assert sum(rows) == 200 and max(rows) * 100_000 <= BATCH_BYTES + 200_000
+        spark.conf.set(BATCH_KEY, 500_000)
+        rows = [row.n for row in map_arrow(docs, sizes, "n long").collect()]
+        assert sum(rows) == 200 and max(rows) * 100_000 <= 700_000
+        assert spark.conf.get(BATCH_KEY) == "500000"
+    finally:
+        spark.conf.set(BATCH_KEY, before) if before else spark.conf.unset(BATCH_KEY)
