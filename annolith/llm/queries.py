@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annolith.llm import htmlextract, langid, pii, quality, toxicity, urlfilter
+from annolith.llm import centroids, htmlextract, langid, merkle, neighbours, pii, quality, toxicity, urlfilter
 from annolith.llm.common import crc_fold, table
 from annolith.llm.decontam import contamination
 from annolith.llm.linededup import dedup_lines
@@ -64,6 +64,20 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings")).drop("scans")
+
+
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = neighbours.score(docs, neighbours.fit(docs, labels.filter(crc_fold(F.col("doc_id"), 5) != 0)))
+    return scored.select("doc_id", neighbours.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= neighbours.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_packing": op2_packing,
@@ -75,6 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_toxicity": op9_toxicity,
     "op10_minhash_neardup": op10_minhash_neardup,
+    "op11_centroids": op11_centroids,
+    "op12_neighbours": op12_neighbours,
+    "op13_merkle": op13_merkle,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -116,8 +133,66 @@ def _url_sql() -> str:
         FROM g JOIN f ON g.host = f.host AND g.shape = f.shape JOIN v ON f.host = v.host AND f.template = v.template"""
 
 
+def _centroid_sql() -> str:
+    """SQL of op11_centroids: three rounds of full scans, in 64-bit integers."""
+    c, width = centroids, range(1, centroids.WIDTH + 1)
+    part = lambda s, n: f"(({s} - ((({s}) % {n}) + {n}) % {n}) // {n})"  # noqa: E731 - floor of the quotient
+    sql = f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor({c.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+            WHERE len(embedding) = {c.WIDTH} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {c.WIDTH}),
+        c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), x) - 1 AS j, x AS c FROM v QUALIFY j < {c.CLUSTERS})"""
+    for k in range(c.ROUNDS + 1):
+        sql += f""",
+        d{k} AS (SELECT r, vec_id, x, j, list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v, c{k}),
+        a{k} AS MATERIALIZED (SELECT r, vec_id, x, j, CAST(d AS BIGINT) AS d FROM d{k} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, j) = 1)"""
+        if k < c.ROUNDS:
+            sums = ", ".join(f"CAST({part(f'sum(x[{i}])', 'count(*)')} AS BIGINT)" for i in width)
+            sql += f""",
+        m{k} AS (SELECT j, [{sums}] AS c FROM a{k} GROUP BY j), c{k + 1} AS MATERIALIZED (SELECT c{k}.j, coalesce(m{k}.c, c{k}.c) AS c FROM c{k} LEFT JOIN m{k} ON c{k}.j = m{k}.j)"""
+    return f"""{sql}
+        SELECT vec_id, CAST(a.j AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.j) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+        FROM a{c.ROUNDS} a JOIN c{c.ROUNDS} c ON a.j = c.j"""
+
+
+def _merkle_sql() -> str:
+    """SQL of op13_merkle: level by level, up to 16 ** 6 rows a source and 16 ** 3 sources."""
+    n = merkle.FANOUT
+    field = lambda x: f"coalesce(octet_length(encode({x})) || ':' || {x}, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(field(x) for x in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)) + ")"
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    # crc32 bit by bit: a byte comes in, then seven shifts more.
+    bits = "flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: [CAST(ord(d) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))"
+    crc = f"xor(4294967295, list_reduce(list_concat([4294967295], {bits}), lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))))"
+    sql = f"""WITH f AS (SELECT doc_id, source, {leaf("text")} AS leaf, CASE WHEN {crc} % {merkle.TAMPERED} = 0 THEN {leaf(low)} ELSE {leaf("text")} END AS other FROM documents),
+        l AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM f), a0 AS (SELECT source AS g, i, leaf AS h FROM l)"""
+    for tree, levels in (("a", 6), ("b", 3)):
+        if tree == "b":
+            sql += ", b0 AS (SELECT 0 AS g, source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, h FROM subroots)"
+        for k in range(levels):
+            own = f"(PARTITION BY g, i // {n} ORDER BY i ROWS BETWEEN"
+            sql += f""",
+        {tree}w{k} AS (SELECT g, i, h, count(*) OVER (PARTITION BY g) = 1 AS single, coalesce(string_agg(h, '') OVER {own} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(h, '') OVER {own} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {tree}{k}),
+        {tree}{k + 1} AS (SELECT g, i // {n} AS i, CASE WHEN bool_or(single) THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h FROM {tree}w{k} GROUP BY 1, 2)"""
+        sql += f", {'subroots AS (SELECT g AS source, h FROM a6)' if tree == 'a' else 'root AS (SELECT h AS root FROM b3)'}"
+        joins = proof = ""
+        for k in range(levels):
+            joins += f" JOIN {tree}w{k} w{k} ON w{k}.g IS NOT DISTINCT FROM t.{'source' if tree == 'a' else 'g'} AND w{k}.i = t.i // {n**k}"
+            proof += f" || CASE WHEN w{k}.single THEN '' ELSE w{k}.l || w{k}.r END"
+        keep = "t.doc_id, t.source, t.leaf, t.other" if tree == "a" else "t.source, t.h AS subroot"
+        lr = ", ".join(f"w{k}.single AS {tree}s{k}, w{k}.l AS {tree}l{k}, w{k}.r AS {tree}r{k}" for k in range(levels))
+        sql += f", {tree}p AS (SELECT {keep}, '' {proof} AS {tree}proof, {lr} FROM {'l' if tree == 'a' else 'b0'} t{joins})"
+    sql += ", x AS (SELECT ap.*, bp.* EXCLUDE (source), other AS n0 FROM ap JOIN bp ON ap.source IS NOT DISTINCT FROM bp.source)"
+    at = 0
+    for tree, levels in (("a", 6), ("b", 3)):
+        for k in range(levels):
+            before, at = ("x" if at == 0 else f"x{at}"), at + 1
+            sql += f", x{at} AS (SELECT * EXCLUDE (n0), CASE WHEN {tree}s{k} THEN n0 ELSE sha256({tree}l{k} || n0 || {tree}r{k}) END AS n0 FROM {before})"
+    return f"{sql} SELECT doc_id, leaf, subroot, root, sha256(aproof || bproof) AS proof_sha256, n0 AS folded_root, n0 = root AS verified FROM x{at}, root"
+
+
 #: DuckDB SQL for the queries that SQL can express on whole tables.
 ORACLE_SQL: dict[str, str] = {
+    "op11_centroids": _centroid_sql(),
+    "op13_merkle": _merkle_sql(),
     "op3_urlfilter": _url_sql(),
     "op7_decontamination": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
         win AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),

@@ -23,11 +23,13 @@ SCHEMAS = {
     "benchmark": "item_id long, text string, words int",
     "labels": "doc_id long, quality int, toxic int",
     "pages": "page_id long, url string, html string",
+    "embeddings": "vec_id long, embedding array<float>, label int",
 }
 ROWS = {
     "documents": DOCS,
     "benchmark": [(1, None, 9), (2, "hello there", 9), (None, "a a", 9)],
     "labels": [(1, None, 1), (None, 1, None), (3, 1, 0), (6, 0, 1)],
+    "embeddings": [(1, [0.5] * 64, 1), (1, [0.5] * 64, 1), (None, [0.25] * 64, None), (2, [0.5] * 63, 1), (3, None, 1), (4, [None] * 64, 1), (5, [float("nan")] * 64, 1)],
     "pages": [(1, None, None), (None, "http://x.net/" + "a/" * 2000, "<p>" * 5000 + "x"), (2, "", "")],
 }
 
@@ -48,6 +50,8 @@ def test_odd_and_empty(spark, folders, name):
     assert QUERIES[name](spark, empty).count() == 0
     if name == "op2_packing":
         assert {r.doc_id for r in rows} == {r[0] for r in DOCS}
+    elif name == "op11_centroids":
+        assert sorted(str(r.vec_id) for r in rows) == ["1", "1", "None"]
     else:
         assert len(rows) == len(ROWS["pages" if "page_id" in rows[0] else "documents"])
 
