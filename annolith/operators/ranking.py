@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annolith.functions.text import UNKNOWN
 from annolith.operators.metrics import share_of_total
+from annolith.operators.order import row_index
+from annolith.session import kept
 
 CLASS_METHODS = ["carpet", "rug", "area_rug"]
 
@@ -69,38 +70,76 @@ def dedup_best(rows: DataFrame, keys: list[str], score: str, order: str) -> Data
     return first_of(rows, keys, F.desc(score), F.asc(order))
 
 
-def quota_select(pool: DataFrame, n: int, per_type: int, seed: int = 42) -> DataFrame:
+def shuffled(key: str, seed: int) -> Column:
+    """A fixed order of rows that has nothing to do with what they hold: a hash of the key and the seed."""
+    return F.xxhash64(key, F.lit(seed))
+
+
+def shuffled_md5(key: str, seed: int) -> Column:
+    """The same by md5 of the key's text, a colon and the seed, for engines that must agree."""
+    return F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f":{seed}")))
+
+
+#: Positions that share one running count of the total cap.
+_BUCKET = 4096
+
+
+def greedy_take(rows: DataFrame, caps: dict[str, str], total: int) -> DataFrame:
+    """The pos of rows that a walk in the order of pos takes, where a row is taken if fewer than `total` rows were taken before and,
+    for each column of caps, fewer of the row's own value than the cap in the other column says.
+
+    Rounds instead of a walk: a row is taken for sure if even all rows before it that are not yet refused would leave
+    room under each cap, and refused for sure if the rows taken before it fill one; the first open row is always sure.
+    Each round is one written table of the rows still open or taken.
+    """
+    names = [*caps, *caps.values()]
+    state = rows.select("pos", *dict.fromkeys(names), F.lit(False).alias("taken"))
+    while True:
+        count = lambda w: (F.count("*").over(w), F.count(F.when(F.col("taken"), 1)).over(w))
+        sure, refused = F.lit(True), F.lit(False)
+        found = state
+        for k, (group, cap) in enumerate(caps.items()):
+            every, taken = count(Window.partitionBy(group).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+            found = found.withColumns({f"_every{k}": every, f"_taken{k}": taken})
+            sure, refused = sure & (F.col(f"_every{k}") < F.col(cap)), refused | (F.col(f"_taken{k}") >= F.col(cap))
+        # The running total is counted inside buckets of positions, and over the buckets' sums.
+        bucket = F.floor(F.col("pos") / _BUCKET)
+        sums = state.groupBy(bucket.alias("_bucket")).agg(F.count("*").alias("_n"), F.count(F.when(F.col("taken"), 1)).alias("_t"))
+        earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.select("_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n"), F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_t"))
+        every, taken = count(Window.partitionBy("_bucket").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+        found = found.withColumn("_bucket", bucket).join(sums, "_bucket").withColumns({"_every": every + F.col("_n"), "_taken": taken + F.col("_t")})
+        sure, refused = sure & (F.col("_every") < total), refused | (F.col("_taken") >= total)
+        found = found.filter(F.col("taken") | ~refused).withColumn("_open", ~F.col("taken") & ~sure).withColumn("taken", F.col("taken") | sure)
+        found = kept(found.select("pos", *dict.fromkeys(names), "taken", "_open"), "greedy")
+        state = found.drop("_open")
+        if not found.filter("_open").limit(1).count():
+            return state.select("pos")
+
+
+def quota_select(pool: DataFrame, n: int, per_type: int, seed: int = 42, shuffle: Callable[[str, int], Column] = shuffled) -> DataFrame:
     """Two greedy passes over a pool (key, material, product_type, known_count): a quota a material and a cap a type,
-    then the type cap alone.  Order: known_count down, then a hash of the key and the seed.
+    then the type cap alone.  Order: known_count down, then shuffled by key and seed.  ord is the order of taking.
 
-    The caps interact, so the choice is sequential, but over a bounded pool: of one material and type no more than
-    per_type rows can be taken, and of one material a row is reached only among the first 2 * n such rows (at most
-    n are skipped for types that are full), whatever the size of the pool.  Duplicates of a key count once.
+    Of one material and type no more than per_type rows can be taken, and of one material a row is reached only among the
+    first 2 * n such rows (at most n are skipped for types that are full), whatever the size of the pool: the passes
+    run over those.  Each pass is greedy_take, equal to the sequential walk.  Duplicates of a key count once.
     """
-    ranked = pool.dropDuplicates(["key"]).withColumn("_hash", F.xxhash64("key", F.lit(seed)))
+    ranked = pool.dropDuplicates(["key"]).withColumn("_hash", shuffle("key", seed))
     order = [F.desc("known_count"), F.asc("_hash"), F.asc("key")]
     usable = ranked.withColumn("_place", F.row_number().over(Window.partitionBy("material", "product_type").orderBy(*order))).filter(F.col("_place") <= min(n, per_type))
     usable = usable.withColumn("_place", F.row_number().over(Window.partitionBy("material").orderBy(*order))).filter(F.col("_place") <= 2 * n).drop("_place")
-
-    names = usable.columns
-
-    def choose(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frame = pd.concat([*parts]) if (parts := [p for p in parts if len(p)]) else pd.DataFrame({c: [] for c in names})
-        frame = frame.sort_values(["known_count", "_hash", "key"], ascending=[False, True, True]).reset_index(drop=True)
-        named = sorted(set(frame["material"]) - {UNKNOWN})
-        quota, taken, materials, types = max(1, n // max(1, len(named))), [], {}, {}
-        for limited in (True, False):
-            chosen = set(taken)
-            for k, (material, kind) in enumerate(zip(frame["material"], frame["product_type"], strict=True)):
-                full = len(taken) >= n or types.get(kind, 0) >= per_type or k in chosen
-                if full or limited and (material == UNKNOWN or materials.get(material, 0) >= quota):
-                    continue
-                taken.append(k)
-                materials[material], types[kind] = materials.get(material, 0) + 1, types.get(kind, 0) + 1
-        yield frame.iloc[taken].assign(ord=range(len(taken))).drop(columns=["_hash"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pool.schema.fields) + ", ord int"
-    return usable.coalesce(1).mapInPandas(choose, schema)
+    usable = kept(row_index(usable, *order).withColumnRenamed("index", "pos"), "pool")
+    named = usable.filter(F.col("material") != UNKNOWN)
+    quota = max(1, n // max(1, named.select("material").distinct().count()))
+    first = greedy_take(named.withColumns({"_quota": F.lit(quota), "_cap": F.lit(per_type)}), {"material": "_quota", "product_type": "_cap"}, n)
+    taken = usable.join(first, "pos", "left_semi")
+    used = taken.groupBy(F.col("product_type").alias("_type")).agg(F.count("*").alias("_used"))
+    rest = usable.join(first, "pos", "left_anti").join(used, F.col("product_type").eqNullSafe(F.col("_type")), "left")
+    rest = rest.withColumn("_left", F.lit(per_type) - F.coalesce("_used", F.lit(0))).filter("_left > 0")
+    second = greedy_take(rest, {"product_type": "_left"}, n - first.count())
+    chosen = taken.withColumn("_pass", F.lit(0)).unionByName(usable.join(second, "pos", "left_semi").withColumn("_pass", F.lit(1)))
+    return row_index(chosen, "_pass", "pos").select(*pool.columns, F.col("index").cast("int").alias("ord"))
 
 
 def known_total(samples: DataFrame) -> Column:
@@ -124,15 +163,15 @@ def few_shot_dynamic(rows: DataFrame, k: int) -> DataFrame:
     return own.select("image_id", "property_key", F.slice(F.filter(F.coalesce("top", F.array().cast("array<string>")), lambda d: d != F.col("image_id")), 1, k).alias("demos"))
 
 
-def hash_sample(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """n rows (all, if fewer) in the order of a hash of key and seed."""
-    return rows.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+def hash_sample(rows: DataFrame, key: str, n: int, seed: int = 42, shuffle: Callable[[str, int], Column] = shuffled) -> DataFrame:
+    """n rows (all, if fewer) in shuffled order."""
+    return rows.orderBy(shuffle(key, seed), key).limit(n)
 
 
-def holdout_split(ids: DataFrame, n: int, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(train, val) of (image_id, ord): n validation ids, the others in their order."""
-    val = hash_sample(ids, "image_id", n, seed)
-    return ids.join(F.broadcast(val.select("image_id")), "image_id", "left_anti").orderBy("ord"), val.orderBy("ord")
+def holdout_split(ids: DataFrame, n: int, seed: int = 42, shuffle: Callable[[str, int], Column] = shuffled) -> tuple[DataFrame, DataFrame]:
+    """(train, val) of (image_id, ord): n validation ids, and all others.  Order is the writer's affair (write_ids)."""
+    val = kept(hash_sample(ids, "image_id", n, seed, shuffle), "holdout")
+    return ids.join(val.select("image_id"), "image_id", "left_anti"), val
 
 
 def best_detection(rows: DataFrame, keys: list[str], score: str = "score") -> DataFrame:

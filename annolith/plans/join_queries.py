@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annolith.functions import masks, text
-from annolith.operators import inference, joins, kg, metrics, ranking
+from annolith.operators import inference, joins, kg, metrics, order, ranking
 from annolith.plans import pipelines
 from annolith.plans.queries import _BUNDLE, LABELS, PRIORS, SPECS, _bundle_rows, _evaluation, _pct, _read, query
 from annolith.sources import tables
@@ -264,14 +264,19 @@ def first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.first_n(_read(spark, sf_dir, "orders"), "o_orderkey", 25).select("o_orderkey", "o_custkey")
 
 
-@query("SELECT CAST(count(*) - 50 AS BIGINT) AS train, CAST(50 AS BIGINT) AS val, CAST(0 AS BIGINT) AS both, CAST(50 AS BIGINT) AS sampled FROM customer")
+@query("""SELECT CASE WHEN place <= 50 THEN 'val' ELSE 'train' END AS part, image_id, ord FROM (SELECT CAST(c_custkey AS VARCHAR) AS image_id, c_custkey AS ord, row_number() OVER (ORDER BY md5(c_custkey || ':42'), CAST(c_custkey AS VARCHAR)) AS place FROM customer)""")
 def holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes of a hashed holdout and what its parts share; the same seed samples the same ids."""
+    """The rows of a holdout's two parts."""
     ids = _read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("image_id"), F.col("c_custkey").alias("ord"))
-    train, val = ranking.holdout_split(ids, 50)
-    again = ranking.hash_sample(ids, "image_id", 50).select("image_id")
-    count = lambda df, name: df.agg(F.count("*").cast("long").alias(name))
-    return count(train, "train").crossJoin(count(val, "val")).crossJoin(count(joins.allow_list(train, val), "both")).crossJoin(count(joins.allow_list(val, again), "sampled"))
+    train, val = ranking.holdout_split(ids, 50, shuffle=ranking.shuffled_md5)
+    return train.select(F.lit("train").alias("part"), "image_id", "ord").union(val.select(F.lit("val"), "image_id", "ord"))
+
+
+@query()
+def drawn_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample of a fifth of the customers as random.Random(42).sample draws it; tests hold it against that."""
+    rows = _read(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    return order.exact_sample(rows, rows.count() // 5, "c_custkey")
 
 
 @query("SELECT CAST(coalesce((SELECT min(c_custkey) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)), 0) AS BIGINT) AS start UNION ALL SELECT CAST(7 AS BIGINT)")

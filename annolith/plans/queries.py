@@ -488,12 +488,23 @@ def main_object_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.main_object_choice(rows).select("image_name", "idx")
 
 
-@query()
+_QUOTA = """pool AS (SELECT *, row_number() OVER (ORDER BY known_count DESC, md5(key || ':42'), key) AS pos FROM
+      (SELECT p_partkey AS key, (['wood', 'metal', 'glass', 'unknown'])[1 + CAST(p_size % 4 AS INT)] AS material, p_type AS product_type, CAST(p_partkey % 5 AS INT) AS known_count FROM part)),
+    ids AS (SELECT *, dense_rank() OVER (ORDER BY material) AS m, dense_rank() OVER (ORDER BY product_type) AS t, 60 // (SELECT greatest(1, count(DISTINCT material)) FROM pool WHERE material <> 'unknown') AS quota FROM pool),
+    zero AS (SELECT list_transform(range(max(m)), lambda x: 0) AS ms, list_transform(range(max(t)), lambda x: 0) AS ts, CAST(max(pos) AS BIGINT) AS last FROM ids),
+    walk(step, taken, total, ms, ts, done) AS (
+      SELECT CAST(0 AS BIGINT), false, CAST(0 AS BIGINT), ms, ts, CAST([] AS BIGINT[]) FROM zero
+      UNION ALL
+      SELECT step + 1, ok, total + CAST(ok AS BIGINT), list_transform(w.ms, lambda x, i: CASE WHEN i = m AND ok THEN x + 1 ELSE x END), list_transform(w.ts, lambda x, i: CASE WHEN i = t AND ok THEN x + 1 ELSE x END), CASE WHEN ok THEN list_append(done, pos) ELSE done END
+      FROM (SELECT w.*, i.pos, i.m, i.t, total < 60 AND w.ts[t] < 25 AND NOT list_contains(done, pos) AND (step >= last OR material <> 'unknown' AND w.ms[m] < greatest(1, quota)) AS ok FROM walk w, zero z, ids i WHERE i.pos = step % last + 1 AND step < 2 * last) w)"""
+
+
+@query(f"WITH RECURSIVE {_QUOTA} SELECT key, material, product_type, known_count, CAST(total - 1 AS INT) AS ord FROM walk JOIN ids ON pos = done[total] WHERE taken")
 def quota_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy and sequential; tests hold it against a plain loop."""
+    """Two greedy passes; the SQL walks row by row."""
     material = F.array(*map(F.lit, ("wood", "metal", "glass", "unknown")))[(F.col("p_size") % 4).cast("int")]
     pool = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), material.alias("material"), F.col("p_type").alias("product_type"), (F.col("p_partkey") % 5).cast("int").alias("known_count"))
-    return ranking.quota_select(pool, 60, 25)
+    return ranking.quota_select(pool, 60, 25, shuffle=ranking.shuffled_md5)
 
 
 PRIORS = knowledge_priors({

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annolith.functions import text
-from annolith.operators import joins
+from annolith.operators import joins, order
 from annolith.plans import pipelines
 from annolith.plans.queries import SPECS, _evaluation, _metrics_sql, _read, _reviews, query
 from annolith.plans.text_queries import _SPECS, _TRAIN, _train
@@ -15,11 +15,18 @@ from annolith.sources import specs, tables
 from annolith.sources.specs import specs_frame
 
 
-def _lines(df: DataFrame, line: Column, name: str, one: bool = False, **options: str) -> str:
+def _lines(df: DataFrame, line: Column, name: str, **options: str) -> str:
     """Writes a text line a row; the folder's path."""
     path = scratch_path(df.sparkSession, name)
-    rows = df.select(line.alias("value"))
-    (rows.coalesce(1) if one else rows).write.options(**options).text(path)
+    df.select(line.alias("value")).write.options(**options).text(path)
+    return path
+
+
+def _documents(df: DataFrame, key: str, document: Column, name: str, ending: str = "", size: int = 500) -> str:
+    """Writes JSON documents, each a file, of the rows with up to `size` neighbouring keys; document: an aggregate."""
+    path = scratch_path(df.sparkSession, name) + ending
+    shards = df.groupBy(F.floor(F.col(key) / size).alias("shard")).agg(document.alias("value"))
+    shards.select("value", "shard").write.option("maxRecordsPerFile", 1).partitionBy("shard").text(path)
     return path
 
 
@@ -44,17 +51,20 @@ def annotations_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("image_id", "split", "caption", F.try_variant_get("record", "$.groups.intrinsic.main_material", "string").alias("material"))
 
 
-@query("SELECT c_name AS image_id FROM customer WHERE c_custkey % 9 <> 0")
+@query("SELECT c_name AS image_id, row_number() OVER (ORDER BY c_custkey) - 1 AS place FROM customer WHERE c_custkey % 9 <> 0")
 def id_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.id_scan(spark, _lines(_customers(spark, sf_dir), _record("obj_id"), "ids")).select("image_id")
+    """Ids in the order of several files."""
+    rows = _customers(spark, sf_dir).repartitionByRange(5, "c_custkey").sortWithinPartitions("c_custkey")
+    ids = tables.id_scan(spark, _lines(rows, _record("obj_id"), "ids"))
+    return order.row_index(ids, "ord").select("image_id", F.col("index").alias("place"))
 
 
 @query("SELECT 'i' || n_nationkey AS image_id, 'p/' || n_name AS path, n_name AS caption, 'thing' AS primary_object FROM nation WHERE n_nationkey % 4 <> 0")
 def meta_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A JSON array with items that lack an id or a path."""
+    """JSON arrays, one a file, with items that lack an id or a path."""
     rows = _read(spark, sf_dir, "nation")
     item = F.struct(F.when(F.col("n_nationkey") % 4 != 0, F.concat(F.lit("i"), F.col("n_nationkey").cast("string"))).alias("image_id"), F.concat(F.lit("p/"), "n_name").alias("path"), F.col("n_name").alias("notes"), F.lit("thing").alias("primary_object"))
-    path = _lines(rows.agg(F.to_json(F.collect_list(item)).alias("all")), F.col("all"), "meta", one=True)
+    path = _documents(rows, "n_nationkey", F.to_json(F.collect_list(item)), "meta", size=10)
     return tables.meta(spark, path).select("image_id", "path", "caption", "primary_object")
 
 
@@ -71,10 +81,10 @@ def listing_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'i' || (o_custkey % 100) AS image_id, arg_max('f/' || o_orderkey, o_orderkey) AS path FROM orders WHERE o_orderkey % 5 <> 0 GROUP BY 1")
 def image_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A gzip CSV in which the last row of an id counts and blanks don't."""
+    """Gzip CSVs in which the last row of an id counts, whatever the files' sizes, and blanks don't."""
     path = scratch_path(spark, "index")
-    rows = _read(spark, sf_dir, "orders").orderBy("o_orderkey").select(F.concat(F.lit("i"), (F.col("o_custkey") % 100).cast("string")).alias("image_id"), F.when(F.col("o_orderkey") % 5 != 0, F.concat(F.lit("f/"), F.col("o_orderkey").cast("string"))).alias("path"))
-    rows.coalesce(1).write.csv(path, header=True, compression="gzip")
+    rows = _read(spark, sf_dir, "orders").repartitionByRange(6, "o_orderkey").sortWithinPartitions("o_orderkey").select(F.concat(F.lit("i"), (F.col("o_custkey") % 100).cast("string")).alias("image_id"), F.when(F.col("o_orderkey") % 5 != 0, F.concat(F.lit("f/"), F.col("o_orderkey").cast("string"))).alias("path"))
+    rows.write.csv(path, header=True, compression="gzip")
     return tables.image_index(spark, path)
 
 
@@ -82,9 +92,7 @@ def image_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def id_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Allow-lists as lines (with blanks) and as a JSON object."""
     lines = _lines(_customers(spark, sf_dir), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit(" "), "c_name")).otherwise(" "), "allowed")
-    path = scratch_path(spark, "allowed") + ".json"
-    whole = _read(spark, sf_dir, "nation").agg(F.to_json(F.struct(F.lit("x").alias("image_ids"), F.collect_list(F.concat("n_name", F.lit(" "))).alias("ids"))).alias("value"))
-    whole.coalesce(1).write.text(path)
+    path = _documents(_read(spark, sf_dir, "nation"), "n_nationkey", F.to_json(F.struct(F.lit("x").alias("image_ids"), F.collect_list(F.concat("n_name", F.lit(" "))).alias("ids"))), "allowed", ".json", size=10)
     pick = lambda kind, p: tables.allowed_ids(spark, p).select(F.lit(kind).alias("kind"), "image_id")
     return pick("txt", lines).union(pick("json", path))
 
@@ -92,28 +100,28 @@ def id_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ROW = "c_name AS image_id, 'm' AS model, {variant} AS variant, 'k' AS property_key, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS gt_value, CAST(c_nationkey AS VARCHAR) AS pred_value"
 
 
-@query(f"SELECT 'csv' AS kind, {_ROW.format(variant="'raw'")} FROM customer UNION ALL SELECT 'jsonl', {_ROW.format(variant="'default'")} FROM customer UNION ALL SELECT 'json', {_ROW.format(variant="'default'")} FROM customer WHERE c_custkey < 50")
+@query(f"SELECT 'csv' AS kind, {_ROW.format(variant="'raw'")} FROM customer UNION ALL SELECT 'jsonl', {_ROW.format(variant="'default'")} FROM customer UNION ALL SELECT 'json', {_ROW.format(variant="'default'")} FROM customer")
 def prediction_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long predictions from CSV, JSON lines and one JSON object."""
+    """Long predictions from CSV, JSON lines and JSON objects."""
     rows = _customers(spark, sf_dir)
     own = rows.select(F.col("c_name").alias("image_id"), F.lit("m").alias("model"), F.lit("k").alias("property_key"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")).alias("gt_value"), F.col("c_nationkey").alias("pred_value"), "c_custkey")
     base = scratch_path(spark, "predictions")
     own.drop("c_custkey").withColumns({"variant": F.lit("raw"), "gt_value": F.coalesce("gt_value", F.lit("NaN"))}).write.csv(base + ".csv", header=True)
     own.drop("c_custkey").write.json(base + ".jsonl", ignoreNullFields=False)
-    some = own.filter("c_custkey < 50").drop("c_custkey")
-    some.agg(F.to_json(F.struct(F.collect_list(F.struct(*some.columns)).alias("rows")), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.text(base + ".json")
+    names = [c for c in own.columns if c != "c_custkey"]
+    objects = _documents(own, "c_custkey", F.to_json(F.struct(F.collect_list(F.struct(*names)).alias("rows")), {"ignoreNullFields": "false"}), "predictions", ".json")
     out = None
-    for kind in ("csv", "jsonl", "json"):
-        part = tables.predictions(spark, f"{base}.{kind}").select(F.lit(kind).alias("kind"), "*")
+    for kind, path in (("csv", base + ".csv"), ("jsonl", base + ".jsonl"), ("json", objects)):
+        part = tables.predictions(spark, path).select(F.lit(kind).alias("kind"), "*")
         out = part if out is None else out.union(part)
     return out
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS image_id, CASE quality WHEN 1 THEN 'approved' ELSE 'rejected' END AS decision, 't0' AS reviewed_at FROM labels")
 def review_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A JSON object keyed by id."""
-    rows = _read(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("k"), F.struct(F.when(F.col("quality") == 1, "approved").otherwise("rejected").alias("decision"), F.lit("t0").alias("reviewed_at")).alias("v"))
-    path = _lines(rows.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("k", "v")))).alias("all")), F.col("all"), "decisions", one=True)
+    """JSON objects keyed by id, one a file."""
+    rows = _read(spark, sf_dir, "labels").select("doc_id", F.col("doc_id").cast("string").alias("k"), F.struct(F.when(F.col("quality") == 1, "approved").otherwise("rejected").alias("decision"), F.lit("t0").alias("reviewed_at")).alias("v"))
+    path = _documents(rows, "doc_id", F.to_json(F.map_from_entries(F.collect_list(F.struct("k", "v")))), "decisions")
     return tables.decisions(spark, path).select("image_id", "decision", "reviewed_at")
 
 

@@ -16,13 +16,22 @@ MASK_ENDINGS = [".png", ".jpg", ".jpeg", ".bmp", ".tif", ".tiff"]
 NA_WORDS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 
+def file_order() -> Column:
+    """A key that sorts rows as their files do: path, first byte of the block, and row in the block.
+
+    The number of a row rises inside a task, and a task reads a block from its start to its end; how blocks are packed
+    into tasks does not matter.  operators.order.row_index turns the key into positions.
+    """
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+
+
 def _ordered(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with a number that rises in file order."""
-    return spark.read.text(path).select(F.col("value"), F.monotonically_increasing_id().alias("ord"))
+    """Lines with their file order."""
+    return spark.read.text(path).select(F.col("value"), file_order().alias("ord"))
 
 
 def annotations(spark: SparkSession, path: str) -> DataFrame:
-    """JSONL records (ord, image_id, split, caption, record: variant).  Blank lines and rows without obj_id are skipped; bad JSON raises."""
+    """JSONL records (ord: file_order, image_id, split, caption, record: variant).  Blank lines and rows without obj_id are skipped; bad JSON raises."""
     rows = _ordered(spark, path).filter(strip(F.col("value")) != "").select("ord", F.parse_json("value").alias("record"))
     text = lambda name: F.try_variant_get("record", f"$.{name}", "string")
     out = rows.select("ord", strip(text("obj_id")).alias("image_id"), text("split").alias("split"), text("caption").alias("caption"), "record")
@@ -32,9 +41,10 @@ def annotations(spark: SparkSession, path: str) -> DataFrame:
 def meta(spark: SparkSession, path: str, required: bool = True) -> DataFrame:
     """A JSON array's objects with image_id and path (ord, image_id, path, caption, primary_object, record: variant).
 
-    The array is one document and read by one task (2 GB at most); JSON lines go through annotations().
+    Each file is one array, read by one task (2 GB at most); ord sorts by file, then place.  JSON lines go through annotations().
     """
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", "array<string>")).alias("ord", "text"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    rows = whole.select("file", F.posexplode(F.from_json("value", "array<string>")).alias("place", "text")).select(F.struct("file", "place").alias("ord"), "text")
     rows = rows.select("ord", F.try_parse_json("text").alias("record")).filter(F.schema_of_variant("record").startswith("OBJECT"))
     text = lambda name: F.try_variant_get("record", f"$.{name}", "string")
     out = rows.select("ord", text("image_id").alias("image_id"), text("path").alias("path"), text("notes").alias("caption"), text("primary_object").alias("primary_object"), "record")
@@ -63,8 +73,8 @@ def listings(spark: SparkSession, paths: list[str] | str) -> DataFrame:
 
 
 def image_index(spark: SparkSession, path: str) -> DataFrame:
-    """(image_id, path) of a CSV; of rows with one image_id the last, without blanks."""
-    rows = spark.read.csv(path, header=True).select("image_id", "path", F.monotonically_increasing_id().alias("ord"))
+    """(image_id, path) of a CSV, or of several in the order of their paths; of rows with one image_id the last, without blanks."""
+    rows = spark.read.csv(path, header=True).select("image_id", "path", file_order().alias("ord"))
     rows = rows.filter((F.coalesce(strip(F.col("image_id")), F.lit("")) != "") & (F.coalesce(strip(F.col("path")), F.lit("")) != ""))
     return rows.groupBy("image_id").agg(F.max_by("path", "ord").alias("path"))
 
@@ -72,13 +82,13 @@ def image_index(spark: SparkSession, path: str) -> DataFrame:
 def allowed_ids(spark: SparkSession, path: str) -> DataFrame:
     """(image_id, ord): lines of a text file, a JSON list, or a JSON object's image_ids, ids or samples (the first that is a list).
 
-    JSON is read by one task (2 GB at most), lines in parallel.
+    A JSON file is read by one task (2 GB at most), lines in parallel; ord sorts by file, then place.
     """
     if not path.endswith(".json"):
         return _ordered(spark, path).select(strip(F.col("value")).alias("image_id"), "ord").filter("image_id <> ''")
-    whole = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("v"))
     found = F.coalesce(*(F.try_variant_get("v", p, "array<string>") for p in ("$", "$.image_ids", "$.ids", "$.samples")))
-    return whole.select(F.posexplode(found).alias("ord", "image_id")).select(strip(F.col("image_id")).alias("image_id"), F.col("ord").cast("long")).filter("image_id <> ''")
+    return whole.select("file", F.posexplode(found).alias("place", "image_id")).select(strip(F.col("image_id")).alias("image_id"), F.struct("file", "place").alias("ord")).filter("image_id <> ''")
 
 
 PREDICTION_COLUMNS = ["image_id", "model", "property_key", "gt_value", "pred_value"]
@@ -86,24 +96,26 @@ PREDICTION_COLUMNS = ["image_id", "model", "property_key", "gt_value", "pred_val
 
 def predictions(spark: SparkSession, path: str, ordered: bool = False) -> DataFrame:
     """Long predictions as strings, from CSV, a JSON list, {"rows": [...]} or JSONL; variant defaults to `default`.
-    ordered: also ord, which rises in file order.
+    ordered: also ord, the file order.
 
-    A JSON list or object is one document and read by one task (2 GB at most); JSON lines are read in parallel.
+    A JSON list or object is one file and read by one task (2 GB at most); JSON lines are read in parallel.
     """
     if path.endswith(".csv"):
         rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
-        rows = rows.select(*(F.when(~F.col(c).isin(NA_WORDS), F.col(c)).alias(c) for c in rows.columns))
+        rows = rows.select(*(F.when(~F.col(c).isin(NA_WORDS), F.col(c)).alias(c) for c in rows.columns), file_order().alias("_ord"))
     elif path.endswith(".jsonl"):
-        rows = spark.read.json(path, primitivesAsString=True, mode="FAILFAST")
+        rows = spark.read.json(path, primitivesAsString=True, mode="FAILFAST").select("*", file_order().alias("_ord"))
     else:
         rows = spark.read.json(path, primitivesAsString=True, multiLine=True, mode="FAILFAST")
-        if rows.columns == ["rows"]:
-            rows = rows.select(F.explode("rows").alias("r")).select("r.*")
+        if "rows" in rows.columns and "image_id" not in rows.columns:
+            rows = rows.select(F.posexplode("rows").alias("_at", "r"), file_order().alias("_file")).select("r.*", F.struct("_file", "_at").alias("_ord"))
+        else:
+            rows = rows.select("*", file_order().alias("_ord"))
     missing = [c for c in PREDICTION_COLUMNS if c not in rows.columns]
     if missing:
         raise ValueError(f"missing columns: {missing}")
     kind = F.coalesce("variant", F.lit("default")) if "variant" in rows.columns else F.lit("default")
-    return rows.withColumn("variant", kind).select("image_id", "model", "variant", "property_key", "gt_value", "pred_value", *([F.monotonically_increasing_id().alias("ord")] if ordered else []))
+    return rows.withColumn("variant", kind).select("image_id", "model", "variant", "property_key", "gt_value", "pred_value", *([F.col("_ord").alias("ord")] if ordered else []))
 
 
 def image_files(spark: SparkSession, root: str) -> DataFrame:
@@ -149,9 +161,10 @@ def id_scan(spark: SparkSession, path: str) -> DataFrame:
 
 
 def decisions(spark: SparkSession, path: str) -> DataFrame:
-    """(ord, image_id, decision, ...) of a JSON object keyed by id, in its order; read by one task (2 GB at most)."""
-    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,string>").alias("m"))
-    rows = whole.select(F.posexplode(F.map_entries("m")).alias("ord", "e")).select("ord", F.col("e.key").alias("key"), F.try_parse_json("e.value").alias("v"))
+    """(ord, image_id, decision, ...) of JSON objects keyed by id, one a file, in the order of paths and keys; a file is read
+    by one task (2 GB at most)."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", "map<string,string>").alias("m"))
+    rows = whole.select("file", F.posexplode(F.map_entries("m")).alias("place", "e")).select(F.struct("file", "place").alias("ord"), F.col("e.key").alias("key"), F.try_parse_json("e.value").alias("v"))
     names = ["decision", "reviewed_at", "selected_mask_field", "selected_preview_field", "selected_source_field", "selected_mask_path", "selected_preview_path", "selected_mask_source"]
     text = lambda name: F.try_variant_get("v", f"$.{name}", "string")
     return rows.select("ord", F.coalesce(text("image_id"), F.col("key")).alias("image_id"), *(text(n).alias(n) for n in names))
