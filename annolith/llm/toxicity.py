@@ -83,7 +83,7 @@ def _instances(batches: Iterator[pa.RecordBatch], chosen: np.ndarray) -> Iterato
             pairs_ = np.unique(np.concatenate(pairs), axis=0)
             bags: list[list[list[int]]] = [[] for _ in range(j - i)]
             heads = np.flatnonzero(np.concatenate([[True], pairs_[1:, 0] != pairs_[:-1, 0]])) if len(pairs_) else []
-            for a, b in zip(heads, [*heads[1:], len(pairs_)], strict=True):
+            for a, b in zip(heads, [*heads[1:], len(pairs_)] if len(heads) else [], strict=True):
                 bags[doc[pairs_[a, 0]]].append(pairs_[a:b, 1].tolist())
             plain = [int(number[k]) - len(bags[k]) for k in range(j - i)]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(plain, pa.int64()), pa.array(bags, pa.list_(pa.list_(pa.int64())))], names=["toxic", "plain", "bags"])
@@ -92,6 +92,18 @@ def _instances(batches: Iterator[pa.RecordBatch], chosen: np.ndarray) -> Iterato
 Model = tuple[np.ndarray, np.ndarray, float]
 
 
+def gradient(weights: np.ndarray, bias: float, labels: np.ndarray, plain: np.ndarray, doc: np.ndarray, sentence: np.ndarray, feature: np.ndarray, decay: float) -> np.ndarray:
+    """Slope of the mean negative log likelihood by each weight and, last, by the bias; decay / 20 times the squared weights on top."""
+    z = bias + np.bincount(sentence, weights[feature], len(doc)) if len(doc) else np.zeros(0)
+    p, none = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-bias))
+    total = np.bincount(doc, np.logaddexp(0, z), len(labels)) + plain * np.logaddexp(0, bias)
+    total = np.maximum(total, 1e-9)
+    # d loss / d softplus sum: 1 for clean documents, -exp(-S) / (1 - exp(-S)) for toxic ones.
+    outer = np.where(labels == 1, -1 / np.expm1(total), 1.0)
+    dz = outer[doc] * p
+    return np.append(np.bincount(feature, dz[sentence], len(weights)) + decay * len(labels) * weights / 10, dz.sum() + (outer * plain).sum() * none) / max(len(labels), 1)
+
+
 def train(labels: np.ndarray, plain: np.ndarray, doc: np.ndarray, sentence: np.ndarray, feature: np.ndarray, n: int, rounds: int = 400, decay: float = 2e-4) -> tuple[np.ndarray, float]:
     """Weights and bias by full-batch Adam on the noisy-or likelihood.
 
@@ -100,15 +112,8 @@ def train(labels: np.ndarray, plain: np.ndarray, doc: np.ndarray, sentence: np.n
     weights, bias = np.zeros(n), -6.0
     m, v = np.zeros(n + 1), np.zeros(n + 1)
     for t in range(1, rounds + 1):
-        z = bias + np.bincount(sentence, weights[feature], len(doc)) if len(doc) else np.zeros(0)
-        p, none = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-bias))
-        total = np.bincount(doc, np.logaddexp(0, z), len(labels)) + plain * np.logaddexp(0, bias)
-        total = np.maximum(total, 1e-9)
-        # d loss / d softplus sum: 1 for clean documents, -exp(-S) / (1 - exp(-S)) for toxic ones.
-        outer = np.where(labels == 1, -1 / np.expm1(total), 1.0)
-        dz = outer[doc] * p
-        gradient = np.append(np.bincount(feature, dz[sentence], n) + decay * len(labels) * weights / 10, dz.sum() + (outer * plain).sum() * none) / max(len(labels), 1)
-        m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
+        slope = gradient(weights, bias, labels, plain, doc, sentence, feature, decay)
+        m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-10)
         weights, bias = weights - step[:-1], bias - step[-1]
     return weights, float(bias)
