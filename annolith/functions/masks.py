@@ -108,8 +108,9 @@ def fill_holes(mask: Array) -> Array:
 
 
 def clean_mask(mask: Array, radius: int = 2, least: int = 500) -> Array:
-    """Holes filled, closed with a 5 x 5 window, small regions dropped, holes filled again."""
-    closed = erode(dilate(np.pad(fill_holes(mask), radius), radius), radius)[radius:-radius, radius:-radius]
+    """Holes filled, closed with a 5 x 5 window (what lies beyond the image is outside, so the frame is lost), small regions
+    dropped, holes filled again."""
+    closed = erode(dilate(fill_holes(mask), radius), radius)
     labels, n = components(closed)
     sizes = np.bincount(labels.ravel(), minlength=n + 1)
     return fill_holes((labels > 0) & (sizes[labels] >= least))
@@ -170,7 +171,7 @@ def background_region(image: Array, tolerance: int = 28, step: int = 32) -> Arra
 
 
 def _tone(pixels: Array, white: int, dark: int, neutral: int) -> dict[str, float]:
-    p = pixels.astype(np.float32)
+    p = pixels.astype(np.float64)
     top, low = p.max(1), p.min(1)
     gray = 0.299 * p[:, 0] + 0.587 * p[:, 1] + 0.114 * p[:, 2]
     return {"white_ratio": float((low >= white).mean()), "dark_ratio": float((top <= dark).mean()), "std": float(gray.std() / 255), "saturation": float(np.where(top > 0, (top - low) / np.maximum(top, 1), 0).mean()), "neutral_ratio": float((top - low <= neutral).mean())}
@@ -285,9 +286,9 @@ def mask_as_rgb(mask: Array) -> Array:
 
 
 def nearest(array: Array, height: int, width: int) -> Array:
-    """Resized by the nearest pixel."""
-    ys = (np.arange(height) * array.shape[0] // height).clip(0, array.shape[0] - 1)
-    xs = (np.arange(width) * array.shape[1] // width).clip(0, array.shape[1] - 1)
+    """Resized by the nearest pixel: that in which the new pixel's centre lies."""
+    ys = (2 * np.arange(height) + 1) * array.shape[0] // (2 * height)
+    xs = (2 * np.arange(width) + 1) * array.shape[1] // (2 * width)
     return array[ys][:, xs]
 
 
@@ -301,6 +302,25 @@ def fit_canvas(image: Array, height: int, width: int, background: int = 0) -> Ar
     return canvas
 
 
+def collage(panels: list[Array], columns: int = 3, width: int = 420, height: int = 320, margin: int = 12, strip: int = 88, frame: int = 8) -> Array:
+    """Panels row by row on one sheet; each image shrunk or enlarged to its panel, above a strip for text, which stays blank."""
+    rows = -(-len(panels) // max(1, columns))
+    # Greys of the sheet, the strip, its edge and the frame.
+    sheet = np.full((rows * height, columns * width, 3), 245, np.uint8)
+    for k, image in enumerate(panels):
+        panel = np.full((height, width, 3), 255, np.uint8)
+        room_h, room_w = max(60, height - strip - 2 * margin), width - 2 * margin
+        scale = min(room_h / image.shape[0], room_w / image.shape[1])
+        small = nearest(image, max(1, round(image.shape[0] * scale)), max(1, round(image.shape[1] * scale)))
+        x = (width - small.shape[1]) // 2
+        panel[margin : margin + small.shape[0], x : x + small.shape[1]] = small
+        panel[height - strip :] = 220
+        panel[height - strip + 1 : -1, 1:-1] = 248
+        y, x = k // columns * height, k % columns * width
+        sheet[y : y + height, x : x + width] = panel
+    return np.pad(sheet, ((frame, frame), (frame, frame), (0, 0)), constant_values=220)
+
+
 def squeeze_candidates(masks_: Array) -> Array:
     """Candidate masks as n x height x width, whatever leading axes of one they came with."""
     out = np.asarray(masks_)

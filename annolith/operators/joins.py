@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from annolith.functions.keywords import known_count, with_properties
 from annolith.functions.text import UNKNOWN, column_prefix, is_known, once, primary_object, safe_strip, values_equal
-from annolith.operators.metrics import funnel
+from annolith.operators.metrics import funnel, funnel_counters
 
 FIVE = ["material", "rigidity", "transparency", "surface", "fragility"]
 
@@ -24,9 +24,12 @@ def exclude_types(rows: DataFrame, types: list[str], column: str = "product_type
     return rows.filter(~F.col(column).isin(types)) if types else rows
 
 
-def candidates(listings: DataFrame, index: DataFrame, texts: dict[str, Column], min_known: int = 3, excluded: list[str] | None = None, local: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def candidates(listings: DataFrame, index: DataFrame, texts: dict[str, Column], min_known: int = 3, excluded: list[str] | None = None, local: DataFrame | None = None, observation: Observation | None = None) -> tuple[DataFrame, DataFrame | None]:
     """(candidates, funnel counters) of listing rows with item_id and main_image_id.
 
+    With an observation the counters are taken on the candidates' own pass (metrics.observed reads them, once the candidates
+    are written) and the second result is None; without, they are a job of their own.
+
     texts: the listing's text fields as Columns.  A listing needs both ids, an image path, the file itself if
     local (path) is given, and min_known known properties; excluded product types go last.
     """
@@ -51,9 +54,18 @@ def candidates(listings: DataFrame, index: DataFrame, texts: dict[str, Column],
     passed = F.lit(True)
     for _, condition in stages:
         passed = passed & condition
+    if observation is not None:
+        rows = rows.observe(observation, *funnel_counters(stages))
     out = rows.filter(passed).select("item_id", "main_image_id", "image_rel", F.col("product_kind").alias("product_type"), primary_object(F.col("product_kind")).alias("primary_object"), *FIVE, "known_count", "title")
-    counters = funnel(rows, stages).withColumn("records_excluded_by_product_type", F.col("records_with_min_known") - F.col("candidates"))
-    return out, counters
+    return out, None if observation is not None else with_excluded(funnel(rows, stages))
+
+
+#: Counters of candidates(), in the order of its stages.
+FUNNEL = ["records_total", "records_with_ids", "records_with_image_rel", "records_with_local_image", "records_with_min_known", "candidates"]
+
+
+def with_excluded(counters: DataFrame) -> DataFrame:
+    return counters.withColumn("records_excluded_by_product_type", F.col("records_with_min_known") - F.col("candidates"))
 
 
 def long_evaluation(samples: DataFrame, specs: DataFrame) -> DataFrame:

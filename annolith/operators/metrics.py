@@ -6,7 +6,7 @@ value).  Confusion counts come first, so that whatever follows works on label pa
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from annolith.functions.text import UNKNOWN, is_known
@@ -184,13 +184,24 @@ def top_values(rows: DataFrame, column: str, n: int = 20) -> DataFrame:
     return rows.groupBy(column).agg(F.count("*").cast("long").alias("n")).orderBy(F.desc("n"), column).limit(n)
 
 
-def funnel(rows: DataFrame, stages: list[tuple[str, Column]]) -> DataFrame:
-    """One row: how many rows pass each stage and all before it."""
+def funnel_counters(stages: list[tuple[str, Column]]) -> list[Column]:
+    """Aggregates: how many rows there are, and how many pass each stage and all before it."""
     exprs, so_far = [F.count("*").cast("long").alias("records_total")], F.lit(True)
     for name, passed in stages:
         so_far = so_far & F.coalesce(passed, F.lit(False))
         exprs.append(F.count_if(so_far).cast("long").alias(name))
-    return rows.agg(*exprs)
+    return exprs
+
+
+def funnel(rows: DataFrame, stages: list[tuple[str, Column]]) -> DataFrame:
+    """One row: funnel_counters of rows, in a job of its own."""
+    return rows.agg(*funnel_counters(stages))
+
+
+def observed(spark: SparkSession, observation: Observation, names: list[str]) -> DataFrame:
+    """The counters of an observation as one row, once an action has run on the frame that it observes."""
+    found = observation.get
+    return spark.createDataFrame([tuple(found[n] for n in names)], ", ".join(f"{n} long" for n in names))
 
 
 def spread(rows: DataFrame, column: str) -> DataFrame:

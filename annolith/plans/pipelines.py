@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from annolith.functions import prompts, text
@@ -56,8 +56,10 @@ def build_subset(spark: SparkSession, listings: list[str] | str, index: str, n:
     """Candidates of listing shards, one an image, a balanced selection of n, the funnel and the value distributions."""
     rows = tables.listings(spark, listings)
     texts = {c: text.pick_value(F.col(c)) for c in tables.LISTING_TEXTS}
-    found, counters = joins.candidates(rows, tables.image_index(spark, index), texts, min_known, excluded)
+    seen = Observation("funnel")
+    found, _ = joins.candidates(rows, tables.image_index(spark, index), texts, min_known, excluded, observation=seen)
     found = kept(found, "candidates")
+    counters = joins.with_excluded(metrics.observed(spark, seen, joins.FUNNEL))
     best = ranking.dedup_best(found.withColumn("key", F.coalesce("main_image_id", "item_id")), ["key"], "known_count", "item_id")
     selected = kept(ranking.quota_select(best, n, per_type, seed), "selected")
     return {"candidates": found, "selected": selected, "funnel": counters, "distribution": metrics.value_distribution(selected, joins.FIVE), "types": metrics.top_values(selected, "product_type")}

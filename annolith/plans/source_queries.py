@@ -11,8 +11,9 @@ from annolith.plans import pipelines
 from annolith.plans.queries import SPECS, _evaluation, _metrics_sql, _read, _reviews, query
 from annolith.plans.text_queries import _SPECS, _TRAIN, _train
 from annolith.session import scratch_path
-from annolith.sources import specs, tables
+from annolith.sources import images, prune, specs, tables
 from annolith.sources.specs import specs_frame
+from annolith.sources.versions import VersionedTable
 
 
 def _lines(df: DataFrame, line: Column, name: str, **options: str) -> str:
@@ -184,6 +185,56 @@ def rewritten_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(new).select(F.lit("new").alias("version"), "c_custkey", "c_name").union(spark.read.parquet(path).select(F.lit("old"), "c_custkey", "c_name"))
 
 
+@query("""SELECT 0 AS version, c_custkey, c_name, c_acctbal, CAST(NULL AS VARCHAR) AS tier FROM customer UNION ALL SELECT 1, c_custkey, CASE WHEN c_custkey % 3 = 0 THEN upper(c_name || '!') ELSE c_name END, c_acctbal, CASE WHEN c_acctbal > 5000 THEN 'gold' END FROM customer
+    UNION ALL SELECT 2, c_custkey, c_name, c_acctbal, NULL FROM customer""")
+def versioned_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table rewritten bucket by bucket, and restored from its backup; all its versions."""
+    table = VersionedTable(spark, scratch_path(spark, "versions"), "c_custkey", buckets=4)
+    table.create(_customers(spark, sf_dir).select("c_custkey", "c_name", "c_acctbal"))
+    table.rewrite(_upgraded)
+    table.restore()
+    out = None
+    for number in (0, 1, 2):
+        rows = table.read(number)
+        rows = rows if "tier" in rows.columns else rows.withColumn("tier", F.lit(None).cast("string"))
+        part = rows.select(F.lit(number).alias("version"), "c_custkey", "c_name", "c_acctbal", "tier")
+        out = part if out is None else out.union(part)
+    return out
+
+
+def _upgraded(rows: DataFrame) -> DataFrame:
+    name = F.when(F.col("c_custkey") % 3 == 0, F.upper(F.concat("c_name", F.lit("!")))).otherwise(F.col("c_name"))
+    return rows.withColumns({"c_name": name, "tier": F.when(F.col("c_acctbal") > 5000, "gold")})
+
+
+@query("SELECT 'dry' AS run, CAST(count(*) AS BIGINT) AS rows, CAST(count(*) FILTER (WHERE c_custkey % 3 = 0 OR c_acctbal > 5000) AS BIGINT) AS changed, CAST(1 AS BIGINT) AS versions FROM customer UNION ALL SELECT 'real', CAST(count(*) AS BIGINT), CAST(count(*) FILTER (WHERE c_custkey % 3 = 0 OR c_acctbal > 5000) AS BIGINT), 2 FROM customer")
+def rewrite_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a dry run says, and what the run then does."""
+    table = VersionedTable(spark, scratch_path(spark, "versions"), "c_custkey", buckets=4)
+    table.create(_customers(spark, sf_dir).select("c_custkey", "c_name", "c_acctbal"))
+    rows = []
+    for name in ("dry", "real"):
+        report = table.rewrite(_upgraded, dry_run=name == "dry")
+        rows.append((name, report.rows, report.changed, len(table.entries())))
+    return spark.createDataFrame(rows, "run string, rows long, changed long, versions long")
+
+
+_KEPT = "c_custkey % 3 = 0 OR c_nationkey = 3"
+
+
+@query(f"""WITH f AS (SELECT 'n' || c_nationkey || '/d' || c_custkey % 2 || '/m' || c_custkey || '.png' AS relative, {_KEPT} AS used FROM customer)
+    SELECT relative, 'deleted' AS status FROM f WHERE NOT used UNION ALL SELECT relative, 'left' FROM f WHERE used""")
+def pruned_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that nothing names are deleted; what the folder then holds."""
+    root = scratch_path(spark, "prune")
+    relative = F.concat(F.lit("n"), F.col("c_nationkey").cast("string"), F.lit("/d"), (F.col("c_custkey") % 2).cast("string"), F.lit("/m"), F.col("c_custkey").cast("string"), F.lit(".png"))
+    rows = _customers(spark, sf_dir).select(relative.alias("path"), "c_custkey", "c_nationkey")
+    pixel = rows.select("path", F.lit(1).alias("width"), F.lit(1).alias("height"), F.lit(1).alias("channels"), F.unhex(F.lit("FF")).alias("data"))
+    images.write_png(pixel, root)
+    done = prune.prune(spark, root, rows.filter(_KEPT).select(F.col("path").alias("relative")))
+    return done.union(prune.listed(spark, root).select("relative", F.lit("left")))
+
+
 @query("SELECT 'f' || c_custkey AS path FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def unreferenced_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = lambda c: F.concat(F.lit("f"), F.col(c).cast("string")).alias("path")

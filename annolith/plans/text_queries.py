@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from annolith.functions import keywords, prompts, taxonomy, text
-from annolith.operators import joins
+from annolith.operators import joins, metrics
 from annolith.plans import pipelines
 from annolith.plans.queries import _HITS, _any, _cases, _read, query
-from annolith.session import scratch_path
+from annolith.session import kept, scratch_path
 from annolith.sources import specs
 from annolith.sources.specs import PropertySpec, specs_frame
 
@@ -172,13 +172,13 @@ _FOUND = f"""{_PROPERTIES}, files AS (SELECT 'i' || x AS image, 'a/' || x || '.j
 _OK = "item_id IS NOT NULL AND image IS NOT NULL AND image_rel IS NOT NULL AND here AND known >= 3"
 
 
-def _candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _candidates(spark: SparkSession, sf_dir: str, observation: Observation | None = None) -> tuple[DataFrame, DataFrame | None]:
     number = _read(spark, sf_dir, "part").select((F.col("p_partkey") % 700).alias("x")).filter("x % 3 <> 0").distinct()
     path = F.concat(F.lit("a/"), F.col("x").cast("string"), F.lit(".jpg"))
     index = number.select(F.concat(F.lit("i"), F.col("x").cast("string")).alias("image_id"), path.alias("path"))
     local = number.filter("x % 5 <> 0").select(path.alias("path"))
     rows = _listings(spark, sf_dir)
-    return joins.candidates(rows, index, {"item_name": F.col("title"), "product_type": F.col("kind"), "color": F.col("color")}, 3, ["LARGE"], local)
+    return joins.candidates(rows, index, {"item_name": F.col("title"), "product_type": F.col("kind"), "color": F.col("color")}, 3, ["LARGE"], local, observation)
 
 
 @query(f"WITH {_FOUND} SELECT item_id, image AS main_image_id, image_rel, kind AS product_type, lower(kind) AS primary_object, material, rigidity, transparency, surface, fragility, CAST(known AS INT) AS known_count, title FROM joined WHERE {_OK} AND kind <> 'LARGE'")
@@ -192,7 +192,10 @@ def listing_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT CAST(count(*) AS BIGINT) AS records_total, CAST(count(*) FILTER (WHERE a) AS BIGINT) AS records_with_ids, CAST(count(*) FILTER (WHERE a AND b) AS BIGINT) AS records_with_image_rel, CAST(count(*) FILTER (WHERE a AND b AND c) AS BIGINT) AS records_with_local_image,
     CAST(count(*) FILTER (WHERE a AND b AND c AND d) AS BIGINT) AS records_with_min_known, CAST(count(*) FILTER (WHERE a AND b AND c AND d AND e) AS BIGINT) AS candidates, CAST(count(*) FILTER (WHERE a AND b AND c AND d AND NOT e) AS BIGINT) AS records_excluded_by_product_type FROM n""")
 def candidate_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _candidates(spark, sf_dir)[1]
+    """Counted on the pass that writes the candidates."""
+    seen = Observation("funnel")
+    kept(_candidates(spark, sf_dir, seen)[0], "candidates")
+    return joins.with_excluded(metrics.observed(spark, seen, joins.FUNNEL))
 
 
 # ------------------------------------------------------------------ schemas

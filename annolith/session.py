@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
+import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,6 +58,32 @@ def scratch() -> Iterator[None]:
         _delete(since)
 
 
+@contextmanager
+def progress(spark: SparkSession, say: Callable[[str], None] = print, every: float = 5.0) -> Iterator[None]:
+    """Says now and then, while what stands inside runs, how many tasks of the active stages are done, and how many a second."""
+    tracker, over, began = spark.sparkContext.statusTracker(), threading.Event(), time.monotonic()
+    seen: dict[int, int] = {}
+
+    def watch() -> None:
+        while not over.wait(every):
+            total = 0
+            for stage in tracker.getActiveStageIds():
+                info = tracker.getStageInfo(stage)
+                if info is not None:
+                    seen[stage] = info.numCompletedTasks
+                    total += info.numTasks
+            spent = time.monotonic() - began
+            say(f"{sum(seen.values())} tasks done, {total} in active stages, {sum(seen.values()) / spent:.1f} a second, {spent:.0f} s")
+
+    thread = threading.Thread(target=watch, daemon=True)
+    thread.start()
+    try:
+        yield
+    finally:
+        over.set()
+        thread.join()
+
+
 @atexit.register
 def _forget() -> None:
     """Remove what is left at the end of the driver, if its session still lives."""
