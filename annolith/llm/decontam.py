@@ -1,16 +1,19 @@
 """Benchmark decontamination as a prefix-filtered containment join.
 
 A benchmark item's windows (ITEM_WORDS consecutive words, or the whole item if it is
-shorter) are the sets to contain.  Words are ordered by their frequency over all
-documents; a window can only be contained where its rarest word stands, so that word is
-the whole prefix that must be joined (containment 1: prefix length 1).  The word's place
-in the window fixes where the window would start, the document's length bounds it, and
-the words standing there are compared one by one.
+shorter) are the sets to contain, their tokens the shingles of SHINGLE consecutive words.
+Shingles are ordered by their frequency over all documents; a window can only be contained
+where its rarest shingle stands, so that shingle is the whole prefix that must be joined
+(containment 1: prefix length 1).  The shingle's place in the window fixes where the window
+would start, the document's length bounds it, and the words standing there are compared one
+by one.  Common words make few common shingles: windows of a dozen frequent words still have
+prefixes of their own.
 
 Only DataFrame functions are used.  The documents are scanned twice whatever the benchmark's
-size, once to count words and once to mark where rarest words may stand.  Both scans know the
-words by a bitmap of SLOTS bits alone, which is all that is broadcast; what passes it meets the
-benchmark's words or windows in joins that shuffle.
+size, once to count shingles and once to mark where rarest shingles may stand.  Both scans know
+the shingles by a bitmap of SLOTS bits alone, which is all that is broadcast; what passes it meets
+the benchmark's shingles or windows in joins that shuffle.  Shingles travel as 64-bit hashes: two
+that share one only add up their counts and candidates, which the comparison of words settles.
 """
 
 from __future__ import annotations
@@ -20,8 +23,8 @@ from pyspark.sql import functions as F
 
 from annolith.llm.common import lower_ascii, materialise
 
-ITEM_WORDS = 10
-#: Bits of the bitmap that stands for a set of words: at most SLOTS / 64 rows of it are broadcast (some 10 MB).
+ITEM_WORDS, SHINGLE = 10, 3
+#: Bits of the bitmap that stands for a set of shingles: at most SLOTS / 64 rows of it are broadcast (some 10 MB).
 SLOTS = 1 << 24
 #: ASCII letters and digits and all non-ASCII characters make words.  The others are listed one by one: the regex
 #: engine looks those up in a table, ranges of a negated class cost twenty times as much.
@@ -39,58 +42,77 @@ def item_windows(items: DataFrame, size: int = ITEM_WORDS) -> DataFrame:
     return words.select("item_id", "words", F.explode(starts).alias("at")).select("item_id", F.slice("words", F.col("at"), size).alias("window")).distinct()
 
 
-def _slot(word: Column) -> Column:
-    return F.xxhash64(word).bitwiseAND(F.lit(SLOTS - 1))
+def _slot(token: Column) -> Column:
+    return token.bitwiseAND(F.lit(SLOTS - 1))
 
 
-def _bitmap(words: DataFrame) -> DataFrame:
-    """(cell, bits): the slots of words (word) by 64."""
-    slots = words.select(_slot(F.col("word")).alias("slot")).select(F.shiftright("slot", 6).alias("cell"), F.col("slot").bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+def _bitmap(tokens: DataFrame) -> DataFrame:
+    """(cell, bits): the slots of tokens (token) by 64."""
+    slots = tokens.select(_slot(F.col("token")).alias("slot")).select(F.shiftright("slot", 6).alias("cell"), F.col("slot").bitwiseAND(F.lit(63)).cast("int").alias("bit"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))
     return slots.groupBy("cell").agg(F.bit_or(bit).alias("bits"))
 
 
 def _known(rows: DataFrame, bitmap: DataFrame) -> DataFrame:
-    """rows (with word) and known: whether the bitmap has the word's slot (null and false: no)."""
-    slot = _slot(F.col("word"))
+    """rows (with token) and known: whether the bitmap has the token's slot (null and false: no)."""
+    slot = _slot(F.col("token"))
     both = rows.withColumn("cell", F.shiftright(slot, 6)).join(F.broadcast(bitmap), "cell", "left")
     return both.withColumn("known", F.getbit("bits", slot.bitwiseAND(F.lit(63)).cast("int")) == 1).drop("cell", "bits")
 
 
-def _spoken(docs: DataFrame) -> DataFrame:
-    """(doc_id, words, pos, word): every word of every document, lower-cased in full; one row with nulls where there is none.
+def _token(words: str, pos: Column, length: int) -> Column:
+    """Hash of the shingle of so many words from place pos on (null where the array ends before).
+
+    Words are lower-cased in full, which A-Z lowering implies and which is cheaper by far; comparisons are exact.
+    """
+    own = [F.lower(F.get(words, pos + k)) for k in range(length)]
+    return F.when(pos + length <= F.size(words), F.xxhash64(F.lit(length), *own))
+
+
+def _spoken(docs: DataFrame, lengths: list[int]) -> DataFrame:
+    """(doc_id, words, pos, heads, token): the shingles of each length at every word of every document (null where they do not fit);
+    a document without words has them at no place.  heads: true in one row of each document.
 
-    Join keys are lower-cased in full, which A-Z lowering implies and which is cheaper by far; comparisons are exact.
     Outer explodes: the others make the optimiser filter by the array's size, which runs the regex again.
     """
     words = docs.select("doc_id", word_array(F.col("text").cast("string")).alias("words"))
-    return words.select("doc_id", "words", F.posexplode_outer("words").alias("pos", "spoken")).withColumn("word", F.lower("spoken")).drop("spoken")
+    every = words.select("doc_id", "words", F.posexplode_outer("words").alias("pos", "spoken"))
+    tokens, first = [_token("words", F.col("pos"), n) for n in lengths], F.coalesce(F.col("pos") == 0, F.lit(True))
+    if len(tokens) == 1:
+        return every.select("doc_id", "words", "pos", first.alias("heads"), tokens[0].alias("token"))
+    each = every.select("doc_id", "words", "pos", F.posexplode(F.array(*tokens)).alias("which", "token"))
+    return each.select("doc_id", "words", "pos", (first & (F.col("which") == 0)).alias("heads"), "token")
 
 
-def occurrences(docs: DataFrame, items: DataFrame, size: int = ITEM_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def occurrences(docs: DataFrame, items: DataFrame, size: int = ITEM_WORDS, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Where windows occur: (doc_id, start, length, window_id); (window_id, item_id); and (doc_id, n_words) of every row of docs."""
     owned = materialise(item_windows(items, size).withColumn("window_id", F.sha2(F.array_join("window", " "), 256)), "windows")
     windows = owned.select("window_id", "window").distinct()
-    vocabulary = materialise(windows.select(F.explode("window").alias("word")).select(F.lower("word").alias("word")).distinct(), "vocabulary")
-    # Counts of words whose slot the benchmark uses, over all documents; few reach the shuffle more than once a task.
-    counted = _known(_spoken(docs).select("word"), _bitmap(vocabulary)).filter("known").groupBy("word").agg(F.count("*").alias("n"))
-    rarity = materialise(vocabulary.join(counted, "word"), "rarity")
-    # The rarest word of each window with the words it must stand among; a word that no document holds rules its windows out.
-    ranked = windows.select("window_id", "window", F.posexplode("window").alias("at", "word")).withColumn("word", F.lower("word")).join(rarity, "word", "left")
-    prefix = ranked.groupBy("window_id", "window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "at")).alias("first"))
-    prefix = materialise(prefix.filter("first.n > 0").select("window_id", "window", F.col("first.word").alias("word"), F.col("first.at").alias("at")), "prefixes")
-    # One scan marks the places of prefix words, with the words around them, and each document's first word for its length.
+    # Windows shorter than a shingle are one themselves.
+    lengths = sorted(r["n"] for r in windows.select(F.least(F.size("window"), F.lit(shingle)).alias("n")).distinct().collect()) or [shingle]  # `shingle` rows at most
+    own = F.lit(None).cast("long")
+    for n in lengths:
+        own = F.when(F.least(F.size("window"), F.lit(shingle)) == n, _token("window", F.col("at"), n)).otherwise(own)
+    ranked = windows.select("window_id", "window", F.posexplode("window").alias("at", "word")).withColumn("token", own).filter("token is not null").drop("word")
+    vocabulary = materialise(ranked.select("token").distinct(), "vocabulary")
+    # Counts of shingles whose slot the benchmark uses, over all documents; few reach the shuffle more than once a task.
+    counted = _known(_spoken(docs, lengths).select("token"), _bitmap(vocabulary)).filter("known").groupBy("token").agg(F.count("*").alias("n"))
+    rarity = materialise(vocabulary.join(counted, "token"), "rarity")
+    # The rarest shingle of each window with the words it must stand among; one that no document holds rules its windows out.
+    prefix = ranked.join(rarity, "token", "left").groupBy("window_id", "window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "at")).alias("first"))
+    prefix = materialise(prefix.filter("first.n > 0").select("window_id", "window", F.col("first.token").alias("token"), F.col("first.at").alias("at")), "prefixes")
+    # One scan marks the places of prefix shingles, with the words around them, and each document's first word for its length.
     begin = F.greatest(F.col("pos") - (size - 1), F.lit(0))
-    marked = _known(_spoken(docs), _bitmap(prefix.select("word"))).filter("known or pos is null or pos = 0")
+    marked = _known(_spoken(docs, lengths), _bitmap(prefix.select("token"))).filter("known or heads")
     known = F.coalesce("known", F.lit(False))
     around = F.when(known, F.slice("words", begin + 1, 2 * size - 1))
-    marked = materialise(marked.select("doc_id", F.coalesce(F.size("words"), F.lit(0)).alias("n_words"), "pos", "word", known.alias("known"), begin.alias("begin"), around.alias("around")), "places")
+    marked = materialise(marked.select("doc_id", F.coalesce(F.size("words"), F.lit(0)).alias("n_words"), "pos", "heads", "token", known.alias("known"), begin.alias("begin"), around.alias("around")), "places")
     start, length = F.col("pos") - F.col("at"), F.size("window")
-    met = marked.filter("known").join(prefix, "word").filter((start >= 0) & (start + length <= F.col("n_words")))
+    met = marked.filter("known").join(prefix, "token").filter((start >= 0) & (start + length <= F.col("n_words")))
     same = lower_ascii(F.array_join(F.slice("around", start - F.col("begin") + 1, length), " ")) == F.array_join("window", " ")
     found = met.filter(same).select("doc_id", start.alias("start"), length.alias("length"), "window_id")
-    lengths = marked.filter("pos is null or pos = 0").select("doc_id", F.greatest("n_words", F.lit(0)).cast("long").alias("n_words"))
-    return found, owned.select("window_id", "item_id").distinct(), lengths
+    every = marked.filter("heads").select("doc_id", F.greatest("n_words", F.lit(0)).cast("long").alias("n_words"))
+    return found, owned.select("window_id", "item_id").distinct(), every
 
 
 def _key(doc_id: Column, text: Column) -> Column:
