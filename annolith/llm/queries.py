@@ -101,18 +101,19 @@ _TOKENS = f"regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+')"
 
 
 def _url_sql() -> str:
-    """SQL of op3_urlfilter: the same tree, level by level."""
-    u = urlfilter
+    """SQL of op3_urlfilter: the same tree, level by level (these tables have paths of fewer levels)."""
+    u, depth = urlfilter, 6
     rules = sorted(u.RULES, key=lambda r: -len(r[1]))
     fits = {p: f"(host = '{p.partition('/')[0]}' OR ends_with(host, '.{p.partition('/')[0]}')) AND starts_with(path, '/{p.partition('/')[2]}')" for _, p in rules}
     case = lambda which: "CASE " + " ".join(f"WHEN {fits[r[1]]} THEN '{r[which]}'" for r in rules) + " END"
     number = "regexp_replace(x, '^[0-9]+(?:[-_.:][0-9]+)*($|\\.[A-Za-z]{1,5}$)', '*\\1')"
     shape = f"CASE WHEN regexp_matches({number}, '^[0-9a-fA-F-]{{8,}}(\\.[A-Za-z]{{1,5}})?$') AND regexp_matches({number}, '^[0-9a-fA-F-]*[0-9]') THEN regexp_replace({number}, '^[0-9a-fA-F-]{{8,}}', '*') ELSE {number} END"
     levels = ""
+    smoothed = f"((blocked + {u.WEIGHT * u.PRIOR}) / (labelled + {u.WEIGHT}))"
     side = f"CASE WHEN labelled > 0 THEN CASE WHEN 2 * blocked >= labelled THEN '{u.MERGED['block']}' ELSE '{u.MERGED['allow']}' END END"
     share = "(s_blocked / s_labelled::DOUBLE)"
     similar = f"abs(blocked / labelled::DOUBLE - (s_blocked - blocked)::DOUBLE / (s_labelled - labelled)::DOUBLE) <= {u.SIMILAR} * sqrt({share} * (1 - {share}) * (1 / labelled::DOUBLE + 1 / (s_labelled - labelled)::DOUBLE))"
-    for k in range(u.DEPTH):
+    for k in range(depth):
         levels += f""",
         p{k} AS (SELECT host, template, shape[{k + 1}] AS seg, sum(n) AS n, sum(labelled) AS labelled, sum(blocked) AS blocked FROM t{k} WHERE len(shape) > {k} GROUP BY 1, 2, 3),
         q{k} AS (SELECT *, {side} AS side, count(*) OVER point AS many, sum(n) OVER point AS whole FROM p{k} WINDOW point AS (PARTITION BY host, template)),
@@ -126,8 +127,13 @@ def _url_sql() -> str:
         g AS (SELECT *, list_transform(pieces, lambda x: {shape}) AS shape FROM r),
         c AS (SELECT host, shape, count(*) AS n, count(by_rule) AS labelled, count(*) FILTER (WHERE by_rule = 'block') AS blocked FROM g GROUP BY 1, 2),
         t0 AS (SELECT *, CAST([] AS VARCHAR[]) AS template FROM c){levels},
-        f AS (SELECT host, shape, labelled, blocked, list_concat(template, shape[{u.DEPTH + 1}:]) AS template FROM t{u.DEPTH}),
-        v AS (SELECT host, template, (sum(blocked)::DOUBLE + {u.WEIGHT * u.PRIOR}) / (sum(labelled)::DOUBLE + {u.WEIGHT}) AS pure FROM f GROUP BY 1, 2)
+        f AS (SELECT host, shape, labelled, blocked, list_concat(template, shape[{depth + 1}:]) AS template FROM t{depth}),
+        nodes AS (SELECT host, template, sum(blocked)::DOUBLE AS blocked, sum(labelled)::DOUBLE AS labelled FROM f GROUP BY 1, 2),
+        above AS (SELECT *, template[:k] AS point, CASE WHEN template[k + 1] = '*' THEN '*' ELSE shape[k + 1] END AS branch FROM (SELECT *, unnest(range(len(template))) AS k FROM f)),
+        branches AS (SELECT host, point, branch, sum(labelled) AS labelled, sum(blocked) AS blocked FROM above GROUP BY 1, 2, 3),
+        points AS (SELECT host, point, round(avg({smoothed}), 9) AS mean FROM branches GROUP BY 1, 2 HAVING sum(labelled) > 0),
+        inherited AS (SELECT a.host, a.template, arg_max(mean, k) AS mean FROM above a JOIN points p ON a.host = p.host AND a.point = p.point GROUP BY 1, 2),
+        v AS (SELECT n.host, n.template, CASE WHEN labelled > 0 THEN {smoothed} ELSE coalesce(mean, {u.PRIOR}) END AS pure FROM nodes n LEFT JOIN inherited i ON n.host = i.host AND n.template = i.template)
         SELECT page_id, g.host, path, rule, CASE WHEN by_rule IS NOT NULL THEN by_rule WHEN pure >= {u.PURE} THEN 'block' ELSE 'allow' END AS verdict,
                CASE WHEN by_rule IS NULL THEN '/' || array_to_string(f.template, '/') END AS template
         FROM g JOIN f ON g.host = f.host AND g.shape = f.shape JOIN v ON f.host = v.host AND f.template = v.template"""

@@ -5,8 +5,10 @@ hashes, dates) become wildcards at once.  Level by level, a branch point with ma
 segments that hardly repeat becomes one wildcard too; of the other branches, those whose
 labelled urls (those that a rule decides) lean to the same side are merged if a two-proportion
 test finds no difference between a branch and the others of its side.  Branches without labels
-are merged with nothing.  A template is rejected if the smoothed share of blocked urls among
-its labelled ones is high; without labels it keeps the prior, which allows.
+are merged with nothing.  Levels go on as long as any branch point has more than one path below.
+A template is rejected if the smoothed share of blocked urls among its labelled ones is high.  One
+without labels takes over the mean of that share among the branches of its nearest ancestor that has
+labelled urls: many rejected branches speak against their neighbour, one among several does not.
 
 Only DataFrame functions are used.  Pages are first counted by host and shaped path, so that a
 host's share of all rows meets in counts and not in rows.
@@ -21,8 +23,6 @@ from annolith.llm.common import lower_ascii, materialise
 
 #: Verdict and pattern; the longest that fits wins.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: Levels at which branches are generalised and merged; deeper segments stay as they are shaped, each its own branch.
-DEPTH = 6
 #: A branch point is a wildcard from so many distinct segments on, if they repeat less than this on average.
 MANY, REPEATS = 16, 4.0
 #: Standard errors within which label rates of branches count as similar.
@@ -82,20 +82,46 @@ def _branches(children: DataFrame) -> DataFrame:
 
 def templates(shapes: DataFrame) -> DataFrame:
     """(host, shape, n, labelled, blocked, template) for counted shapes (host, shape, n, labelled, blocked)."""
-    tree = materialise(shapes.withColumn("template", F.array().cast("array<string>")), "tree")
-    deepest = tree.agg(F.max(F.size("shape"))).first()[0] or 0
-    for level in range(min(DEPTH, deepest)):
-        here = tree.withColumn("segment", F.get("shape", F.lit(level)))
-        children = here.filter("segment is not null").groupBy("host", "template", "segment").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked")))
-        grown = F.when(F.col("name").isNull(), F.col("template")).otherwise(F.concat("template", F.array("name")))
-        tree = materialise(here.join(_branches(children), ["host", "template", "segment"], "left").withColumn("template", grown).drop("name", "segment"), "tree", few=True)
-    return tree.withColumn("template", F.concat("template", F.slice("shape", DEPTH + 1, F.greatest(F.size("shape") - DEPTH, F.lit(0)))))
+    tree, done, level = materialise(shapes.withColumn("template", F.array().cast("array<string>")), "tree"), None, 0
+    while True:
+        # Below a node with one path nothing is generalised or merged: the rest of the path is taken as it is.
+        rest = F.slice("shape", F.lit(level + 1), F.greatest(F.size("shape") - level, F.lit(0)))
+        longer = F.size("shape") > level
+        nodes = tree.filter(longer).groupBy("host", "template").agg(F.count("*").alias("paths")).filter("paths > 1").select("host", "template", F.lit(True).alias("open"))
+        split = tree.join(nodes, ["host", "template"], "left").withColumn("open", F.coalesce(F.col("open") & longer, F.lit(False)))
+        split = materialise(split, "tree", few=True)
+        closed = split.filter("not open").withColumn("template", F.concat("template", rest)).drop("open")
+        done = closed if done is None else done.unionByName(closed)
+        here = split.filter("open").drop("open").withColumn("segment", F.get("shape", F.lit(level)))
+        if not here.limit(1).count():
+            return done
+        children = here.groupBy("host", "template", "segment").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked")))
+        grown = F.concat("template", F.array("name"))
+        tree = here.join(_branches(children), ["host", "template", "segment"]).withColumn("template", grown).drop("name", "segment")
+        level += 1
+
+
+def _smoothed() -> Column:
+    return (F.col("blocked") + WEIGHT * PRIOR) / (F.col("labelled") + WEIGHT)
 
 
 def purity(tree: DataFrame) -> DataFrame:
-    """(host, template, pure): the smoothed share of blocked urls among the labelled ones."""
-    nodes = tree.groupBy("host", "template").agg(*(F.sum(c).cast("double").alias(c) for c in ("labelled", "blocked")))
-    return nodes.select("host", "template", ((F.col("blocked") + WEIGHT * PRIOR) / (F.col("labelled") + WEIGHT)).alias("pure"))
+    """(host, template, pure): the smoothed share of blocked urls among the labelled ones, or that of the nearest branch point above with
+    labelled urls."""
+    sums = [F.sum(c).cast("double").alias(c) for c in ("labelled", "blocked")]
+    # Every node above a template by the digest of its path, and the branch that leads down from it: branches that were merged
+    # speak one by one, those behind a wildcard together.
+    prefix = F.transform(F.sequence(F.lit(0), F.size("template") - 1), lambda k: F.md5(F.array_join(F.slice("template", F.lit(1), k), "/")))
+    above = tree.filter(F.size("template") > 0).select("host", "shape", "template", "labelled", "blocked", F.posexplode(prefix).alias("k", "point"))
+    name = F.get("template", F.col("k"))
+    branches = above.groupBy("host", "point", F.when(name == WILD, name).otherwise(F.get("shape", F.col("k"))).alias("branch")).agg(*sums)
+    points = branches.groupBy("host", "point").agg(F.sum("labelled").alias("seen"), F.round(F.avg(_smoothed()), 9).alias("mean")).filter("seen > 0").drop("seen")
+    points = materialise(points, "points", few=True)
+    nodes = materialise(tree.groupBy("host", "template").agg(*sums), "nodes", few=True)
+    free = nodes.filter((F.col("labelled") == 0) & (F.size("template") > 0)).select("host", "template", F.posexplode(prefix).alias("k", "point"))
+    inherited = free.join(points, ["host", "point"]).groupBy("host", "template").agg(F.max_by("mean", "k").alias("mean"))
+    own = nodes.join(inherited, ["host", "template"], "left")
+    return own.select("host", "template", F.when(F.col("labelled") > 0, _smoothed()).otherwise(F.coalesce("mean", F.lit(PRIOR))).alias("pure"))
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:

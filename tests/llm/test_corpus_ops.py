@@ -657,6 +657,37 @@ def test_url_templates(spark):
     assert [got[k].template[-2:] for k in (152, 153)] == ["/a", "/b"]
 
 
+def test_templates_without_labels_look_up(spark):
+    """A branch among rejected ones is rejected; one rejected branch among several says little; hosts without labels keep the prior."""
+    from annolith.llm import urlfilter
+
+    # Random first segments, a few of them /de/: below their wildcard six branches are blocked by rule, a seventh has no labelled url.
+    bad = [f"http://bad.example.com/{prose(k, 1)}x{k}-{j}/s{j}" for k in range(40) for j in range(6)]
+    bad += [f"http://bad.example.com/de/s{j}?{i}" for j in range(6) for i in range(30)]
+    planted = [f"http://bad.example.com/{prose(k, 1)}x{k}/quiet" for k in range(5)]
+    part = [f"http://part.example.com/{x}/{k}" for x in ("de", "fr", "help") for k in range(30)]
+    none = ["http://none.example.com/a/b", "http://none.example.com/"]
+    urls = [*bad, *planted, *part, *none]
+    got = {r.page_id: r for r in urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    at = {u: got[k] for k, u in enumerate(urls)}
+    share = lambda b, n: (b + 0.8) / (n + 4)
+    want = (6 * share(30, 30) + share(0, 0)) / 7
+    assert all(at[u].verdict == "block" and at[u].template == "/*/quiet" and abs(at[u].pure - want) < 1e-8 for u in planted)
+    for u in part[30:]:
+        assert at[u].verdict == "allow" and abs(at[u].pure - (share(30, 30) + 2 * share(0, 0)) / 3) < 1e-8
+    assert all(at[u].pure == 0.2 and at[u].verdict == "allow" for u in none)
+
+
+def test_deep_paths_branch_at_every_level(spark):
+    """Generalising goes on below the sixth level; a very deep path of its own is taken as it is."""
+    from annolith.llm import urlfilter
+
+    deep = "/".join(f"d{k}" for k in range(9))
+    urls = [f"http://h.com/{deep}/{prose(k, 1)}q{k}" for k in range(30)] + ["http://h.com/" + "x/" * 3000]
+    got = {r.page_id: r.template for r in urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert {got[k] for k in range(30)} == {f"/{deep}/*"} and got[30] == "/" + "/".join(["x"] * 3000)
+
+
 def brute_names(children, z=2.0):
     """Names of one branch point's branches (segment -> (n, labelled, blocked))."""
     out = {}
