@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annolith.functions import masks
+from annolith.operators import segmentation
 from annolith.plans.queries import _read, query
 from annolith.session import scratch_path
 from annolith.sources import images
+from annolith.sources.versions import WorkLog
 
 _LEVEL = "CAST(greatest(255 - floor(abs(CAST({} AS DOUBLE)) * 1000), 0) AS INT)"
 _PX = f"""px AS MATERIALIZED (SELECT vec_id, k, k % 8 AS x, k // 8 AS y, e[k + 1] > 0.1 AS m, {_LEVEL.format("e[k + 1]")} AS r, {_LEVEL.format("e[(k + 1) % 64 + 1]")} AS g, {_LEVEL.format("e[(k + 2) % 64 + 1]")} AS b
@@ -224,3 +226,88 @@ def saved_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(spark, "predictions")
     images.save_predictions(_images(spark, sf_dir).withColumn("method", F.lit("m")), root)
     return images.read_images(spark, root).select("relative", F.md5(F.hex("data")).alias("bytes"))
+
+
+# ------------------------------------------------------------------ segmentation and refinement runs
+
+
+class Levels:
+    """A segmenter by colour levels: dark reds for carpet, greens under the hint's number; it fails on some images."""
+
+    def segment(self, image: masks.Array, method: str, query: str | None) -> tuple[masks.Array, list[float], float | None]:
+        if method == "rug" and image[0, 0, 0] % 16 == 0:
+            raise ValueError("not this one")
+        found = image[..., 1] < int(query) if method == "hint" else image[..., 0] < (200 if method == "carpet" else 150)
+        return found[None], [0.5], 0.25
+
+
+_METHODS = {"hint": None, "carpet": "carpet.", "rug": "rug."}
+
+
+def _part(a: str, b: str) -> str:
+    return f"coalesce({a} * 1.0e0 / nullif({b}, 0), 0)"
+
+
+@query(f"""WITH {_PX}, hinted AS (SELECT px.*, CASE vec_id % 3 WHEN 0 THEN 180 WHEN 1 THEN 120 END AS hint, max(CASE WHEN k = 0 THEN r END) OVER (PARTITION BY vec_id) AS corner FROM px),
+    v AS (SELECT vec_id, m, 'hint' AS method, hint IS NOT NULL AS ok, coalesce(g < hint, false) AS p FROM hinted UNION ALL SELECT vec_id, m, 'carpet', true, r < 200 FROM hinted UNION ALL SELECT vec_id, m, 'rug', corner % 16 <> 0, corner % 16 <> 0 AND r < 150 FROM hinted),
+    n AS (SELECT vec_id, method, any_value(ok) AS ok, count(*) FILTER (WHERE p) AS p, count(*) FILTER (WHERE m) AS g, count(*) FILTER (WHERE m AND p) AS i FROM v GROUP BY 1, 2)
+    SELECT vec_id, method, round_even(CASE WHEN p + g = 0 THEN 1 ELSE {_part("i", "p + g - i")} END, 9) AS iou, round_even(CASE WHEN p + g = 0 THEN 1 ELSE {_part("2 * i", "p + g")} END, 9) AS dice, CAST(p AS BIGINT) AS mask_area, CASE WHEN ok THEN 0.25e0 END AS dino_score, CASE WHEN ok THEN 0.5e0 END AS sam_score,
+      CASE WHEN ok THEN NULL WHEN method = 'hint' THEN 'LookupError: no hint prompt' ELSE 'ValueError: not this one' END AS error FROM n""")
+def segmentation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A resumable run over two of three parts of the images, then over all: the log keeps the first results."""
+    hint = F.when(F.col("vec_id") % 3 == 0, "180").when(F.col("vec_id") % 3 == 1, "120")
+    rows = _images(spark, sf_dir).select(F.col("vec_id").cast("string").alias("image_name"), "data", "width", "height", F.col("mask").alias("gt"), hint.alias("hint_prompt"), "vec_id")
+    log = WorkLog(spark, scratch_path(spark, "segmentation"), "image_name", buckets=2)
+    segmentation.segmentation_run(log, rows.filter("vec_id % 3 <> 1"), _METHODS, Levels)
+    done = segmentation.segmentation_run(log, rows, _METHODS, Levels)
+    return done.select(F.col("image_name").cast("long").alias("vec_id"), "method", F.bround("iou", 9).alias("iou"), F.bround("dice", 9).alias("dice"), "mask_area", "dino_score", "sam_score", "error")
+
+
+class Boxes:
+    """A refiner that offers the whole box and its dark half; it fails on some images."""
+
+    def refine(self, image: masks.Array, box: list[int]) -> tuple[masks.Array, list[float]]:
+        if image[0, 0, 0] % 16 == 0:
+            raise ValueError("not this one")
+        whole = np.zeros(image.shape[:2], bool)
+        whole[box[1] : box[3], box[0] : box[2]] = True
+        return np.stack([whole, whole & (image[..., 0] < 180)]), [0.7, 0.9]
+
+
+_ITEMS = f"""{_PX}, seed AS (SELECT vec_id, any_value(c) AS c, count(*) FILTER (WHERE m) AS s, greatest(min(x) FILTER (WHERE m) - 2, 0) AS x1, greatest(min(y) FILTER (WHERE m) - 2, 0) AS y1, least(max(x) FILTER (WHERE m) + 3, 8) AS x2, least(max(y) FILTER (WHERE m) + 3, 8) AS y2 FROM (SELECT px.*, max(CASE WHEN k = 0 THEN r END) OVER (PARTITION BY vec_id) AS c FROM px) GROUP BY 1),
+    one AS (SELECT px.*, s.s, s.c, px.x >= x1 AND px.x < x2 AND px.y >= y1 AND px.y < y2 AS a, px.x >= x1 AND px.x < x2 AND px.y >= y1 AND px.y < y2 AND r < 180 AS b2 FROM px JOIN seed s ON px.vec_id = s.vec_id),
+    fit AS (SELECT vec_id, any_value(s) AS s, any_value(c) AS c, count(*) FILTER (WHERE a) / 64.0e0 AS area1, count(*) FILTER (WHERE b2) / 64.0e0 AS area2, {_part("count(*) FILTER (WHERE a AND m)", "count(*) FILTER (WHERE a OR m)")} AS o1, {_part("count(*) FILTER (WHERE b2 AND m)", "count(*) FILTER (WHERE b2 OR m)")} AS o2 FROM one GROUP BY 1),
+    pick AS (SELECT *, 0.65e0 * o2 + 0.30e0 * 0.9e0 - 0.05e0 * abs(area2 - s / 64.0e0) > 0.65e0 * o1 + 0.30e0 * 0.7e0 - 0.05e0 * abs(area1 - s / 64.0e0) AS second FROM fit),
+    item AS (SELECT *, vec_id % 17 = 3 AS existing, CASE WHEN vec_id % 17 = 4 THEN 'missing_image_path' WHEN vec_id % 17 = 5 THEN 'missing_mask_path' WHEN vec_id % 17 = 6 THEN 'image_not_found' WHEN vec_id % 17 = 7 THEN 'seed_mask_not_found' WHEN s < 4 THEN 'seed_mask_too_small' WHEN c % 16 = 0 THEN 'failed:ValueError' ELSE 'written' END AS sam_status FROM pick)"""
+
+
+def _refined(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    n = F.col("vec_id") % 17
+    rows = _images(spark, sf_dir).select(
+        F.col("vec_id").cast("string").alias("image_id"),
+        F.when(n != 4, F.col("relative")).alias("path"),
+        F.when(n != 5, F.lit("seed.png")).alias("seed_path"),
+        F.when(n != 6, F.col("data")).alias("data"),
+        F.when(n != 7, F.col("mask")).alias("seed"),
+        "width",
+        "height",
+        F.lit("mask.png").alias("mask_field"),
+        F.when(n == 3, "sam:x").otherwise("grounded").alias("mask_source"),
+    )
+    log = WorkLog(spark, scratch_path(spark, "refinement"), "image_id", buckets=2)
+    return segmentation.refinement_run(log, rows, Boxes, least_seed=4 / 64)
+
+
+@query(f"""WITH {_ITEMS} SELECT vec_id, sam_status, CASE WHEN ok THEN CASE WHEN second THEN 0.9e0 ELSE 0.7e0 END END AS predicted_iou, CASE WHEN ok THEN round_even(CASE WHEN second THEN o2 ELSE o1 END, 6) END AS overlap, CASE WHEN ok THEN round_even(CASE WHEN second THEN area2 ELSE area1 END, 6) END AS area_ratio
+    FROM (SELECT *, sam_status = 'written' AS ok FROM item) WHERE NOT existing""")
+def refinement_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Refined masks: the better of two candidates for each seed, and what kept the others from one."""
+    return _refined(spark, sf_dir)[0].select(F.col("image_id").cast("long").alias("vec_id"), "sam_status", "predicted_iou", "overlap", "area_ratio")
+
+
+@query(f"""WITH {_ITEMS}, n AS (SELECT * FROM item WHERE NOT existing) SELECT (SELECT CAST(count(*) AS BIGINT) FROM item) AS num_items, (SELECT CAST(count(*) AS BIGINT) FROM item WHERE existing) AS skipped_existing, CAST(count(*) FILTER (WHERE sam_status = 'written') AS BIGINT) AS written,
+    CAST(count(*) FILTER (WHERE sam_status IN ('missing_mask_path', 'seed_mask_not_found')) AS BIGINT) AS skipped_missing_seed_mask, CAST(count(*) FILTER (WHERE sam_status IN ('missing_image_path', 'image_not_found')) AS BIGINT) AS skipped_missing_image,
+    CAST(count(*) FILTER (WHERE sam_status = 'seed_mask_too_small') AS BIGINT) AS skipped_small_seed_mask, CAST(count(*) FILTER (WHERE sam_status LIKE 'failed:%') AS BIGINT) AS failures FROM n""")
+def refinement_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seven counters of a refinement run."""
+    return _refined(spark, sf_dir)[1]

@@ -12,6 +12,7 @@ killed is taken up after its last flushed bucket.  Nothing is written where it i
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -19,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 
+from annolith.session import scratch_path
+
 BUCKET = "_bucket"
 
 
@@ -34,24 +37,23 @@ class Rewrite:
     dry_run: bool
 
 
-class VersionedTable:
-    def __init__(self, spark: SparkSession, root: str, key: str, buckets: int = 16) -> None:
-        """key: the column that names a row; buckets: steps of a rewrite, so many for all versions."""
-        self.spark, self.root, self.key, self.buckets = spark, root.rstrip("/"), key, buckets
+class CommitLog:
+    """Small named entries in a folder; each is written once."""
 
-    # -------------------------------------------------------------- log
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.path = spark, f"{root.rstrip('/')}/_log"
 
     def _files(self):  # noqa: ANN202
         hadoop = self.spark._jvm.org.apache.hadoop.fs
-        path = hadoop.Path(f"{self.root}/_log")
+        path = hadoop.Path(self.path)
         return hadoop, path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    def _names(self) -> list[str]:
+    def names(self) -> list[str]:
         _, files, path = self._files()
         return sorted(s.getPath().getName() for s in files.listStatus(path)) if files.exists(path) else []
 
-    def _log(self, name: str, entry: dict) -> None:
-        """A new log entry; raises if it is there already."""
+    def add(self, name: str, entry: dict) -> None:
+        """A new entry; raises if it is there already."""
         hadoop, files, path = self._files()
         stream = files.create(hadoop.Path(path, name), False)
         try:
@@ -59,25 +61,34 @@ class VersionedTable:
         finally:
             stream.close()
 
-    def entries(self) -> dict[int, dict]:
-        """Committed versions by number."""
-        names = [n for n in self._names() if n.endswith(".json")]
+    def read(self, names: list[str]) -> dict[str, dict]:
+        """Entries by name; one that its writer did not finish does not count."""
         if not names:
             return {}
-        lines = self.spark.read.text([f"{self.root}/_log/{n}" for n in names], wholetext=True).select(F.regexp_extract("_metadata.file_path", r"(\d+)\.json$", 1).cast("int").alias("n"), "value").collect()  # a row a version
+        lines = self.spark.read.text([f"{self.path}/{n}" for n in names], wholetext=True).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("n"), "value").collect()  # a row an entry
         found = {}
         for row in lines:
             try:
                 found[row["n"]] = json.loads(row["value"])
-            except ValueError:  # a writer died inside the entry
+            except ValueError:
                 continue
         return found
 
+
+class VersionedTable:
+    def __init__(self, spark: SparkSession, root: str, key: str, buckets: int = 16) -> None:
+        """key: the column that names a row; buckets: steps of a rewrite, so many for all versions."""
+        self.spark, self.root, self.key, self.buckets = spark, root.rstrip("/"), key, buckets
+        self.log = CommitLog(spark, self.root)
+
+    def entries(self) -> dict[int, dict]:
+        """Committed versions by number."""
+        names = [n for n in self.log.names() if n.endswith(".json")]
+        return {int(n.removesuffix(".json")): entry for n, entry in self.log.read(names).items()}
+
     def latest(self) -> int:
         return max(self.entries(), default=-1)
 
-    # -------------------------------------------------------------- data
-
     def _folder(self, version: int) -> str:
         return f"{self.root}/v{version:08d}"
 
@@ -87,7 +98,7 @@ class VersionedTable:
             raise ValueError(f"{self.root} has versions already")
         bucket = F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
         rows.withColumn(BUCKET, bucket).write.mode("overwrite").partitionBy(BUCKET).parquet(self._folder(0))
-        self._log("00000000.json", {"folder": self._folder(0), "base": None, "schema": rows.schema.json()})
+        self.log.add("00000000.json", {"folder": self._folder(0), "base": None, "schema": rows.schema.json()})
 
     def _rows(self, entry: dict) -> DataFrame:
         schema = StructType.fromJson(json.loads(entry["schema"])).add(BUCKET, IntegerType())
@@ -101,11 +112,9 @@ class VersionedTable:
         """A new version with an old one's rows; none are copied."""
         found = self.entries()
         number = max(found) + 1
-        self._log(f"{number:08d}.json", {**found[version], "base": version})
+        self.log.add(f"{number:08d}.json", {**found[version], "base": version})
         return number
 
-    # -------------------------------------------------------------- rewriting
-
     def _changed(self, old: DataFrame, new: DataFrame) -> DataFrame:
         """Rows of new that old does not have like this."""
         shared = [c for c in new.columns if c in old.columns and c != BUCKET]
@@ -129,22 +138,59 @@ class VersionedTable:
         if dry_run:
             new = update(old.drop(BUCKET))
             return Rewrite(number, new.count(), self._changed(old, new).count(), 0, 0, True)
-        flushed = {n for n in self._names() if n.startswith(f"{number:08d}.") and not n.endswith(".json")}
+        flushed = {n for n in self.log.names() if n.startswith(f"{number:08d}.") and not n.endswith(".json")}
         done = 0
         for k in range(self.buckets):
             name = f"{number:08d}.{k:05d}"
             if name not in flushed:
                 part = update(old.filter(F.col(BUCKET) == k).drop(BUCKET))
                 part.write.mode("overwrite").parquet(f"{self._folder(number)}/{BUCKET}={k}")
-                self._log(name, {"schema": part.schema.json()})
+                self.log.add(name, {"schema": part.schema.json()})
                 done += 1
-        schema = json.loads(self.spark.read.text(f"{self.root}/_log/{number:08d}.00000", wholetext=True).first()["value"])["schema"]
-        entry = {"folder": self._folder(number), "base": base, "schema": schema}
+        first = f"{number:08d}.00000"
+        entry = {"folder": self._folder(number), "base": base, "schema": self.log.read([first])[first]["schema"]}
         new = self._rows(entry)
         rows, changed = new.count(), self._changed(old, new).count()
-        self._log(f"{number:08d}.json", {**entry, "rows": rows, "changed": changed})
+        self.log.add(f"{number:08d}.json", {**entry, "rows": rows, "changed": changed})
         return Rewrite(number, rows, changed, done, len(flushed), False)
 
     def history(self) -> list[dict]:
         return [{"version": n, **{k: v for k, v in e.items() if k != "schema"}} for n, e in sorted(self.entries().items())]
 
+
+
+class WorkLog:
+    """Results of long work over rows, bucket by bucket: what is flushed is there after a crash, and is not done again.
+
+    ROOT/data/RUN-K: results of a bucket; ROOT/_log/RUN-K: that it is flushed.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, key: str, buckets: int = 16) -> None:
+        self.spark, self.root, self.key, self.buckets = spark, root.rstrip("/"), key, buckets
+        self.log = CommitLog(spark, self.root)
+
+    def results(self) -> DataFrame | None:
+        """What is flushed so far, or None."""
+        entries = self.log.read(self.log.names())
+        if not entries:
+            return None
+        schema = StructType.fromJson(json.loads(next(iter(entries.values()))["schema"]))
+        return self.spark.read.schema(schema).parquet(*(f"{self.root}/data/{n}" for n in sorted(entries)))
+
+    def run(self, rows: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """Results of all rows: work(rows) for the keys without any, flushed bucket by bucket.  work keeps the key."""
+        done = self.results()
+        pending = rows if done is None else rows.join(done.select(self.key).distinct(), self.key, "left_anti")
+        bucket = F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+        # Dealt out once, so that a bucket reads its own rows only.
+        dealt = scratch_path(self.spark, "pending")
+        pending.withColumn(BUCKET, bucket).write.partitionBy(BUCKET).parquet(dealt)
+        schema = StructType(pending.schema.fields).add(BUCKET, IntegerType())
+        own, run = self.spark.read.schema(schema).parquet(dealt), uuid.uuid4().hex
+        for row in own.select(BUCKET).distinct().orderBy(BUCKET).collect():  # a row a bucket
+            name = f"{run}-{row[BUCKET]:05d}"
+            part = work(own.filter(F.col(BUCKET) == row[BUCKET]).drop(BUCKET))
+            part.write.parquet(f"{self.root}/data/{name}")
+            self.log.add(name, {"schema": part.schema.json()})
+        found = self.results()
+        return work(rows.limit(0)) if found is None else found

@@ -212,7 +212,7 @@ def test_two_writers_and_half_an_entry(spark, tmp_path):
         table.create(spark.range(3))
     table.restore()
     with pytest.raises(Exception, match="(?i)exist"):
-        table._log("00000001.json", {})
+        table.log.add("00000001.json", {})
     (tmp_path / "t" / "_log" / "00000009.json").write_text('{"folder": "')
     assert table.latest() == 1 and table.read().count() == 3
 
