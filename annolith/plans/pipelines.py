@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from annolith.functions import prompts, text
@@ -91,9 +93,9 @@ def training_examples(samples: DataFrame, specs: list, include_unknown: bool = F
     return rows.select("image_id", F.col("path").alias("image_path"), "property_key", question.alias("prompt"), prompts.demo_response(F.col("image_id"), F.col("property_key"), value).alias("response"), F.col("gt").alias("gt_value"))
 
 
-def training_split(examples: DataFrame, ids: DataFrame, n: int, seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
+def training_split(examples: DataFrame, ids: DataFrame, n: int, seed: int = 42, shuffle: Callable[[str, int], Column] = ranking.shuffled) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(train, val, manifest) of examples by a holdout of n image ids."""
-    train_ids, val_ids = ranking.holdout_split(ids, n, seed)
+    train_ids, val_ids = ranking.holdout_split(ids, n, seed, shuffle)
     train, val = joins.allow_list(examples, train_ids), joins.allow_list(examples, val_ids)
     count = lambda df, name: df.agg(F.lit(name).alias("part"), F.count("*").cast("long").alias("examples"), F.countDistinct("image_id").cast("long").alias("images"))
     return train, val, count(train, "train").union(count(val, "val"))

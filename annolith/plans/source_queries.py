@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annolith.functions import text
-from annolith.operators import joins, order
+from annolith.operators import joins, order, ranking
 from annolith.plans import pipelines
 from annolith.plans.queries import SPECS, _evaluation, _metrics_sql, _read, _reviews, query
 from annolith.plans.text_queries import _SPECS, _TRAIN, _train
@@ -151,18 +151,19 @@ def table_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read("by_status").union(read("ids"))
 
 
-@query(f"""WITH {_TRAIN}, x AS (SELECT image_id FROM t WHERE toxic <> 'unknown' UNION ALL SELECT image_id FROM t) SELECT CAST(count(*) AS BIGINT) AS examples, CAST(count(DISTINCT image_id) AS BIGINT) AS images, CAST(20 AS BIGINT) AS held_out FROM x""")
+@query(f"""WITH {_TRAIN}, x AS (SELECT image_id, 'toxic' AS property_key, toxic AS gt_value FROM t WHERE toxic <> 'unknown' UNION ALL SELECT image_id, 'mood', mood FROM t), v AS (SELECT image_id FROM (SELECT DISTINCT image_id FROM t) ORDER BY md5(image_id || ':42'), image_id LIMIT 20)
+    SELECT CASE WHEN image_id IN (FROM v) THEN 'val' ELSE 'train' END AS part, image_id, property_key, gt_value FROM x UNION ALL SELECT 'manifest', 'train', CAST(count(*) AS VARCHAR), CAST(count(DISTINCT image_id) AS VARCHAR) FROM x WHERE image_id NOT IN (FROM v) UNION ALL SELECT 'manifest', 'val', CAST(count(*) AS VARCHAR), CAST(count(DISTINCT image_id) AS VARCHAR) FROM x WHERE image_id IN (FROM v)""")
 def training_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Training and validation rows written as JSON lines and read back, 20 images held out."""
+    """Training and validation rows written as JSON lines and read back, 20 images held out, and their manifest."""
     examples = pipelines.training_examples(_train(spark, sf_dir), _SPECS)
     ids = _read(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("image_id"), F.col("doc_id").alias("ord"))
-    train, val, _ = pipelines.training_split(examples, ids, 20)
+    train, val, manifest = pipelines.training_split(examples, ids, 20, shuffle=ranking.shuffled_md5)
     root = scratch_path(spark, "training")
     tables.write_json(train, f"{root}/train")
     tables.write_json(val, f"{root}/val")
-    back = [tables.training_rows(spark, f"{root}/{part}").select(F.lit(part).alias("part"), "image_id") for part in ("train", "val")]
-    every = back[0].union(back[1])
-    return every.agg(F.count("*").cast("long").alias("examples"), F.countDistinct("image_id").cast("long").alias("images"), F.countDistinct(F.when(F.col("part") == "val", F.col("image_id"))).cast("long").alias("held_out"))
+    back = [tables.training_rows(spark, f"{root}/{part}").select(F.lit(part).alias("part"), "image_id", "property_key", "gt_value") for part in ("train", "val")]
+    counts = manifest.select(F.lit("manifest"), "part", F.col("examples").cast("string"), F.col("images").cast("string"))
+    return back[0].union(back[1]).union(counts)
 
 
 @query("SELECT 'row' AS kind, CAST(d.doc_id AS VARCHAR) AS image_id, CASE WHEN toxic = 1 AND lang <> '' THEN lang ELSE source END AS mask_path FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE quality = 1 UNION ALL SELECT 'id', CAST(d.doc_id AS VARCHAR), NULL FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE quality = 1")

@@ -200,49 +200,64 @@ def candidate_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------ schemas
 
-_ONTOLOGY = """enums:
-  materials: [Wood, "Semi-Metal", wood]
-groups:
-  intrinsic:
-    properties:
-      main_material: {type: categorical, enum_ref: materials, description: stuff}
-      mass: {type: number}
-      tags: {type: list, items: {type: categorical, enum: [A, unknown, b c]}}
-  state:
-    properties:
-      is_dirty: {type: boolean}
-"""
-_COMPACT = """enums: {glow: [Matte, shiny]}
-properties:
-  gloss: {type: categorical, enum_ref: glow, source_name: glossiness}
-  size: {type: number}
-  kind: {enum: [a]}
-"""
-_SUBSET = "property_keys: [state.is_dirty, intrinsic.tags]\n"
 _DIMS = ["key", "group", "name", "source_name", "value_type", "allowed", "description", "ord"]
 
 
-def _yaml(spark: SparkSession, body: str) -> str:
-    path = scratch_path(spark, "schema")
-    spark.createDataFrame([(body,)], "value string").coalesce(1).write.text(path)
+def _document(df: DataFrame, name: str) -> str:
+    """Writes the one text of a frame (value), a file in JSON, which is YAML too; its path.  A schema has some hundred values."""
+    path = scratch_path(df.sparkSession, name)
+    df.coalesce(1).write.text(path)
     return path
 
 
-_ROWS = """('full', 'intrinsic.main_material', 'intrinsic', 'main_material', 'main_material', 'categorical', 'wood|semi_metal|unknown', 'stuff', 0), ('full', 'intrinsic.tags', 'intrinsic', 'tags', 'tags', 'multi_categorical', 'a|b_c', '', 1),
-    ('full', 'state.is_dirty', 'state', 'is_dirty', 'is_dirty', 'boolean', 'true|false|unknown', '', 2), ('state', 'state.is_dirty', 'state', 'is_dirty', 'is_dirty', 'boolean', 'true|false|unknown', '', 0),
-    ('narrow', 'state.is_dirty', 'state', 'is_dirty', 'is_dirty', 'boolean', 'true|false|unknown', '', 0), ('narrow', 'intrinsic.tags', 'intrinsic', 'tags', 'tags', 'multi_categorical', 'a|b_c', '', 1),
-    ('compact', 'gloss', 'pdf_compact', 'gloss', 'glossiness', 'categorical', 'matte|shiny|unknown', '', 0), ('compact', 'kind', 'pdf_compact', 'kind', 'kind', 'categorical', 'a|unknown', '', 1)"""
+def _by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a type of part: grp, its brands, sizes and number of parts."""
+    rows = _read(spark, sf_dir, "part").groupBy("p_type")
+    return rows.agg(F.sort_array(F.collect_set("p_brand")).alias("brands"), F.sort_array(F.collect_set((F.col("p_size") % 7).cast("string"))).alias("sizes"), F.count("*").alias("n")).withColumn("grp", F.lower("p_type"))
 
 
-@query(f"""SELECT * FROM (VALUES {_ROWS}) AS t(protocol, "key", "group", name, source_name, value_type, allowed, description, ord)""")
+def _listed(key: str, value: Column) -> Column:
+    """A JSON object of all rows, by key."""
+    by_key = lambda a, b: F.when(a.key < b.key, -1).when(a.key > b.key, 1).otherwise(0)
+    return F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key).alias("key"), value.alias("value"))), by_key))
+
+
+_TOKEN = "replace(regexp_replace(trim(lower({})), '\\s+', '_', 'g'), '-', '_')"
+_TYPES = f"""g AS (SELECT lower(p_type) AS grp, any_value(p_type) AS raw, count(*) AS n, list_sort(list(DISTINCT {_TOKEN.format("p_brand")})) AS brands, list_sort(list(DISTINCT CAST(p_size % 7 AS VARCHAR))) AS sizes FROM part GROUP BY 1),
+    o AS (SELECT *, row_number() OVER (ORDER BY grp) - 1 AS k FROM g), every AS (SELECT list_sort(list(DISTINCT {_TOKEN.format("p_brand")})) AS brands FROM part),
+    s AS (SELECT grp || '.brand' AS "key", grp AS "group", 'brand' AS name, 'brand' AS source_name, 'categorical' AS value_type, array_to_string(brands, '|') || '|unknown' AS allowed, n || ' parts' AS description, 4 * k AS ord FROM o
+      UNION ALL SELECT grp || '.maker', grp, 'maker', 'maker', 'categorical', array_to_string(every.brands, '|') || '|unknown', '', 4 * k + 1 FROM o, every
+      UNION ALL SELECT grp || '.large', grp, 'large', 'large', 'boolean', 'true|false|unknown', '', 4 * k + 2 FROM o
+      UNION ALL SELECT grp || '.sizes', grp, 'sizes', 'sizes', 'multi_categorical', array_to_string(sizes, '|'), '', 4 * k + 3 FROM o)"""
+
+
+@query(f"""WITH {_TYPES}, compact AS (SELECT grp AS "key", 'pdf_compact' AS "group", grp AS name, raw AS source_name, 'categorical' AS value_type, array_to_string(brands, '|') || '|unknown' AS allowed, '' AS description, row_number() OVER (ORDER BY grp) - 1 AS ord FROM g),
+    first AS (SELECT min(grp) AS grp FROM g), narrow AS (SELECT *, row_number() OVER (ORDER BY "key" DESC) - 1 AS place FROM s WHERE name IN ('large', 'sizes'))
+    SELECT 'full' AS protocol, "key", "group", name, source_name, value_type, allowed, description, CAST(ord AS INT) AS ord FROM s UNION ALL SELECT 'one', "key", "group", name, source_name, value_type, allowed, description, CAST(ord AS INT) FROM s WHERE "group" = (SELECT grp FROM first)
+    UNION ALL SELECT 'narrow', "key", "group", name, source_name, value_type, allowed, description, CAST(place AS INT) FROM narrow UNION ALL SELECT 'compact', "key", "group", name, source_name, value_type, allowed, description, CAST(ord AS INT) FROM compact""")
 def schema_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Schema files of each kind to dimension rows: whole, one group, a subset in its order, compact."""
-    del sf_dir
-    full, compact, keys = _yaml(spark, _ONTOLOGY), _yaml(spark, _COMPACT), _yaml(spark, _SUBSET)
+    """Schema files made of the parts' types, brands and sizes, of each kind, to dimension rows: whole, one group, a subset in its
+    own order, compact."""
+    types = _by_type(spark, sf_dir)
+    brands = _read(spark, sf_dir, "part").agg(F.sort_array(F.collect_set("p_brand")).alias("every"))
+    text = lambda name: F.lit(name).alias("type")
+    properties = F.struct(
+        F.struct(text("categorical"), F.col("brands").alias("enum"), F.concat(F.col("n").cast("string"), F.lit(" parts")).alias("description")).alias("brand"),
+        F.struct(text("categorical"), F.lit("brands").alias("enum_ref")).alias("maker"),
+        F.struct(text("number")).alias("weight"),
+        F.struct(text("boolean")).alias("large"),
+        F.struct(text("list"), F.struct(text("categorical"), F.col("sizes").alias("enum")).alias("items")).alias("sizes"),
+    )
+    ontology = types.agg(_listed("grp", F.struct(properties.alias("properties"))).alias("groups")).crossJoin(brands)  # one row each
+    full = _document(ontology.select(F.to_json(F.struct(F.struct(F.col("every").alias("brands")).alias("enums"), "groups")).alias("value")), "ontology")
+    own = F.struct(text("categorical"), F.col("brands").alias("enum"), F.col("p_type").alias("source_name"))
+    compact = _document(types.agg(F.to_json(F.struct(_listed("grp", own).alias("properties"))).alias("value")), "compact")
+    keys = F.sort_array(F.flatten(F.collect_list(F.array(F.concat("grp", F.lit(".large")), F.concat("grp", F.lit(".sizes"))))), asc=False)
+    subset = _document(types.agg(F.to_json(F.struct(keys.alias("property_keys"))).alias("value")), "subset")
     made = {
         "full": specs.protocol_specs(spark, "full_expanded", full),
-        "state": specs.protocol_specs(spark, "expanded_ontology", full, groups=["state"]),
-        "narrow": specs.protocol_specs(spark, "narrow_core", full, keys),
+        "one": specs.protocol_specs(spark, "expanded_ontology", full, groups=[types.agg(F.min("grp")).first()[0]]),
+        "narrow": specs.protocol_specs(spark, "narrow_core", full, subset),
         "compact": specs.protocol_specs(spark, "pdf_protocol", compact),
     }
     out = None
@@ -252,23 +267,38 @@ def schema_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-_PRIORS = """properties: [a.b]
-aliases: {a.b: {"R-1": Glass, true: yes}}
-material_priors: {"Oak Wood": {a.b: {Clear: 2.5}}}
-pairwise_rules:
-  - {left_property: a.b, right_property: c, weights: {true: {"x/y": 1}}}
-  - {left_property: a.b, right_property: c, weights: {"true": {"x/y": 0.5}}}
-"""
+_NORM = "replace(replace(replace(trim(lower({})), '-', '_'), '/', '_'), ' ', '_')"
 
 
-@query("SELECT * FROM (VALUES ('alias', 'a.b', 'r_1', 'glass', 0.0e0), ('alias', 'a.b', 'true', 'true', 0.0e0), ('material', 'a.b', 'oak_wood', 'clear', 2.5e0), ('rule', 'a.b>c', 'true', 'x_y', 1.5e0)) AS t(kind, property, one, two, w)")
+@query(f"""WITH p AS (SELECT p_brand AS brand, p_type AS kind, 'Size ' || p_size % 3 AS size, count(*) AS n FROM part GROUP BY 1, 2, 3)
+    SELECT 'alias' AS kind, 'part.brand' AS property, {_NORM.format("brand")} AS one, {_NORM.format("min(kind)")} AS two, 0.0e0 AS w FROM p GROUP BY brand
+    UNION ALL SELECT 'material', 'part.size', {_NORM.format("kind")}, {_NORM.format("size")}, CAST(sum(n) AS DOUBLE) FROM p GROUP BY kind, size
+    UNION ALL SELECT 'rule', 'part.brand>part.size', {_NORM.format("brand")}, {_NORM.format("size")}, CAST(sum(n) AS DOUBLE) FROM p GROUP BY brand, size""")
 def knowledge_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A priors file to its three tables, every key and value normalised."""
-    del sf_dir
-    aliases, materials, rules = specs.knowledge_frames(spark, specs.knowledge_priors(specs.read_yaml(spark, _yaml(spark, _PRIORS))))
-    out = aliases.select(F.lit("alias").alias("kind"), "property", F.col("value").alias("one"), F.col("to").alias("two"), F.lit(0.0).alias("w"))
-    out = out.union(materials.select(F.lit("material"), "property", "material", "value", "w"))
-    return out.union(rules.select(F.lit("rule"), F.concat("lp", F.lit(">"), "rp"), "lv", "rv", "w"))
+    """A priors file made of how often parts' brands, types and sizes meet, to its three tables, every key and value normalised."""
+    rows = _read(spark, sf_dir, "part").select("p_brand", "p_type", F.concat(F.lit("Size "), (F.col("p_size") % 3).cast("string")).alias("size"))
+
+    def nested(outer: str) -> DataFrame:
+        """outer, weights: how often each size stands with it."""
+        inner = rows.groupBy(outer, "size").agg(F.count("*").cast("double").alias("n"))
+        return inner.groupBy(outer).agg(F.map_from_entries(F.collect_list(F.struct("size", "n"))).alias("weights"))
+
+    alias = rows.groupBy("p_brand").agg(F.min("p_type").alias("to"))
+    aliases = alias.agg(_listed("p_brand", F.col("to")).alias("aliases"))
+    own = nested("p_type")
+    materials = own.agg(_listed("p_type", F.map_from_arrays(F.array(F.lit("part.size")), F.array("weights"))).alias("materials"))
+    pairs = nested("p_brand")
+    rules = pairs.agg(_listed("p_brand", F.col("weights")).alias("rules"))
+    # The rule comes in two halves, which add up.
+    half = F.transform_values("rules", lambda _, row: F.transform_values(row, lambda _, n: n / 2))
+    rule = F.struct(F.lit("part.brand").alias("left_property"), F.lit("part.size").alias("right_property"), half.alias("weights"))
+    whole = aliases.crossJoin(materials).crossJoin(rules)  # one row each
+    body = F.struct(F.array(F.lit("part.brand")).alias("properties"), F.map_from_arrays(F.array(F.lit("part.brand")), F.array("aliases")).alias("aliases"), F.col("materials").alias("material_priors"), F.array(rule, rule).alias("pairwise_rules"))
+    path = _document(whole.select(F.to_json(body).alias("value")), "priors")
+    found, priors, between = specs.knowledge_frames(spark, specs.knowledge_priors(specs.read_yaml(spark, path)))
+    out = found.select(F.lit("alias").alias("kind"), "property", F.col("value").alias("one"), F.col("to").alias("two"), F.lit(0.0).alias("w"))
+    out = out.union(priors.select(F.lit("material"), "property", "material", "value", "w"))
+    return out.union(between.select(F.lit("rule"), F.concat("lp", F.lit(">"), "rp"), "lv", "rv", "w"))
 
 
 # ------------------------------------------------------------------ prompts and training rows
