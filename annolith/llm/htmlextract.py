@@ -300,9 +300,37 @@ def main_text(html: str | None) -> str:
     return "\n".join(text for block, kept in zip(blocks, content, strict=False) if kept for text in block.texts)
 
 
+#: Paragraphs whose length may be measured by the page's own.
+PLAIN = ("p", "blockquote", "pre")
+
+
+def page_text(html: str | None) -> str:
+    """main_text, or for a page that it leaves empty the cut with paragraphs measured by the page's own median instead of FULL.
+
+    Short paragraphs are boilerplate beside long ones; where a page has no others they are what it says.  What elements and links
+    tell stays as it is, so that menus, footers and forms stay out.
+    """
+    text = main_text(html)
+    if text or not html:
+        return text
+    blocks, elements = parse(html)
+    own_measure = [b.tag in PLAIN and (b.element < 0 or elements[b.element][0] > 0) for b in blocks]
+    lengths = sorted(len(t) for b, x in zip(blocks, own_measure, strict=True) if x for t in b.texts)
+    if not lengths:
+        return ""
+    middle = max(lengths[len(lengths) // 2], 1)
+    for b, measured in zip(blocks, own_measure, strict=True):
+        if measured and middle < FULL:
+            own = sum(map(len, b.texts)) / len(b.texts)
+            b.weight += (LONG - SHORT) * (min(own, middle) / middle - (min(int(own), FULL) // STEP) / (FULL // STEP))
+    odds, edges = graph(blocks, elements)
+    content = min_cut([max(x, 0.0) for x in odds], [max(-x, 0.0) for x in odds], edges)
+    return "\n".join(text for block, kept in zip(blocks, content, strict=False) if kept for text in block.texts)
+
+
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [main_text(x.as_py()) for x in batch.column(2)]
+        texts = [page_text(x.as_py()) for x in batch.column(2)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 

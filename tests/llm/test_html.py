@@ -176,6 +176,43 @@ def test_pages(page, want):
     assert main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<body>" + "<p>word word</p>" * 300 + "</body>", "\n".join(["word word"] * 300)),
+        ("<nav><a href=x>Home</a></nav><p>One line.</p><p>Two lines.</p><footer>me</footer>", "One line.\nTwo lines."),
+        ('<div class="cookie-notice"><p>We bake.</p></div><p>So short.</p>', "So short."),
+        ("<form><p>Name <input></p></form>", ""),
+        ("<ul><li><a href=x>One</a></li><li><a href=y>Two</a></li></ul>", ""),
+        ("", ""),
+        (None, ""),
+    ],
+)
+def test_pages_of_short_paragraphs(page, want):
+    """A page without long paragraphs is measured by its own."""
+    assert H.page_text(page) == want
+
+
+@pytest.mark.parametrize(
+    "page, cut, rule",
+    [
+        # A vague name on long paragraphs: they outvote it together; one alone with short ones does not.
+        (f'<div class="notice"><p>{LONG}</p><p>{LONG}</p></div>', f"{LONG.strip()}\n{LONG.strip()}", ""),
+        (f'<div class="notice"><p>{LONG}</p><p>a</p><p>b</p><p>c</p></div>', "", ""),
+        # Short paragraphs between long ones, without any telling element.
+        (f"<p>{LONG}</p><p>A short one.</p><p>{LONG}</p>", f"{LONG.strip()}\nA short one.\n{LONG.strip()}", f"{LONG.strip()}\n{LONG.strip()}"),
+        # A vague part inside an article that holds the article's own kind of text.
+        (f'<article><p>{LONG}</p><div class="related"><p>{LONG}</p></div><p>{LONG}</p></article>', "\n".join([LONG.strip()] * 3), "\n".join([LONG.strip()] * 2)),
+    ],
+)
+def test_the_cut_against_the_nearest_element(page, cut, rule):
+    """Pages on which the cut and the rule `a block takes its nearest telling element's label, else its own sign` differ, or agree."""
+    blocks, elements = parse(page)
+    nearest = [(elements[b.element][0] if b.element >= 0 else b.weight) > 0 for b in blocks]
+    assert main_text(page) == cut
+    assert "\n".join(t for b, kept in zip(blocks, nearest, strict=True) if kept for t in b.texts) == rule
+
+
 HOSTILE = {
     "inline": "<b>" * 300_000 + "<br>x" * 200_000,
     "items": "<b>" * 300_000 + "<li>x" * 150_000,
@@ -183,6 +220,7 @@ HOSTILE = {
     "buttons": "<button>" * 250_000,
     "quotes": '<a href="' * 200_000,
     "mixed": "<div>x</div><p>xyz y</p>" * 80_000,
+    "paragraphs": "<p>word word</p>" * 60_000,
     "classes": '<div class="ad">x</div><div class="content">y</div>' * 40_000,
 }
 
@@ -190,5 +228,5 @@ HOSTILE = {
 @pytest.mark.parametrize("name", sorted(HOSTILE))
 def test_hostile_pages(name):
     began = time.perf_counter()
-    main_text(HOSTILE[name])
+    H.page_text(HOSTILE[name])
     assert time.perf_counter() - began < 15
