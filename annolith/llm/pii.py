@@ -41,9 +41,16 @@ RUN = rf"(?<![{_ALNUM}._%+@\-])(?<![0-9][/:#])\+?\(?{_GROUP}(?:(?:[.-]|\x20?[()]
 #: Rounds; seeds that a pattern or a shape needs; score that adds an instance; characters that an instance needs; characters of context.
 ROUNDS, SUPPORT, CERTAIN, LEAST, AROUND = 3, 3, 0.8, 6, 96
 #: Seeds of secrets: what stands before them, and what they look like.  Lower case only; patterns know no case.
-ASSIGNED = r"(?:\A|[^\p{L}])(?:[a-z]+[_-])*(?:token|secret|password|passwd|(?:api|access|private)[_-]?key)[\x22']?\x20*[:=]\x20*[\x22']?\z"
+WORDS = ("token", "secret", "password", "passwd", "(?:api|access|private)[_-]?key")
 OPAQUE = r"\A(?=(?:[^0-9]*+[0-9]){4})(?=(?:[^A-Za-z]*+[A-Za-z]){4})[A-Za-z0-9+/_=-]{20,}\z"
 KINDS = (*PATTERNS, "secret")
+
+
+def assigned(words: tuple[str, ...] = WORDS) -> str:
+    """What stands right before a seed: one of the words, perhaps as the last part of a name, and a sign of assignment."""
+    return rf"(?:\A|[^\p{{L}}])(?:[a-z]+[_-])*(?:{'|'.join(words)})[\x22']?\x20*[:=]\x20*[\x22']?\z"
+
+
 #: What a discovered token of each base kind must look like.
 SHAPES = {"email": "@", "ip": r"[0-9][.:][0-9]+[.:][0-9]", "card": r"(?:[0-9][^0-9]?){12}", "phone": r"(?:[0-9][^0-9]?){7}"}
 
@@ -137,7 +144,7 @@ def _named(spans: Column, kind: str) -> Column:
     return F.transform(spans, lambda x: F.struct(F.lit(kind).alias("kind"), x.start.alias("start"), x.end.alias("end")))
 
 
-def _cells(text: Column) -> Column:
+def _cells(text: Column, words_of_seeds: tuple[str, ...]) -> Column:
     """Tokens and spaced runs: array of start, end, value, the words before and the word after."""
     # Runs that are one token already are left out.
     spaced = F.filter(matches(text, RUN), lambda x: x.value.rlike(r"[0-9][\x20()]+[0-9]"))
@@ -145,7 +152,7 @@ def _cells(text: Column) -> Column:
     words = lambda c: F.split(F.trim(F.regexp_replace(F.lower(F.regexp_replace(c, "[0-9]+", "9")), r"\s+", " ")), " ")
 
     def cell(x: Column) -> Column:
-        seed = x.left.rlike(ASSIGNED) & x.value.rlike(OPAQUE)
+        seed = x.left.rlike(assigned(words_of_seeds)) & x.value.rlike(OPAQUE)
         return F.struct(x.start.alias("start"), x.end.alias("end"), x.value.alias("value"), F.slice(F.reverse(words(x.left)), 1, 3).alias("before"), words(x.right)[0].alias("after"), seed.alias("seed"))
 
     kind = "array<struct<start: int, end: int, value: string, before: array<string>, after: string, seed: boolean>>"
@@ -178,7 +185,7 @@ def _shape(value: Column) -> Column:
     return F.concat(F.when(value.rlike(r"\A(?:[0-9a-f]+|[0-9A-F]+)\z"), "hex").when(value.rlike(r"\A[0-9A-Za-z]+\z"), "letters").otherwise("marks"), F.length(value).cast("string"))
 
 
-def discovered(marks: DataFrame) -> DataFrame:
+def discovered(marks: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(key, kind, start, end) of secrets and of what bootstrapping finds in marks (key, base, cells) beside the base spans."""
     seen = materialise(_instances(marks), "instances")
     edges = materialise(seen.filter("pattern is not null").groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "graph", few=True)
@@ -191,7 +198,7 @@ def discovered(marks: DataFrame) -> DataFrame:
     fresh = fresh.withColumn("shape", _shape(F.col("value"))).join(shapes.hint("merge"), "shape", "left").select("pattern", "value", F.explode(F.array_compact(looks)).alias("kind"))
     fresh = materialise(fresh, "fresh", few=True)
     scores = known
-    for _ in range(ROUNDS):
+    for _ in range(rounds):
         rated = edges.select("pattern", "value").join(scores.hint("merge"), "value").groupBy("pattern", "kind").agg(F.sum("score").alias("mass"), F.count_if(F.col("score") > 0.5).alias("support"))
         good = rated.filter(F.col("support") >= SUPPORT).join(totals.hint("merge"), "pattern").select("pattern", "kind", (F.col("mass") / (F.col("n") + 1)).alias("trust"))
         heard = fresh.join(good.hint("merge"), ["pattern", "kind"]).groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("trust") * 0.999)))).alias("score"))
@@ -206,22 +213,23 @@ def discovered(marks: DataFrame) -> DataFrame:
     return found.select("key", F.col("found").alias("kind"), "start", "end")
 
 
-def extract(docs: DataFrame) -> DataFrame:
+def extract(docs: DataFrame, words: tuple[str, ...] = WORDS, rounds: int = ROUNDS) -> DataFrame:
     """Each row's doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (string), n_secret, n_spans and found (array of kind, start, end).
 
     The first four counts and base_sha256 are of base spans, spans and found are all spans by kind (secrets last)
     and start; n_secret counts secrets, n_spans all spans.  Null and empty texts have no spans.  Rows of equal
     doc_id and text (null ids too) get equal results; every row stays one row.  Positions are code points, ends
-    exclusive.  Discovered spans never touch base spans.  Instances have LEAST characters at least, and see
+    exclusive.  words: what names a seed of kind secret; seeds are 20 characters long at least, with four digits and four letters, in
+    letters, digits and + / = _ -.  Discovered spans never touch base spans.  Instances have LEAST characters at least, and see
     AROUND characters on either side.  Extra columns are ignored; an empty table gives no rows.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("of")).alias("key"), text.alias("text"))
-    rows = own.select("key", *(c.alias(k) for k, c in base_spans(F.col("text")).items()), _cells(F.col("text")).alias("cells"))
+    rows = own.select("key", *(c.alias(k) for k, c in base_spans(F.col("text")).items()), _cells(F.col("text"), words).alias("cells"))
     # Written: the only pass over the texts.
     marks = materialise(rows, "marks")
     base = F.concat(*(_named(F.col(k), k) for k in PATTERNS))
-    more = discovered(marks.select("key", base.alias("base"), "cells"))
+    more = discovered(marks.select("key", base.alias("base"), "cells"), rounds)
     more = more.groupBy(F.col("key").alias("at")).agg(F.array_sort(F.collect_set(F.struct("kind", "start", "end"))).alias("more"))
     out = marks.select("key", *PATTERNS, base.alias("base")).join(more.hint("merge"), F.col("key") == F.col("at"), "left")
     added = F.coalesce("more", F.array().cast("array<struct<kind: string, start: int, end: int>>"))
