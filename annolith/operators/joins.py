@@ -165,10 +165,16 @@ def pending(meta: DataFrame, done: DataFrame | None = None, overwrite: bool = Fa
 VARIANTS = ["raw", "mask_overlay", "masked"]
 
 
+def variants_frame(samples: DataFrame, wanted: list[str]) -> DataFrame:
+    """variant and ord of the known names in wanted, in their fixed order; mask variants only if a sample has a mask."""
+    masked = F.coalesce(F.max(F.coalesce("mask_path", F.lit("")) != ""), F.lit(False))
+    names = F.array(*(F.struct(F.lit(v).alias("variant"), F.lit(k).alias("ord"), F.lit(v == "raw").alias("always")) for k, v in enumerate(v for v in VARIANTS if v in wanted)))
+    return samples.agg(masked.alias("masked")).select("masked", F.inline(names)).filter("always or masked").select("variant", "ord")
+
+
 def available_variants(samples: DataFrame, wanted: list[str]) -> list[str]:
-    """Known names in their fixed order; mask variants only if a sample has a mask (one action)."""
-    masked = samples.filter(F.coalesce("mask_path", F.lit("")) != "").limit(1).count() > 0
-    return [v for v in VARIANTS if v in wanted and (v == "raw" or masked)]
+    """The names of variants_frame (three at most)."""
+    return [r["variant"] for r in variants_frame(samples, wanted).orderBy("ord").collect()]
 
 
 def union_variants(*metrics: DataFrame) -> DataFrame:

@@ -28,9 +28,16 @@ def bundle_scores(rows: DataFrame, materials: DataFrame, rules: DataFrame, keep:
     """(model, variant, image_id, score) of candidate bundles (property_key, value, original), by joins and a sum.
 
     keep for each value left as it was, change off for others, the material's prior of each value, and the weight
-    of each ordered pair of values.
+    of each ordered pair of values.  Images share few bundles: each different one is scored once, and joined back.
     """
     by = [*RUN, "image_id"]
+    packed = kept(rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("property_key", "value", "original"))).alias("bundle")), "candidates")
+    different = kept(packed.select("bundle").distinct().withColumn("number", F.monotonically_increasing_id()), "different")
+    scored = _scores(different.select("number", F.inline("bundle")), ["number"], materials, rules, keep, change)
+    return packed.join(different.join(scored, "number"), "bundle").select(*by, "score")
+
+
+def _scores(rows: DataFrame, by: list[str], materials: DataFrame, rules: DataFrame, keep: float, change: float) -> DataFrame:
     own = rows.groupBy(*by).agg(F.sum(F.when(F.col("value") == F.coalesce("original", F.lit(UNKNOWN)), keep).otherwise(-change)).alias("s"))
     stuff = rows.filter(F.col("property_key") == MATERIAL).select(*by, F.col("value").alias("material")).filter(F.col("material") != UNKNOWN)
     priors = F.broadcast(materials.select("material", F.col("property").alias("property_key"), "value", "w"))  # a config file's rows
@@ -93,10 +100,12 @@ def rerank(rows: DataFrame, priors: KnowledgePriors, order: str | None = None) -
 
     A bundle's outcome depends on its values alone, and far fewer bundles differ than there are images: each
     different one is re-ranked once, in Arrow batches, and joined back.  Of values for one property the last by
-    order counts, or the greatest.
+    order counts; without an order, different ones raise.
     """
     by = [*RUN, "image_id"]
-    last = rows.groupBy(*by, "property_key").agg((F.max_by("pred_value", order) if order else F.max("pred_value")).alias("v"))
+    single = F.when((F.count("pred_value") == F.count("*")) & (F.min("pred_value") == F.max("pred_value")) | (F.count("pred_value") == 0) | (F.count("*") == 1), F.max("pred_value"))
+    only = single.otherwise(F.raise_error(F.lit("several values for one property: which is the last needs an order")))
+    last = rows.groupBy(*by, "property_key").agg((F.max_by("pred_value", order) if order else only).alias("v"))
     # Written, so that the joins with it can be split where one bundle is very common.
     packed = kept(last.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("property_key", F.coalesce("v", F.lit(UNKNOWN)).alias("v")))).alias("bundle")), "bundles")
 

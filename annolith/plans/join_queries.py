@@ -72,8 +72,7 @@ def union_of_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT * FROM (VALUES ('raw', CAST(0 AS INT)), ('mask_overlay', 1), ('masked', 2)) AS t(variant, ord) WHERE ord = 0 OR (SELECT count(*) FROM customer WHERE c_custkey % 7 = 0) > 0")
 def variants_available(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = _read(spark, sf_dir, "customer").select(F.when(F.col("c_custkey") % 7 == 0, F.col("c_name")).otherwise("").alias("mask_path"))
-    found = joins.available_variants(samples, ["masked", "raw", "mask_overlay", "other"])
-    return spark.createDataFrame([(v, k) for k, v in enumerate(found)], "variant string, ord int")
+    return joins.variants_frame(samples, ["masked", "raw", "mask_overlay", "other"])
 
 
 # ------------------------------------------------------------------ merges

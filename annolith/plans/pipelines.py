@@ -46,9 +46,9 @@ def with_demos(asked: DataFrame, k: int) -> DataFrame:
     value = F.when(F.col("value_type") == "multi_categorical", F.col("gt")).otherwise(prompts.json_string(F.col("gt")))
     shown = asked.select(F.col("image_id").alias("demo"), "property_key", F.struct(F.col("prompt"), prompts.demo_response(F.col("image_id"), F.col("property_key"), value).alias("response")).alias("d"))
     wanted = picks.select("image_id", "property_key", F.posexplode("demos").alias("n", "demo"))
-    # Few images serve as demos: the table of demos is k + 1 rows a property.
+    # Few images serve as demos: the table of demos is k + 1 rows a property, which Spark broadcasts by its size.
     demos = shown.join(wanted.select("demo", "property_key").distinct(), ["demo", "property_key"], "left_semi")
-    chats = wanted.join(F.broadcast(demos) if k <= 64 else demos, ["demo", "property_key"]).groupBy("image_id", "property_key").agg(F.array_sort(F.collect_list(F.struct("n", "d"))).alias("demos"))
+    chats = wanted.join(demos, ["demo", "property_key"]).groupBy("image_id", "property_key").agg(F.array_sort(F.collect_list(F.struct("n", "d"))).alias("demos"))
     out = asked.join(chats, ["image_id", "property_key"], "left")
     turns = F.transform(F.coalesce("demos", F.array().cast("array<struct<n:int,d:struct<prompt:string,response:string>>>")), lambda x: x.d)
     return out.withColumn("prompt", prompts.fallback_text(prompts.few_shot_messages(turns, F.col("prompt")))).drop("demos")
@@ -71,7 +71,7 @@ def kg_posthoc(predictions: DataFrame, priors: specs_.KnowledgePriors) -> dict[s
     """Re-ranked predictions, metrics before and after, and their differences.
 
     Of predictions for one property the last counts, by the column ord (file order, as predictions(ordered=True) reads it);
-    without that column the greatest value.
+    without that column different ones raise.
     """
     order = "ord" if "ord" in predictions.columns else None
     rows = predictions.withColumns({"gt_value": text.norm_knowledge(F.col("gt_value")), "pred_value": text.norm_knowledge(F.col("pred_value"))})

@@ -43,6 +43,53 @@ def taxonomy_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", *(rule(shown(_choice("p_partkey", raw))).alias(name) for name, (rule, _, raw) in _REST.items()))
 
 
+#: Every token of the label tables and some that none has, in no order of theirs; the SQL below states the tables again, by hand.
+_EVERY = """wood metal glass plastic fabric paper cardboard ceramic stone rubber leather composite wax matte glossy semi_glossy very_glossy mirror_like dull smooth very_smooth rough very_rough medium bumpy rigid flexible floppy
+    semi_rigid stiff very_light light heavy very_heavy room room_temp warm hot cold chilled frozen mild solid liquid gas plasma empty almost_empty half_full almost_full full slippery high normal low unknown""".split()
+_BY_HAND = {
+    "pdf_material": "CASE WHEN t IN ('wood', 'metal', 'glass', 'plastic', 'fabric', 'rubber', 'leather', 'unknown') THEN t WHEN t IN ('paper', 'cardboard') THEN 'paper/cardboard' WHEN t IN ('ceramic', 'stone') THEN 'ceramic/stone' ELSE 'other' END",
+    "natural_material": "CASE WHEN t IN ('wood', 'metal', 'glass', 'plastic', 'fabric', 'rubber', 'stone', 'paper') THEN t WHEN t = 'cardboard' THEN 'paper' WHEN t = 'ceramic' THEN 'stone' WHEN t IN ('leather', 'composite') THEN 'mixed' ELSE 'unknown' END",
+    "reflectance": "CASE WHEN t = 'matte' THEN 'matte' WHEN t IN ('glossy', 'semi_glossy', 'very_glossy', 'mirror_like') THEN 'glossy' ELSE 'unknown' END",
+    "roughness": "CASE WHEN t IN ('smooth', 'very_smooth') THEN 'smooth' WHEN t IN ('rough', 'very_rough') THEN 'rough' ELSE 'unknown' END",
+    "pdf_rigidity": "CASE WHEN t = 'rigid' THEN 'rigid' WHEN t IN ('flexible', 'floppy') THEN 'deformable' ELSE 'unknown' END",
+    "natural_rigidity": "CASE WHEN t = 'rigid' THEN 'rigid' WHEN t = 'floppy' THEN 'soft' WHEN t IN ('flexible', 'semi_rigid') THEN 'flexible' ELSE 'unknown' END",
+    "weight": "CASE WHEN t IN ('very_light', 'light') THEN 'light' WHEN t IN ('heavy', 'very_heavy') THEN 'heavy' ELSE 'unknown' END",
+    "temperature": "CASE WHEN t IN ('room', 'room_temp') THEN 'room' WHEN t IN ('warm', 'hot') THEN 'hot' WHEN t IN ('cold', 'chilled', 'frozen') THEN 'cold' ELSE 'unknown' END",
+    "phase": "CASE WHEN t IN ('solid', 'liquid', 'gas') THEN t ELSE 'unknown' END",
+    "filled": "CASE WHEN t = 'empty' THEN 'empty' WHEN t IN ('almost_empty', 'half_full', 'almost_full') THEN 'partially_filled' WHEN t = 'full' THEN 'filled' ELSE 'unknown' END",
+    "slipperiness": "CASE WHEN t = 'slippery' THEN 'slippery' WHEN t IN ('high', 'normal') THEN 'not_slippery' ELSE 'unknown' END",
+    "surface": "CASE WHEN t = 'fabric' THEN 'fuzzy' WHEN t IN ('leather', 'composite') THEN 'mixed' WHEN t IN ('smooth', 'very_smooth') THEN 'smooth' WHEN t IN ('rough', 'medium', 'very_rough') THEN 'rough' ELSE 'unknown' END",
+    "pdf_fragility": "CASE WHEN p_size % 3 = 0 THEN CASE WHEN p_size > 25 THEN 'fragile' ELSE 'not_fragile' END WHEN b IN ('brittle', 'very_brittle', 'slightly_brittle') THEN 'fragile' WHEN b = 'non_brittle' THEN 'not_fragile' ELSE 'unknown' END",
+    "natural_fragility": "CASE WHEN p_size % 3 = 0 THEN CASE WHEN p_size > 25 THEN 'fragile' ELSE 'durable' END WHEN b IN ('brittle', 'very_brittle', 'slightly_brittle') THEN 'fragile' WHEN b = 'non_brittle' THEN 'durable' ELSE 'unknown' END",
+}
+_BRITTLE = ["brittle", "very_brittle", "slightly_brittle", "non_brittle", "odd", None]
+
+
+@query(f"SELECT p_partkey, {', '.join(f'{v} AS {k}' for k, v in _BY_HAND.items())} FROM (SELECT *, {_choice_sql('p_partkey', _EVERY)} AS t, {_choice_sql('p_partkey', _BRITTLE)} AS b FROM part)")
+def taxonomy_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every entry of the label tables, against SQL that states them by itself."""
+    t = taxonomy
+    raw, brittle = F.concat(F.lit(" "), F.initcap(F.replace(_choice("p_partkey", _EVERY), F.lit("_"), F.lit("-")))), _choice("p_partkey", _BRITTLE)
+    flag = F.when(F.col("p_size") % 3 == 0, F.col("p_size") > 25)
+    made = {
+        "pdf_material": t.pdf_material(raw),
+        "natural_material": t.natural_material(raw),
+        "reflectance": t.reflectance(raw),
+        "roughness": t.roughness(raw),
+        "pdf_rigidity": t.pdf_rigidity(raw),
+        "natural_rigidity": t.natural_rigidity(raw),
+        "weight": t.weight_hint(raw),
+        "temperature": t.temperature_hint(raw),
+        "phase": t.phase(raw),
+        "filled": t.filled_state(raw),
+        "slipperiness": t.slipperiness(raw),
+        "surface": t.natural_surface(raw, raw),
+        "pdf_fragility": t.pdf_fragility(flag, brittle),
+        "natural_fragility": t.natural_fragility(flag, brittle),
+    }
+    return _read(spark, sf_dir, "part").select("p_partkey", *(c.alias(name) for name, c in made.items()))
+
+
 _GROUPS = {
     "main_material": ["wood", "cardboard", "ceramic", "wax", None],
     "transparency_class": ["Clear", "Semi-Opaque", None],
