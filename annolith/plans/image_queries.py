@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annolith.functions import masks
-from annolith.operators import segmentation
+from annolith.operators import order, segmentation
 from annolith.plans.queries import _read, query
 from annolith.session import scratch_path
-from annolith.sources import images
+from annolith.sources import images, tables
 from annolith.sources.versions import WorkLog
 
 _LEVEL = "CAST(greatest(255 - floor(abs(CAST({} AS DOUBLE)) * 1000), 0) AS INT)"
@@ -79,6 +79,16 @@ def written_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.read_images(spark, root).select(_number(), "relative", "width", "height", F.md5(F.hex("data")).alias("bytes"))
 
 
+@query("WITH f AS (SELECT 'set' || vec_id % 3 || '/v' || vec_id || '.png' AS relative FROM embeddings WHERE len(embedding) = 64) SELECT relative, row_number() OVER (ORDER BY relative) - 1 AS place FROM f")
+def listed_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Image files below a folder, by relative path; files of other kinds beside them are not listed."""
+    root = scratch_path(spark, "listed")
+    rows = _images(spark, sf_dir)
+    images.write_masks(rows, root)
+    rows.select(F.col("relative").alias("value")).write.text(f"{root}/notes")
+    return order.row_index(tables.image_files(spark, root), "relative").select("relative", F.col("index").alias("place"))
+
+
 @query(f"WITH {_PX} SELECT vec_id, CASE WHEN vec_id % 3 = 1 THEN NULL ELSE md5(string_agg(CASE WHEN CASE WHEN vec_id % 3 = 2 THEN NOT m ELSE m END THEN '01' ELSE '00' END, '' ORDER BY k)) END AS gt FROM px GROUP BY 1")
 def found_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The true mask of each image: in the same folder, else by its bare name, else none."""

@@ -166,6 +166,28 @@ def training_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back[0].union(back[1]).union(counts)
 
 
+@query("SELECT CAST(c_custkey AS VARCHAR) AS image_id, c_mktsegment AS caption, row_number() OVER (ORDER BY CAST(c_custkey AS VARCHAR)) - 1 AS place FROM customer")
+def sorted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows written in the order of their ids, and the places at which they stand in the files."""
+    root = scratch_path(spark, "sorted")
+    tables.write_json(_customers(spark, sf_dir).select(F.col("c_custkey").cast("string").alias("image_id"), F.col("c_mktsegment").alias("caption")), root, "image_id")
+    rows = spark.read.schema("image_id string, caption string").json(root).select("image_id", "caption", tables.file_order().alias("ord"))
+    return order.row_index(rows, "ord").select("image_id", "caption", F.col("index").alias("place"))
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS image_id, CASE c_custkey % 5 WHEN 0 THEN '/abs/r' || c_nationkey || '/p' || c_custkey || '.png' WHEN 1 THEN 'd/r' || c_nationkey || '/p' || c_custkey || '.png' WHEN 2 THEN 'd/panels/p' || c_custkey || '.png' ELSE 'd/panels/' || c_custkey || '.png' END AS path FROM customer""")
+def panel_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the places where a panel may lie, the first that holds it."""
+    kind, name = F.col("c_custkey") % 5, F.concat(F.lit("p"), F.col("c_custkey").cast("string"), F.lit(".png"))
+    given = F.concat(F.when(kind == 0, "/abs/r").otherwise("r"), F.col("c_nationkey").cast("string"), F.lit("/"), name)
+    rows = _customers(spark, sf_dir).select(F.col("c_custkey").cast("string").alias("image_id"), kind.alias("kind"), F.when(kind < 4, given).alias("panel"), name.alias("name"))
+    own = F.concat(F.lit("d/panels/"), "image_id", F.lit(".png"))
+    # Each kind is found at its own place; ID.png is there for all, and comes last.
+    first = F.when(F.col("kind") == 0, F.col("panel")).when(F.col("kind") == 1, F.concat(F.lit("d/"), "panel")).when(F.col("kind") == 2, F.concat(F.lit("d/panels/"), "name"))
+    files = rows.select(F.explode(F.array_compact(F.array(first, own))).alias("path"))
+    return tables.panel_paths(rows.select("image_id", "panel"), files, "d", "d/panels").select("image_id", "path")
+
+
 @query("SELECT 'row' AS kind, CAST(d.doc_id AS VARCHAR) AS image_id, CASE WHEN toxic = 1 AND lang <> '' THEN lang ELSE source END AS mask_path FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE quality = 1 UNION ALL SELECT 'id', CAST(d.doc_id AS VARCHAR), NULL FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE quality = 1")
 def review_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Approved rows as JSON and their ids as lines, read back."""

@@ -145,6 +145,21 @@ def mask_candidates(relative: Column) -> Column:
     return F.array(*(F.concat(s, F.lit(e)) for s in (stem, name) for e in MASK_ENDINGS))
 
 
+def panel_candidates(raw: Column, image_id: Column, root: str, panels: str) -> Column:
+    """Where a panel may lie: the path as it stands (below root unless it is absolute), its name in the panels folder, ID.png there."""
+    name = F.concat(F.lit(f"{panels}/"), F.element_at(F.split(raw, "/"), -1))
+    whole = F.when(raw.startswith("/"), raw).otherwise(F.concat(F.lit(f"{root}/"), raw))
+    given = F.when(F.coalesce(raw, F.lit("")) != "", F.array(whole, name)).otherwise(F.array().cast("array<string>"))
+    return F.concat(given, F.array(F.concat(F.lit(f"{panels}/"), image_id, F.lit(".png"))))
+
+
+def panel_paths(samples: DataFrame, files: DataFrame, root: str, panels: str) -> DataFrame:
+    """samples (image_id, panel) with path, the first of panel_candidates that files (path) holds; one without any raises."""
+    found = first_existing(samples, panel_candidates(F.col("panel"), F.col("image_id"), root, panels), files)
+    missing = F.raise_error(F.concat(F.lit("panel image not found for "), F.col("image_id")))
+    return samples.join(found, "image_id", "left").withColumn("path", F.coalesce("path", missing.cast("string")))
+
+
 def training_rows(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.json(path, mode="FAILFAST")
     if not rows.limit(1).count():

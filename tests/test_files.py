@@ -271,3 +271,12 @@ def test_progress_says_something(spark):
 def test_png_is_a_png():
     body = images.png(np.zeros((2, 3), np.uint8))
     assert body[:8] == b"\x89PNG\r\n\x1a\n" and zlib.decompress(body[41 : 41 + int.from_bytes(body[33:37], "big")]) == b"\0" * 8
+
+
+def test_a_panel_that_is_nowhere_raises(spark):
+    samples = spark.createDataFrame([("a", "x/a.png"), ("b", None)], "image_id string, panel string")
+    files = spark.createDataFrame([("d/p/a.png",)], "path string")
+    got = tables.panel_paths(samples.filter("image_id = 'a'"), files, "d", "d/p").collect()
+    assert [(r.image_id, r.path) for r in got] == [("a", "d/p/a.png")]
+    with pytest.raises(Exception, match="panel image not found for b"):
+        tables.panel_paths(samples, files, "d", "d/p").collect()
