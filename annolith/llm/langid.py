@@ -5,9 +5,9 @@ one blank on either side) of a language's training texts, by rank.  A document's
 frequent n-grams are ranked alike; its distance to a profile is the sum of the rank
 differences, PROFILE for an n-gram that the profile lacks.
 
-Profiles are fitted on at most SAMPLE training documents of each language, taken in the
-order of a hash of the id, and hold PROFILE numbers each, so they are shipped with the
-function.  Prediction is one Arrow pass over the documents without a shuffle.
+Profiles are fitted on at most SAMPLE training documents of each of the LANGUAGES languages
+with most of them, taken in the order of a hash of the id, and hold PROFILE numbers each, so
+they are shipped with the function.  Prediction is one Arrow pass over the documents without a shuffle.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from annolith.llm.common import crc_fold, map_arrow, steps, utf8
 
 PROFILE, SAMPLE, LONGEST = 400, 2000, 3
+#: Languages that are learned at most: what is broadcast has LANGUAGES * SAMPLE ids, what the driver sees LANGUAGES * PROFILE rows.
+LANGUAGES = 1000
 #: Bytes of text in one vectorised step.
 STEP = 100_000
 UNKNOWN = "und"
@@ -112,22 +114,21 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 Profiles = dict[str, np.ndarray]
 
 
-def fit(docs: DataFrame, train: Column, sample: int = SAMPLE, profile: int = PROFILE) -> Profiles:
+def fit(docs: DataFrame, train: Column, sample: int = SAMPLE, profile: int = PROFILE, languages: int = LANGUAGES) -> Profiles:
     """Each learned language's n-gram codes by rank, from rows with train true and lang and text there.
 
-    At most `sample` rows of a language are read, in the order of a hash of doc_id.  The result has `profile`
-    numbers for each language.
+    The `languages` languages with most such rows are learned.  At most `sample` rows of each are read, in the order of a hash
+    of doc_id.  The result has `profile` numbers for each language.
     """
     usable = docs.filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
     # Of a language with n rows, those whose hash is in the lowest 4 * sample / n of its range hold the first `sample`:
     # few rows of a language meet in one task, however many it has.
-    # The thousand languages with most rows are thinned like that; others have few enough.
-    sizes = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(1000)
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
     low = (F.xxhash64("doc_id").cast("double") / F.lit(2.0**64) + 0.5) * F.col("n") <= F.lit(4.0 * sample) + 64
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    first = usable.join(F.broadcast(sizes), "lang", "left").filter(F.col("n").isNull() | low).withColumn("at", place).filter(F.col("at") <= sample).select("doc_id", F.col("lang").alias("of"))
+    first = usable.join(F.broadcast(sizes), "lang").filter(low).withColumn("at", place).filter(F.col("at") <= sample).select("doc_id", F.col("lang").alias("of"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    chosen = texts.join(F.broadcast(first), "doc_id").filter(F.col("lang") == F.col("of")).select("lang", "text")  # at most sample ids a language
+    chosen = texts.join(F.broadcast(first), "doc_id").filter(F.col("lang") == F.col("of")).select("lang", "text")  # at most languages * sample ids
     counts = map_arrow(chosen, _counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     top = counts.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))).filter(F.col("at") <= profile)
     found: dict[str, list[tuple[int, int]]] = {}
