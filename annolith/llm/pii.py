@@ -43,6 +43,8 @@ ROUNDS, SUPPORT, CERTAIN, LEAST, AROUND = 3, 3, 0.8, 6, 96
 #: Seeds of secrets: what stands before them, and what they look like.  Lower case only; patterns know no case.
 WORDS = ("token", "secret", "password", "passwd", "(?:api|access|private)[_-]?key")
 OPAQUE = r"\A(?=(?:[^0-9]*+[0-9]){4})(?=(?:[^A-Za-z]*+[A-Za-z]){4})[A-Za-z0-9+/_=-]{20,}\z"
+#: What a credential's name is assigned: an opaque token, or a shorter one of letters and digits, such as a password.
+SEED = rf"{OPAQUE}|\A(?=[^0-9]*+[0-9])(?=[^A-Za-z]*+[A-Za-z])[A-Za-z0-9_%+#-]{{8,}}\.?\z"
 KINDS = (*PATTERNS, "secret")
 
 
@@ -152,7 +154,7 @@ def _cells(text: Column, words_of_seeds: tuple[str, ...]) -> Column:
     words = lambda c: F.split(F.trim(F.regexp_replace(F.lower(F.regexp_replace(c, "[0-9]+", "9")), r"\s+", " ")), " ")
 
     def cell(x: Column) -> Column:
-        seed = x.left.rlike(assigned(words_of_seeds)) & x.value.rlike(OPAQUE)
+        seed = x.left.rlike(assigned(words_of_seeds)) & x.value.rlike(SEED)
         return F.struct(x.start.alias("start"), x.end.alias("end"), x.value.alias("value"), F.slice(F.reverse(words(x.left)), 1, 3).alias("before"), words(x.right)[0].alias("after"), seed.alias("seed"))
 
     kind = "array<struct<start: int, end: int, value: string, before: array<string>, after: string, seed: boolean>>"
@@ -219,8 +221,8 @@ def extract(docs: DataFrame, words: tuple[str, ...] = WORDS, rounds: int = ROUND
     The first four counts and base_sha256 are of base spans, spans and found are all spans by kind (secrets last)
     and start; n_secret counts secrets, n_spans all spans.  Null and empty texts have no spans.  Rows of equal
     doc_id and text (null ids too) get equal results; every row stays one row.  Positions are code points, ends
-    exclusive.  words: what names a seed of kind secret; seeds are 20 characters long at least, with four digits and four letters, in
-    letters, digits and + / = _ -.  Discovered spans never touch base spans.  Instances have LEAST characters at least, and see
+    exclusive.  words: what names a seed of kind secret; a seed has 8 characters at least, with a digit and a letter.  What is discovered
+    beside them looks like a seed of 20 characters or more.  Discovered spans never touch base spans.  Instances have LEAST characters at least, and see
     AROUND characters on either side.  Extra columns are ignored; an empty table gives no rows.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))

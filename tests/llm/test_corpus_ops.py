@@ -596,6 +596,35 @@ def test_pii_against_fixed_point(spark):
     assert got[35].spans.startswith("email:") and got[1].n_spans == 1
 
 
+def test_pii_short_credentials(spark):
+    """What a credential's name is assigned is a secret from 8 characters on; names, words and addresses alone are none."""
+    from annolith.llm import pii
+
+    texts = ["password: hunter2022", 'my api_key = "a1b2c3d4" here', "passwd=Tr0ub4dor.", "token: abcdefgh", "token: 1234567", "the password hunter2022x is", "secret: http://a.com/page2", "user_name: hunter2023"]
+    got = {r.doc_id: r.spans for r in pii.extract(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(8)] == ["secret:10:20", "secret:14:22", "secret:7:17", "", "", "", "", ""]
+
+
+def test_pii_learns_from_half_of_the_seeds(spark, monkeypatch):
+    """With every second seed unknown, the patterns of the others find it; without rounds nothing does."""
+    from annolith.llm import pii
+
+    texts = [f'{prose(k, 5)} token = "{hexed(k)}" {prose(k + 50, 3)}' for k in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(pii, "SEED", rf"(?=.*[02468ace]\z)(?:{pii.OPAQUE})")
+    half = sum(hexed(k)[-1] in "02468ace" for k in range(60))
+    found = {n: pii.extract(docs, rounds=n).filter("n_secret > 0").count() for n in (0, 3)}
+    assert found == {0: half, 3: 60} and 20 < half < 40
+
+
+def test_pii_in_a_text_of_a_million_words(spark):
+    from annolith.llm import pii
+
+    docs = spark.range(1).selectExpr("id as doc_id", "concat(repeat('filler words here ', 340000), 'mail me@example.com, number 123456789 ', repeat('more of them ', 10000)) as text")
+    r = pii.extract(docs).first()
+    assert (r.n_email, r.n_spans) == (1, 1) and r.spans == f"email:{18 * 340000 + 5}:{18 * 340000 + 19}"
+
+
 def test_pii_finds_secrets_of_the_driver(spark):
     """Every document of the smallest table with a token in it is found, none without digits or @ is."""
     from annolith.llm import pii
