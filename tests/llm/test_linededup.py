@@ -162,6 +162,18 @@ def test_against_brute_force(spark):
     assert any(x[1] for x in brute_line_dedup(texts).values())
 
 
+def test_long_owners_are_met_in_stretches(spark, monkeypatch):
+    """A long first document with a licence at both ends, a passage across the border of two stretches, and copies of single runs."""
+    licence = "This licence is printed here. " + prose(900, 24).capitalize() + ". It ends so."
+    body = [prose(2000 + k, 7).capitalize() + "." for k in range(700)]
+    across = body[linededup.STRETCH - 4 : linededup.STRETCH + 4]
+    texts = {1: "\n".join([licence, *body, licence])}
+    texts |= {k: "\n".join([licence, *(prose(5000 + 40 * k + j, 9).capitalize() + "." for j in range(30)), *(across if k % 2 else []), licence]) for k in range(2, 12)}
+    check(spark, texts)
+    monkeypatch.setattr(linededup, "STRETCH", 2)
+    check(spark, texts)
+
+
 def test_driver_tables(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
     check(spark, {r.doc_id: r.text for r in rows if r.text is not None})

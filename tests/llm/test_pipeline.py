@@ -27,8 +27,9 @@ def test_against_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_whole_table(spark, name):
     out = QUERIES[name](spark, SMALL)
-    key = "page_id" if "page_id" in out.columns else "doc_id"
-    table = spark.read.parquet(f"{SMALL}/{'pages' if key == 'page_id' else 'documents'}.parquet")
+    tables = {"page_id": "pages", "vec_id": "embeddings", "doc_id": "documents"}
+    key = next(k for k in tables if k in out.columns)
+    table = spark.read.parquet(f"{SMALL}/{tables[key]}.parquet")
     assert {r[0] for r in out.select(key).collect()} == {r[0] for r in table.select(key).collect()}
 
 
