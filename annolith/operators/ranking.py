@@ -129,7 +129,7 @@ def quota_select(pool: DataFrame, n: int, per_type: int, seed: int = 42, shuffle
     order = [F.desc("known_count"), F.asc("_hash"), F.asc("key")]
     usable = ranked.withColumn("_place", F.row_number().over(Window.partitionBy("material", "product_type").orderBy(*order))).filter(F.col("_place") <= min(n, per_type))
     usable = usable.withColumn("_place", F.row_number().over(Window.partitionBy("material").orderBy(*order))).filter(F.col("_place") <= 2 * n).drop("_place")
-    usable = kept(row_index(usable, *order).withColumnRenamed("index", "pos"), "pool")
+    usable = row_index(usable, *order).withColumnRenamed("index", "pos")
     named = usable.filter(F.col("material") != UNKNOWN)
     quota = max(1, n // max(1, named.select("material").distinct().count()))
     first = greedy_take(named.withColumns({"_quota": F.lit(quota), "_cap": F.lit(per_type)}), {"material": "_quota", "product_type": "_cap"}, n)
