@@ -69,18 +69,24 @@ def _token(words: str, pos: Column, length: int) -> Column:
     return F.when(pos + length <= F.size(words), F.xxhash64(F.lit(length), *own))
 
 
-def _spoken(docs: DataFrame, lengths: list[int]) -> DataFrame:
-    """(doc_id, words, pos, heads, token): the shingles of each length at every word of every document (null where they do not fit);
-    a document without words has them at no place.  heads: true in one row of each document.
+def _spoken(docs: DataFrame) -> DataFrame:
+    """(doc_id, words, pos): every word's place in every document; one row with nulls where there is none.
 
     Outer explodes: the others make the optimiser filter by the array's size, which runs the regex again.
     """
     words = docs.select("doc_id", word_array(F.col("text").cast("string")).alias("words"))
-    every = words.select("doc_id", "words", F.posexplode_outer("words").alias("pos", "spoken"))
+    return words.select("doc_id", "words", F.posexplode_outer("words").alias("pos", "spoken")).drop("spoken")
+
+
+def _shingled(places: DataFrame, lengths: list[int]) -> DataFrame:
+    """(doc_id, words, pos, heads, token): the shingle of each length at each place (null where it does not fit).
+
+    heads: true in one row of each document.
+    """
     tokens, first = [_token("words", F.col("pos"), n) for n in lengths], F.coalesce(F.col("pos") == 0, F.lit(True))
     if len(tokens) == 1:
-        return every.select("doc_id", "words", "pos", first.alias("heads"), tokens[0].alias("token"))
-    each = every.select("doc_id", "words", "pos", F.posexplode(F.array(*tokens)).alias("which", "token"))
+        return places.select("doc_id", "words", "pos", first.alias("heads"), tokens[0].alias("token"))
+    each = places.select("doc_id", "words", "pos", F.posexplode(F.array(*tokens)).alias("which", "token"))
     return each.select("doc_id", "words", "pos", (first & (F.col("which") == 0)).alias("heads"), "token")
 
 
@@ -96,14 +102,14 @@ def occurrences(docs: DataFrame, items: DataFrame, size: int = ITEM_WORDS, shing
     ranked = windows.select("window_id", "window", F.posexplode("window").alias("at", "word")).withColumn("token", own).filter("token is not null").drop("word")
     vocabulary = materialise(ranked.select("token").distinct(), "vocabulary")
     # Counts of shingles whose slot the benchmark uses, over all documents; few reach the shuffle more than once a task.
-    counted = _known(_spoken(docs, lengths).select("token"), _bitmap(vocabulary)).filter("known").groupBy("token").agg(F.count("*").alias("n"))
+    counted = _known(_shingled(_spoken(docs), lengths).select("token"), _bitmap(vocabulary)).filter("known").groupBy("token").agg(F.count("*").alias("n"))
     rarity = materialise(vocabulary.join(counted, "token"), "rarity")
     # The rarest shingle of each window with the words it must stand among; one that no document holds rules its windows out.
     prefix = ranked.join(rarity, "token", "left").groupBy("window_id", "window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "at")).alias("first"))
     prefix = materialise(prefix.filter("first.n > 0").select("window_id", "window", F.col("first.token").alias("token"), F.col("first.at").alias("at")), "prefixes")
     # One scan marks the places of prefix shingles, with the words around them, and each document's first word for its length.
     begin = F.greatest(F.col("pos") - (size - 1), F.lit(0))
-    marked = _known(_spoken(docs, lengths), _bitmap(prefix.select("token"))).filter("known or heads")
+    marked = _known(_shingled(_spoken(docs), lengths), _bitmap(prefix.select("token"))).filter("known or heads")
     known = F.coalesce("known", F.lit(False))
     around = F.when(known, F.slice("words", begin + 1, 2 * size - 1))
     marked = materialise(marked.select("doc_id", F.coalesce(F.size("words"), F.lit(0)).alias("n_words"), "pos", "heads", "token", known.alias("known"), begin.alias("begin"), around.alias("around")), "places")
