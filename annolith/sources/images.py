@@ -24,6 +24,7 @@ from pyspark.sql.types import BinaryType, StructType
 
 from annolith.functions.masks import Array, collage, mask_as_rgb, mask_of, nearest, overlay, simple_mask
 from annolith.session import kept
+from annolith.sources.prune import listed
 from annolith.sources.tables import IMAGE_ENDINGS, first_existing, mask_candidates
 
 #: A pixel of a mask file counts from this grey value on.
@@ -111,7 +112,8 @@ def true_masks(images: DataFrame, root: str) -> DataFrame:
     """images (relative, width, height, ...) with gt: the mask of the first file below root that may be its mask, in the image's size."""
     spark = images.sparkSession
     files = _decoded(spark, root)
-    found = first_existing(images.select("relative"), mask_candidates(F.col("relative")), files.select(F.col("relative").alias("path")), "relative")
+    # Names come from a listing, which opens no file.
+    found = first_existing(images.select("relative"), mask_candidates(F.col("relative")), listed(spark, root).select(F.col("relative").alias("path")), "relative")
     own = files.select(F.col("relative").alias("path"), F.col("width").alias("_w"), F.col("height").alias("_h"), F.col("channels").alias("_c"), F.col("data").alias("_d"))
     out = images.join(found, "relative", "left").join(own, "path", "left")
     return out.withColumn("gt", _as_mask("_d", F.coalesce("_w", F.lit(-1)), F.coalesce("_h", F.lit(-1)), F.coalesce("_c", F.lit(1)), "width", "height")).drop("path", "_w", "_h", "_c", "_d")
