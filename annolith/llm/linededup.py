@@ -87,9 +87,9 @@ def run_ends(words: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.nda
     return kept, ends[kept]
 
 
-def _runs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """(id, of, hashes, words) to (run, id, of, first, end, last): each text's distinct runs, where the first begins and ends, and where the
-    last ends."""
+def _runs(batches: Iterator[pa.RecordBatch], least: int, stretch: int) -> Iterator[pa.RecordBatch]:
+    """(id, of, hashes, words) to (run, id, of, first, last): each text's distinct runs in each stretch of pieces, where the first there begins
+    and the last that begins there ends."""
     for batch in batches:
         words, offsets = _flat(batch.column(3))
         hashes = _flat(batch.column(2))[0].astype(np.int64).view(np.uint64)
@@ -98,15 +98,16 @@ def _runs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBa
             continue
         runs = span_hash(prefix_sums(hashes), starts, ends)
         owner = np.searchsorted(offsets, starts, "right") - 1
+        part = (starts - offsets[owner]) // stretch
         order = np.lexsort((starts, runs, owner))
-        runs, owner, starts, ends = runs[order], owner[order], starts[order], ends[order]
-        new = np.flatnonzero(np.concatenate([[True], (runs[1:] != runs[:-1]) | (owner[1:] != owner[:-1])]))
+        runs, owner, part, starts, ends = runs[order], owner[order], part[order], starts[order], ends[order]
+        new = np.flatnonzero(np.concatenate([[True], (runs[1:] != runs[:-1]) | (owner[1:] != owner[:-1]) | (part[1:] != part[:-1])]))
         last = np.concatenate([new[1:], [len(runs)]]) - 1
         rows, base = owner[new], offsets[owner[new]]
         own = pa.array(rows)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(runs[new].view(np.int64)), batch.column(0).take(own), batch.column(1).take(own), *(pa.array((x - base).astype(np.int32)) for x in (starts[new], ends[new], ends[last]))],
-            names=["run", "id", "of", "first", "end", "last"],
+            [pa.array(runs[new].view(np.int64)), batch.column(0).take(own), batch.column(1).take(own), pa.array((starts[new] - base).astype(np.int32)), pa.array((ends[last] - base).astype(np.int32))],
+            names=["run", "id", "of", "first", "last"],
         )
 
 
@@ -248,15 +249,15 @@ def line_cuts(docs: DataFrame, least: int = MIN_BLOCK_WORDS) -> DataFrame:
     id_, of = _key(F.col("doc_id"), F.col("text"))
     own = docs.filter("doc_id is not null and text is not null").select(id_.alias("id"), of.alias("of"), F.col("text").cast("string").alias("text"))
     hashed = materialise(map_arrow(own, _hashed, "id long, of long, hashes array<long>, words array<int>"), "pieces")
-    runs = map_arrow(hashed, lambda it: _runs(it, least), "run long, id long, of long, first int, end int, last int")
+    stretch = STRETCH
+    runs = map_arrow(hashed, lambda it: _runs(it, least, stretch), "run long, id long, of long, first int, last int")
     # Partial sums meet first, so a run that very many documents hold is no hot key.  Written, so that the join can be split.
     first = runs.groupBy("run").agg(F.min("id").alias("owner"), F.max("id").alias("top")).filter("owner < top").select("run", "owner")
     met = materialise(runs.join(materialise(first, "owners"), "run"), "shared")
-    held = met.filter("id = owner").select("run", F.col("id").alias("e_id"), F.col("of").alias("e_of"), F.col("first").alias("e_first"), F.col("end").alias("e_last")).dropDuplicates(["run", "e_id", "e_of"])
+    held = met.filter("id = owner").select("run", F.col("id").alias("e_id"), F.col("of").alias("e_of"), F.col("first").alias("e_first"), F.col("last").alias("e_last")).dropDuplicates(["run", "e_id", "e_of", "e_first"])
     held = materialise(held, "held")
-    # A long owner is met stretch by stretch, at the first place of each run: a document that shares its beginning and its end
-    # gets those, not all that lies between.
-    linked = met.filter("id > owner").join(held, "run").groupBy("id", "of", "e_id", "e_of", F.floor(F.col("e_first") / STRETCH))
+    # A long owner is met stretch by stretch: a document that shares its beginning and its end gets those, not all that lies between.
+    linked = met.filter("id > owner").join(held, "run").groupBy("id", "of", "e_id", "e_of", F.floor(F.col("e_first") / stretch))
     pairs = linked.agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min("e_first").alias("e_first"), F.max("e_last").alias("e_last"))
     pairs = materialise(pairs.select("id", "of", "e_id", "e_of", "first", "last", "e_first", "e_last"), "pairs")
     # The pieces of the documents in pairs, one row a text however often it is repeated.
