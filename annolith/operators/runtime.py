@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from annolith.operators.ranking import batches
 
-#: What is counted, for whole conversations (messages) and for single prompts about one image (simple).
+#: What is counted, for whole conversations (messages) and for single prompts about one image (simple).
 COUNTERS = {
     kind: [f"{kind}_batch_{x}" for x in ("calls", "items", "degenerate_to_single", "blank_template_fallback", "processor_exception_fallback", "generate_exception", "decode_exception", "empty_decode_fallback", "success")]
     for kind in ("messages", "simple")
