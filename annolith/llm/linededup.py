@@ -36,7 +36,7 @@ GAP = 2
 #: Bytes of text that one step cuts into pieces; some 50 bytes of memory are needed for each.
 STEP = 500_000
 #: Pieces of an owner in which the runs of one alignment begin.
-STRETCH = 256
+STRETCH = 2048
 #: Rounds of alignment before the runs that are left are looked up directly (which gives the same runs, in linear time).
 PASSES = 8
 

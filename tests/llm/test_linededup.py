@@ -164,6 +164,7 @@ def test_against_brute_force(spark):
 
 def test_long_owners_are_met_in_stretches(spark, monkeypatch):
     """A long first document with a licence at both ends, a passage across the border of two stretches, and copies of single runs."""
+    monkeypatch.setattr(linededup, "STRETCH", 256)
     licence = "This licence is printed here. " + prose(900, 24).capitalize() + ". It ends so."
     body = [prose(2000 + k, 7).capitalize() + "." for k in range(700)]
     across = body[linededup.STRETCH - 4 : linededup.STRETCH + 4]
