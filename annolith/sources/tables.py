@@ -135,7 +135,8 @@ def images(spark: SparkSession, root: str) -> DataFrame:
 def first_existing(wanted: DataFrame, candidates: Column, files: DataFrame, key: str = "image_id") -> DataFrame:
     """(key, path): of each row's candidate paths (in order) the first that files (path) holds; rows without one are left out."""
     rows = wanted.select(key, F.posexplode(candidates).alias("rank", "path"))
-    return rows.join(files.select("path").distinct(), "path").groupBy(key).agg(F.min_by("path", "rank").alias("path"))
+    # Both sides are dealt by path: the size that Spark expects of the exploded rows is that of the rows before, so that it would broadcast millions of paths.
+    return rows.join(files.select("path").distinct().hint("merge"), "path").groupBy(key).agg(F.min_by("path", "rank").alias("path"))
 
 
 def mask_candidates(relative: Column) -> Column:

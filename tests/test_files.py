@@ -280,3 +280,13 @@ def test_a_panel_that_is_nowhere_raises(spark):
     assert [(r.image_id, r.path) for r in got] == [("a", "d/p/a.png")]
     with pytest.raises(Exception, match="panel image not found for b"):
         tables.panel_paths(samples, files, "d", "d/p").collect()
+
+
+def test_candidate_paths_are_not_broadcast(spark):
+    """Neither the exploded candidates nor the listing pass through the driver, however small Spark takes them for."""
+    wanted = spark.createDataFrame([(1, "a/1.webp"), (2, "a/2.webp"), (3, "b/3.webp")], "image_id long, relative string")
+    files = spark.createDataFrame([("a/1.jpg",), ("a/1.png",), ("2.bmp",), ("c/3.png",)], "path string")
+    found = tables.first_existing(wanted, tables.mask_candidates(F.col("relative")), files)
+    assert {(r.image_id, r.path) for r in found.collect()} == {(1, "a/1.png"), (2, "2.bmp")}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
