@@ -1,10 +1,10 @@
 """Quality rules: text counts and a hashed n-gram log-likelihood ratio.
 
 The word unigrams and bigrams of every document are hashed into BUCKETS cells.  One
-multinomial is fitted on trusted documents (labelled quality 1), one on the raw corpus
-(every document); a document's score is the mean log ratio of the two over its n-grams.
-The threshold is fixed once, as a low quantile of the scores of trusted documents that
-took no part in the fit, and applied to every document.
+multinomial is fitted on one half of the trusted documents (labelled quality 1), dealt by a
+hash of the id, one on the raw corpus (every document); a document's score is the mean log
+ratio of the two over its n-grams.  The threshold is fixed once, as a low quantile of the
+scores of the other half, and applied to every document.  Both halves are read whole.
 """
 
 from __future__ import annotations
@@ -16,11 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annolith.llm.common import byte_class, code_points, crc_fold, lowered, map_arrow, mix, ngram_hash, prefix_sums, span_hash, steps, utf8, word_spans
+from annolith.llm.common import byte_class, code_points, crc_fold, lowered, map_arrow, materialise, mix, ngram_hash, prefix_sums, span_hash, steps, utf8, word_spans
+from annolith.operators.order import row_index
 
 BUCKETS = 1 << 16
-#: Trusted documents that are read at most, in the order of a hash of the id; half fit the target, half the threshold.
-TRUSTED = 20_000
 #: Share of trusted documents that the threshold may reject.
 QUANTILE = 0.004
 WINDOW, SYMBOLS = 8, b"#*$%&|<>"
@@ -83,16 +82,23 @@ def cells(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(fits, text) to one (cell, raw, target) row for each cell of the task."""
-    raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    """(text) to one (cell, n) row for each cell of the task."""
+    total = np.zeros(BUCKETS, np.int64)
     for batch in batches:
-        fits, (data, offsets) = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), bool), utf8(batch.column(1))
+        data, offsets = utf8(batch.column(0))
         for i, j in steps(offsets):
-            doc, cell = cells(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            raw += np.bincount(cell, minlength=BUCKETS)
-            target += np.bincount(cell[fits[i:j][doc]], minlength=BUCKETS)
-    own = np.flatnonzero(raw)
-    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(raw[own]), pa.array(target[own])], names=["cell", "raw", "target"])
+            _, cell = cells(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            total += np.bincount(cell, minlength=BUCKETS)
+    own = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[own])], names=["cell", "n"])
+
+
+def _totals(texts: DataFrame) -> np.ndarray:
+    """Number of n-grams in each cell."""
+    out = np.zeros(BUCKETS)
+    for row in map_arrow(texts.select("text"), _counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # a row a cell
+        out[row["cell"]] = row["n"]
+    return out
 
 
 Model = tuple[np.ndarray, float]
@@ -106,32 +112,43 @@ def _scores(data: np.ndarray, offsets: np.ndarray, ratio: np.ndarray) -> np.ndar
 
 def _scored(batches: Iterator[pa.RecordBatch], ratio: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offsets = utf8(batch.column(0))
+        data, offsets = utf8(batch.column(1))
         for i, j in steps(offsets):
-            yield pa.RecordBatch.from_arrays([pa.array(_scores(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], ratio))], names=["score"])
+            score = _scores(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], ratio)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(score)], names=["doc_id", "score"])
+
+
+def _quantile(scores: DataFrame, share: float) -> float | None:
+    """The exact quantile between the two nearest scores; the driver sees these two, no task more than its part of the scores."""
+    placed = row_index(scores, "score")
+    last = placed.agg(F.max("index").alias("last")).first()["last"]
+    if last is None:
+        return None
+    at = share * last
+    low = int(at)
+    near = {r["index"]: r["score"] for r in placed.filter(F.col("index").isin(low, min(low + 1, last))).collect()}
+    return near[low] + (at - low) * (near[min(low + 1, last)] - near[low])
 
 
-def fit(docs: DataFrame, trusted: DataFrame, at_most: int = TRUSTED, quantile: float = QUANTILE) -> Model:
+def fit(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) -> Model:
     """(log ratio by cell, threshold).  docs: doc_id, text; trusted: the doc_id of trusted documents.
 
-    Raw counts are over every document.  Without trusted documents every ratio is 0 and every document passes.
+    Raw counts are over every document, target counts over every trusted document of one half, the threshold over every one
+    of the other.  Only the texts of the first half are dealt by id to meet the labels; the others are scored where they
+    are, and their scores meet them.  Without trusted documents every ratio is 0 and every document passes.
     """
-    chosen = trusted.select(F.col("doc_id").cast("long").alias("trusted_id")).filter("trusted_id is not null").distinct().orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(at_most)
-    chosen = chosen.withColumn("fits", crc_fold(F.col("trusted_id"), 2) == 0)
+    chosen = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct().hint("merge")  # the same plan at every size
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = own.join(F.broadcast(chosen), own.doc_id == chosen.trusted_id, "left")  # at_most ids
-    rows = map_arrow(marked.select(F.coalesce("fits", F.lit(False)).alias("fits"), "text"), _counted, "cell long, raw long, target long")
-    totals = rows.groupBy("cell").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()  # a row a cell
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for row in totals:
-        raw[row["cell"]], target[row["cell"]] = row["raw"], row["target"]
+    fits = crc_fold(F.col("doc_id"), 2) == 0
+    target = _totals(own.filter(fits).join(chosen, "doc_id", "left_semi"))
     if not target.sum():
         return np.zeros(BUCKETS, np.float32), -np.inf
+    raw = _totals(own)
     # The target is smoothed by the raw corpus: cells without evidence weigh nothing.
     share = (raw + 0.5) / (raw + 0.5).sum()
     ratio = np.log((target + 8 * BUCKETS * share / 16 + 1e-9) / (target.sum() + 8 * BUCKETS / 16) / share).astype(np.float32)
-    tested = map_arrow(own.join(F.broadcast(chosen.filter("not fits")), own.doc_id == F.col("trusted_id")).select("text"), lambda it: _scored(it, ratio), "score double")
-    cut = tested.agg(F.percentile("score", F.lit(quantile)).alias("cut")).first()["cut"]  # over at_most scores
+    scored = map_arrow(own.filter(~fits), lambda it: _scored(it, ratio), "doc_id long, score double")
+    cut = _quantile(materialise(scored.join(chosen, "doc_id", "left_semi").select("score"), "trusted_scores"), quantile)
     return ratio, -np.inf if cut is None else float(cut)
 
 
