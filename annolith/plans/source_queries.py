@@ -10,7 +10,7 @@ from annolith.operators import joins, order, ranking
 from annolith.plans import pipelines
 from annolith.plans.queries import SPECS, _evaluation, _metrics_sql, _read, _reviews, query
 from annolith.plans.text_queries import _SPECS, _TRAIN, _train
-from annolith.session import scratch_path
+from annolith.session import scratch_path, spread
 from annolith.sources import images, prune, specs, tables
 from annolith.sources.specs import specs_frame
 from annolith.sources.versions import VersionedTable
@@ -251,7 +251,7 @@ def pruned_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that nothing names are deleted; what the folder then holds."""
     root = scratch_path(spark, "prune")
     relative = F.concat(F.lit("n"), F.col("c_nationkey").cast("string"), F.lit("/d"), (F.col("c_custkey") % 2).cast("string"), F.lit("/m"), F.col("c_custkey").cast("string"), F.lit(".png"))
-    rows = _customers(spark, sf_dir).select(relative.alias("path"), "c_custkey", "c_nationkey")
+    rows = spread(_customers(spark, sf_dir).select(relative.alias("path"), "c_custkey", "c_nationkey"), "c_custkey")
     pixel = rows.select("path", F.lit(1).alias("width"), F.lit(1).alias("height"), F.lit(1).alias("channels"), F.unhex(F.lit("FF")).alias("data"))
     images.write_png(pixel, root)
     done = prune.prune(spark, root, rows.filter(_KEPT).select(F.col("path").alias("relative")))

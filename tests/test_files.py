@@ -290,3 +290,16 @@ def test_candidate_paths_are_not_broadcast(spark):
     assert {(r.image_id, r.path) for r in found.collect()} == {(1, "a/1.png"), (2, "2.bmp")}
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
+def test_tasks_list_folders(spark, tmp_path):
+    """A listing is a table that tasks wrote: Spark's driver holds none of the files; hidden ones are left out at every level."""
+    names = {f"d{k % 3}/é {k % 2}/x{k}.png" for k in range(60)} | {"top.png", "_p=1/in.png"}
+    for name in names | {".h/a.png", "_staging-1/b.png", "d0/.c.png.crc", "d0/_d.png", "e/f.png._COPYING_"}:
+        path = tmp_path / "r" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("1")
+    for root in (str(tmp_path / "r"), f"file://{tmp_path}/r/"):
+        rows = prune.listed(spark, root)
+        assert not [f for f in rows.inputFiles() if "/r/" in f]
+        assert sorted(r.relative for r in rows.collect()) == sorted(names) and all(r.path.endswith(r.relative) for r in rows.collect())
