@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from annolith.functions import masks
 from annolith.operators import order, segmentation
 from annolith.plans.queries import _read, query
-from annolith.session import scratch_path
+from annolith.session import scratch_path, spread
 from annolith.sources import images, tables
 from annolith.sources.versions import WorkLog
 
@@ -34,7 +34,7 @@ def _hex(values: Column) -> Column:
 
 def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, relative, width, height, data (RGB bytes), mask."""
-    rows = _read(spark, sf_dir, "embeddings").filter(F.size("embedding") == 64)
+    rows = spread(_read(spark, sf_dir, "embeddings").filter(F.size("embedding") == 64), "vec_id")
     level = lambda k: F.greatest(F.lit(255) - F.floor(F.abs(F.get("embedding", k % 64).cast("double")) * 1000), F.lit(0))
     data = _hex(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.array(level(k), level(k + 1), level(k + 2)))))
     mask = _hex(F.transform("embedding", lambda x: F.when(x.cast("double") > 0.1, F.lit(1)).otherwise(F.lit(0)).cast("long")))

@@ -23,7 +23,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 from pyspark.sql.types import BinaryType, StructType
 
 from annolith.functions.masks import Array, collage, mask_as_rgb, mask_of, nearest, overlay, simple_mask
-from annolith.session import kept
+from annolith.session import kept, many_files
 from annolith.sources.prune import listed
 from annolith.sources.tables import IMAGE_ENDINGS, first_existing, mask_candidates
 
@@ -80,6 +80,7 @@ def _as_mask(data: pd.Series, width: pd.Series, height: pd.Series, channels: pd.
 
 def _decoded(spark: SparkSession, root: str) -> DataFrame:
     """relative, width, height, channels, data of all image files below root; width is -1 where decoding failed."""
+    many_files(spark)
     files = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "false").load(root)
     origin = F.url_decode(F.replace(F.col("image.origin"), F.lit("+"), F.lit("%2B")))  # a URI with escapes
     rows = files.select(_relative(origin, root).alias("relative"), "image.width", "image.height", F.col("image.nChannels").alias("channels"), "image.data")

@@ -303,3 +303,19 @@ def test_tasks_list_folders(spark, tmp_path):
         rows = prune.listed(spark, root)
         assert not [f for f in rows.inputFiles() if "/r/" in f]
         assert sorted(r.relative for r in rows.collect()) == sorted(names) and all(r.path.endswith(r.relative) for r in rows.collect())
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    for k in range(640):
+        (tmp_path / f"{k}.png").write_bytes(images.png(np.zeros((1, 1), np.uint8)))
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+    rows = images.read_masks(spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() <= 8 and rows.count() == 640
+
+
+def test_rows_of_one_row_group_are_dealt_before_files_are_made(spark, tmp_path):
+    from annolith.plans import image_queries
+
+    spark.range(50).select(F.col("id").alias("vec_id"), F.array_repeat(F.lit(0.5), 64).alias("embedding")).coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = image_queries._images(spark, str(tmp_path))
+    assert sum(1 for n in rows.rdd.glom().map(len).collect() if n) > 4 and rows.count() == 50
